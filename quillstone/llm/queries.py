@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import langid, packing, quality
+from quillstone.llm import langid, mixing, oracles, packing, quality
 from quillstone.llm.common import read
 
 
@@ -31,6 +31,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    drawn = mixing.mix(documents, "text", "doc_id", "source", "lang")
+    return drawn.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__p").alias("p"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(documents, "text", "doc_id", quality.trusted_ids(read(spark, sf_dir, "labels")))
@@ -41,7 +47,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": oracles.mixing_sql()}
