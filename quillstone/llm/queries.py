@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import langid, mixing, oracles, packing, pii, quality
+from quillstone.llm import langid, mixing, neardup, oracles, packing, pii, quality
 from quillstone.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(read(spark, sf_dir, "documents"), "text", "doc_id")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(read(spark, sf_dir, "documents"), "text", ["doc_id"]).drop("redacted")
 
@@ -51,6 +55,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
