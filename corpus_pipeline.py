@@ -17,7 +17,7 @@ from quillstone.llm.queries import tokenizer_path
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules or the likelihood ratio reject go."""
     model = quality.fit(docs, "text", "doc_id", quality.trusted_ids(read(spark, sf_dir, "labels")))
-    return quality.judge(docs, "text", model).where("kept").select(docs.columns)
+    return quality.filtered(docs, "text", model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
