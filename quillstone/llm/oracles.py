@@ -29,3 +29,14 @@ def mixing_sql() -> str:
     ]
     drawn = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < p"
     return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, source, lang, topic, n_tokens, p FROM docs JOIN mix USING (source, lang, topic) WHERE {drawn}"
+
+
+def chat_sql() -> str:
+    """Prefixes are compared as whole rendered texts rather than by hash."""
+    return r"""WITH turns AS (SELECT conv_id AS c, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+shown AS (SELECT *, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS x FROM turns),
+pre AS (SELECT *, md5(string_agg(length(role) || ':' || length(text) || x, '') OVER (PARTITION BY c ORDER BY k)) AS p, count(*) OVER (PARTITION BY c) AS n FROM shown),
+whole AS (SELECT n, p, min(c) AS c, count(*) AS n_same FROM pre WHERE k = n GROUP BY n, p),
+kept AS (SELECT c, n AS n_turns, n_same FROM whole w WHERE NOT EXISTS (SELECT 1 FROM pre i WHERE i.k = w.n AND i.p = w.p AND i.k < i.n))
+SELECT c AS conv_id, (k - 1) // 256 AS part, n_turns, n_same, string_agg(x, '' ORDER BY k) AS text FROM shown JOIN kept USING (c) GROUP BY ALL"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import langid, mixing, neardup, oracles, packing, pii, quality
+from quillstone.llm import ann, chat, htmltext, langid, mixing, neardup, oracles, packing, pii, quality, urlfilter
 from quillstone.llm.common import read
 
 
@@ -26,6 +26,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"), "html", ["page_id"])
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read(spark, sf_dir, "documents"), "text", "doc_id", tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -39,6 +43,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(read(spark, sf_dir, "documents"), "text", ["doc_id"]).drop("redacted")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"), "url", ["page_id"])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     drawn = mixing.mix(documents, "text", "doc_id", "source", "lang")
@@ -52,13 +60,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, "text", model).select(columns)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language_id": op1_language_id,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_jaccard_join": op4_jaccard_join,
-    "op5_pii": op5_pii,
-    "op7_mixing": op7_mixing,
-    "op8_quality_rules": op8_quality_rules,
+    f.__name__: f
+    for f in (op1_language_id, op2_html_text, op3_best_fit_packing, op4_jaccard_join, op5_pii, op6_url_filter, op7_mixing, op8_quality_rules, op9_nearest, op10_chat_format)
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": oracles.mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": oracles.mixing_sql(), "op10_chat_format": oracles.chat_sql()}
