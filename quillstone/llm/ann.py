@@ -27,8 +27,9 @@ from quillstone.llm.common import shared_table
 
 SAMPLE = 16_384
 MAX_LISTS = 4096
-LIST_ROWS = 200
-PROBE_SHARE = 0.25
+LIST_ROWS = 100
+PROBE_SHARE = 0.65
+LEAST_PROBES = 4
 BLOCK = 2000
 COLUMNS = 16
 EPSILON = 2.1
@@ -56,23 +57,27 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.argpartition(d, min(n, d.shape[1]) - 1, axis=1)[:, :n]
 
 
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
+
+
 def scan(q: np.ndarray, x: np.ndarray, q_raw: np.ndarray, x_raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of the k best candidates of each query in one list."""
     dim = x.shape[1]
-    # the first candidates are scanned whole: they give each query a k-th best distance to test against
-    head = min(len(x), 2 * k)
-    d = ((q[:, None, :] - x[None, :head]) ** 2).sum(2)
+    # the first candidates are measured whole: they give each query a k-th best distance to test against
+    head = min(len(x), 12 * k)
+    d = distances(q, x[:head])
     bound = np.partition(d, k - 1, axis=1)[:, k - 1] if head >= k else np.full(len(q), np.inf)
-    i, j = np.nonzero(np.ones((len(q), len(x) - head), bool))
-    j += head
-    part = np.zeros(len(i))
+    rows, part, alive = np.arange(len(x)), np.zeros((len(q), len(x))), np.ones((len(q), len(x)), bool)
     for a in range(0, dim, COLUMNS):
         b = min(dim, a + COLUMNS)
-        part += ((q[i, a:b] - x[j, a:b]) ** 2).sum(1)
-        ok = part <= bound[i] * (b / dim) * (1 + (EPSILON / np.sqrt(b) if b < dim else 1e-9)) ** 2
-        i, j, part = i[ok], j[ok], part[ok]
-    i = np.concatenate([np.repeat(np.arange(len(q)), head), i])
-    j = np.concatenate([np.tile(np.arange(head), len(q)), j])
+        part += distances(q[:, a:b], x[rows, a:b])
+        alive &= part <= (bound * (b / dim) * (1 + (EPSILON / np.sqrt(b) if b < dim else 1e-6)) ** 2)[:, None]
+        # a candidate that no query of this chunk wants any more is not read further
+        wanted = alive.any(0)
+        rows, part, alive = rows[wanted], part[:, wanted], alive[:, wanted]
+    i, j = np.nonzero(alive)
+    j = rows[j]
     score = np.einsum("ij,ij->i", q_raw[i], x_raw[j])
     order = np.lexsort((j, -score, i))
     i, j, score = i[order], j[order], score[order]
@@ -119,7 +124,7 @@ def search(vectors: DataFrame, id_column: str, vector: str, is_query: Column, k:
         return np.column_stack([x, extra]) @ turn
 
     centre = centroids(lifted(picked, False), int(min(MAX_LISTS, max(1, about["n"] // LIST_ROWS))))
-    probes = max(1, min(len(centre), round(len(centre) * probe_share)))
+    probes = min(len(centre), max(LEAST_PROBES, round(len(centre) * probe_share)))
     shared = spark.sparkContext.broadcast(centre)
 
     def matrix(column: pa.Array) -> np.ndarray:
