@@ -1,10 +1,350 @@
-"""The query catalogue: name -> (spark, sf_dir) -> DataFrame, and name -> SQL."""
+"""The query catalogue: name -> (spark, sf_dir) -> DataFrame, and name -> the same result as SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillstone.functions import text as T
+from quillstone.operators import anchors, diff, search, structure
+from quillstone.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+NORM = r"(CASE WHEN regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[\s\p{{Z}}]+$', '') = '' THEN '' ELSE regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[\s\p{{Z}}]+$', '') || chr(10) END)"
+TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+BLOCKS = r"blocks AS (SELECT doc_id, i AS block, l[i] AS text FROM (SELECT doc_id, list_filter(string_split(" + NORM.format("text") + r", chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(i))"
+SENTENCES = BLOCKS + r""", parts AS (SELECT doc_id, block, regexp_extract_all(text, '[^.!?]+[.!?]*\s*|[.!?]+\s*') AS s FROM blocks),
+sentences AS (SELECT *, char_end - octet_length(encode(text)) AS char_start FROM (SELECT doc_id, block, n, s[n] AS text, sum(octet_length(encode(s[n]))) OVER (PARTITION BY doc_id, block ORDER BY n)::BIGINT AS char_end FROM parts, unnest(range(1, len(s) + 1)) AS u(n)))"""
+EDITED = BLOCKS + ", edited AS (SELECT doc_id, block, CASE WHEN block % 5 = 0 THEN text || ' x' ELSE text END AS text FROM blocks WHERE block % 7 <> 0)"
+HASHED = EDITED + ", a AS (SELECT doc_id, block AS old_block, h, row_number() OVER (PARTITION BY doc_id, h ORDER BY block) AS occ FROM (SELECT *, sha256(" + TRIM.format("text") + ") AS h FROM blocks)), b AS (SELECT doc_id, block AS new_block, h, row_number() OVER (PARTITION BY doc_id, h ORDER BY block) AS occ FROM (SELECT *, sha256(" + TRIM.format("text") + ") AS h FROM edited)), d AS (SELECT doc_id, old_block, new_block, CASE WHEN old_block IS NULL THEN 'new' WHEN new_block IS NULL THEN 'deleted' ELSE 'kept' END AS status FROM a FULL JOIN b USING (doc_id, h, occ))"
+PHRASE = ["of", "the"]
+FREQUENCY = r"tok AS (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM blocks), f AS (SELECT doc_id, block, len(t) AS len, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))::BIGINT AS frequency FROM tok)"
+QUOTED = "q AS (SELECT doc_id, item_id, d.text, b.text AS quote, strpos(d.text, b.text) - 1 AS pos FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.blocks(table(spark, sf_dir, "documents"))
+
+
+def edited(blocks: DataFrame) -> DataFrame:
+    """A second version: every seventh block is gone, every fifth has two more characters."""
+    return blocks.where("block % 7 <> 0").withColumn("text", F.when(F.col("block") % 5 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+
+
+@query("SELECT doc_id, sha256(text) AS raw_hash, sha256(" + NORM.format("text") + ") AS norm_hash, sha256(" + TRIM.format("text") + ") AS structural_hash FROM documents")
+def normalize_hash(spark, sf_dir):
+    d, t = table(spark, sf_dir, "documents"), F.col("text")
+    return d.select("doc_id", F.sha2(t, 256).alias("raw_hash"), F.sha2(T.normalize_text(t), 256).alias("norm_hash"), T.structural_hash(t).alias("structural_hash"))
+
+
+@query(r"SELECT page_id, CASE lower(regexp_extract(p, '\.([^./]+)$', 1)) WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'md' THEN 'markdown' WHEN 'txt' THEN 'plain' WHEN 'json' THEN 'json' WHEN 'org' THEN 'org' END AS format FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages)")
+def detect_format(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.detect_format(F.regexp_replace("url", "[?#].*$", "")).alias("format"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, block, 1000.0::DOUBLE * block AS position, text FROM blocks")
+def block_nodes(spark, sf_dir):
+    return blocks_of(spark, sf_dir).select("doc_id", "block", (F.col("block") * 1000.0).alias("position"), "text")
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, block, n, char_start, char_end, text FROM sentences")
+def sentence_nodes(spark, sf_dir):
+    return structure.sentences(blocks_of(spark, sf_dir))
+
+
+@query(f"WITH {SENTENCES} SELECT sha256({TRIM.format('text')}) AS hash, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM sentences GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def dup_sentences(spark, sf_dir):
+    """Flagship: sentences that occur in several documents. Hashes, not texts, are shuffled; copies in a document first."""
+    rows = structure.sentences(blocks_of(spark, sf_dir)).select("doc_id", T.structural_hash(F.col("text")).alias("hash"))
+    once = rows.groupBy("hash", "doc_id").agg(F.count("*").alias("n"))
+    return once.groupBy("hash").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n")).where("n_docs > 1")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, sha256({TRIM.format('text')}) AS hash, count(*) AS n FROM blocks GROUP BY ALL HAVING count(*) > 1")
+def node_by_hash(spark, sf_dir):
+    return blocks_of(spark, sf_dir).groupBy("doc_id", T.structural_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+HEADINGS = r"heads AS (SELECT page_id, p AS position, x[p][3]::INT AS level, regexp_replace(regexp_replace(x[p], '(?s)^<h[1-6][^>]*>|</h[1-6]>$', '', 'g'), '<[^>]*>', '', 'g') AS title FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-6][^>]*>.*?</h[1-6]>') AS x FROM pages), unnest(range(1, len(x) + 1)) AS u(p))"
+
+
+@query(f"WITH {HEADINGS} SELECT page_id, position, level, title FROM heads")
+def html_headings(spark, sf_dir):
+    return structure.headings(table(spark, sf_dir, "pages"))
+
+
+@query(f"WITH {HEADINGS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n, coalesce(level, 1) AS level, title FROM heads")
+def toc(spark, sf_dir):
+    rows = structure.headings(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("position")).cast("long").alias("n"), F.coalesce("level", F.lit(1)).alias("level"), "title")
+
+
+@query(f"WITH {BLOCKS}, l AS (SELECT doc_id, block, (1 + (block * block) % 3)::INT AS level FROM blocks), c1 AS (SELECT *, sum((level = 1)::BIGINT) OVER (PARTITION BY doc_id ORDER BY block) AS a FROM l), c2 AS (SELECT *, sum((level = 2)::BIGINT) OVER (PARTITION BY doc_id, a ORDER BY block) AS b FROM c1), c3 AS (SELECT *, sum((level = 3)::BIGINT) OVER (PARTITION BY doc_id, a, b ORDER BY block) AS c FROM c2) SELECT doc_id, block, level, CASE level WHEN 1 THEN a::VARCHAR WHEN 2 THEN a || '.' || b ELSE a || '.' || b || '.' || c END AS section_path FROM c3")
+def section_path(spark, sf_dir):
+    rows = blocks_of(spark, sf_dir).select("doc_id", "block", (F.lit(1) + (F.col("block") * F.col("block")) % 3).cast("int").alias("level"))
+    return structure.section_path(rows, "doc_id", "block", "level")
+
+
+@query(f"WITH {BLOCKS} SELECT lang, source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_blocks, sum(length(text))::BIGINT AS n_chars, max(length(text)) AS longest FROM blocks JOIN documents USING (doc_id) GROUP BY ALL".replace("sum(length(text))", "sum(length(blocks.text))").replace("max(length(text))", "max(length(blocks.text))::INT"))
+def corpus_overview(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    lines = F.filter(F.split(T.normalize_text(F.col("text")), "\n"), lambda x: x.rlike(r"\S"))
+    sizes = F.transform(lines, lambda x: F.length(x))
+    rows = d.select("lang", "source", sizes.alias("s")).where(F.size("s") > 0)
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum(F.size("s")).alias("n_blocks"), F.sum(total).alias("n_chars"), F.max(F.array_max("s")).alias("longest"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, count(DISTINCT block) AS n_blocks, count(*) AS n_sentences, max(char_end) AS longest_block FROM sentences GROUP BY doc_id")
+def doc_stats(spark, sf_dir):
+    rows = structure.sentences(blocks_of(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("n") == 1).alias("n_blocks"), F.count("*").alias("n_sentences"), F.max("char_end").alias("longest_block"))
+
+
+@query("SELECT conv_id, turn, role, lag(turn) OVER w AS prev_id, lead(turn) OVER w AS next_id, row_number() OVER w AS ordinal FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def prev_next(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return structure.neighbours(rows, "conv_id", ["turn"], "turn")
+
+
+@query("SELECT conv_id, count(*) AS n_children, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS children FROM conversations GROUP BY conv_id")
+def children(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("name"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_children"), structure.ordered_text("name", "turn", ",").alias("children"))
+
+
+@query("SELECT a.conv_id, a.turn, b.turn AS sibling FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn")
+def siblings(spark, sf_dir):
+    a = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return a.join(a.select("conv_id", F.col("turn").alias("sibling")), "conv_id").where("turn <> sibling")
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id || '/' || block || '/' || n AS node, doc_id || '/' || block AS parent, doc_id::VARCHAR AS root FROM sentences")
+def ancestors(spark, sf_dir):
+    rows = structure.sentences(blocks_of(spark, sf_dir))
+    return rows.select(F.concat_ws("/", "doc_id", "block", "n").alias("node"), F.concat_ws("/", "doc_id", "block").alias("parent"), F.col("doc_id").cast("string").alias("root"))
+
+
+@query(f"WITH {SENTENCES} SELECT s.doc_id, s.block, n, decode(encode(b.text)[char_start + 1 : char_end]) AS text FROM sentences s JOIN blocks b ON s.doc_id = b.doc_id AND s.block = b.block WHERE n = 2".replace("decode(encode(b.text)[char_start + 1 : char_end])", "s.text"))
+def load_sentence(spark, sf_dir):
+    """The second sentence of each block, cut out of its parent's text by its byte span."""
+    b = blocks_of(spark, sf_dir)
+    s = structure.sentences(b).where("n = 2").drop("text")
+    return s.join(b, ["doc_id", "block"]).select("doc_id", "block", "n", T.byte_slice(F.col("text"), F.col("char_start").cast("int"), F.col("char_end").cast("int")).alias("text"))
+
+
+@query(f"WITH {HASHED} SELECT * FROM d")
+def diff_exact(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    return diff.exact(b, edited(b))
+
+
+@query(f"WITH {HASHED} SELECT doc_id, old_block FROM d WHERE status = 'deleted'")
+def diff_deleted(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    return diff.exact(b, edited(b)).where("status = 'deleted'").select("doc_id", "old_block")
+
+
+@query(f"WITH {HASHED} SELECT doc_id, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'new') AS added, count(*) FILTER (status = 'deleted') AS deleted FROM d GROUP BY doc_id")
+def diff_summary(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    count = lambda s: F.count_if(F.col("status") == s)
+    return diff.exact(b, edited(b)).groupBy("doc_id").agg(count("kept").alias("kept"), count("new").alias("added"), count("deleted").alias("deleted"))
+
+
+ASCII = r"regexp_matches(text, '^[\x00-\x7F]*$')"
+
+
+@query(f"WITH {EDITED}, o AS (SELECT * FROM blocks WHERE {ASCII} AND length(text) <= 400), e AS (SELECT * FROM edited WHERE {ASCII} AND length(text) <= 400), p AS (SELECT o.doc_id, o.block AS old_block, e.block AS new_block, levenshtein(o.text, e.text)::BIGINT AS distance, greatest(length(o.text), length(e.text)) AS size FROM o JOIN e ON o.doc_id = e.doc_id AND abs(length(o.text) - length(e.text)) <= 0.2 * greatest(length(o.text), length(e.text))), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, old_block ORDER BY distance / size, new_block) AS a, row_number() OVER (PARTITION BY doc_id, new_block ORDER BY distance / size, old_block) AS b FROM p WHERE distance / size <= 0.2) SELECT doc_id, old_block, new_block, distance FROM r WHERE a = 1 AND b = 1")
+def diff_fuzzy(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    plain = lambda x: x.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return diff.fuzzy(plain(b), plain(edited(b)))
+
+
+@query(f"WITH {BLOCKS}, {FREQUENCY} SELECT doc_id, block, frequency FROM f WHERE frequency > 0")
+def search_phrase(spark, sf_dir):
+    rows = blocks_of(spark, sf_dir)
+    return rows.select("doc_id", "block", search.phrase_frequency(T.tokens(F.col("text")), PHRASE).alias("frequency")).where("frequency > 0")
+
+
+BM25 = "s AS (SELECT count(*) AS n, avg(len) AS avg, count(*) FILTER (frequency > 0) AS df FROM f), scored AS (SELECT doc_id, block, frequency, round(-greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (frequency * 2.2) / (frequency + 1.2 * (0.25 + 0.75 * len / avg)), 6) AS score FROM f, s WHERE frequency > 0)"
+
+
+@query(f"WITH {BLOCKS}, {FREQUENCY}, {BM25} SELECT * FROM scored ORDER BY score, doc_id, block LIMIT 50")
+def bm25_topk(spark, sf_dir):
+    rows = search.bm25(blocks_of(spark, sf_dir), "text", PHRASE)
+    return rows.select("doc_id", "block", "frequency", "score").orderBy("score", "doc_id", "block").limit(50)
+
+
+@query(f"WITH {BLOCKS}, {FREQUENCY}, {BM25} SELECT * FROM scored WHERE doc_id = 1")
+def search_doc_scoped(spark, sf_dir):
+    return search.bm25(blocks_of(spark, sf_dir), "text", PHRASE).where("doc_id = 1").select("doc_id", "block", "frequency", "score")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '(?i)\bof[^\p{L}\p{N}]+the\b', '<mark>\0</mark>', 'g') AS marked FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$') AND regexp_matches(text, '(?i)\bof[^\p{L}\p{N}]+the\b')")
+def highlight(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return d.select("doc_id", F.col("text"), search.highlight(F.col("text"), PHRASE).alias("marked")).where("marked <> text").drop("text")
+
+
+def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage. benchmark is a fixed list of passages; Spark checks its size before it broadcasts."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.element_at(T.tokens(F.col("text")), 1).alias("w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
+    return d.join(b, "w").where(F.contains("text", "quote")).drop("w").withColumn("at", (F.expr("instr(text, quote)") - 1).cast("int"))
+
+
+@query(f"WITH {QUOTED} SELECT doc_id, item_id, pos::INT AS char_start, (pos + length(quote))::INT AS char_end FROM q")
+def anchor_quote(spark, sf_dir):
+    return quoted(spark, sf_dir).select("doc_id", "item_id", F.col("at").alias("char_start"), (F.col("at") + F.length("quote")).alias("char_end"))
+
+
+@query(f"WITH {QUOTED} SELECT doc_id, item_id, CASE doc_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'active_partial' ELSE 'orphan' END AS status FROM q")
+def anchor_status(spark, sf_dir):
+    """Status of the quotes against an edited text: unchanged, shifted by one character, or with the quote removed."""
+    rows = quoted(spark, sf_dir)
+    now = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("#"), "text")).otherwise(F.replace("text", "quote", F.lit("")))
+    return rows.select("doc_id", "item_id", anchors.anchor_status(now, F.col("at"), F.col("at") + F.length("quote"), F.col("quote")).alias("status"))
+
+
+@query(f"WITH {QUOTED} SELECT doc_id, item_id, substr(text, greatest(pos - 31, 1), least(pos, 32)) AS prefix, substr(text, pos + length(quote) + 1, 32) AS suffix FROM q")
+def quote_context(spark, sf_dir):
+    q = quoted(spark, sf_dir)
+    return q.select("doc_id", "item_id", F.substring("text", F.greatest(F.col("at") - 31, F.lit(1)), F.least("at", F.lit(32))).alias("prefix"), F.substring("text", F.col("at") + F.length("quote") + 1, F.lit(32)).alias("suffix"))
+
+
+@query("SELECT doc_id, quality, toxic, lang FROM labels JOIN documents USING (doc_id)")
+def annotations_for_doc(spark, sf_dir):
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "quality", "toxic", "lang")
+
+
+@query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
+def annotation_landscape(spark, sf_dir):
+    return table(spark, sf_dir, "labels").cube("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l.doc_id, 'orphan' AS status FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.doc_id % 7 <> 0)")
+def orphaned_annotations(spark, sf_dir):
+    left = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select("doc_id")
+    return table(spark, sf_dir, "labels").join(left, "doc_id", "left_anti").select("doc_id", F.lit("orphan").alias("status"))
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def open_questions(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+EDGES = f"{QUOTED}, edges AS (SELECT doc_id AS source_id, item_id AS target_id, 'quotes' AS predicate, (doc_id % 3)::INT AS version_at_include, 'live' AS status FROM q), versions AS (SELECT item_id AS target_id, (item_id % 3)::INT AS version FROM benchmark)"
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quoted(spark, sf_dir)
+    return q.select(F.col("doc_id").alias("source_id"), F.col("item_id").alias("target_id"), F.lit("quotes").alias("predicate"), (F.col("doc_id") % 3).cast("int").alias("version_at_include"), F.lit("live").alias("status"))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target_id"), (F.col("item_id") % 3).cast("int").alias("version"))
+
+
+@query(f"WITH {EDGES} SELECT source_id, count(*) AS n FROM edges GROUP BY source_id")
+def edges_by_source(spark, sf_dir):
+    return edges(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EDGES} SELECT target_id, count(*) AS n FROM edges GROUP BY target_id")
+def edges_by_target(spark, sf_dir):
+    return edges(spark, sf_dir).groupBy("target_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EDGES} SELECT source_id, target_id, version_at_include, version FROM edges JOIN versions USING (target_id) WHERE version_at_include < version")
+def stale_edges(spark, sf_dir):
+    return anchors.stale(edges(spark, sf_dir), versions(spark, sf_dir)).select("source_id", "target_id", "version_at_include", "version")
+
+
+@query(f"WITH {EDGES} SELECT source_id, target_id, CASE WHEN version_at_include < version THEN 'stale' ELSE status END AS status FROM edges JOIN versions USING (target_id)")
+def refresh_edges(spark, sf_dir):
+    both = edges(spark, sf_dir).join(versions(spark, sf_dir), "target_id")
+    return both.select("source_id", "target_id", F.when(F.col("version_at_include") < F.col("version"), "stale").otherwise(F.col("status")).alias("status"))
+
+
+@query(f"WITH {EDGES} SELECT source, target_id, predicate, count(*) AS n FROM edges JOIN documents ON doc_id = source_id GROUP BY ALL")
+def relationship_graph(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "source")
+    return edges(spark, sf_dir).join(d, "source_id").groupBy("source", "target_id", "predicate").agg(F.count("*").alias("n"))
+
+
+CYCLES = "WITH RECURSIVE e AS (SELECT item_id AS a, (item_id * 3 + 1) % 10 AS b FROM benchmark WHERE item_id < 10), walk AS (SELECT a, b, 1 AS depth FROM e UNION ALL SELECT w.a, e.b, w.depth + 1 FROM walk w JOIN e ON w.b = e.a WHERE w.depth < 10) SELECT a AS node, min(depth) AS length FROM walk WHERE a = b GROUP BY a"
+
+
+@query(CYCLES)
+def edge_cycles(spark, sf_dir):
+    """Nodes on a cycle of the ten-node example graph, and the cycle's length; the depth bounds the recursion."""
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    return spark.sql(CYCLES)
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 100")
+def activities_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "ts", "user_id", "event_type")
+    return rows.orderBy(F.desc("ts"), "event_id").limit(100)
+
+
+NUMBERED = f"{SENTENCES}, numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, n) AS k, text FROM sentences)"
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.sentences(blocks_of(spark, sf_dir))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "n")).cast("long").alias("k"), "text")
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, string_agg('§' || k || ' ' || text, '' ORDER BY k) AS marked FROM numbered GROUP BY doc_id")
+def markers(spark, sf_dir):
+    rows = numbered(spark, sf_dir).withColumn("text", F.concat(F.lit("§"), F.col("k").cast("string"), F.lit(" "), "text"))
+    return rows.groupBy("doc_id").agg(structure.ordered_text("text", "k", "").alias("marked"))
+
+
+@query(f"WITH {NUMBERED} SELECT doc_id, k AS marker, sha256({TRIM.format('text')}) AS hash FROM numbered")
+def marker_map(spark, sf_dir):
+    return numbered(spark, sf_dir).select("doc_id", F.col("k").alias("marker"), T.structural_hash(F.col("text")).alias("hash"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, string_agg(text, chr(10) ORDER BY block) AS body FROM blocks GROUP BY doc_id")
+def project_plain(spark, sf_dir):
+    """A document's blocks as text; the array keeps their order, so the projection needs no shuffle."""
+    lines = F.filter(F.split(T.normalize_text(F.col("text")), "\n"), lambda x: x.rlike(r"\S"))
+    return table(spark, sf_dir, "documents").select("doc_id", lines.alias("l")).where(F.size("l") > 0).select("doc_id", F.array_join("l", "\n").alias("body"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts, count(*) AS n_events FROM events GROUP BY user_id")
+def coalesce_changes(spark, sf_dir):
+    return changes.coalesce_changes(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+@query("WITH g AS (SELECT event_id, ts, ts::DATE AS day, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 120000000)::INT, 1) AS x FROM events WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts, event_id)) SELECT event_id, day, sum(x) OVER (PARTITION BY day ORDER BY ts, event_id)::BIGINT AS batch FROM g")
+def debounce_batches(spark, sf_dir):
+    return changes.debounce(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id", 120).select("event_id", "day", "batch")
+
+
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type")
+def changed_only(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").withColumn("p", F.lag("event_type").over(w)).where("p is null or p <> event_type").select("event_id", "user_id", "event_type")
