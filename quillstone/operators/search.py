@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +9,13 @@ from quillstone.functions import text as T
 
 
 def phrase_frequency(tokens: Column, phrase: list[str]) -> Column:
-    """Occurrences of consecutive tokens; evaluated in the scan, so a search needs no posting list and no join."""
-    starts = F.sequence(F.lit(0), F.size(tokens) - len(phrase))
-    hit = lambda i: reduce(lambda a, b: a & b, [F.get(tokens, i + k) == w for k, w in enumerate(phrase)])
-    return F.when(F.size(tokens) < len(phrase), F.lit(0)).otherwise(F.size(F.filter(starts, hit))).cast("long")
+    """Occurrences of consecutive tokens, overlapping ones included.
+
+    Each token gets a space of its own on either side, and a look-ahead counts where the phrase starts. This is evaluated
+    once for a row in the scan, so a search needs no posting list and no join.
+    """
+    padded = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+    return F.regexp_count(padded, F.lit("(?= " + "  ".join(phrase) + " )")).cast("long")
 
 
 def bm25(nodes: DataFrame, text: str, phrase: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
