@@ -6,7 +6,7 @@ paragraphs are set apart by an empty line; list items are marked and indented by
 are padded to one width; white space collapses but in pre.
 
 Defined cases: a null page is the empty text; broken markup never fails (an unclosed tag ends at the next `<`); equal
-pages give equal texts; other columns of the input are ignored. Scanning takes time linear in the page.
+pages give equal texts; other columns of the input are ignored. Scanning takes time linear in the page; closing looks through the open elements.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from quillstone.llm.common import bound_batches
 TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>?|<[!?/][^<>]*>?|[^<]+|<""")
 #: Fixed values of HTML: elements by what they do to layout, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math select datalist audio video canvas textarea".split())
+UNSEEN = frozenset("head title script style template noscript iframe object svg math select datalist audio video canvas textarea".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
@@ -61,14 +61,15 @@ class Page:
             self.lines.append("")
 
     def start(self, name: str, attributes: str) -> None:
-        if self.unseen is not None:
-            if name not in VOID:
-                self.open.append(name)
-            return
+        # an element that the page leaves open is closed whether it is shown or not
         if name in BLOCKS and "p" in self.open:
             self.close(("p",), ("table", "td", "th"))
         if name in CLOSES:
             self.close(CLOSES[name], LIMITS.get(name, ()))
+        if self.unseen is not None:
+            if name not in VOID:
+                self.open.append(name)
+            return
         if name == "br":
             if self.pre:
                 self.line.append("\n")
@@ -193,8 +194,6 @@ def render(page: str) -> str:
                 close = low.find(f"</{name}", at)
                 if close < 0:
                     close = n
-                if name == "title" or name == "noscript":
-                    out.text(page[at:close])
                 at = close
         elif m[0] == "<!--":
             close = page.find("-->", at)
