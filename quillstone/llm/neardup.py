@@ -29,8 +29,8 @@ from quillstone.llm.shingles import mixed, shingle_sets
 
 WIDTH = 5
 THRESHOLD = 0.8
-TARGET_RECALL = 0.995
-TREES = 20
+TARGET_RECALL = 0.9999
+TREES = 32
 MAX_DEPTH = 10
 #: Members of one block of a large subtree.
 BLOCK = 512

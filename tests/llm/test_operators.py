@@ -93,7 +93,9 @@ def test_plan_places_each_piece_once(seed):
     runs = packing.plan(counts, 100)
     assert (np.bincount(runs[:, 0], runs[:, 2] * runs[:, 5], 101) == counts).all()
     used = len({s for x in runs for s in range(x[3], x[3] + x[5])})
-    assert used <= -(-int((counts * np.arange(101)).sum()) // 100) + 3
+    # no packing has fewer sequences than the tokens fill, or than there are pieces of over half a sequence
+    least = max(-(-int((counts * np.arange(101)).sum()) // 100), int(counts[51:].sum()))
+    assert used <= 1.07 * least + 3
 
 
 def test_jaccard_join(spark):
