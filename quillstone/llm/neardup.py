@@ -76,7 +76,7 @@ def sketches(documents: DataFrame, text: str, doc_id: str, depth: int) -> DataFr
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(sketch, "doc_id long, k1 long, k2 long, n long, p array<long>")
 
 
-def linked_within(reps: np.ndarray, block: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], kept: np.ndarray, tree: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def linked_within(reps: np.ndarray, block: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], kept: np.ndarray, tree: int, one_block: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links and root of each member of one task's group; a root is the smallest linked id known here."""
     n = len(reps)
     length = np.array([len(s) for s in sets])
@@ -99,7 +99,7 @@ def linked_within(reps: np.ndarray, block: np.ndarray, sizes: np.ndarray, sets:
         i, j = np.nonzero(np.triu(shared >= threshold * (length[:, None] + length[None, :] - shared) - 1e-3, 1))
     # candidates that are in order, from the two blocks if there are two, and whose first common subtree is this one
     both = (kept[i] == kept[j]) & (kept[i] != 0)
-    ok = both.any(1) & (both.argmax(1) == tree) & ((block[i] != block[j]) | (block.min() == block.max())) & (np.minimum(length[i], length[j]) >= threshold * np.maximum(length[i], length[j]))
+    ok = both.any(1) & (both.argmax(1) == tree) & ((block[i] != block[j]) | one_block) & (np.minimum(length[i], length[j]) >= threshold * np.maximum(length[i], length[j]))
     links, root = np.zeros(n, np.int64), np.arange(n)
     for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
         common = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if n <= 12 else int(shared[a, b])
@@ -129,7 +129,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             return None
         sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
         reps = np.array([r["rep"] for r in rows])
-        links, root = linked_within(reps, np.array([r["block"] for r in rows]), np.array([r["size"] for r in rows]), sets, np.array([r["kept"] for r in rows]), rows[0]["tree"], threshold)
+        links, root = linked_within(reps, np.array([r["block"] for r in rows]), np.array([r["size"] for r in rows]), sets, np.array([r["kept"] for r in rows]), rows[0]["tree"], rows[0]["b1"] == rows[0]["b2"], threshold)
         got = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays([pa.array(reps[got]), pa.array(links[got]), pa.array(root[got])], ["rep", "links", "root"]) if len(got) else None
 
