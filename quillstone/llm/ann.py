@@ -2,9 +2,10 @@
 
 Vectors get one more coordinate that makes all norms equal, so that the largest inner product is the smallest distance,
 and are rotated at random. Lists come from k-means on at most `SAMPLE` vectors; every vector is in a list. Within a
-probed list, distances grow by column blocks, and a candidate is abandoned once its partial distance passes a hypothesis
-test against the distance of the k-th best so far. Survivors are scored exactly, in double precision, on the original
-vectors.
+probed list, distances grow by column blocks, and a candidate is abandoned once its partial distance fails a hypothesis
+test: that it belongs with the query's SLACK * (k + 1) nearest sampled vectors, whose partial distances give the test's
+mean and deviation after each block. So the test follows each query's own share of the columns.
+Survivors are scored exactly, in double precision, on the original vectors, and cut to the best before ids are joined.
 
 Equal vectors are one entry with their smallest `k + 1` ids, which is all that a result can show; so neither a very
 common vector nor its queries are scanned twice. Long lists are scanned in blocks. Centroids are at most `MAX_LISTS`.
@@ -31,8 +32,11 @@ LIST_ROWS = 100
 PROBE_SHARE = 0.65
 LEAST_PROBES = 4
 BLOCK = 2000
+CHUNK = 256
+SLACK = 4
 COLUMNS = 16
-EPSILON = 2.1
+#: Deviations above the mean from which a candidate is abandoned.
+EPSILON = 3.0
 SEED = 20
 
 
@@ -54,25 +58,34 @@ def centroids(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
 
 def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     d = (c**2).sum(1) - 2 * x @ c.T
-    return np.argpartition(d, min(n, d.shape[1]) - 1, axis=1)[:, :n]
+    own = np.argpartition(d, min(n, d.shape[1]) - 1, axis=1)[:, :n]
+    return np.take_along_axis(own, np.argsort(np.take_along_axis(d, own, 1), axis=1), 1)
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
 
 
-def scan(q: np.ndarray, x: np.ndarray, q_raw: np.ndarray, x_raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_bounds(q: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """For each query and column block, the partial distance beyond which a candidate goes; infinite for a small sample."""
+    ends = [*range(COLUMNS, q.shape[1], COLUMNS), q.shape[1]]
+    if len(sample) < k:
+        return np.full((len(q), len(ends)), np.inf)
+    near = sample[np.argpartition(distances(q, sample), k - 1, axis=1)[:, :k]]
+    part = np.cumsum((near - q[:, None]) ** 2, axis=2)[:, :, [e - 1 for e in ends]]
+    bounds = np.maximum(part.max(1), part.mean(1) + EPSILON * part.std(1))
+    bounds[:, -1] = part[:, :, -1].max(1)
+    return bounds * (1 + 1e-6)
+
+
+def scan(q: np.ndarray, x: np.ndarray, q_raw: np.ndarray, x_raw: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of the k best candidates of each query in one list."""
     dim = x.shape[1]
-    # the first candidates are measured whole: they give each query a k-th best distance to test against
-    head = min(len(x), 12 * k)
-    d = distances(q, x[:head])
-    bound = np.partition(d, k - 1, axis=1)[:, k - 1] if head >= k else np.full(len(q), np.inf)
     rows, part, alive = np.arange(len(x)), np.zeros((len(q), len(x))), np.ones((len(q), len(x)), bool)
-    for a in range(0, dim, COLUMNS):
+    for n, a in enumerate(range(0, dim, COLUMNS)):
         b = min(dim, a + COLUMNS)
         part += distances(q[:, a:b], x[rows, a:b])
-        alive &= part <= (bound * (b / dim) * (1 + (EPSILON / np.sqrt(b) if b < dim else 1e-6)) ** 2)[:, None]
+        alive &= part <= bounds[:, n, None]
         # a candidate that no query of this chunk wants any more is not read further
         wanted = alive.any(0)
         rows, part, alive = rows[wanted], part[:, wanted], alive[:, wanted]
@@ -120,53 +133,64 @@ def search(vectors: DataFrame, id_column: str, vector: str, is_query: Column, k:
     turn = rotation(dim + 1)
 
     def lifted(x: np.ndarray, query: bool) -> np.ndarray:
-        extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, top - (x**2).sum(1)))
+        # a query's length does not change its order of candidates; at the common norm, lists are ranked by direction
+        square = (x**2).sum(1)
+        if query:
+            x = x * np.sqrt(top / square)[:, None]
+        extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, top - square))
         return np.column_stack([x, extra]) @ turn
 
     centre = centroids(lifted(picked, False), int(min(MAX_LISTS, max(1, about["n"] // LIST_ROWS))))
     probes = min(len(centre), max(LEAST_PROBES, round(len(centre) * probe_share)))
-    shared = spark.sparkContext.broadcast(centre)
+    shared = spark.sparkContext.broadcast((centre, lifted(picked, False)))
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
     def assign(query: bool):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lists, sample = shared.value
             for b in batches:
-                if b.num_rows:
-                    lists = nearest(lifted(matrix(b.column(2)), query), shared.value, probes if query else 1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["h1", "h2", "v", "l"])
+                for at in range(0, b.num_rows, CHUNK):
+                    part = b.slice(at, CHUNK)
+                    x = lifted(matrix(part.column(3)), query)
+                    own = nearest(x, lists, probes if query else 1)
+                    bounds = block_bounds(x, sample, SLACK * (k + 1)) if query else np.zeros((len(x), 1))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.tolist(), pa.list_(pa.int32())), pa.array(bounds.tolist(), pa.list_(pa.float64()))], ["h1", "h2", "own", "v", "l", "w"])
 
         return run
 
-    lists = "h1 long, h2 long, v array<double>, l array<int>"
-    entries = shared_table(unique.select("h1", "h2", "v").mapInArrow(assign(False), lists).select("h1", "h2", "v", F.explode("l").alias("l")), "entries")
+    schema_of_lists = "h1 long, h2 long, own long, v array<double>, l array<int>, w array<double>"
+    known = unique.select("h1", "h2", F.col("ids")[0].alias("own"), "v")
+    entries = shared_table(known.mapInArrow(assign(False), schema_of_lists).select("h1", "h2", "own", "v", F.explode("l").alias("l")), "entries")
     blocks = shared_table(entries.groupBy("l").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "blocks")
-    entries = entries.join(F.broadcast(blocks), "l").select("l", "h1", "h2", "v", F.expr("cast(pmod(xxhash64(h1), nb) as int) as b"))
-    asked = unique.join(rows.where("q").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    asked = asked.select("h1", "h2", "v").mapInArrow(assign(True), lists).select("h1", "h2", "v", F.explode("l").alias("l"))
-    asked = asked.join(F.broadcast(blocks), "l").select("l", "h1", "h2", "v", F.expr("explode(sequence(0, nb - 1)) as b"))
+    entries = entries.join(F.broadcast(blocks), "l").select("l", "h1", "h2", "own", "v", F.expr("cast(pmod(xxhash64(h1), nb) as int) as b"))
+    asked = known.join(rows.where("q").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    asked = asked.mapInArrow(assign(True), schema_of_lists).select("h1", "h2", "v", "w", F.posexplode("l").alias("p", "l"))
+    # the nearest lists are measured whole, so that no query is left with fewer than k where its sampled neighbours are elsewhere
+    asked = asked.withColumn("w", F.when(F.col("p") >= LEAST_PROBES, F.col("w")))
+    asked = asked.join(F.broadcast(blocks), "l").select("l", "h1", "h2", "v", "w", F.expr("explode(sequence(0, nb - 1)) as b"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["q1", "q2", "h1", "h2", "score"]
+        names = ["q1", "q2", "h1", "h2", "own", "score"]
+        whole = [np.inf] * -(-(dim + 1) // COLUMNS)
         out = []
         if left.num_rows and right.num_rows:
             x_raw = matrix(right["v"].combine_chunks())
-            x, h = lifted(x_raw, False), [right[c].to_numpy() for c in ("h1", "h2")]
-            order = np.lexsort((h[1], h[0]))
+            x, h = lifted(x_raw, False), [right[c].to_numpy() for c in ("h1", "h2", "own")]
+            order = np.argsort(h[2])
             x, x_raw, h = x[order], x_raw[order], [c[order] for c in h]
-            for at in range(0, left.num_rows, 128):
-                part = left.slice(at, 128)
+            for at in range(0, left.num_rows, CHUNK):
+                part = left.slice(at, CHUNK)
                 q_raw = matrix(part["v"].combine_chunks())
-                i, j, score = scan(lifted(q_raw, True), x, q_raw, x_raw, k + 1)
-                out.append(pa.table([part["h1"].to_numpy()[i], part["h2"].to_numpy()[i], h[0][j], h[1][j], score], names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.float64())], names)
-
-    near = asked.groupBy("l", "b").cogroup(entries.groupBy("l", "b")).applyInArrow(compare, "q1 long, q2 long, h1 long, h2 long, score double")
-    # equal scores of different vectors must not hide a smaller id: order by it before cutting
-    named = near.join(unique.select("h1", "h2", "ids"), ["h1", "h2"])
-    best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0])
-    cut = named.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+                i, j, score = scan(lifted(q_raw, True), x, q_raw, x_raw, np.array([w or whole for w in part["w"].to_pylist()]), k + 1)
+                out.append(pa.table([part["h1"].to_numpy()[i], part["h2"].to_numpy()[i], h[0][j], h[1][j], h[2][j], score], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 5 + [pa.array([], pa.float64())], names)
+
+    near = asked.groupBy("l", "b").cogroup(entries.groupBy("l", "b")).applyInArrow(compare, "q1 long, q2 long, h1 long, h2 long, own long, score double")
+    # an entry's smallest id breaks ties, so that equal scores of different vectors do not hide a smaller id
+    best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "own")
+    cut = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).join(unique.select("h1", "h2", "ids"), ["h1", "h2"])
     flat = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))
     found = cut.groupBy(F.col("q1").alias("h1"), F.col("q2").alias("h2")).agg(F.slice(F.array_sort(flat), 1, k + 1).alias("a"))
     asked_ids = rows.where("q").select("id", "h1", "h2").join(found, ["h1", "h2"])
