@@ -1,9 +1,13 @@
-"""Node diff between two versions: equal hashes first, one to one by occurrence, then bounded edit distance."""
+"""Node diff between two versions: equal hashes first, one to one by occurrence, then edit distance."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.functions import text as T
 
@@ -22,16 +26,51 @@ def exact(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "hash", "occ"], "full").select("doc_id", "old_block", "new_block", status.alias("status"))
 
 
-def fuzzy(old: DataFrame, new: DataFrame, threshold: float = 0.2, longest: int = 400) -> DataFrame:
-    """Mutual best matches of what is left on either side: doc_id, old_block, new_block, distance.
+def left_over(old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, block, text and is_new of the nodes that exact() leaves without a partner; texts are shuffled once, by document."""
+    rows = [x.select("doc_id", "block", "text", F.lit(k).alias("is_new")) for k, x in enumerate((old, new))]
+    rows = rows[0].unionByName(rows[1]).repartition("doc_id").withColumn("hash", T.structural_hash(F.col("text")))
+    occ = F.row_number().over(Window.partitionBy("doc_id", "hash", "is_new").orderBy("block"))
+    partners = F.count("*").over(Window.partitionBy("doc_id", "hash", "occ"))
+    return rows.withColumn("occ", occ).withColumn("partners", partners).where("partners = 1").select("doc_id", "block", "text", "is_new")
+
+
+def bounded_distance(a: str, b: str, bound: Column) -> Column:
+    """Edit distance in characters up to a bound, -1 above it. Narrow bands come first, as most edits are small; each is exact."""
+    tries = [F.call_function("levenshtein", F.col(a), F.col(b), x) for x in (F.least(F.lit(4), bound), F.least(F.lit(32), bound), bound)]
+    return F.coalesce(*(F.nullif(x, F.lit(-1)) for x in tries), F.lit(-1))
+
+
+def best_first(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs that are taken, from pairs sorted by doc_id, ratio, old_block and new_block: a pair is taken if both nodes are free."""
+    doc, olds, news = None, set(), set()
+    for batch in batches:
+        taken = []
+        for k, (d, ratio, o, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ratio", "old_block", "new_block")), strict=True)):
+            if d != doc:
+                doc, olds, news = d, set(), set()
+            if ratio is not None and ratio <= threshold and o not in olds and n not in news:
+                olds.add(o)
+                news.add(n)
+                taken.append(k)
+        yield batch.take(pa.array(taken, pa.int64())).select(["doc_id", "old_block", "new_block", "distance"])
+
+
+def fuzzy(old: DataFrame, new: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Matches of what exact() leaves on either side, whatever its length or script: doc_id, old_block, new_block, distance.
 
-    Lengths bound the edit distance from below, so the band is checked before the distance is computed.
+    A match is a mutual best pair by ratio, then block; rounds of mutual bests on what is left are repeated until none is
+    added. A document's pairs taken best first are the same pairs: the first one left is always a mutual best, and taking
+    one changes no other. Lengths in characters bound the edit distance from below, so the band is checked first.
     """
-    a = old.where(F.octet_length("text") <= longest).select("doc_id", F.col("block").alias("old_block"), F.col("text").alias("old_text"))
-    b = new.where(F.octet_length("text") <= longest).select("doc_id", F.col("block").alias("new_block"), F.col("text").alias("new_text"))
+    rest = left_over(old, new)
+    a = rest.where("is_new = 0").select("doc_id", F.col("block").alias("old_block"), F.col("text").alias("old_text"))
+    b = rest.where("is_new = 1").select("doc_id", F.col("block").alias("new_block"), F.col("text").alias("new_text"))
     size = F.greatest(F.octet_length("old_text"), F.octet_length("new_text"))
-    near = a.join(b, "doc_id").where(F.abs(F.octet_length("old_text") - F.octet_length("new_text")) <= size * threshold)
-    near = near.withColumn("distance", F.levenshtein("old_text", "new_text").cast("long")).withColumn("ratio", F.col("distance") / size).where(F.col("ratio") <= threshold)
-    best = lambda side, other: F.row_number().over(Window.partitionBy("doc_id", side).orderBy("ratio", other))
-    near = near.withColumns({"__a": best("old_block", "new_block"), "__b": best("new_block", "old_block")})
-    return near.where("__a = 1 and __b = 1").select("doc_id", "old_block", "new_block", "distance")
+    near = a.join(b, "doc_id").where(F.abs(F.length("old_text") - F.length("new_text")) <= size * threshold)
+    # one more than the threshold allows, so that rounding loses no pair; the ratio decides
+    distance = bounded_distance("old_text", "new_text", F.floor(size * threshold).cast("int") + 1)
+    near = near.select("doc_id", "old_block", "new_block", distance.cast("long").alias("distance"), size.alias("size")).repartition("doc_id")
+    near = near.withColumn("ratio", F.when(F.col("distance") >= 0, F.col("distance") / F.col("size"))).sortWithinPartitions("doc_id", "ratio", "old_block", "new_block")
+    schema = StructType([f for f in near.schema.fields if f.name in ("doc_id", "old_block", "new_block", "distance")])
+    return near.mapInArrow(lambda batches: best_first(batches, threshold), schema)

@@ -175,8 +175,7 @@ ASCII = r"regexp_matches(text, '^[\x00-\x7F]*$')"
 @query(f"WITH {EDITED}, o AS (SELECT * FROM blocks WHERE {ASCII} AND length(text) <= 400), e AS (SELECT * FROM edited WHERE {ASCII} AND length(text) <= 400), p AS (SELECT o.doc_id, o.block AS old_block, e.block AS new_block, levenshtein(o.text, e.text)::BIGINT AS distance, greatest(length(o.text), length(e.text)) AS size FROM o JOIN e ON o.doc_id = e.doc_id AND abs(length(o.text) - length(e.text)) <= 0.2 * greatest(length(o.text), length(e.text))), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, old_block ORDER BY distance / size, new_block) AS a, row_number() OVER (PARTITION BY doc_id, new_block ORDER BY distance / size, old_block) AS b FROM p WHERE distance / size <= 0.2) SELECT doc_id, old_block, new_block, distance FROM r WHERE a = 1 AND b = 1")
 def diff_fuzzy(spark, sf_dir):
     b = blocks_of(spark, sf_dir)
-    plain = lambda x: x.where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return diff.fuzzy(plain(b), plain(edited(b)))
+    return diff.fuzzy(b, edited(b))
 
 
 @query(f"WITH {BLOCKS}, {FREQUENCY} SELECT doc_id, block, frequency FROM f WHERE frequency > 0")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -60,3 +62,43 @@ def test_anchor(spark):
     status = anchors.anchor_status(F.col("t"), F.lit(0), F.lit(2), F.col("q"))
     assert [one(spark, status, t=t, q="ab") for t in ("abc", "xab", "x")] == ["active", "active_partial", "orphan"]
     assert one(spark, anchors.occurrences(F.col("t"), F.col("q")), t="ab.ab.ab", q="ab") == [0, 3, 6]
+
+
+def test_fuzzy_diff_equals_rounds_of_mutual_bests(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def rounds(olds, news):
+        for k in list(olds):  # equal texts go one to one first
+            j = next((j for j in news if news[j] == olds[k]), None)
+            if j is not None:
+                del olds[k], news[j]
+        size = {(i, j): max(len(a.encode()), len(b.encode())) for i, a in olds.items() for j, b in news.items()}
+        pairs = {k: (d / z, d) for k, z in size.items() if (d := distance(olds[k[0]], news[k[1]])) / z <= 0.2}
+        out = set()
+        while pairs:
+            best = [p for p in pairs if p == min((q for q in pairs if q[0] == p[0]), key=lambda q: (pairs[q][0], q[1])) and p == min((q for q in pairs if q[1] == p[1]), key=lambda q: (pairs[q][0], q[0]))]
+            out |= {(*p, pairs[p][1]) for p in best}
+            pairs = {q: v for q, v in pairs.items() if not any(q[0] == p[0] or q[1] == p[1] for p in best)}
+        return out
+
+    r = random.Random(4)
+    old, new, want = [], [], set()
+    for d in range(12):
+        base = "".join(r.choice("aé日 x") for _ in range(r.choice((12, 30, 450))))
+        edit = lambda t: "".join(r.choice("bß本") if r.random() < 0.06 else c for c in t)
+        olds = {k: edit(base) for k in range(1, 6)}
+        news = {k: r.choice((edit(base), olds[k])) for k in range(1, 6)}
+        old += [(d, k, t) for k, t in olds.items()]
+        new += [(d, k, t) for k, t in news.items()]
+        want |= {(d, *x) for x in rounds(dict(olds), dict(news))}
+    nodes = lambda rows: spark.createDataFrame(rows, "doc_id long, block long, text string")
+    assert {tuple(x) for x in diff.fuzzy(nodes(old), nodes(new)).collect()} == want and len(want) > 12
+    # the second pair is best only once the first is gone, and a kept node takes no part
+    old, new = [(1, 1, "aaaaaaaaaa"), (1, 2, "aaaaaaaaab"), (1, 3, "zzzz")], [(1, 1, "aaaaaaaaac"), (1, 2, "aaaaaaaacc"), (1, 3, "zzzz")]
+    assert {tuple(x) for x in diff.fuzzy(nodes(old), nodes(new)).collect()} == {(1, 1, 1, 1), (1, 2, 2, 2)}
