@@ -1,7 +1,8 @@
 """Layout-aware text of HTML pages.
 
 A tag scanner feeds a tree builder that closes what HTML lets authors leave open (p, li, td, tr, option, ...). Elements
-that a browser does not show (head, script, template, `hidden`, display:none, ...) give no text. Blocks end lines, and
+that a browser does not show (head, script, template, `hidden`, display:none, ...) give no text; form controls and the
+texts of svg and math do, with every option of a select. Blocks end lines, and
 paragraphs are set apart by an empty line; list items are marked and indented by depth; the cells of a table's columns
 are padded to one width; white space collapses but in pre.
 
@@ -25,17 +26,42 @@ from quillstone.llm.common import bound_batches
 TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>?|<[!?/][^<>]*>?|[^<]+|<""")
 #: Fixed values of HTML: elements by what they do to layout, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object svg math select datalist audio video canvas textarea".split())
+UNSEEN = frozenset("head title script style template noscript iframe object datalist audio video canvas".split())
+#: Not shown inside of svg and math; elsewhere these are unknown names, whose text is shown.
+UNSEEN_FOREIGN = frozenset("desc defs metadata symbol marker pattern mask clippath annotation annotation-xml".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Lines of their own that do not end a paragraph.
+CONTROLS = frozenset("select option optgroup textarea".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 SCOPES = frozenset("table td th caption html body ul ol dl".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"), "body": ("head",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+MAYBE_HIDDEN = re.compile("hidden|none|collapse", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACES = re.compile(r"[ \t\r\n\f]+")
 
 
+def hidden(attributes: str, foreign: bool) -> bool:
+    """Whether an element is off screen by its own attributes: hidden, or display or visibility in its style. Names are parsed, values are not searched."""
+    if not MAYBE_HIDDEN.search(attributes):
+        return False
+    own: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        own.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in own or (foreign and own.get("display", "").strip().lower() == "none"):
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for declaration in own.get("style", "").lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, important, _ = value.partition("!")
+        if bool(important) >= style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = bool(important), value.strip()
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
 class Page:
     """Open elements and the lines so far. A table keeps its own rows until it is closed."""
 
@@ -61,6 +87,10 @@ class Page:
             self.lines.append("")
 
     def start(self, name: str, attributes: str) -> None:
+        if name == "head" and any(x != "html" for x in self.open):
+            return
+        if name not in HEAD and self.open and self.open[-1] == "head":
+            self.end_top()
         # an element that the page leaves open is closed whether it is shown or not
         if name in BLOCKS and "p" in self.open:
             self.close(("p",), ("table", "td", "th"))
@@ -82,10 +112,13 @@ class Page:
         if name in VOID:
             return
         self.open.append(name)
-        if name in UNSEEN or (attributes and HIDDEN.search(attributes)):
+        foreign = "svg" in self.open or "math" in self.open
+        if name in UNSEEN or (foreign and name in UNSEEN_FOREIGN) or (attributes and hidden(attributes, foreign)):
             self.unseen = len(self.open)
             return
-        if name in BLOCKS:
+        if name in CONTROLS or (name == "text" and foreign):
+            self.flush()
+        elif name in BLOCKS:
             self.flush(name in SPACED and not (name in ("ul", "ol", "dl") and self.lists))
         if name in ("ul", "menu", "dl"):
             self.lists.append(None)
@@ -97,7 +130,7 @@ class Page:
                 self.mark = f"{self.lists[-1]}. "
             else:
                 self.mark = "- "
-        elif name == "pre":
+        elif name in ("pre", "textarea"):
             self.pre += 1
         elif name == "table":
             self.tables.append(([], self.lines, [], self.lists))
@@ -107,6 +140,8 @@ class Page:
         elif name in ("td", "th") and self.tables:
             if not self.tables[-1][0]:
                 self.tables[-1][0].append([])
+            # what stands outside of the cells (a caption, text between rows) is shown above the rows
+            self.tables[-1][2].extend(x for x in self.lines if x)
             self.lines = []
 
     def close(self, names: tuple[str, ...], limits: tuple[str, ...]) -> None:
@@ -138,20 +173,22 @@ class Page:
             if len(self.open) < self.unseen:
                 self.unseen = None
             return
-        if name in BLOCKS:
+        if name in CONTROLS or (name == "text" and ("svg" in self.open or "math" in self.open)):
+            self.flush()
+        elif name in BLOCKS:
             self.flush(name in SPACED and not (name in ("ul", "ol", "dl") and len(self.lists) > 1))
         if name in ("ul", "ol", "menu", "dl") and self.lists:
             self.lists.pop()
         elif name == "li":
             self.mark = ""
-        elif name == "pre":
+        elif name in ("pre", "textarea"):
             self.pre = max(0, self.pre - 1)
         elif name in ("td", "th") and self.tables and self.tables[-1][0]:
             self.tables[-1][0][-1].append(" ".join(x.strip() for x in self.lines if x))
             self.lines = []
         elif name == "table" and self.tables:
-            rows, outer, _, lists = self.tables.pop()
-            loose, self.lines, self.lists = [x for x in self.lines if x], outer, lists
+            rows, outer, loose, lists = self.tables.pop()
+            loose, self.lines, self.lists = loose + [x for x in self.lines if x], outer, lists
             if self.lines and self.lines[-1] and rows:
                 self.lines.append("")
             self.lines += loose + aligned(rows)
@@ -159,6 +196,8 @@ class Page:
                 self.lines.append("")
 
     def text(self, data: str) -> None:
+        if self.open and self.open[-1] == "head" and data.strip(" \t\r\n\f"):
+            self.end_top()
         if self.unseen is None:
             self.line.append(html.unescape(data) if "&" in data else data)
 
@@ -187,13 +226,15 @@ def render(page: str) -> str:
                 out.end(name)
                 continue
             out.start(name, m[3])
-            if m[3].endswith("/") and name in ("svg", "math"):
+            if m[3].endswith("/") and ("svg" in out.open or "math" in out.open):
                 out.end(name)
             elif name in RAW:
                 low = low or page.lower()
                 close = low.find(f"</{name}", at)
                 if close < 0:
                     close = n
+                if name == "textarea":
+                    out.text(page[at:close].removeprefix("\n"))
                 at = close
         elif m[0] == "<!--":
             close = page.find("-->", at)

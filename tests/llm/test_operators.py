@@ -55,6 +55,23 @@ def test_html():
     assert htmltext.render("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_keeps_what_is_on_screen():
+    render = htmltext.render
+    assert render("<table><caption>T</caption><tr><td>a</table>") == "T\na"
+    assert render("<table><tr><td>a<td>b</tr>loose<tr><td>c</table>z") == "loose\na | b\nc\n\nz"
+    assert render("<table><tr><td>x<table><caption>in</caption><tr><td>y</table></table>") == "x in y"
+    assert render("<head><title>x</title><p>text") == "text" and render("<html><head><meta charset=a>\n<title>x</title>\n<b>t</b> u") == "t u"
+    assert render("<head><title>x</title>bare") == "bare" and render("<head><template><p>no</template></head><p>yes") == "yes"
+    assert render("<p>a<head>b") == "ab"
+    for shown in ('title="a hidden gem"', "alt='x hidden'", 'data-x="display:none"', "aria-hidden=true", 'class="hidden"', 'style="display:none;display:block"', "data-hidden"):
+        assert render(f"<p {shown}>x") == "x", shown
+    for off in ("hidden", 'hidden=""', "HIDDEN", 'a=b hidden class="x"', 'style="color:red; DISPLAY : none"', "style='visibility:hidden'", "style=display:none", 'style="display:none!important;display:block"'):
+        assert render(f"<p {off}>x") == "", off
+    assert render("<p>a<select><option>b<option>c</select>d") == "a\nb\nc\nd"
+    assert render("a<textarea>\nb &amp; <i>\n  c</textarea>d") == "a\nb & <i>\n  c\nd"
+    assert render('<svg><title>no</title><defs><text>no</text></defs><title/><path d="M0"/><text x=1>yes</text><text>two</text></svg>z') == "yes\ntwo\nz"
+
+
 def test_token_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
