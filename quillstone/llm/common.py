@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.sources.stored import drop_shared_tables, shared_folder, shared_table  # noqa: F401
+
 #: Arrow batches above this many bytes are cut by Spark, so that very long texts stay within a worker's memory.
 BATCH_BYTES = 32 << 20
 
@@ -24,29 +25,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, one under the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_quillstone"
-
-
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs one reread."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared_tables(spark: SparkSession) -> None:
-    """Delete what shared_table wrote in this application; call it once the results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/*-{spark.sparkContext.applicationId}-*")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for found in fs.globStatus(path) or []:
-        fs.delete(found.getPath(), True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column without copying texts; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.sources.stored import shared_table
+
 #: The accepted edge predicates.
 PREDICATES = ("quotes", "references", "summarizes", "derives_from", "translates", "annotates", "replies_to", "contains")
 
@@ -29,3 +31,31 @@ def stale(edges: DataFrame, versions: DataFrame) -> DataFrame:
 
 def rejected(predicate: Column, source: Column, target: Column) -> Column:
     return F.when(~predicate.isin(*PREDICATES), "INVALID_PREDICATE").when(source == target, "SELF_EDGE")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """node and length of the shortest cycle through it, for every node that is on one; edges are source_id and target_id.
+
+    Nodes without an edge in or out are on no cycle and go first, round by round. From each node that stays, walks grow by
+    one edge a round, each node being reached once, until the start is met or nothing new is; no depth bounds them. Every
+    round is stored, so plans stay small. Repeated edges count once; edges without one of their ends are ignored.
+    """
+    core = shared_table(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a is not null and b is not null").distinct(), "cycle-edges")
+    n, before = core.count(), None
+    while n and n != before:
+        both = core.select(F.col("a").alias("x")).intersect(core.select(F.col("b").alias("x")))
+        core = core.join(both.withColumnRenamed("x", "a"), "a", "left_semi").join(both.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b")
+        core = shared_table(core, "cycle-edges")
+        n, before = core.count(), n
+    walks = shared_table(core.select(F.col("a").alias("node"), F.col("b").alias("at"), F.lit(1).alias("length")), "cycle-walks")
+    reached, length, grown = walks, 1, n
+    while grown:
+        length += 1
+        met = reached.where("node = at").select("node")
+        ends = walks.join(met, "node", "left_anti").select("node", F.col("at").alias("a"))
+        step = ends.join(core, "a").select("node", F.col("b").alias("at")).distinct().join(reached, ["node", "at"], "left_anti")
+        walks = shared_table(step.withColumn("length", F.lit(length)), "cycle-walks")
+        reached, grown = reached.unionByName(walks), walks.count()
+        if length % 8 == 0:
+            reached = shared_table(reached, "cycle-reached")
+    return reached.where("node = at").select("node", "length")

@@ -144,9 +144,9 @@ def ancestors(spark, sf_dir):
 
 @query(f"WITH {SENTENCES} SELECT s.doc_id, s.block, n, decode(encode(b.text)[char_start + 1 : char_end]) AS text FROM sentences s JOIN blocks b ON s.doc_id = b.doc_id AND s.block = b.block WHERE n = 2".replace("decode(encode(b.text)[char_start + 1 : char_end])", "s.text"))
 def load_sentence(spark, sf_dir):
-    """The second sentence of each block, cut out of its parent's text by its byte span."""
+    """Each sentence, cut out of its parent's text by its byte span."""
     b = blocks_of(spark, sf_dir)
-    s = structure.sentences(b).where("n = 2").drop("text")
+    s = structure.sentences(b).drop("text")
     return s.join(b, ["doc_id", "block"]).select("doc_id", "block", "n", T.byte_slice(F.col("text"), F.col("char_start").cast("int"), F.col("char_end").cast("int")).alias("text"))
 
 
@@ -295,9 +295,16 @@ CYCLES = "WITH RECURSIVE e AS (SELECT item_id AS a, (item_id * 3 + 1) % 10 AS b
 
 @query(CYCLES)
 def edge_cycles(spark, sf_dir):
-    """Nodes on a cycle of the ten-node example graph, and the cycle's length; the depth bounds the recursion."""
-    table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
-    return spark.sql(CYCLES)
+    """Items on a cycle, and the length of the shortest one, over all edges: quotes, and the example edges of all items.
+
+    Documents and items have ids of their own, so a node's kind is part of it; the edges of items are derived, as no table
+    holds any. No edge leads to a document, so only items can be on a cycle.
+    """
+    i = F.col("item_id")
+    node = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("id"))
+    quotes = edges(spark, sf_dir).select(node("document", F.col("source_id")).alias("source_id"), node("item", F.col("target_id")).alias("target_id"))
+    items = table(spark, sf_dir, "benchmark").select(node("item", i).alias("source_id"), node("item", (i * 3 + 1) % 10).alias("target_id"))
+    return anchors.cycles(quotes.unionByName(items)).select(F.col("node.id").alias("node"), "length")
 
 
 @query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 100")

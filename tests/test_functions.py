@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import anchors, diff, search, structure
+from quillstone.plans import catalogue
 from quillstone.sources import files
 
 
@@ -102,3 +103,29 @@ def test_fuzzy_diff_equals_rounds_of_mutual_bests(spark):
     # the second pair is best only once the first is gone, and a kept node takes no part
     old, new = [(1, 1, "aaaaaaaaaa"), (1, 2, "aaaaaaaaab"), (1, 3, "zzzz")], [(1, 1, "aaaaaaaaac"), (1, 2, "aaaaaaaacc"), (1, 3, "zzzz")]
     assert {tuple(x) for x in diff.fuzzy(nodes(old), nodes(new)).collect()} == {(1, 1, 1, 1), (1, 2, 2, 2)}
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(100 + k, 100 + (k + 1) % 13) for k in range(13)]  # longer than ten, and no id below ten
+    rows = [*ring, (1, 100), (105, 2), (2, 3), (50, 51), (51, 50), (51, 52), (52, 53), (53, 50), (7, 7), (7, 50), (100, 101), (None, 1), (1, None)]
+    got = anchors.cycles(spark.createDataFrame(rows, "source_id long, target_id long")).collect()
+    assert sorted(map(tuple, got)) == [(7, 1), (50, 2), (51, 2), (52, 4), (53, 4), *((100 + k, 13) for k in range(13))]
+    assert anchors.cycles(spark.createDataFrame([(1, 2), (2, 3)], "source_id long, target_id long")).count() == 0
+
+
+def test_edge_cycles_reads_every_edge(spark, tmp_path):
+    spark.createDataFrame([(k, f"passage {k}") for k in range(14)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, f"a passage {k} b") for k in range(14)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    step, want = {k: (k * 3 + 1) % 10 for k in range(14)}, []
+    for k in step:
+        at, n = step[k], 1
+        while at != k and n < 20:
+            at, n = step[at], n + 1
+        want += [(k, n)] * (at == k)
+    assert sorted(map(tuple, catalogue.edge_cycles(spark, str(tmp_path)).collect())) == want and want
+
+
+def test_every_sentence_is_loaded(spark, tmp_path):
+    spark.createDataFrame([(1, "\u00c9a b. C!? d\n\nno end"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalogue.load_sentence(spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, 1, "\u00c9a b. "), (1, 1, 2, "C!? "), (1, 1, 3, "d"), (1, 2, 1, "no end")]
