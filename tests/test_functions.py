@@ -129,3 +129,10 @@ def test_every_sentence_is_loaded(spark, tmp_path):
     spark.createDataFrame([(1, "\u00c9a b. C!? d\n\nno end"), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, catalogue.load_sentence(spark, str(tmp_path)).collect()))
     assert got == [(1, 1, 1, "\u00c9a b. "), (1, 1, 2, "C!? "), (1, 1, 3, "d"), (1, 2, 1, "no end")]
+
+
+def test_highlight_reads_documents_in_any_script(spark, tmp_path):
+    texts = ["OF the x", "caf\u00e9 of\u00a0the \u65e5", "\u00e9of the", "of the\u00e9", "\u65e5, of, the.", None, "of them", "prof the"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, catalogue.highlight(spark, str(tmp_path)).collect()))
+    assert got == {0: "<mark>OF the</mark> x", 1: "caf\u00e9 <mark>of\u00a0the</mark> \u65e5", 4: "\u65e5, <mark>of, the</mark>."}
