@@ -2,7 +2,7 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. On top of them, generators propose further,
 overlapping spans in looser formats; for each kind, boosted trees look at the span's format and at the text around it,
-and a calibrated threshold decides. No labelled personal data exist here, so the trees are fitted on a fixed number of
+a calibrated threshold decides, and of spans that overlap the most probable one stays. No labelled personal data exist here, so the trees are fitted on a fixed number of
 examples that are written by rule (`EXAMPLES` of each kind), with look-alikes such as dates, versions and order numbers.
 
 Every pattern is scanned in time linear in the text, whatever it holds. Defined cases: a null text is empty and has no
@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +43,10 @@ HINT = re.compile(r"[0-9@\]})]")
 HIDDEN_AT = re.compile(r"[\[({]\s?(?:at|AT)\s?[\])}]")
 HIDDEN_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]+(?:\s?(?:[\[({]\s?(?:dot|DOT)\s?[\])}]|\.)\s?[A-Za-z0-9-]+)+")
 HEX_GROUPS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){3,15}(?![0-9A-Za-z:])")
-LOOSE_DIGITS = re.compile(r"\(?[0-9](?:[\x20().\-/]{0,2}[0-9]){6,23}")
+LOOSE_RUN = re.compile(r"\(?[0-9]++(?:[\x20().\-/]{1,2}[0-9]++)*+")
+GROUP = re.compile(r"[0-9]++")
+#: Digits of the longest card and of the longest phone number.
+MOST_DIGITS = 19
 CUES = (
     re.compile(r"(?:mail|contact|write|reach)\W*$", re.I),
     re.compile(r"(?:tel|phone|call|mobile|cell|fax|dial|whatsapp|sms)\w*\W*$", re.I),
@@ -92,25 +96,40 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[Span]:
-    """Looser spans that may overlap: hidden addresses, hexadecimal groups, and digit groups both as card and as phone."""
+def candidates(text: str, base: Sequence[Span] = ()) -> list[Span]:
+    """Looser spans that may overlap each other, but no base span: hidden addresses, hexadecimal groups, and digit groups as card and as phone.
+
+    Each run of digit groups gives the spans from every group to every later one within the digits of a number, so that
+    neighbouring numbers don't hide each other. What would reach into a base span ends before it.
+    """
     out: list[Span] = []
+    starts, ends = sorted(a for a, _, _ in base), sorted(b for _, _, b in base)
+    # base spans that begin before the end, and that end by the start: as many of both where none overlaps
+    free = lambda a, b: bisect_left(starts, b) == bisect_right(ends, a)
     for m in HIDDEN_AT.finditer(text):
-        d = HIDDEN_DOMAIN.match(text, m.end())
+        k = bisect_left(starts, m.end())
+        d = HIDDEN_DOMAIN.match(text, m.end(), starts[k] if k < len(starts) else len(text))
         start = m.start() - (text[m.start() - 1 : m.start()] == " ")
-        first = start
-        while first > 0 and start - first < 64 and text[first - 1] in LOCAL:
+        k = bisect_right(ends, start)
+        first, least = start, ends[k - 1] if k else 0
+        while first > least and start - first < 64 and text[first - 1] in LOCAL:
             first -= 1
-        if d and first < start:
+        if d and first < start and free(first, d.end()):
             out.append((first, 0, d.end()))
     if ":" in text:
-        out += [(m.start(), 1, m.end()) for m in HEX_GROUPS.finditer(text)]
-    for m in LOOSE_DIGITS.finditer(text):
-        n = sum(c.isdigit() for c in m[0])
-        if 12 <= n <= 19:
-            out.append((m.start(), 2, m.end()))
-        if 7 <= n <= 15:
-            out.append((m.start(), 3, m.end()))
+        out += [(m.start(), 1, m.end()) for m in HEX_GROUPS.finditer(text) if free(m.start(), m.end())]
+    for m in LOOSE_RUN.finditer(text):
+        groups = [(g.start(), g.end()) for g in GROUP.finditer(text, m.start(), m.end())]
+        for i, (a, _) in enumerate(groups):
+            start, n = a - (text[a - 1 : a] == "("), 0
+            for c, b in groups[i:]:
+                n += b - c
+                if n > MOST_DIGITS or bisect_left(starts, b) != bisect_right(ends, start):
+                    break
+                if n >= 12:
+                    out.append((start, 2, b))
+                if 7 <= n <= 15:
+                    out.append((start, 3, b))
     return out
 
 
@@ -134,6 +153,7 @@ def examples(kind: int, n: int, seed: int) -> Iterator[tuple[str, Span, int]]:
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randint(2, 9)))
     cues = (("mail ", "contact: ", "write to "), ("server ", "IP ", "host "), ("card ", "Visa: ", "pay with "), ("tel. ", "phone: ", "call ", "mobile "))[kind]
+    phone = lambda: r.choice((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"))
     wrong = ("order ", "invoice no. ", "id ", "version ", "on ", "ref ", "ISBN ", "page ", "ticket ", "")
     for _ in range(n):
         y = r.random() < 0.5
@@ -146,7 +166,7 @@ def examples(kind: int, n: int, seed: int) -> Iterator[tuple[str, Span, int]]:
         elif kind == 2:
             body = r.choice("3456") + digits(14)
             body += next(c for c in "0123456789" if luhn(body + c)) if y else r.choice([c for c in "0123456789" if not luhn(body + c)])
-            sep = r.choice((".", " ", "-", "/")) if y else r.choice((".", " ", "-", "/", ""))
+            sep = r.choice((".", " ", "-", "/", ""))
             own = sep.join(body[k : k + 4] for k in range(0, 16, 4))
         elif y:
             a, b, c = digits(3), digits(3), digits(4)
@@ -154,8 +174,23 @@ def examples(kind: int, n: int, seed: int) -> Iterator[tuple[str, Span, int]]:
         else:
             own = r.choice((f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"1{digits(1)}.0{digits(1)}.19{digits(2)}", digits(r.randint(7, 13)), f"{digits(3)}-{digits(1)}-{digits(5)}-{digits(2)}", f"{digits(4)} {digits(4)}", f"{digits(1)}.{digits(2)}.{digits(5)}"))
         left = f"{word()} {word()}. {lead}"
-        text = f"{left}{own}{r.choice((' ', '. ', ', ', '; '))}{word()}"
-        yield text, (len(left), kind, len(left) + len(own)), int(y)
+        tail = f"{r.choice((' ', '. ', ', ', '; '))}{word()}"
+        span = (len(left), kind, len(left) + len(own))
+        if kind >= 2 and r.random() < 0.5:
+            # numbers in a row: one of them whole is right, and a piece, or one with a part of its neighbour, is wrong
+            other = r.choice((phone(), own if y else phone(), f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f"1{digits(1)}.0{digits(1)}.19{digits(2)}"))
+            first = r.random() < 0.5
+            row = f"{own} {other}" if first else f"{other} {own}"
+            at = len(left) + (0 if first else len(other) + 1)
+            span, tail = (at, kind, at + len(own)), f"{row[len(own) :] if first else ''}{tail}"
+            left = left if first else f"{left}{other} "
+            if not y or r.random() < 0.5:
+                beside = at + len(own) + 1 if first else at - len(other) - 1
+                whole = {(at, at + len(own)), (beside, beside + len(other))}
+                pieces = [c for c in candidates(left + own + tail) if c[1] == kind and (c[0], c[2]) not in whole]
+                if pieces:
+                    span, y = r.choice(pieces), False
+        yield left + own + tail, span, int(y)
 
 
 @lru_cache(maxsize=1)
@@ -184,17 +219,27 @@ def find(texts: list[str], trees: tuple[tuple[BoostedTrees, float], ...]) -> lis
             base.append([])
             continue
         base.append(base_spans(t))
-        # what a base span covers, wholly or in part, is redacted already
-        proposed += [(k, s) for s in candidates(t) if not any(a < s[2] and s[0] < b for a, _, b in base[-1])]
-    added: dict[int, set[Span]] = {}
+        # what a base span covers is redacted already
+        proposed += [(k, s) for s in candidates(t, base[-1])]
+    likely: dict[int, list[tuple[float, Span]]] = {}
     for kind, (model, threshold) in enumerate(trees):
         mine = [(k, s) for k, s in proposed if s[1] == kind]
         if mine:
             p = model.probability(np.array([features(texts[k], s) for k, s in mine]))
             for (k, s), x in zip(mine, p, strict=True):
                 if x >= threshold:
-                    added.setdefault(k, set()).add(s)
-    return [(b, sorted({*b, *added[k]}) if k in added else b) for k, b in enumerate(base)]
+                    likely.setdefault(k, []).append((float(x), s))
+    return [(b, sorted({*b, *best_apart(likely[k])}) if k in likely else b) for k, b in enumerate(base)]
+
+
+def best_apart(likely: list[tuple[float, Span]]) -> list[Span]:
+    """Of spans that overlap, the most probable one; of equal ones the longer, then the earlier."""
+    out: list[Span] = []
+    for _, s in sorted(likely, key=lambda x: (-x[0], x[1][0] - x[1][2], x[1])):
+        k = bisect_left(out, (s[0],))
+        if not (k and out[k - 1][2] > s[0]) and not (k < len(out) and out[k][0] < s[2]):
+            out.insert(k, s)
+    return out
 
 
 def joined(spans: list[Span]) -> str:

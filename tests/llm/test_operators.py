@@ -159,6 +159,29 @@ def test_pii(spark):
     assert rows.columns == COLUMNS.replace(" long", "").replace(" string", "").split(", ") and rows.where("text is null").count() == 1
 
 
+def test_numbers_in_a_row_do_not_hide_each_other():
+    phones = ["555-123-4567", "555-987-6543", "555-222-1111"]
+    marks = lambda t: pii.redacted(t, pii.find([t], pii.detector())[0][1])
+    for n in (1, 2, 3):
+        assert marks("call " + " ".join(phones[:n]) + " now") == "call " + " ".join(["[PHONE]"] * n) + " now"
+    assert marks("ip 1.2.3.4 555-123-4567 x") == "ip [IP] [PHONE] x" and marks("+1 202 555 0101, tel. 555-123-4567") == "[PHONE], tel. [PHONE]"
+    assert marks("pay 4111 1111 1111 1111 555-123-4567 x") == "pay [CARD] [PHONE] x" and marks("a 4465758382889437 4465758382889437 b") == "a [CARD] [CARD] b"
+    assert marks("mail bob [at] site [dot] org. 1.2.3.4") == "mail [EMAIL]. [IP]"
+    assert marks("on 2024-01-15 2024-02-16 x") == "on 2024-01-15 2024-02-16 x" and marks("order 978-3-16148410-22 x") == "order 978-3-16148410-22 x"
+    r = random.Random(6)
+    for _ in range(2000):
+        t = "".join(r.choice(["1", "22", "333", "4444", "55555", " ", "-", ".", "/", "(", ") ", "a", "+1 2", "1.2.3.4"]) for _ in range(r.randint(0, 20)))
+        base, want = pii.base_spans(t), set()
+        groups = list(re.finditer("[0-9]+", t))
+        for i, g in enumerate(groups):
+            for h in groups[i:]:
+                own = t[g.start() : h.end()]
+                start, n = g.start() - (t[g.start() - 1 : g.start()] == "("), sum(c.isdigit() for c in own)
+                if not re.search(r"[^0-9]{3}|[^0-9\x20().\-/]", own) and not any(a < h.end() and start < b for a, _, b in base):
+                    want |= {(start, k, h.end()) for k, lo, hi in ((2, 12, 19), (3, 7, 15)) if lo <= n <= hi}
+        assert {s for s in pii.candidates(t, base) if s[1] > 1} == want
+
+
 def test_trees_on_held_out_examples():
     for kind, (trees, threshold) in enumerate(pii.detector()):
         rows = list(pii.examples(kind, 400, 9))
