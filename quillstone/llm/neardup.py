@@ -207,6 +207,14 @@ def join(documents: DataFrame, text: str, doc_id: str, threshold: float = THRESH
 
 
 def first_of_each(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """The documents that represent their class; rows without an id stay."""
-    found = join(documents, text, doc_id).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(found, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """One row of each class: the one with the smallest id, rows without an id last.
+
+    Rows are told apart by a stored key, not by their id: of repeated rows one stays, of two texts under one id only what
+    is a copy goes, and copies without an id go like others. A text without words is a class of its own, so its row stays.
+    """
+    rows = shared_table(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = join(rows, text, "__row").select(F.col("doc_id").alias("__row"), "class_id")
+    found = shared_table(found.join(rows.select("__row", F.col(doc_id).alias("id")), "__row"), "row-classes")
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("f")).select("class_id", F.col("f.__row").alias("kept"))
+    gone = found.join(first, "class_id").where("__row <> kept").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(documents.columns)

@@ -130,6 +130,28 @@ def test_jaccard_join(spark):
     assert neardup.join(documents(spark, texts).limit(0), "text", "doc_id").count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    import corpus_pipeline
+
+    base = words(60, 1).split()
+    near = [" ".join([*base[:k], "zzzz", *base[k + 1 :]]) for k in (3, 30)]
+    one, two, three = " ".join(base), words(50, 2), words(50, 3)
+    rows = [(5, one), (5, one), (2, near[0]), (None, near[1]), (7, two), (7, near[1]), (None, three), (None, three), (3, ""), (3, ""), (9, None), (8, two), (None, two)]
+    docs = spark.createDataFrame([(k, t, "en", "s", "x", "y") for k, t in rows], COLUMNS)
+    words_of = [re.findall("[0-9a-z]+", t or "") for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words_of]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if a and len(a & b) >= 0.8 * len(a | b):
+                group = [group[i] if g == group[j] else g for g in group]
+    want = [min((rows[k] for k in range(len(rows)) if group[k] == g), key=lambda x: (x[0] is None, x[0] or 0)) for g in set(group)]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    stage = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert stage.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in stage.collect()), key=key) == sorted(want, key=key)
+
+
 def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 5)
     base = words(100, 1).split()
