@@ -1,7 +1,9 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, copies and extra columns."""
 
+import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -257,6 +259,41 @@ def test_quality(spark):
     assert quality.judge(docs, "text", none).where("kept").count() == sum(not r["base_failed"] for r in got.values())
 
 
+def test_quality_scores_equal_brute_force(spark):
+    texts = [words(60 + k, k) for k in range(30)] + [words(60, 2) + " zzz yyy"] * 2
+    docs = documents(spark, texts)
+    model = quality.fit(docs, "text", "doc_id", spark.createDataFrame([(k,) for k in range(0, 30, 3)], "doc_id long"))
+    weights = json.loads(model.json)
+    grams = sorted({(w,) for t in texts for w in t.split()} | {x for t in texts for x in zip(t.split(), t.split()[1:], strict=False)})
+    one = {r["w"]: r["h"] for r in spark.createDataFrame([g for g in grams if len(g) == 1], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    two = spark.createDataFrame([(a, b, one[a], one[b]) for a, b in (g for g in grams if len(g) == 2)], "a string, b string, x long, y long")
+    at = {(w,): h % quality.BUCKETS for w, h in one.items()} | {(r["a"], r["b"]): r["h"] % quality.BUCKETS for r in two.select("a", "b", F.xxhash64("x", "y").alias("h")).collect()}
+    of = lambda t: [at[(w,)] for w in t.split()] + [at[x] for x in zip(t.split(), t.split()[1:], strict=False)]
+    raw = np.bincount([b for t in texts for b in of(t)], minlength=quality.BUCKETS)
+    good = np.bincount([b for k in range(0, 30, 3) for b in of(texts[k])], minlength=quality.BUCKETS)
+    want = np.log((good + 1) / (good.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    assert np.allclose(weights, want, atol=2e-6)
+    scores = {k: np.mean(want[of(t)]) for k, t in enumerate(texts)}
+    assert abs(model.threshold - (min(scores[k] for k in range(0, 30, 3)) - quality.MARGIN)) < 1e-4
+    for r in quality.judge(docs, "text", model).collect():
+        assert abs(r["score"] - scores[r["doc_id"]]) < 1e-4 and r["kept"] == (not r["base_failed"] and scores[r["doc_id"]] >= model.threshold)
+
+
+def test_quality_under_a_filter(spark):
+    long = " ".join(f"w{k % 4000}" for k in range(5000))
+    rows = spark.createDataFrame([(1, long, "x", 2.0, "__words")], "doc_id long, text string, kept string, score double, __own0 string")
+    model = quality.fit(rows, "text", "doc_id", spark.range(0).withColumnRenamed("id", "doc_id"))
+    judged = quality.judge(rows, "text", model)
+    assert judged.columns == ["doc_id", "text", "__own0", *quality.ADDED]
+    judged.count()
+    start = time.time()
+    assert judged.where("kept and score >= -1 and n_repeat_words < 4000 and doc_id = 1").count() == 1
+    assert quality.filtered(rows, "text", model).collect()[0] == rows.collect()[0]
+    assert time.time() - start < 20
+    none = rows.limit(0)
+    assert quality.judge(none, "text", quality.fit(none, "text", "doc_id", none.select("doc_id"))).count() == 0
+
+
 def test_nearest(spark):
     r = np.random.default_rng(5)
     x = r.standard_normal((300, 8))
