@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillstone.sources.stored import drop_shared_tables, shared_folder, shared_table  # noqa: F401
 
-#: Arrow batches above this many bytes are cut by Spark, so that very long texts stay within a worker's memory.
+#: Arrow batches are cut by Spark at this many bytes, so that very long texts stay within a worker's memory.
 BATCH_BYTES = 32 << 20
 
 
@@ -19,12 +21,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch; a value that the session was given stays."""
+    """Have Arrow batches cut at BATCH_BYTES; a smaller bound that the session was given stays, as does a larger one."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(BATCH_BYTES)).rstrip("b") or 0) > BATCH_BYTES:
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def col(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_column(rows: DataFrame, keep: Sequence[str], source: Column, added: Sequence[StructField], make: Callable[[pa.Array], Sequence[pa.Array]]) -> DataFrame:
+    """`keep` and the columns `added`, which `make` returns for each Arrow batch of `source`.
+
+    Columns travel under private names, so no name of the input clashes; a kept column of an added name gives way.
+    """
+    bound_batches(rows.sparkSession)
+    keep = [c for c in keep if c not in {f.name for f in added}]
+    private = rows.select(*(col(c).alias(f"__k{n}") for n, c in enumerate(keep)), source.alias("__source"))
+    schema = StructType([*(StructField(c, private.schema[n].dataType) for n, c in enumerate(keep)), *added])
+    names, n = schema.names, len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n)), *make(b.column(n))], names)
+
+    return private.mapInArrow(run, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column without copying texts; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

@@ -3,27 +3,35 @@
 A tag scanner feeds a tree builder that closes what HTML lets authors leave open (p, li, td, tr, option, ...). Elements
 that a browser does not show (head, script, template, `hidden`, display:none, ...) give no text; form controls and the
 texts of svg and math do, with every option of a select. Blocks end lines, and
-paragraphs are set apart by an empty line; list items are marked and indented by depth; the cells of a table's columns
-are padded to one width; white space collapses but in pre.
+paragraphs are set apart by an empty line; list items are marked and indented by depth, to `DEEPEST` levels; the cells of a
+table's columns, spanning ones included, are padded to one width; white space collapses but in pre.
 
-Defined cases: a null page is the empty text; broken markup never fails (an unclosed tag ends at the next `<`); equal
-pages give equal texts; other columns of the input are ignored. Scanning takes time linear in the page; closing looks through the open elements.
+A page takes time in proportion to its length: where each name is open is known, so nothing looks through the open
+elements. Nor does layout multiply a page: a table whose padding would be over `PADDING` times its cells' text, or whose
+spans take as many steps, is shown without padding, with the same cells in the same order.
+
+Defined cases: a null or empty page is the empty text; broken markup never fails (an unclosed tag ends at the next `<`
+outside of quotes); equal pages give equal texts; a kept column named `text` gives way to the page's text; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField
 
-from quillstone.llm.common import bound_batches
+from quillstone.llm.common import col, map_column
 
-TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>?|<[!?/][^<>]*>?|[^<]+|<""")
+#: A quote opens a value only after an equals sign; in a value, < and > stand for themselves.
+TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>?|<[!?/][^<>]*>?|[^<]+|<""")
+COMMENT_END = re.compile("--!?>")
 #: Fixed values of HTML: elements by what they do to layout, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style template noscript iframe object datalist audio video canvas".split())
@@ -36,21 +44,40 @@ CONTROLS = frozenset("select option optgroup textarea".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
-SCOPES = frozenset("table td th caption html body ul ol dl".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"), "body": ("head",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 MAYBE_HIDDEN = re.compile("hidden|none|collapse", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACES = re.compile(r"[ \t\r\n\f]+")
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
+#: Inputs that show their value, or else their placeholder.
+SHOWN_INPUTS = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "button", "reset"))
+CELLS = ("td", "th", "table")
+PARTS = frozenset("td th tr table tbody thead tfoot body html".split())
+DEEPEST = 32
+PADDING = 16
+#: Fixed values of HTML: the largest spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+def values(attributes: str) -> dict[str, str]:
+    """The attributes by name in lower case; of equal names the first one holds."""
+    own: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        own.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return own
+
+
+def number(text: str, least: int, most: int, default: int) -> int:
+    text = text.strip()
+    return min(most, max(least, int(text))) if text.isascii() and text.isdigit() and len(text) < 10 else default
 
 
 def hidden(attributes: str, foreign: bool) -> bool:
     """Whether an element is off screen by its own attributes: hidden, or display or visibility in its style. Names are parsed, values are not searched."""
     if not MAYBE_HIDDEN.search(attributes):
         return False
-    own: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(attributes):
-        own.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    own = values(attributes)
     if "hidden" in own or (foreign and own.get("display", "").strip().lower() == "none"):
         return True
     style: dict[str, tuple[bool, str]] = {}
@@ -69,36 +96,50 @@ class Page:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.open: list[str] = []
+        #: Where in `open` each name stands, lowest first.
+        self.at: dict[str, list[int]] = defaultdict(list)
         self.lists: list[int | None] = []
         self.unseen: int | None = None
-        self.tables: list[tuple[list[list[str]], list[str], list[str], list[int | None]]] = []
+        #: Rows of cells (text, columns, rows), the lines around, loose lines, the lists around, spans of the open cell.
+        self.tables: list[tuple[list[list[tuple[str, int, int]]], list[str], list[str], list[int | None], list[tuple[int, int]]]] = []
         self.pre = 0
         self.mark = ""
 
+    def top(self, names: tuple[str, ...] | frozenset[str]) -> int:
+        """Place of the innermost open element with one of the names; -1 without any."""
+        return max((self.at[x][-1] for x in names if self.at[x]), default=-1)
+
+    def foreign(self) -> bool:
+        return bool(self.at["svg"] or self.at["math"])
+
+    def push(self, name: str) -> None:
+        self.at[name].append(len(self.open))
+        self.open.append(name)
+
     def flush(self, gap: bool = False) -> None:
         text = "".join(self.line)
         text = text if self.pre else SPACES.sub(" ", text).strip(" ")
         self.line = []
         if text.strip():
-            depth = max(0, len(self.lists) - 1)
-            self.lines.append("  " * depth + self.mark + text if self.mark else ("  " * len(self.lists) if self.lists else "") + text)
+            depth = min(len(self.lists), DEEPEST)
+            self.lines.append("  " * max(0, depth - 1) + self.mark + text if self.mark else "  " * depth + text)
             self.mark = ""
         if gap and self.lines and self.lines[-1]:
             self.lines.append("")
 
     def start(self, name: str, attributes: str) -> None:
-        if name == "head" and any(x != "html" for x in self.open):
+        if name == "head" and len(self.open) > len(self.at["html"]):
             return
         if name not in HEAD and self.open and self.open[-1] == "head":
             self.end_top()
         # an element that the page leaves open is closed whether it is shown or not
-        if name in BLOCKS and "p" in self.open:
+        if name in BLOCKS:
             self.close(("p",), ("table", "td", "th"))
         if name in CLOSES:
             self.close(CLOSES[name], LIMITS.get(name, ()))
         if self.unseen is not None:
             if name not in VOID:
-                self.open.append(name)
+                self.push(name)
             return
         if name == "br":
             if self.pre:
@@ -109,10 +150,15 @@ class Page:
         if name == "hr":
             self.flush(True)
             return
+        if name == "input":
+            own = values(attributes)
+            if own.get("type", "").strip().lower() in SHOWN_INPUTS and not hidden(attributes, False):
+                self.line.append(f" {html.unescape(own.get('value') or own.get('placeholder', ''))} ")
+            return
         if name in VOID:
             return
-        self.open.append(name)
-        foreign = "svg" in self.open or "math" in self.open
+        self.push(name)
+        foreign = self.foreign()
         if name in UNSEEN or (foreign and name in UNSEEN_FOREIGN) or (attributes and hidden(attributes, foreign)):
             self.unseen = len(self.open)
             return
@@ -123,57 +169,57 @@ class Page:
         if name in ("ul", "menu", "dl"):
             self.lists.append(None)
         elif name == "ol":
-            self.lists.append(0)
+            self.lists.append(number(values(attributes).get("start", ""), 0, 10**9, 1) - 1 if attributes else 0)
         elif name == "li":
             if self.lists and self.lists[-1] is not None:
                 self.lists[-1] += 1
+                if attributes:
+                    self.lists[-1] = number(values(attributes).get("value", ""), 0, 10**9, self.lists[-1])
                 self.mark = f"{self.lists[-1]}. "
             else:
                 self.mark = "- "
         elif name in ("pre", "textarea"):
             self.pre += 1
         elif name == "table":
-            self.tables.append(([], self.lines, [], self.lists))
+            self.tables.append(([], self.lines, [], self.lists, []))
             self.lines, self.lists = [], []
         elif name == "tr" and self.tables:
             self.tables[-1][0].append([])
         elif name in ("td", "th") and self.tables:
-            if not self.tables[-1][0]:
-                self.tables[-1][0].append([])
+            rows, _, loose, _, spans = self.tables[-1]
+            if not rows:
+                rows.append([])
             # what stands outside of the cells (a caption, text between rows) is shown above the rows
-            self.tables[-1][2].extend(x for x in self.lines if x)
+            loose.extend(x for x in self.lines if x)
             self.lines = []
+            own = values(attributes) if attributes else {}
+            spans.append((number(own.get("colspan", ""), 1, MOST_COLUMNS, 1), number(own.get("rowspan", ""), 0, MOST_ROWS, 1) or MOST_ROWS))
 
     def close(self, names: tuple[str, ...], limits: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k] in names:
-                while len(self.open) > k:
-                    self.end_top()
-                if names != ("td", "th") and self.open and self.open[-1] in names:
-                    continue
-                return
-            if self.open[k] in limits or self.open[k] in ("table", "html", "body") and names[0] != "head":
-                return
+        barrier = -1 if names == ("head",) else self.top((*limits, "table", "html", "body"))
+        k = self.top(names)
+        while k > barrier:
+            while len(self.open) > k:
+                self.end_top()
+            k = k - 1 if names != ("td", "th") and self.open and self.open[-1] in names else -1
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", "")
             return
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k] == name:
-                while len(self.open) > k:
-                    self.end_top()
-                return
-            if self.open[k] in ("td", "th", "table") and name not in ("td", "th", "tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        k = self.top((name,))
+        if k > (-1 if name in PARTS else self.top(CELLS)):
+            while len(self.open) > k:
+                self.end_top()
 
     def end_top(self) -> None:
         name = self.open.pop()
+        self.at[name].pop()
         if self.unseen is not None:
             if len(self.open) < self.unseen:
                 self.unseen = None
             return
-        if name in CONTROLS or (name == "text" and ("svg" in self.open or "math" in self.open)):
+        if name in CONTROLS or (name == "text" and self.foreign()):
             self.flush()
         elif name in BLOCKS:
             self.flush(name in SPACED and not (name in ("ul", "ol", "dl") and len(self.lists) > 1))
@@ -183,11 +229,12 @@ class Page:
             self.mark = ""
         elif name in ("pre", "textarea"):
             self.pre = max(0, self.pre - 1)
-        elif name in ("td", "th") and self.tables and self.tables[-1][0]:
-            self.tables[-1][0][-1].append(" ".join(x.strip() for x in self.lines if x))
+        elif name in ("td", "th") and self.tables and self.tables[-1][4]:
+            rows, spans = self.tables[-1][0], self.tables[-1][4]
+            rows[-1].append((" ".join(x.strip() for x in self.lines if x), *spans.pop()))
             self.lines = []
         elif name == "table" and self.tables:
-            rows, outer, loose, lists = self.tables.pop()
+            rows, outer, loose, lists, _ = self.tables.pop()
             loose, self.lines, self.lists = loose + [x for x in self.lines if x], outer, lists
             if self.lines and self.lines[-1] and rows:
                 self.lines.append("")
@@ -202,20 +249,84 @@ class Page:
             self.line.append(html.unescape(data) if "&" in data else data)
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Cells of a column have one width; the last cell of a row is not padded."""
-    rows = [r for r in rows if any(r)]
-    width: list[int] = []
+def placed(rows: list[list[tuple[str, int, int]]], budget: int) -> list[list[tuple[int, int, str]]] | None:
+    """First and next column and text of each row's cells, beside the cells that reach down from above; None beyond the budget of steps."""
+    taken: dict[int, int] = {}
+    out = []
     for r in rows:
-        for k, c in enumerate(r):
-            if k == len(width):
-                width.append(0)
-            width[k] = max(width[k], len(c))
-    return [" | ".join([c.ljust(w) for c, w in zip(r[:-1], width, strict=False)] + r[-1:]).rstrip() for r in rows]
+        budget -= len(taken)
+        if budget < 0:
+            return None
+        blocked, taken = taken, {c: n - 1 for c, n in taken.items() if n > 1}
+        at, cells = 0, []
+        for text, columns, deep in r:
+            while at in blocked:
+                at += 1
+            cells.append((at, at + columns, text))
+            if deep > 1:
+                budget -= columns
+                if budget < 0:
+                    return None
+                taken |= dict.fromkeys(range(at, at + columns), deep - 1)
+            at += columns
+        out.append(cells)
+    return out
+
+
+def filled(cells: list) -> list:
+    """The cells up to the last one with text, which stands where `cells` have it: last or first."""
+    n = len(cells)
+    while n and not any(isinstance(x, str) and x for x in cells[n - 1]):
+        n -= 1
+    return cells[:n]
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Cells of a column have one width; a spanning cell has that of its columns; the last cell of a row is not padded."""
+    plain = [" | ".join(c[0] for c in cells).rstrip() for r in rows if (cells := filled(r))]
+    budget = 65536 + PADDING * sum(len(x) + 3 for x in plain)
+    grid = placed(rows, budget)
+    if grid is None:
+        return plain
+    grid = [cells for r in grid if (cells := filled(r))]
+    # columns in which no cell begins take no room
+    begins = sorted({a for r in grid for a, _, _ in r})
+    column = {a: k for k, a in enumerate(begins)}
+    width = [0] * len(begins)
+    wide = []
+    for r in grid:
+        for n, (a, b, text) in enumerate(r):
+            k = column[a]
+            end = bisect_left(begins, b)
+            if end == k + 1:
+                width[k] = max(width[k], len(text))
+            elif n < len(r) - 1:
+                wide.append((k, end, len(text)))
+    for k, end, size in wide:
+        budget -= end - k
+        if budget < 0:
+            return plain
+        width[end - 1] += max(0, size - sum(width[k:end]) - 3 * (end - k - 1))
+    left = [0]
+    for w in width:
+        left.append(left[-1] + w + 3)
+    out = []
+    for r in grid:
+        line = ""
+        for n, (a, _, text) in enumerate(r):
+            if n or a > begins[0]:
+                room = left[column[a]] - 3 - len(line)
+                budget -= room
+                if budget < 0:
+                    return plain
+                line += " " * room + " | "
+            line += text
+        out.append(line.rstrip())
+    return out
 
 
 def render(page: str) -> str:
-    out, at, n, low = Page(), 0, len(page), None
+    out, at, n = Page(), 0, len(page)
     match = TOKEN.match
     while at < n:
         m = match(page, at)
@@ -226,19 +337,18 @@ def render(page: str) -> str:
                 out.end(name)
                 continue
             out.start(name, m[3])
-            if m[3].endswith("/") and ("svg" in out.open or "math" in out.open):
+            if m[3].endswith("/") and out.foreign():
                 out.end(name)
             elif name in RAW:
-                low = low or page.lower()
-                close = low.find(f"</{name}", at)
-                if close < 0:
-                    close = n
+                found = RAW_ENDS[name].search(page, at)
+                close = found.start() if found else n
                 if name == "textarea":
                     out.text(page[at:close].removeprefix("\n"))
                 at = close
         elif m[0] == "<!--":
-            close = page.find("-->", at)
-            at = n if close < 0 else close + 3
+            early = 1 if page.startswith(">", at) else 2 if page.startswith("->", at) else 0
+            close = None if early else COMMENT_END.search(page, at)
+            at = at + early if early else close.end() if close else n
         elif not m[0].startswith(("<!", "<?", "</")):
             out.text(m[0])
     while out.open:
@@ -249,13 +359,4 @@ def render(page: str) -> str:
 
 def extract(pages: DataFrame, markup: str, keep: list[str]) -> DataFrame:
     """`keep` and text for every page."""
-    bound_batches(pages.sparkSession)
-    rows = pages.select(*keep, F.coalesce(F.col(markup), F.lit("")).alias("__html"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("text", StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pa.array([render(x) for x in b.column(len(keep)).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep))), texts], [*keep, "text"])
-
-    return rows.mapInArrow(run, schema)
+    return map_column(pages, keep, F.coalesce(col(markup), F.lit("")), [StructField("text", StringType())], lambda column: [pa.array([render(x) for x in column.to_pylist()], pa.string())])

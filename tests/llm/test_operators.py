@@ -74,6 +74,74 @@ def test_html_keeps_what_is_on_screen():
     assert render('<svg><title>no</title><defs><text>no</text></defs><title/><path d="M0"/><text x=1>yes</text><text>two</text></svg>z') == "yes\ntwo\nz"
 
 
+def test_html_spans_and_numbers():
+    render = htmltext.render
+    assert render("<table><tr><th>a<th>bb<th>c<tr><td colspan=2>xx<td>y<tr><td rowspan=2>r<td>s<td>t<tr><td>u<td>v</table>") == "a | bb | c\nxx     | y\nr | s  | t\n  | u  | v"
+    assert render("<table><tr><td colspan=2>long text<td>y<tr><td>a<td>b<td>c |<td></table>") == "long text | y\na | b     | c |"
+    assert render("<ol start=3><li>a<li value=9>b<li>c</ol>") == "3. a\n9. b\n10. c"
+    assert render('<input value="a &amp; b"><input type=hidden value=no><input type=checkbox value=no><input placeholder=p>') == "a & b p"
+    assert render("<!-->x<!--y-->z<!--a--!>b") == "xzb" and render("İ<script>a</scriptx></SCRIPT >b") == "İb"
+
+
+def test_html_quotes():
+    render = htmltext.render
+    assert render('<a title="a<b">t</a>') == "t" and render("<p don't>text it's</p>") == "text it's"
+    assert render("<a title='x>y' href=\"z'\">t</a>") == "t" and render('<p title="open>text</p>') == "text"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<p><table><td>" + "<b>" * 20_000 + "</p>" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<ul><li>x" * 20_000, "<table><tr>" + "<td rowspan=60000>x" * 10_000 + "<tr><td>y" * 10_000, "<table><tr>" + "<td>xyz" * 1000 + "<tr><td colspan=1000>y<td>z" * 20_000, "<table><tr><td>" + "x" * 100_000 + "<tr><td>y<td>z" * 20_000, "<a b='" * 30_000, "<html>" * 20_000 + "<head>" * 20_000, "<svg><text>a</text>" * 8000, "<table><tr><td>" * 8000], ids=range(11))
+def test_hostile_pages_take_linear_time(page):
+    start = time.time()
+    assert len(htmltext.render(page)) < 20 * len(page)
+    assert time.time() - start < 3
+
+
+def test_html_equals_brute_force():
+    """Random trees are written as markup, end tags left out where that is allowed; the words on screen come from the tree."""
+    r = random.Random(8)
+    inline, flow, ids = ["b", "i", "span", "a", "em"], ["div", "section", "p", "ul", "table", "blockquote", "h2"], iter(range(10**9))
+    off = [" hidden", ' style="display:none"', " style='color:red;visibility:hidden'"]
+    shown = ["", "", ' class="hidden"', ' title="x > hidden <b>"', " data-hidden=1"]
+
+    def leaf(seen, out):
+        w = f"w{next(ids)}"
+        out.extend([w] * seen)
+        return w + r.choice([" ", "\n", " <!-- no --> ", "<script>no</script> ", "<wbr> "])
+
+    def node(depth, seen, out, phrasing=False):
+        if depth == 0 or r.random() < 0.3:
+            return leaf(seen, out)
+        attributes = r.choice(shown)
+        if r.random() < 0.15:
+            attributes, seen = r.choice(off), False
+        name = r.choice(inline if phrasing else inline + flow)
+        if name == "ul":
+            return f"<ul{attributes}>" + "".join(f"<li>{many(depth - 1, seen, out)}{r.choice(['</li>', ''])}" for _ in range(r.randint(1, 3))) + "</ul>"
+        if name == "table":
+            rows = r.randint(1, 3)
+            return f"<table{attributes}>" + "".join(f"<tr>{''.join(f'<td>{many(depth - 1, seen, out)}' + r.choice(['</td>', '']) for _ in range(2))}{r.choice(['</tr>', ''])}" for _ in range(rows)) + "</table>"
+        inner = many(depth - 1, seen, out, phrasing or name in inline or name in ("p", "h2"))
+        # a paragraph's end may be left out where a block follows, which the next piece then is
+        return f"<{name}{attributes}>{inner}" + ("<div></div>" if name == "p" and r.random() < 0.5 else f"</{name}>")
+
+    def many(depth, seen, out, phrasing=False):
+        return "".join(node(depth, seen, out, phrasing) for _ in range(r.randint(1, 3)))
+
+    for _ in range(400):
+        want = []
+        page = many(4, True, want)
+        assert re.findall(r"w\d+", htmltext.render(page)) == want, page
+
+
+def test_html_extract(spark):
+    rows = [(1, "<p>a", "x"), (2, None, "x"), (3, "", "x"), (1, "<p>a", "x"), (None, "<b>é", None)]
+    pages = spark.createDataFrame(rows, "id long, text string, __html string")
+    got = htmltext.extract(pages, "text", ["id", "text", "__html"])
+    assert got.columns == ["id", "__html", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "x", "a"), (2, "x", ""), (3, "x", ""), (1, "x", "a"), (None, None, "é")], key=str)
+    assert htmltext.extract(pages.limit(0), "text", []).count() == 0
+
+
 def test_token_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
