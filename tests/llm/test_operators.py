@@ -282,6 +282,30 @@ def test_trees_on_held_out_examples():
         assert (p & y).sum() >= 0.95 * p.sum() and (p & y).sum() >= 0.8 * y.sum()
 
 
+def test_formats_beyond_the_written_examples():
+    personal = ["john (at) mail.com", "jane.doe [at] example [dot] org", "john at mail dot com", "bob42(at)site.net", "info {at} firma.de", "2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "4111.1111.1111.1111", "4111/1111/1111/1111", "3782.822463.10005", "(555) 123-4567", "555.123.4567", "01 23 45 67 89", "0171 2345 6789", "0049 171 2345678", "020 7946 0958", "0151/2345678"]
+    others = ["meet at noon. Then", "look at example.com", "arrived at 10.30", "12:30:45", "10:20:30:400", "2024-01-15", "15.01.2024", "978-3-16-148410-0", "1234567890123", "version 1.2.3.4567", "1000 2000 3000", "3.14159265", "4 : 3", "std::vector", "4111.1111.1111.1112", "123456789", "00:1b:44:11:3a:b7", "pages 1234-1250", "1914-1918", "at home dot dot"]
+    found, wrong = 0, 0
+    for lead in ("", "reach: ", "see "):
+        for t in personal:
+            text = f"foo bar. {lead}{t}, baz"
+            at = text.index(t)
+            found += any(s[0] == at and s[2] == at + len(t) for s in pii.find([text], pii.detector())[0][1])
+        wrong += sum(bool(pii.find([f"foo bar. {lead}{t}, baz"], pii.detector())[0][1]) for t in others)
+    assert found >= 0.85 * 3 * len(personal) and wrong <= 0.05 * 3 * len(others)
+
+
+def test_pii_with_clashing_columns(spark):
+    rows = [(1, "a.b@c.de", "x", 5, None), (1, "a.b@c.de", "x", 5, None), (None, None, None, None, "y")]
+    docs = spark.createDataFrame(rows, "spans long, text string, redacted string, n_email long, `__k0.x` string")
+    got = pii.redact(docs, "text")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([(1, "[EMAIL]", "x", 5, None)] * 2 + [rows[2]], key=str)
+    found = pii.annotate(docs, "text", docs.columns)
+    assert found.columns == ["text", "__k0.x", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted"]
+    assert found.where("n_email = 1 and spans = 'email:0:8'").count() == 2
+    assert pii.redact(docs.limit(0), "text").count() == 0 and pii.annotate(docs.limit(0), "text", []).count() == 0
+
+
 def test_urls(spark):
     urls = [None, "x", "http://A.Org", "https://example.org/es/1?a", "http://b.example.org/en/12#x", "http://q.com/fr/", "http://q.com/de/1", "http://q.net/zz/1"]
     pages = spark.createDataFrame([(k, u, "z") for k, u in enumerate(urls)], "page_id long, url string, host string")
