@@ -1 +1,3 @@
-"""quillstone: structured text corpora as Spark DataFrames."""
+"""Documents, their structure and their history as Spark tables."""
+
+__version__ = "0.2.0"

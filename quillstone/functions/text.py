@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ FORMATS = {
     "wiki": "mediawiki", "mediawiki": "mediawiki",
 }
 SENTENCE = r"[^.!?]+[.!?]*\s*|[.!?]+\s*"
+#: The same for Python, with white space as Java takes it.
+SENTENCE_PATTERN = re.compile(SENTENCE, re.A)
 WORD = r"[\p{L}\p{N}]+"
 
 

@@ -12,10 +12,13 @@ PREDICATES = ("quotes", "references", "summarizes", "derives_from", "translates"
 
 
 def occurrences(text: Column, quote: Column) -> Column:
-    """Character offsets of the non-overlapping occurrences, from the lengths of the pieces between them."""
+    """Character offsets of the non-overlapping occurrences, from the lengths of the pieces between them; one pass over the text."""
     pieces = F.split(text, F.concat(F.lit(r"\Q"), quote, F.lit(r"\E")), -1)
-    sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p))
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * F.length(quote))
+    # offsets as text: strings grow in place of an array that each step would copy
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("s"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length(quote)).alias("at"), F.concat(a["s"], F.lit(" "), (a["at"] + F.length(p)).cast("string")).alias("s"))
+    found = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), state, step, lambda a: F.ltrim(a["s"]))
+    return F.when(F.size(pieces) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.split(found, " "), lambda x: x.cast("int")))
 
 
 def anchor_status(text: Column, start: Column, end: Column, quote: Column) -> Column:
@@ -29,8 +32,38 @@ def stale(edges: DataFrame, versions: DataFrame) -> DataFrame:
     return edges.join(versions, "target_id").where("status = 'live' and version_at_include < version")
 
 
-def rejected(predicate: Column, source: Column, target: Column) -> Column:
-    return F.when(~predicate.isin(*PREDICATES), "INVALID_PREDICATE").when(source == target, "SELF_EDGE")
+def create(requests: DataFrame, nodes: DataFrame, now: Column, predicates: tuple[str, ...] = PREDICATES) -> tuple[DataFrame, DataFrame]:
+    """Edges and rejects of requests (source_id, target_id, predicate).
+
+    An edge keeps its target's version. A predicate beyond the list is INVALID_PREDICATE, an end that is no node is
+    NODE_NOT_FOUND, and an edge from a node to itself is SELF_EDGE; of several faults the first of these is named.
+    """
+    end = lambda side: nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("doc_id").alias(f"{side}_doc"), F.col("version").alias(f"{side}_version"))
+    rows = requests.join(end("source"), "source_id", "left").join(end("target"), "target_id", "left")
+    error = F.when(~F.coalesce(F.col("predicate").isin(*predicates), F.lit(False)), "INVALID_PREDICATE").when(F.col("source_version").isNull() | F.col("target_version").isNull(), "NODE_NOT_FOUND").when(F.col("source_id") == F.col("target_id"), "SELF_EDGE")
+    rows = rows.withColumn("error", error)
+    made = rows.where("error is null").select(
+        F.sha2(F.concat_ws("|", "source_id", "predicate", "target_id"), 256).alias("edge_id"), "predicate", "source_id", "source_doc", "target_id", "target_doc",
+        F.col("target_version").alias("version_at_include"), F.lit("live").alias("status"), now.alias("created_at"),
+    )
+    return made, rows.where("error is not null").select("source_id", "target_id", "predicate", "error")
+
+
+def by_source(edges: DataFrame, node_id: object) -> DataFrame:
+    return edges.where(F.col("source_id") == F.lit(node_id))
+
+
+def by_target(edges: DataFrame, node_id: object) -> DataFrame:
+    return edges.where(F.col("target_id") == F.lit(node_id))
+
+
+def refreshed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with their present status: a live one is orphaned if its target is gone or deleted, and stale if that is newer."""
+    now = nodes.select(F.col("node_id").alias("target_id"), F.col("version").alias("__version"), (F.col("status") == "deleted").alias("__gone"))
+    both = edges.join(now, "target_id", "left")
+    gone = F.coalesce(F.col("__gone"), F.lit(True))
+    status = F.when(F.col("status") != "live", F.col("status")).when(gone, "orphaned").when(F.col("__version") > F.col("version_at_include"), "stale").otherwise("live")
+    return both.withColumn("status", status).select(edges.columns)
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -1,12 +1,20 @@
-"""Phrase search with BM25 over sentences or blocks."""
+"""Phrase search with BM25 over sentences or blocks, by plain words or by stems, and over a stored index."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from quillstone.functions import stemming
 from quillstone.functions import text as T
 
+#: What a search returns when no number is given.
+MOST_HITS = 50
+
 
 def phrase_frequency(tokens: Column, phrase: list[str]) -> Column:
     """Occurrences of consecutive tokens, overlapping ones included.
@@ -21,15 +29,90 @@ def phrase_frequency(tokens: Column, phrase: list[str]) -> Column:
 def bm25(nodes: DataFrame, text: str, phrase: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """All rows with the phrase and their score (lower is better). Corpus statistics are one partial aggregate."""
     rows = nodes.withColumn("__t", T.tokens(F.col(text)))
-    rows = rows.withColumns({"__len": F.size("__t"), "__f": phrase_frequency(F.col("__t"), phrase)}).drop("__t")
+    return scored(rows.withColumns({"__len": F.size("__t"), "__f": phrase_frequency(F.col("__t"), phrase)}).drop("__t"), k1, b)
+
+
+def scored(rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Rows with __len and __f (words, and how often the phrase is there) to those with the phrase, frequency and score."""
     stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), F.count_if(F.col("__f") > 0).alias("__df"))
     # one row by construction, so the broadcast has a fixed size
-    scored = rows.where("__f > 0").join(F.broadcast(stats), F.lit(True))
+    hits = rows.where("__f > 0").join(F.broadcast(stats), F.lit(True))
     idf = F.greatest(F.log((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)), F.lit(1e-6))
     score = -idf * (F.col("__f") * (k1 + 1)) / (F.col("__f") + k1 * (1 - b + b * F.col("__len") / F.col("__avg")))
-    return scored.withColumn("score", F.round(score, 6)).withColumnRenamed("__f", "frequency").drop("__len", "__n", "__avg", "__df")
+    return hits.withColumn("score", F.round(score, 6)).withColumnRenamed("__f", "frequency").drop("__len", "__n", "__avg", "__df")
 
 
 def highlight(text: Column, phrase: list[str]) -> Column:
     pattern = r"(?i)(?<![\p{L}\p{N}])(" + r"[^\p{L}\p{N}]+".join(phrase) + r")(?![\p{L}\p{N}])"
     return F.regexp_replace(text, pattern, "<mark>$1</mark>")
+
+
+def sanitized(query: str) -> list[str]:
+    """A user's query is always one phrase: its terms in order, quotes and operators being no part of a term."""
+    return stemming.terms(query)
+
+
+def with_terms(nodes: DataFrame, text: str, name: str = "terms") -> DataFrame:
+    """Add the stemmed terms, joined by blanks. Every other column passes through an Arrow batch untouched."""
+    schema = StructType([*nodes.schema.fields, StructField(name, StringType())])
+    at = nodes.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [" ".join(stemming.terms(t)) if t else "" for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], schema.names)
+
+    return nodes.mapInArrow(run, schema)
+
+
+def build_index(nodes: DataFrame) -> DataFrame:
+    """What a search reads: doc_id, node_id, node_type, status and terms. Store it beside the nodes; it is made per row."""
+    status = "status" if "status" in nodes.columns else F.lit("active").alias("status")
+    return with_terms(nodes.select("doc_id", "node_id", "node_type", status, "text"), "text").drop("text")
+
+
+def search(index: DataFrame, query: str, doc_id: object = None, k: int = MOST_HITS, level: str | None = None, all_statistics: bool = False) -> DataFrame:
+    """doc_id, node_id, node_type, frequency and score of the k best active nodes that hold the query as a phrase of stems.
+
+    Number, length and frequency of nodes are taken over the active nodes of the level, or over all rows whatever their
+    status and level with `all_statistics`; a document's scope limits the hits, not the statistics. A query without a term
+    has no hit; k of 0 or less is the default.
+    """
+    phrase = sanitized(query)
+    active = F.col("status") == "active"
+    chosen = active if level is None else active & (F.col("node_type") == level)
+    rows = index if all_statistics else index.where(chosen)
+    words = F.split("terms", " ")
+    size = F.when(F.col("terms") == "", 0).otherwise(F.size(words))
+    frequency = phrase_frequency(words, phrase) if phrase else F.lit(0).cast("long")
+    hits = scored(rows.withColumns({"__len": size, "__f": frequency}).drop("terms")).where(chosen)
+    if doc_id is not None:
+        hits = hits.where(F.col("doc_id") == F.lit(doc_id))
+    return hits.select("doc_id", "node_id", "node_type", "frequency", "score").orderBy("score", "doc_id", "node_id").limit(k if k > 0 else MOST_HITS)
+
+
+def marked(text: str, phrase: list[str]) -> str:
+    """The text with each run of words whose stems are the phrase between marks; runs do not overlap."""
+    spans, n = stemming.term_spans(text), len(phrase)
+    out, at, k = [], 0, 0
+    while n and k + n <= len(spans):
+        if [t for t, _, _ in spans[k : k + n]] == phrase:
+            start, end = spans[k][1], spans[k + n - 1][2]
+            out += [text[at:start], "<mark>", text[start:end], "</mark>"]
+            at, k = end, k + n
+        else:
+            k += 1
+    return "".join([*out, text[at:]])
+
+
+def snippets(hits: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
+    """Hits with the snippet: the node's text with the phrase marked. There are at most k hits."""
+    phrase = sanitized(query)
+    rows = hits.join(nodes.select("node_id", "text"), "node_id")
+    schema = StructType([*rows.schema.fields[:-1], StructField("snippet", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([marked(t or "", phrase) for t in b.columns[-1].to_pylist()], pa.string())], schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where each table that shared_table returned lies.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset, one under the warehouse."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, one under the warehouse.
+
+    A warehouse on a machine's own disk will do only where driver and executors are one process.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_quillstone"
+    if named:
+        return named
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), spark.sparkContext.master
+    local = master.startswith("local") and not master.startswith("local-cluster")
+    if not local and (warehouse.startswith(("file:", "/")) or ":" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_quillstone"
 
 
 def shared_table(df: DataFrame, tag: str) -> DataFrame:
@@ -18,13 +31,27 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a table of shared_table that no later step reads; any other DataFrame is left alone."""
+    path = _PLACES.pop(table, None)
+    if path:
+        delete(table.sparkSession, path)
 
 
 def drop_shared_tables(spark: SparkSession) -> None:
     """Delete what shared_table wrote in this application; call it once the results are stored."""
+    delete(spark, f"{shared_folder(spark)}/*-{spark.sparkContext.applicationId}-*")
+    _PLACES.clear()
+
+
+def delete(spark: SparkSession, pattern: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/*-{spark.sparkContext.applicationId}-*")
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for found in fs.globStatus(path) or []:
         fs.delete(found.getPath(), True)

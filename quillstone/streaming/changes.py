@@ -3,10 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from quillstone.api import Workspace
+
+#: Events between two order-preserving cuts of a log; a day of them is ordered by many tasks.
+BUCKET_SECONDS = 3600
+
+
+def classify(kind: Column) -> Column:
+    """What a change event means for its file: modified, removed, or null where it says nothing of the content."""
+    low = F.lower(kind)
+    return F.when(low.isin("create", "modify", "created", "modified", "write"), "modified").when(low.isin("remove", "delete", "removed", "deleted"), "removed")
+
 
 def coalesce_changes(events: DataFrame, path: str, kind: str, ts: str, tie: str) -> DataFrame:
     """The last event of each path, as one partial aggregate."""
@@ -26,8 +39,52 @@ def debounce(events: DataFrame, ts: str, tie: str, seconds: float) -> DataFrame:
     return rows.withColumn("batch", F.sum("__new").over(day).cast("long")).drop("__new")
 
 
-def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
-    """A streaming query that hands each batch of new text files, unchanged contents removed, to `sink`."""
-    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.sha2("value", 256).alias("import_hash"))
-    return rows.dropDuplicates(["path", "import_hash"]).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def debounced(events: DataFrame, ts: str, tie: str, seconds: float) -> DataFrame:
+    """Batch number of each event over the whole log, from 1: a gap of `seconds` or more starts a new batch.
+
+    Events are ordered within hours; an hour's first event is compared with the last one before it, and batches are
+    counted on from the hours' own numbers, of which there are few. So midnight ends nothing, and no task orders a day.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.withColumn("__at", at).withColumn("__hour", F.floor(F.col("__at") / (BUCKET_SECONDS * 1_000_000)))
+    inside = Window.partitionBy("__hour").orderBy("__at", tie)
+    rows = rows.withColumn("__gap", F.col("__at") - F.lag("__at").over(inside))
+    hours = rows.groupBy("__hour").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.count_if(F.col("__gap") >= seconds * 1e6).alias("breaks"))
+    along = Window.orderBy("__hour")
+    starts = F.coalesce((F.col("first") - F.lag("last").over(along) >= seconds * 1e6).cast("long"), F.lit(1).cast("long"))
+    hours = hours.withColumn("starts", starts).withColumn("total", F.sum(F.col("starts") + F.col("breaks")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    hours = hours.select("__hour", (F.col("total") - F.col("breaks")).alias("before"))
+    rows = rows.withColumn("__n", F.sum(F.coalesce((F.col("__gap") >= seconds * 1e6).cast("long"), F.lit(0))).over(inside))
+    return rows.join(hours, "__hour").withColumn("batch", F.col("before") + F.col("__n")).select(*events.columns, "batch")
+
+
+def unchanged_dropped(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files (path, import_hash) whose content is not the one that is known for their path."""
+    return files.join(known.select("path", "import_hash"), ["path", "import_hash"], "left_anti")
+
+
+def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):  # noqa: ANN201
+    """A streaming query that hands each batch of files to `sink`: path, content and import_hash.
+
+    Which files were seen is kept by the source's own log; a batch holds a file once, with its last content. No state
+    grows beside that: the sink knows what is stored. A file that goes away says nothing. `stop()` ends the query.
+    """
+    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("allowOverwrites", True)
+    rows = source.schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+
+    def batch(some: DataFrame, number: int) -> None:
+        last = some.groupBy("path").agg(F.max_by("content", "modificationTime").alias("content"))
+        sink(last.withColumn("import_hash", F.sha2("content", 256)), number)
+
+    query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if once else query.trigger(processingTime="500 milliseconds")).start()
+
+
+def ingest_stream(workspace: Workspace, folder: str, checkpoint: str, once: bool = True):  # noqa: ANN201
+    """Take in a folder as its files come and change; a file whose content is known is passed over."""
+    from quillstone.sources import files
+
+    def sink(batch: DataFrame, number: int) -> None:
+        workspace.ingest_frame(files.described(batch.select("path", "content")), True).count()
+
+    return watch(workspace.spark, folder, sink, checkpoint, once)
