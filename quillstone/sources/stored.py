@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where each table that shared_table returned lies.
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Every folder that was written and not deleted yet.
+_WRITTEN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +36,17 @@ def shared_table(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[out] = path
+    _WRITTEN.add(path)
+    return out
+
+
+def shared_result(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """Store what `make` returns, then delete the tables that it stored on the way."""
+    spark, before = SparkSession.active(), set(_WRITTEN)
+    out = shared_table(make(), tag)
+    for path in sorted(_WRITTEN - before - {_PLACES[out]}):
+        _WRITTEN.discard(path)
+        delete(spark, path)
     return out
 
 
@@ -40,6 +54,7 @@ def drop_table(table: DataFrame) -> None:
     """Delete a table of shared_table that no later step reads; any other DataFrame is left alone."""
     path = _PLACES.pop(table, None)
     if path:
+        _WRITTEN.discard(path)
         delete(table.sparkSession, path)
 
 
@@ -47,6 +62,7 @@ def drop_shared_tables(spark: SparkSession) -> None:
     """Delete what shared_table wrote in this application; call it once the results are stored."""
     delete(spark, f"{shared_folder(spark)}/*-{spark.sparkContext.applicationId}-*")
     _PLACES.clear()
+    _WRITTEN.clear()
 
 
 def delete(spark: SparkSession, pattern: str) -> None:
