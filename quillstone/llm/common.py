@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quillstone.sources.stored import drop_shared_tables, shared_folder, shared_table  # noqa: F401
+from quillstone.sources.stored import drop_shared_tables, drop_table, shared_folder, shared_result, shared_table  # noqa: F401
 
 #: Arrow batches are cut by Spark at this many bytes, so that very long texts stay within a worker's memory.
 BATCH_BYTES = 32 << 20
