@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillstone.functions import stemming
 from quillstone.functions import text as T
+from quillstone.sources.stored import shared_table
 
 #: What a search returns when no number is given.
 MOST_HITS = 50
@@ -33,10 +34,14 @@ def bm25(nodes: DataFrame, text: str, phrase: list[str], k1: float = 1.2, b: flo
 
 
 def scored(rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Rows with __len and __f (words, and how often the phrase is there) to those with the phrase, frequency and score."""
-    stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), F.count_if(F.col("__f") > 0).alias("__df"))
-    # one row by construction, so the broadcast has a fixed size
-    hits = rows.where("__f > 0").join(F.broadcast(stats), F.lit(True))
+    """Rows with __len and __f (words, and how often the phrase is there) to those with the phrase, frequency and score.
+
+    The texts are read once: the hits are stored, and the corpus statistics are observed while that is done.
+    """
+    seen = Observation()
+    watched = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg"), F.count_if(F.col("__f") > 0).alias("df"))
+    hits = shared_table(watched.where("__f > 0"), "hits")
+    hits = hits.withColumns({f"__{c}": F.lit(x or 0) for c, x in seen.get.items()})
     idf = F.greatest(F.log((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)), F.lit(1e-6))
     score = -idf * (F.col("__f") * (k1 + 1)) / (F.col("__f") + k1 * (1 - b + b * F.col("__len") / F.col("__avg")))
     return hits.withColumn("score", F.round(score, 6)).withColumnRenamed("__f", "frequency").drop("__len", "__n", "__avg", "__df")
@@ -116,3 +121,48 @@ def snippets(hits: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([marked(t or "", phrase) for t in b.columns[-1].to_pylist()], pa.string())], schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+#: Words of the run by which a passage is looked for, and characters where it has too few words.
+RUN, LETTERS = 4, 3
+
+
+def run_keys(rows: DataFrame, words: Column, width: int) -> DataFrame:
+    """Add keys, the hashes of each run of `width` words. The words' hashes are a column, so that they are made once a row."""
+    rows = rows.withColumn("h", F.transform(words, lambda w: F.xxhash64(w)))
+    runs = F.transform(F.slice("h", 1, F.greatest(F.size("h") - width + 1, F.lit(0))), lambda h, k: F.xxhash64(h, *(F.get("h", k + j) for j in range(1, width))))
+    return rows.withColumn("keys", F.when(F.size("h") >= width, runs).otherwise(F.array().cast("array<bigint>"))).drop("h")
+
+
+def letter_keys(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """Add keys, the hashes of each run of `width` characters."""
+    last = F.length(text) - width + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.xxhash64(F.lit("letters"), F.substring(text, k, F.lit(width))))
+    return rows.withColumn("keys", F.when(last > 0, runs).otherwise(F.array().cast("array<bigint>")))
+
+
+def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id, text and quote where a document (doc_id, text) holds a passage (item_id, quote); an empty one is held by none.
+
+    A passage's inner words, without the first and the last, are whole words of the text as well, so a run of them is a
+    key; one with too few words goes by its letters. Hashes and ids are joined, and the texts of the candidates are
+    fetched once and looked at. Each passage has one key, so no side grows with the other.
+    """
+    words = T.tokens(F.col("quote"))
+    inner = passages.where("quote <> ''").withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    inner = inner.withColumn("width", F.least(F.size("inner"), F.lit(RUN))).withColumn("letters", F.when(F.col("width") == 0, F.least(F.length("quote"), F.lit(LETTERS))).otherwise(0))
+    # a row for each width there is: RUN and LETTERS of them at most
+    kinds = [tuple(r) for r in inner.select("width", "letters").distinct().collect()]
+    out = None
+    for width, letters in sorted(kinds):
+        some = inner.where((F.col("width") == width) & (F.col("letters") == letters)).select("item_id", "inner", "quote")
+        texts = documents.select("doc_id", "text")
+        wanted = run_keys(some, F.col("inner"), width) if width else letter_keys(some, "quote", letters)
+        held = run_keys(texts, T.tokens(F.col("text")), width) if width else letter_keys(texts, "text", letters)
+        wanted = wanted.select("item_id", F.get("keys", 0).alias("key"))
+        found = held.select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).join(wanted, "key").select("doc_id", "item_id")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return documents.select("doc_id", F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id"), "text", F.lit("").alias("quote")).where("false")
+    out = out.distinct().join(passages.select("item_id", "quote"), "item_id").join(documents.select("doc_id", "text"), "doc_id")
+    return out.where(F.contains("text", "quote")).select("doc_id", "item_id", "text", "quote")

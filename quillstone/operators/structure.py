@@ -14,19 +14,37 @@ def blocks(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(lines).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("long").alias("block"), "text")
 
 
+#: Sentences whose ends are summed in one array; longer blocks are summed in such parts.
+PART = 128
+
+
+def running(sizes: Column, start: Column) -> Column:
+    """The sums of an array up to each element."""
+    return F.aggregate(sizes, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), start) + x)))
+
+
 def sentences(block_rows: DataFrame) -> DataFrame:
     """Sentence spans of blocks in UTF-8 bytes: doc_id, block, n, char_start, char_end, text. Spans are contiguous.
 
-    Offsets are a running sum inside the block's own array, so nothing is shuffled.
+    Offsets are running sums inside the block's own array, part by part, so nothing is shuffled.
     """
-    parts = F.regexp_extract_all("text", F.lit(T.SENTENCE), 0)
-    rows = block_rows.select("doc_id", "block", parts.alias("s"))
-    sizes = F.transform("s", lambda x: F.octet_length(x).cast("long"))
-    ends = F.aggregate(sizes, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
-    rows = rows.select("doc_id", "block", "s", ends.alias("e")).select("doc_id", "block", F.posexplode(F.arrays_zip("s", "e")).alias("p", "x"))
+    rows = block_rows.select("doc_id", "block", F.regexp_extract_all("text", F.lit(T.SENTENCE), 0).alias("s"))
+    rows = rows.withColumn("z", F.transform("s", lambda x: F.octet_length(x).cast("long")))
+    rows = rows.withColumn("z", F.transform(F.sequence(F.lit(0), F.greatest(F.size("z") - 1, F.lit(0)), F.lit(PART)), lambda k: F.slice("z", k + 1, PART)))
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("t", running(F.transform("z", lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero))
+    rows = rows.withColumn("e", F.flatten(F.transform("z", lambda p, k: running(p, F.coalesce(F.get("t", k - 1), zero)))))
+    rows = rows.select("doc_id", "block", F.posexplode(F.arrays_zip("s", "e")).alias("p", "x"))
     return rows.select("doc_id", "block", (F.col("p") + 1).cast("long").alias("n"), (F.col("x.e") - F.octet_length("x.s")).alias("char_start"), F.col("x.e").alias("char_end"), F.col("x.s").alias("text"))
 
 
+def document_sentences(documents: DataFrame) -> DataFrame:
+    """doc_id and s, all sentences of a document in order; the order is the array's, so nothing is shuffled."""
+    lines = F.filter(F.split(T.normalize_text(F.col("text")), "\n"), lambda x: x.rlike(r"\S"))
+    found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(T.SENTENCE), 0)))
+    return documents.select("doc_id", found.alias("s"))
+
+
 def headings(pages: DataFrame) -> DataFrame:
     """page_id, position, level and title of h1 to h6."""
     found = F.regexp_extract_all("html", F.lit(r"(?s)<h[1-6][^>]*>.*?</h[1-6]>"), 0)

@@ -218,10 +218,10 @@ def highlight(spark, sf_dir):
 
 
 def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage. benchmark is a fixed list of passages; Spark checks its size before it broadcasts."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), F.element_at(T.tokens(F.col("text")), 1).alias("w"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
-    return d.join(b, "w").where(F.contains("text", "quote")).drop("w").withColumn("at", (F.expr("instr(text, quote)") - 1).cast("int"))
+    """Documents that hold a benchmark passage, with the place of its first character."""
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = search.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), passages)
+    return found.withColumn("at", (F.expr("instr(text, quote)") - 1).cast("int"))
 
 
 @query(f"WITH {QUOTED} SELECT doc_id, item_id, pos::INT AS char_start, (pos + length(quote))::INT AS char_end FROM q")
@@ -332,20 +332,18 @@ def activities_filter(spark, sf_dir):
 NUMBERED = f"{SENTENCES}, numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, n) AS k, text FROM sentences)"
 
 
-def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.sentences(blocks_of(spark, sf_dir))
-    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("block", "n")).cast("long").alias("k"), "text")
-
-
 @query(f"WITH {NUMBERED} SELECT doc_id, string_agg('§' || k || ' ' || text, '' ORDER BY k) AS marked FROM numbered GROUP BY doc_id")
 def markers(spark, sf_dir):
-    rows = numbered(spark, sf_dir).withColumn("text", F.concat(F.lit("§"), F.col("k").cast("string"), F.lit(" "), "text"))
-    return rows.groupBy("doc_id").agg(structure.ordered_text("text", "k", "").alias("marked"))
+    """A document's sentences with their numbers, joined in the row."""
+    rows = structure.document_sentences(table(spark, sf_dir, "documents")).where(F.size("s") > 0)
+    numbered = F.transform("s", lambda x, k: F.concat(F.lit("§"), (k + 1).cast("string"), F.lit(" "), x))
+    return rows.select("doc_id", F.array_join(numbered, "").alias("marked"))
 
 
 @query(f"WITH {NUMBERED} SELECT doc_id, k AS marker, sha256({TRIM.format('text')}) AS hash FROM numbered")
 def marker_map(spark, sf_dir):
-    return numbered(spark, sf_dir).select("doc_id", F.col("k").alias("marker"), T.structural_hash(F.col("text")).alias("hash"))
+    rows = structure.document_sentences(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("s").alias("p", "x"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("marker"), T.structural_hash(F.col("x")).alias("hash"))
 
 
 @query(f"WITH {BLOCKS} SELECT doc_id, string_agg(text, chr(10) ORDER BY block) AS body FROM blocks GROUP BY doc_id")

@@ -201,6 +201,18 @@ def test_search_equals_sqlite(spark):
     assert search.search(search.build_index(gone), "dog", k=100, all_statistics=True).where("node_id = '1'").count() == 0
 
 
+def test_passages_of_any_length(spark):
+    r = random.Random(7)
+    letters = lambda n: "".join(r.choice("ab é.") for _ in range(n))
+    texts = [letters(r.randint(0, 60)) for _ in range(60)] + [None]
+    quotes = [letters(r.randint(0, 14)) for _ in range(40)] + [t[a : a + r.randint(1, 40)] for t in texts[:20] if t for a in [r.randrange(len(t))]]
+    want = sorted((d, i) for d, t in enumerate(texts) for i, q in enumerate(quotes) if t is not None and q and q in t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passages = lambda some: spark.createDataFrame(some, "item_id long, quote string")
+    assert sorted((x["doc_id"], x["item_id"]) for x in search.containing(docs, passages(list(enumerate(quotes)))).collect()) == want and len(want) > 20
+    assert search.containing(docs, passages([(1, "")])).count() == 0
+
+
 def test_annotations(spark):
     text = "Énd. The quick brown fox; the quick red fox."
     held = spark.createDataFrame([("d", "n1", text, 3), ("d", "n2", "other", 1)], "doc_id string, node_id string, text string, version int")
