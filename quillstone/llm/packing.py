@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillstone.llm.common import bound_batches, shared_table
-from quillstone.llm.tokens import encoder
+from quillstone.llm.common import bound_batches, col, shared_table
+from quillstone.llm.tokens import described, encoder_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -34,15 +34,16 @@ GROUP_ROWS = 1000
 def token_pieces(documents: DataFrame, text: str, keep: list[str], tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: `keep`, piece, start, length, ids_crc32 and, if asked for, the ids as little-endian bytes."""
     bound_batches(documents.sparkSession)
-    rows = documents.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = rows.drop("__text").schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    rows = documents.select(*(col(c) for c in keep), F.coalesce(col(text), F.lit("")).alias("__text"))
+    schema = StructType(rows.schema.fields[: len(keep)]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", "binary")
     tail = int(end_id).to_bytes(4, "little")
+    description = documents.sparkSession.sparkContext.broadcast(described(tokenizer))
     names = [f.name for f in schema]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder_of(description.value).encode
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, t in enumerate(b.column(len(keep)).to_pylist()):
@@ -196,5 +197,5 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
 
 def pack_documents(documents: DataFrame, text: str, doc_id: str, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize, cut and pack whole documents. The pieces are stored once, as their lengths are needed twice."""
-    pieces = token_pieces(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], tokenizer, capacity)
+    pieces = token_pieces(documents.select(col(doc_id).alias("doc_id"), col(text).alias("text")), "text", ["doc_id"], tokenizer, capacity)
     return pack(shared_table(pieces, "pieces"), "length", ("doc_id", "piece", "start", "ids_crc32"), capacity)

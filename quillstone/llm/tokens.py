@@ -1,15 +1,18 @@
-"""Token ids of whole texts with a public tokenizer, made word by word.
+"""Token ids of whole texts with a public tokenizer, made word by word where the tokenizer allows it.
 
-The tokenizer splits at white space before anything else, so a text's ids are those of its words in a row. Each worker
+A tokenizer that splits at white space before anything else gives a text the ids of its words in a row. Each worker then
 keeps the ids of common short words as bytes and asks the tokenizer for the others only. Texts in which that shortcut
-would not hold (special tokens' strings, control characters that Python alone takes for white space) are encoded whole.
+would not hold (special tokens' strings, control characters that Python alone takes for white space) are encoded whole,
+and so is every text if the tokenizer's own description is not the one that the shortcut was made for.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
+from pathlib import Path
 
 import numpy as np
 
@@ -19,12 +22,28 @@ LONGEST = 48
 WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
 
+#: What a description must say of splitting for the shortcut to hold: white space is one blank, case is lowered, and the
+#: pieces between blanks are runs of letters, single digits and other runs.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def wordwise(description: dict) -> bool:
+    """Whether the ids of a text are those of its words in a row."""
+    before, split = description.get("normalizer") or {}, (description.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    same = before.get("normalizers") == NORMALIZER and split[0].get("pattern") == {"Regex": PIECES} and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+    bytewise = len(split) == 2 and split[1].get("type") == "ByteLevel" and split[1].get("add_prefix_space") is False
+    special = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in description.get("added_tokens") or [])
+    return same and bytewise and special and description["model"].get("end_of_word_suffix") == "</w>" and description.get("post_processor") is None
+
+
 class WordEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, content: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(content)
+        self.wordwise = wordwise(json.loads(content))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Whether an id ends a word; a word of letters has exactly one such id, its last.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -33,7 +52,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if WHOLE.search(text):
+        if not self.wordwise or WHOLE.search(text):
             return self.whole([text])[0]
         words = text.split()
         found = list(map(self.kept.get, words))
@@ -74,7 +93,17 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def encoder_of(content: str) -> WordEncoder:
+    """The encoder of a tokenizer's description; a worker makes it once."""
+    if content not in _ENCODERS:
+        _ENCODERS[content] = WordEncoder(content)
+    return _ENCODERS[content]
+
+
+def described(path: str) -> str:
+    """A tokenizer's description, which the driver reads and sends to the workers."""
+    return Path(path).read_text(encoding="utf-8")
+
+
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return encoder_of(described(path))
