@@ -5,13 +5,17 @@ of the three dimensions have the target shares. The probability of a document is
 the tokens there are, times a factor that makes the expected sample as large as asked for, and 1 at most. A hash of the
 id decides, so that the same documents are drawn whatever the partitioning.
 
-The cells are the only thing that is gathered: there is one row for each combination of categories, whatever the number
-of documents, and the sweeps run on them in one partition without a shuffle. A hot source is summed by partial
-aggregation, and the join with the cells is left to Spark's own size check and skew handling.
+Sweeps are repeated until no dimension's sums are off their targets by more than `TOLERANCE`, or by no less than the time
+before, where cells that are missing make the targets contradict each other; `MOST_SWEEPS` end it in any case.
+
+There is one row for each combination of categories, whatever the number of documents. Up to `CELLS_AT_ONCE` of them are
+counted first and then swept in one task without a shuffle; beyond, each step is a grouped sum and a join on stored tables.
+Documents are summed by partial aggregation, and whether a table is small enough to be broadcast is Spark's to check.
 
 Defined cases: a null category counts as `unknown`; a null text has no tokens, and a cell without tokens keeps
-probability 0; repeated rows and equal ids get the same decision; an empty table gives an empty sample; a column `topic`
-of the input is used if `topic` names it, else topics come from `topic_of`.
+probability 0; repeated rows and equal ids get the same decision; an empty table gives an empty sample; a column of topics
+is used if `topic` names it, else a text's register stands in (`register_of`); other columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -19,10 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import shared_table
+from quillstone.llm.common import col, drop_table, shared_table
 
 DIMENSIONS = ("source", "lang", "topic")
-SWEEPS = 20
+TOLERANCE = 1e-12
+MOST_SWEEPS = 200
+#: Sweeps between two looks at the sums.
+LOOK = 5
+CELLS_AT_ONCE = 50_000
 #: Targets are the sizes to this power, made to sum to 1: large categories are lowered, small ones raised.
 TEMPER = 0.7
 #: The expected sample holds this share of all tokens.
@@ -34,8 +42,8 @@ def token_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")).cast("long")
 
 
-def topic_of(text: Column, tokens: Column) -> Column:
-    """A text's register stands in for a topic: brief notes, tables, lists, long and ordinary prose."""
+def register_of(text: Column, tokens: Column) -> Column:
+    """A text's register by its form: brief notes, tables, lists, long and ordinary prose."""
     lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n"))
     bars = F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[|]"))
     return F.when(tokens < 64, "brief").when(bars * 8 > tokens, "table").when(lines * 12 > tokens, "list").when(tokens >= 1000, "long").otherwise("prose")
@@ -43,36 +51,71 @@ def topic_of(text: Column, tokens: Column) -> Column:
 
 def measured(documents: DataFrame, text: str, source: str, lang: str, topic: str | None = None) -> DataFrame:
     """All columns of `documents` and __tokens, __source, __lang and __topic."""
-    unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    rows = documents.withColumns({"__tokens": token_count(F.col(text)), "__source": unknown(source), "__lang": unknown(lang)})
-    return rows.withColumn("__topic", unknown(topic) if topic else topic_of(F.col(text), F.col("__tokens")))
+    unknown = lambda c: F.coalesce(col(c).cast("string"), F.lit("unknown"))
+    rows = documents.withColumns({"__tokens": token_count(col(text)), "__source": unknown(source), "__lang": unknown(lang)})
+    return rows.withColumn("__topic", unknown(topic) if topic else register_of(col(text), F.col("__tokens")))
 
 
-def rake(rows: DataFrame, sweeps: int = SWEEPS, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
+def rake(rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
     """The cells: __source, __lang, __topic, tokens, weight and p."""
     keys = [f"__{d}" for d in DIMENSIONS]
-    cells = shared_table(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")).where("tokens > 0").coalesce(1), "cells").coalesce(1)
-    total = Window.partitionBy()
+    cells = shared_table(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")).where("tokens > 0"), "cells")
+    at_once = cells.count() <= CELLS_AT_ONCE
+    whole = cells
     for k in keys:
         per = cells.groupBy(k).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("s"))
-        shares = per.withColumn(f"{k}_target", F.col("s") / F.sum("s").over(total)).select(k, f"{k}_target")
-        cells = cells.join(F.broadcast(shares), k)
-    cells = shared_table(cells.withColumn("weight", F.col("tokens").cast("double")).coalesce(1), "targets").coalesce(1)
-    for sweep in range(sweeps):
+        total = per.agg(F.sum("s")).first()[0] or 1.0
+        whole = whole.join(per.select(k, (F.col("s") / total).alias(f"{k}_target")), k)
+    whole = stored(whole.withColumn("weight", F.col("tokens").cast("double")), at_once)
+    off = float("inf")
+    for _ in range(0, MOST_SWEEPS, LOOK):
+        before, last = whole, off
+        whole = swept(whole, keys, at_once)
+        drop_table(before)
+        off = deviation(whole, keys)
+        # where targets contradict each other, sweeps go on in a circle
+        if off <= TOLERANCE or off >= last:
+            break
+    # p = min(1, f * weight / tokens), where f makes the expected tokens the budget: what f would take whole, is
+    tokens, ratio = F.sum("tokens"), F.col("weight") / F.col("tokens")
+    wanted, f = budget * float(cells.agg(tokens).first()[0] or 0), 0.0
+    while True:
+        taken = ratio * f > 1
+        sums = whole.agg(F.sum(F.when(taken, F.col("tokens"))).alias("t"), F.sum(F.when(~taken, F.col("weight"))).alias("w")).first()
+        better = (wanted - (sums["t"] or 0)) / sums["w"] if sums["w"] else f
+        if better <= f:
+            break
+        f = better
+    return shared_table(whole.select(*keys, "tokens", "weight", F.round(F.least(F.lit(1.0), ratio * f), 6).alias("p")), "mix")
+
+
+def stored(cells: DataFrame, at_once: bool) -> DataFrame:
+    return shared_table(cells.coalesce(1) if at_once else cells, "sweep")
+
+
+def swept(cells: DataFrame, keys: list[str], at_once: bool) -> DataFrame:
+    """LOOK sweeps: in each, the weights are brought to the targets of one dimension after the other."""
+    if at_once:
+        cells = cells.coalesce(1)
+        for _ in range(LOOK):
+            for k in keys:
+                cells = cells.withColumn("weight", F.col("weight") * F.col(f"{k}_target") / F.sum("weight").over(Window.partitionBy(k)))
+        return stored(cells, True)
+    for _ in range(LOOK):
         for k in keys:
-            cells = cells.withColumn("weight", F.col("weight") * F.col(f"{k}_target") / F.sum("weight").over(Window.partitionBy(k)))
-        if sweep % 5 == 4 or sweep == sweeps - 1:
-            cells = shared_table(cells, "sweep").coalesce(1)
-    # p = min(1, f * weight / tokens), where f makes the expected tokens the budget: cells above f are taken whole
-    ratio = F.col("weight") / F.col("tokens")
-    above = Window.partitionBy().orderBy(ratio.desc(), *keys).rowsBetween(Window.unboundedPreceding, -1)
-    from_here = Window.partitionBy().orderBy(ratio.desc(), *keys).rowsBetween(0, Window.unboundedFollowing)
-    factor = (budget * F.sum("tokens").over(total) - F.coalesce(F.sum("tokens").over(above), F.lit(0))) / F.sum("weight").over(from_here)
-    cells = cells.withColumn("f", factor)
-    # the first cell, from the highest ratio down, that its own factor does not take whole
-    cells = cells.withColumn("f", F.min(F.when(F.col("f") * ratio <= 1, F.struct((-ratio).alias("r"), F.col("f").alias("f")))).over(total)["f"])
-    p = F.round(F.least(F.lit(1.0), F.coalesce(F.col("f") * ratio, F.lit(1.0))), 6)
-    return shared_table(cells.select(*keys, "tokens", "weight", p.alias("p")), "mix")
+            sums = cells.groupBy(k).agg(F.sum("weight").alias("w"))
+            before, cells = cells, stored(cells.join(sums, k).withColumn("weight", F.col("weight") * F.col(f"{k}_target") / F.col("w")).drop("w"), False)
+            drop_table(before)
+    return cells
+
+
+def deviation(cells: DataFrame, keys: list[str]) -> float:
+    """How far the sums are off their targets at most, in proportion."""
+    worst = 0.0
+    for k in keys:
+        sums = cells.groupBy(k).agg(F.sum("weight").alias("w"), F.first(f"{k}_target").alias("t"))
+        worst = max(worst, sums.agg(F.max(F.abs(F.col("w") / F.col("t") - 1))).first()[0] or 0.0)
+    return worst
 
 
 def uniform(doc_id: Column) -> Column:
@@ -83,7 +126,7 @@ def uniform(doc_id: Column) -> Column:
 def sample(rows: DataFrame, cells: DataFrame, doc_id: str) -> DataFrame:
     """The drawn rows of measured documents with __p; cells is small by construction, and Spark checks its size."""
     keys = [f"__{d}" for d in DIMENSIONS]
-    return rows.join(cells.select(*keys, F.col("p").alias("__p")), keys).where(uniform(F.col(doc_id)) < F.col("__p"))
+    return rows.join(cells.select(*keys, F.col("p").alias("__p")), keys).where(uniform(col(doc_id)) < F.col("__p"))
 
 
 def mix(documents: DataFrame, text: str, doc_id: str, source: str, lang: str, topic: str | None = None, budget: float = BUDGET) -> DataFrame:

