@@ -38,18 +38,66 @@ def test_language(spark):
     got = {x["doc_id"]: x for x in langid.predict(docs, model, "text", ["doc_id"]).collect()}
     assert all(got[k]["lang_pred"] == g for k, g in enumerate(langs))
     assert [got[90 + k]["lang_pred"] for k in range(3)] == ["und"] * 3
-    # a text's code length is the sum of its bytes' costs, looked up one at a time
-    data = np.frombuffer(texts[0].encode(), np.uint8)
-    states, bits = model.state_table(), 0.0
-    past = [0] * 4
-    for b in model.symbol[data]:
-        state = states[(past[0] << 18) | (past[1] << 12) | (past[2] << 6) | past[3]]
-        bits = bits + model.bits[state, b].astype(float)
-        past = [*past[1:], int(b)]
-    assert np.allclose(langid.code_lengths(model, states, data, np.array([0, len(data)]))[0], bits)
+    assert langid.predict(docs.limit(0), model, "text", ["doc_id"]).count() == 0
+    clash = langid.predict(docs.withColumnRenamed("kept", "lang_pred"), model, "text", ["doc_id", "lang_pred"])
+    assert clash.columns == ["doc_id", "lang_pred", "score"] and {r["lang_pred"] for r in clash.collect()} <= {"en", "fr", "de", "und"}
     assert langid.predict(docs, None, "text", ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_code_lengths_equal_a_tree_of_dictionaries(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice(c) for _ in range(r.randint(1, 40))) for c in ("ab é", "bcd ", "xyé日") for _ in range(12)]
+    langs = [g for g in ("p", "q", "r") for _ in range(12)]
+    for most in (10_000, 30):
+        model = langid.train(documents(spark, texts, langs), "text", "lang", "doc_id", max_contexts=most)
+        trees = {}
+        for g in ("p", "q", "r"):
+            tree = {}
+            for t in (t.encode() for t, h in zip(texts, langs, strict=True) if h == g):
+                for i in range(len(t)):
+                    for k in range(min(i, 4) + 1):
+                        tree.setdefault(t[i - k : i], {}).setdefault(t[i], [0])[0] += 1
+            size = {x: sum(n for n, in c.values()) for x, c in tree.items()}
+            ranked = sorted((n for x, n in size.items() if not x or n >= 2), reverse=True)
+            least = ranked[most] if len(ranked) > most else 0
+            trees[g] = {x: c for x, c in tree.items() if not x or (size[x] >= 2 and size[x] > least)}
+
+        def bits(tree, past, byte):
+            x, out = past, 0.0
+            while x not in tree:
+                x = x[1:]
+            while True:
+                n, d = sum(c for c, in tree[x].values()), len(tree[x])
+                if byte in tree[x]:
+                    return out + np.log2((n + d) / tree[x][byte][0])
+                out += np.log2((n + d) / d)
+                if not x:
+                    return out + 8
+                x = x[1:]
+
+        for t in [*texts[:3], "abc日xé", "zzz ab ÿ", "a" * 30]:
+            raw = t.encode()
+            want = [sum(bits(trees[g], raw[max(0, i - 4) : i], raw[i]) for i in range(len(raw))) for g in model.langs]
+            for piece in (1, 3, 7, 512):
+                got = langid.code_lengths(model, np.frombuffer(b"\x00" + raw + b"b", np.uint8), np.array([0, 1, 1 + len(raw), 2 + len(raw)]), piece)
+                assert np.allclose(got[1], want, atol=1e-3)
+
+
+def test_shingles_of_texts_cut_by_windows():
+    import pyarrow as pa
+
+    from quillstone.llm import shingles
+
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab é日. \n") for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, "", "x" * 500]
+    whole = shingles.shingle_sets(pa.array(texts))
+    for window in (1, 2, 3, 7, 64):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.shingle_sets(pa.array(texts), window=window), strict=True))
+    for t, s in zip(texts, whole, strict=True):
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        assert len(s) == (len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0)
+
+
 def test_html():
     page = '<title>no</title><p>a &amp; <b>b</b><p hidden>x<div style="display: none">y</div><ul><li>1<li>2<ul><li>3</ul></ul><table><tr><td>aa<td>b<tr><td>c<td>d</table><script>"</p>"</script><pre>p\n  q</pre>z'
     assert htmltext.render(page) == "a & b\n\n- 1\n- 2\n  - 3\n\naa | b\nc  | d\n\np\n  q\n\nz"
@@ -151,6 +199,13 @@ def test_token_ids_equal_the_tokenizer():
     for _ in range(3000):
         t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 20)))
         assert np.frombuffer(fast.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    # a tokenizer that keeps case gets no shortcut
+    other = json.loads(tokens.described(tokenizer_path()))
+    other["normalizer"]["normalizers"] = other["normalizer"]["normalizers"][:2]
+    plain, slow = Tokenizer.from_str(json.dumps(other)), tokens.encoder_of(json.dumps(other))
+    assert fast.wordwise and not slow.wordwise
+    for t in ("Word  word.", "A b\nC"):
+        assert np.frombuffer(slow.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(spark):
@@ -373,7 +428,7 @@ def test_url_templates_equal_brute_force(spark):
     assert urlfilter.judge(frame.limit(0), "url", ["page_id"]).count() == 0
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     docs = documents(spark, [None, "", *(words(30 + k % 3 * 300, k) for k in range(120))], ["en" if k % 4 else None for k in range(122)])
     rows = mixing.measured(docs, "text", "source", "lang")
     cells = mixing.rake(rows).collect()
@@ -384,6 +439,17 @@ def test_mixing(spark):
     for s, n in sizes.items():
         want = n**0.7 / sum(v**0.7 for v in sizes.values())
         assert abs(sum(c["weight"] for c in cells if c["__source"] == s) / total - want) < 1e-3
+    # the way for many cells gives the same
+    want = {(c["__source"], c["__lang"], c["__topic"]): (c["weight"], c["p"]) for c in cells}
+    monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 0)
+    for c in mixing.rake(rows).collect():
+        w, p = want[c["__source"], c["__lang"], c["__topic"]]
+        assert abs(c["weight"] / w - 1) < 1e-9 and abs(c["p"] - p) <= 1e-6
+    monkeypatch.undo()
+    assert abs(sum(c["tokens"] * c["p"] for c in cells) / sum(c["tokens"] for c in cells) - 0.5) < 1e-3 and max(c["p"] for c in cells) <= 1
+    # targets that contradict each other, as each source has a language of its own
+    apart = docs.withColumn("lang", F.col("source"))
+    assert 0 < mixing.mix(apart, "text", "doc_id", "source", "lang").count() < 122
     drawn = mixing.mix(docs, "text", "doc_id", "source", "lang").collect()
     assert 0 < len(drawn) < 122 and len({r["doc_id"] for r in drawn}) == len(drawn)
     assert mixing.mix(docs.limit(0), "text", "doc_id", "source", "lang").count() == 0
@@ -472,3 +538,29 @@ def test_chat(spark):
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = sorted((r["conv_id"], r["part"], r["n_turns"], r["n_same"]) for r in chat.render(rows, "conv_id", "turn", "role", "text").collect())
     assert got == [(2, 0, 3, 2), (4, 0, 2, 1), (5, 0, 1, 1), (6, 0, 600, 1), (6, 1, 600, 1), (6, 2, 600, 1), (7, 0, 1, 1)]
+
+
+def test_chat_equals_brute_force(spark):
+    r = random.Random(13)
+    talks = {}
+    for c in range(120):
+        base = list(talks[r.randrange(c)]) if c and r.random() < 0.6 else []
+        base = base[: r.randint(0, len(base))] + [(r.choice(["user", "bot", None]), r.choice(["a", "b", None, "", "<|end|>\n"])) for _ in range(r.randint(0, 3))]
+        talks[c] = base or [("user", "a")]
+    rows = [(c, k, g, t, "x", 1) for c, some in talks.items() for k, (g, t) in enumerate(some)]
+    rows += [(500, None, "user", "n"), (500, 1, "user", "m"), (500, 1, "user", "m"), (500, 1, "bot", "m"), (None, 0, "user", "a")]
+    rows = [(*x, "x", 1)[:6] for x in rows]
+    r.shuffle(rows)
+    turns = {}
+    for c, k, g, t, *_ in rows:
+        if c is not None:
+            turns.setdefault(c, []).append((k is not None, k or 0, g or "unknown", t or ""))
+    whole = {c: [(g, t) for _, _, g, t in sorted(some)] for c, some in turns.items()}
+    want = set()
+    for c, own in whole.items():
+        same = [d for d, other in whole.items() if other == own]
+        if c == min(same) and not any(len(other) > len(own) and other[: len(own)] == own for other in whole.values()):
+            want.add((c, 0, len(own), len(same), "".join(f"<|{g}|>\n{t}\n<|end|>\n" for g, t in own)))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, c string, h1 int")
+    assert {tuple(x) for x in chat.render(table, "conv_id", "turn", "role", "text").collect()} == want and len(want) < len(whole)
+    assert chat.render(table.limit(0), "conv_id", "turn", "role", "text").count() == 0
