@@ -7,10 +7,12 @@ again, so a lost executor costs one stage at most.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import mixing, neardup, packing, pii, quality
-from quillstone.llm.common import read, shared_table
+from quillstone.llm.common import drop_table, read, shared_result
 from quillstone.llm.queries import tokenizer_path
 
 
@@ -53,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage stores on its way, and the rows before it, are deleted once its own are stored."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, shared_result(partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
+        drop_table(before)
     return docs
