@@ -41,13 +41,11 @@ def query(activities: DataFrame, doc_id: str | None = None, activity: str | None
 
 
 def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
-    """node_id, ancestor_id and distance for each start node, up to the document. A step is one join; trees are shallow."""
-    up = nodes.select(F.col("node_id").alias("at"), "parent_id").where("parent_id is not null")
-    level = start.select("node_id", F.col("node_id").alias("at")).join(up, "at").select("node_id", F.col("parent_id").alias("at"))
-    out, k = None, 1
-    while not level.isEmpty():
-        found = level.select("node_id", F.col("at").alias("ancestor_id"), F.lit(k).alias("distance"))
-        out = found if out is None else out.unionByName(found)
-        level = level.join(up, "at").select("node_id", F.col("parent_id").alias("at"))
-        k += 1
-    return out if out is not None else start.sparkSession.createDataFrame([], "node_id string, ancestor_id string, distance int")
+    """node_id, ancestor_id and distance for each start node, up to the document.
+
+    A node's path holds the paths of all its ancestors, so one join on document and path finds them at any depth.
+    """
+    low = nodes.select("doc_id", "node_id", "path").join(start.select("node_id").distinct(), "node_id", "left_semi").where(F.size("path") > 0)
+    up = low.select("doc_id", "node_id", F.size("path").alias("deep"), F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda k: F.slice("path", 1, k))).alias("path"))
+    found = up.join(nodes.select("doc_id", "path", F.col("node_id").alias("ancestor_id")), ["doc_id", "path"])
+    return found.select("node_id", "ancestor_id", (F.col("deep") - F.size("path")).alias("distance"))

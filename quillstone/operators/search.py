@@ -76,6 +76,11 @@ def build_index(nodes: DataFrame) -> DataFrame:
     return with_terms(nodes.select("doc_id", "node_id", "node_type", status, "text"), "text").drop("text")
 
 
+def update_index(index: DataFrame, changed: DataFrame) -> DataFrame:
+    """The index with the rows of changed nodes in place of their old ones; what did not change is not read as text again."""
+    return index.join(changed.select("node_id").distinct(), "node_id", "left_anti").select("doc_id", "node_id", "node_type", "status", "terms").unionByName(build_index(changed))
+
+
 def search(index: DataFrame, query: str, doc_id: object = None, k: int = MOST_HITS, level: str | None = None, all_statistics: bool = False) -> DataFrame:
     """doc_id, node_id, node_type, frequency and score of the k best active nodes that hold the query as a phrase of stems.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import anchors, annotations, corpus, diff, merge, nodes, provenance, render, search, structure
+from quillstone.operators import anchors, annotations, corpus, diff, discover, merge, nodes, provenance, render, search, structure
 from quillstone.sources.stored import shared_folder, shared_table
 from quillstone.streaming import changes
 
@@ -547,3 +547,78 @@ def stream_ingest(spark, sf_dir):
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/documents[.]parquet")
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{place}/rows").drop("batch")
+
+
+@query(rf"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'custom' ELSE CASE lower(regexp_extract(p, '\.([^./]+)$', 1)) {KNOWN} END END AS format FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages)")
+def detect_explicit(spark, sf_dir):
+    """A name that is given wins: an alias is resolved, an unknown one passes through."""
+    given = F.when(F.col("page_id") % 3 == 0, "MKD").when(F.col("page_id") % 3 == 1, "Custom")
+    return table(spark, sf_dir, "pages").select("page_id", T.detect_format(F.regexp_replace("url", "[?#].*$", ""), given).alias("format"))
+
+
+@query("SELECT doc_id, sha256(text) AS import_hash, " + NORM.format("text") + " AS normalized, CASE WHEN " + TRIM.format("text") + " = '' THEN 'EMPTY_DOCUMENT' END AS error FROM documents")
+def prepare_input(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("import_hash"), T.normalize_text(t).alias("normalized"), F.when(T.trim_white(t) == "", "EMPTY_DOCUMENT").alias("error"))
+
+
+@query(f"WITH {EDITED} SELECT o.doc_id, o.block, coalesce(e.text, o.text) AS text, CASE WHEN e.doc_id IS NULL THEN 1 ELSE 2 END AS version FROM blocks o LEFT JOIN edited e ON o.doc_id = e.doc_id AND o.block = e.block")
+def corpus_versions(spark, sf_dir):
+    """Two versions committed to a corpus on disk, and its last one read back."""
+    store = corpus.Corpus(spark, f"{shared_folder(spark)}/corpus-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}")
+    b = blocks_of(spark, sf_dir)
+    key = lambda x, v: x.select(F.concat_ws("/", "doc_id", "block").alias("node_id"), "doc_id", "block", "text", F.lit(v).alias("version"))
+    store.commit({"nodes": key(b, 1)})
+    store.commit({"nodes": key(edited(b), 2)})
+    return store.table("nodes").drop("node_id")
+
+
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS line FROM documents")
+def ndjson_out(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+@query()
+def json_nodes(spark, sf_dir):
+    """The trees of pages as converters' JSON, read back as documents of that format."""
+    whole = render.project(page_nodes(spark, sf_dir).withColumnRenamed("page_id", "doc_id"), "json")
+    found = nodes.segment(whole.select("doc_id", "text"), "doc_id", F.col("text"), F.lit("json"), "uax29")
+    return nodes.accepted(found).select(F.col("doc_id").alias("page_id"), "node_type", "position", "text")
+
+
+@query()
+def convert_batch(spark, sf_dir):
+    """Pages under formats that fit, do not fit and are not known: how many nodes each gives, or its error."""
+    kind = F.when(F.col("page_id") % 4 == 0, "json").when(F.col("page_id") % 4 == 1, F.lit(None)).when(F.col("page_id") % 4 == 2, "markdown").otherwise("html")
+    found = nodes.segment(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", F.col("html"), kind)
+    return found.groupBy(F.col("doc_id").alias("page_id"), "error").agg(F.count("node_id").alias("n_nodes"))
+
+
+@query()
+def reconcile_quotes(spark, sf_dir):
+    """Byte spans of quoted passages with up to 64 bytes of context on either side, cut at words."""
+    requests, held = quote_requests(spark, sf_dir)
+    made, _ = annotations.annotate(requests, held, F.expr(NOW))
+    return made.select("doc_id", "char_start", "char_end", "exact", "prefix", "suffix")
+
+
+@query()
+def read_brief(spark, sf_dir):
+    """Each page as numbered sentences, with a note on the first one."""
+    rows = page_nodes(spark, sf_dir).withColumnRenamed("page_id", "doc_id").withColumns({"status": F.lit("active"), "version": F.lit(1)})
+    first = rows.where("node_type = 'sentence'").groupBy("doc_id").agg(F.min_by("node_id", "position").alias("node_id"))
+    requests = first.select(F.col("node_id").alias("request_id"), "doc_id", "node_id", F.lit(None).cast("string").alias("quote"), F.lit("first").alias("body"), F.lit(None).cast("string").alias("motivation"))
+    made, _ = annotations.annotate(requests, rows, F.expr(NOW))
+    return discover.brief(rows, made).withColumnRenamed("doc_id", "page_id")
+
+
+@query()
+def node_ancestors(spark, sf_dir):
+    """Ancestors of every sentence of the pages, up to the document."""
+    rows = page_nodes(spark, sf_dir).withColumnRenamed("page_id", "doc_id")
+    return provenance.ancestors(rows, rows.where("node_type = 'sentence'").select("node_id"))
+
+
+@query()
+def topic_clusters(spark, sf_dir):
+    return discover.clusters(table(spark, sf_dir, "documents"), "text", 8).groupBy("cluster").agg(F.count("*").alias("n_docs"))

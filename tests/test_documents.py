@@ -7,9 +7,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone import api
+from quillstone import api, config
 from quillstone.functions import sentences, stemming
-from quillstone.operators import anchors, annotations, corpus, merge, nodes, provenance, render, search
+from quillstone.operators import anchors, annotations, corpus, discover, merge, nodes, provenance, render, search
 from quillstone.sources import files, markup
 from quillstone.streaming import changes
 
@@ -341,3 +341,48 @@ def test_workspace_stream_and_commands(spark, tmp_path):
     assert made_edges.count() == 1 and bad.first()["error"] == "NODE_NOT_FOUND" and one.refresh_edges() == 0 and one.reanchor().count() >= 1
     assert call("workspace_remove", name="w")["ok"] and call("workspace_remove", name="w")["code"] == "WORKSPACE_NOT_FOUND" and call("shutdown")["ok"] and service.stopped
     assert files.expanded("~") != "~"
+
+
+def test_discovery(spark):
+    held = nodes.accepted(segmented(spark, {"d": "One. Two.", "e": "Three."})).withColumns({"version": F.lit(1), "status": F.lit("active")})
+    first = held.where("node_type = 'sentence' and text like 'One%'").first()["node_id"]
+    asked = spark.createDataFrame([(1, "d", first, "One", "b", None), (2, "d", first, None, None, "tagging")], "request_id int, doc_id string, node_id string, quote string, body string, motivation string")
+    made, _ = annotations.annotate(asked, held, now())
+    got = {r["doc_id"]: r for r in discover.brief(held, made).collect()}
+    assert got["d"]["text"] == "§1 One. [commenting: One] [tagging: One. ]\n§2 Two." and (got["d"]["n_annotations"], got["e"]["n_annotations"], got["d"]["n_sentences"]) == (2, 0, 2)
+    documents = spark.createDataFrame([("d", "markdown"), ("e", "markdown"), ("f", "html")], "doc_id string, format string").withColumn("ingested_at", now())
+    look = {r["format"]: r for r in discover.overview(documents, held).collect()}
+    assert (look["markdown"]["n_docs"], look["markdown"]["n_nodes"], look["html"]["n_nodes"]) == (2, 7, 0)
+    assert {(r["motivation"], r["status"]): r["n"] for r in discover.landscape(made).collect()}[None, None] == 2
+    assert discover.open_questions(made).count() == 0 and discover.open_questions(made.withColumn("status", F.lit("orphan"))).count() == 2
+    edge, _ = anchors.create(spark.createDataFrame([(first, held.where("doc_id = 'e'").first()["node_id"], "quotes")], "source_id string, target_id string, predicate string"), held, now())
+    assert discover.relationships(edge).first()["n_open"] == 0 and discover.targets(edge, held).first()["target_text"] == "Three."
+    made, bad = discover.declared(spark.createDataFrame([("p", first, "quotation"), ("q", None, "original"), ("r", "x", "inference"), ("s", first, "copy")], "passage_id string, node_id string, relation string"), held, now())
+    assert {r["passage_id"] for r in made.collect()} == {"p", "q"} and {(r["passage_id"], r["error"]) for r in bad.collect()} == {("r", "NODE_NOT_FOUND"), ("s", "INVALID_RELATION")}
+    texts = spark.createDataFrame([(k, "apple pear plum " * 3 if k % 2 else "steel iron zinc " * 3) for k in range(20)] + [(20, None)], "doc_id int, text string")
+    groups = {r["doc_id"]: r["cluster"] for r in discover.clusters(texts, "text", 3).collect()}
+    assert len({groups[k] for k in range(0, 20, 2)}) == 1 and groups[0] != groups[1] and len(groups) == 21
+
+
+def test_index_follows_changes(spark):
+    rows = lambda *x: spark.createDataFrame([("d", i, "sentence", "active", t) for i, t in x], "doc_id string, node_id string, node_type string, status string, text string")
+    index = search.update_index(search.build_index(rows(("a", "old dog"), ("b", "cat"))), rows(("a", "new bird"), ("c", "dogs")))
+    assert [r["node_id"] for r in search.search(index, "dog").collect()] == ["c"] and search.search(index, "bird").count() == 1 and search.search(index, "cats").count() == 1
+
+
+def test_offsets_fall_into_inlines(spark):
+    held = nodes.accepted(segmented(spark, {"a": "x **yz** `w`"}))
+    node = held.where("node_type = 'paragraph'").first()["node_id"]
+    at = spark.createDataFrame([(node, 0), (node, 3), (node, 5), (node, 99)], "node_id string, offset long")
+    assert sorted((r["offset"], r["kinds"], r["inside"]) for r in nodes.at_offset(nodes.inline_spans(held), at).collect()) == [(0, "Str", 0), (3, "Strong/Str", 1), (5, "Code", 0)]
+
+
+def test_config(tmp_path):
+    place = tmp_path / "a" / "c.json"
+    assert config.Config.load(str(place)) == config.Config()
+    config.Config(locale="fr").save(str(place))
+    assert config.Config.load(str(place)).locale == "fr" and len(list(place.parent.iterdir())) == 1
+    (tmp_path / "c.toml").write_text('locale = "de"\nunknown = 1\n')
+    assert config.Config.load(str(tmp_path / "c.toml")) == config.Config(locale="de")
+    with pytest.raises(ValueError):
+        config.Config(fuzzy_threshold=2)
