@@ -3,7 +3,8 @@
 A block or inline is a dictionary of `t`, its kind, and `c`, its content, in the JSON form that document converters
 exchange, so that a converter's own output (format `json`) is read as it is. Own parsers cover Markdown (headings,
 paragraphs, fenced and indented code, lists, quotes, rules, tables, line blocks, raw HTML; code, emphasis, links, images,
-math, strike-out, notes), HTML, plain text, and docx and epub files. What nests deeper than `DEEPEST` is kept as text.
+math, strike-out, notes), HTML, plain text, and docx and epub files; other markup languages are rewritten as Markdown
+first (see `dialects`). What nests deeper than `DEEPEST` is kept as text.
 
 Scanning takes time in proportion to the text: a delimiter that has no partner is looked for once.
 """
@@ -18,6 +19,8 @@ import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from quillstone.sources import dialects
+
 DEEPEST = 40
 ATTR = ["", [], []]
 
@@ -502,11 +505,14 @@ BINARY_FORMATS = {"docx": docx, "epub": epub}
 
 
 def parse(content: str | bytes, kind: str) -> list[dict]:
-    """Blocks of a document. Formats without a parser of their own are read as plain text, as their words are all there."""
+    """Blocks of a document. A format that no parser knows is read as plain text, as its words are all there."""
     try:
         if kind in BINARY_FORMATS:
             return BINARY_FORMATS[kind](content if isinstance(content, bytes) else content.encode())
-        return TEXT_FORMATS.get(kind, plain)(content if isinstance(content, str) else content.decode("utf-8", "replace"))
+        text = content if isinstance(content, str) else content.decode("utf-8", "replace")
+        if kind in dialects.DIALECTS:
+            return markdown(dialects.DIALECTS[kind](text))
+        return TEXT_FORMATS.get(kind, plain)(text)
     except ElementTree.ParseError as e:
         raise ParseError("PARSE_ERROR", str(e)) from None
 

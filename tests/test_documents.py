@@ -70,6 +70,34 @@ def test_other_formats():
         markup.parse(b"no zip", "docx")
 
 
+DIALECT_PAGES = {
+    "org": "#+TITLE: T\n* Head\n:PROPERTIES:\n:ID: x\n:END:\nSome *bold* /it/ [[http://u][link]] =c=.\n\n- a\n  - b\n\n#+BEGIN_SRC py\n* code\n#+END_SRC\n\n| a | b |\n|---+---|\n| 1 | 2 |\n",
+    "rst": "Head\n====\n\nSub\n---\n\nSome **bold** *it* ``c`` `link <http://u>`_.\n\n* a\n* b\n\n.. code-block:: py\n\n   x = 1\n\n.. note:: mind\n\n+---+---+\n| a | b |\n+===+===+\n| 1 | 2 |\n+---+---+\n",
+    "mediawiki": "== Head ==\nSome \'\'\'bold\'\'\' \'\'it\'\' [http://u link] [[Page|name]].<ref>no</ref>\n\n* a\n** b\n# c\n\n{|\n! a !! b\n|-\n| 1 || 2\n|}\n----\n<pre>\ncode\n</pre>\n",
+    "textile": "h1. Head\n\nSome *bold* _it_ @c@ \"link\":http://u\n\n* a\n** b\n\nbq. quote\n\nbc. code\n\n|_. a|_. b|\n|1|2|\n",
+    "asciidoc": "= Head\n\n== Sub\n\nSome *bold* _it_ `c` http://u[link].\n\n* a\n** b\n\nNOTE: mind\n\n----\ncode\n----\n\n|===\n|a |b\n|1 |2\n|===\n",
+    "latex": "\\documentclass{a}\n\\title{T}\n\\begin{document}\n\\section{Head} % no\nSome \\textbf{bold} \\emph{it} $x$ \\href{http://u}{link}.\n\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}\n\\begin{verbatim}\ncode\n\\end{verbatim}\n\\end{document}\n",
+    "jira": "h1. Head\n\nSome *bold* _it_ {{c}} [link|http://u]\n\n* a\n** b\n\n{code:py}\ncode\n{code}\n\n{quote}\nq\n{quote}\n\n||a||b||\n|1|2|\n",
+    "opml": "<opml><head><title>Head</title></head><body><outline text='a'><outline text='b' _note='n'/></outline></body></opml>",
+    "docbook": "<article><title>Head</title><section><title>Sub</title><para>Some <emphasis>it</emphasis>.</para><itemizedlist><listitem><para>a</para></listitem></itemizedlist><programlisting>code</programlisting><note><para>mind</para></note></section></article>",
+}
+
+
+@pytest.mark.parametrize("form", DIALECT_PAGES)
+def test_other_markup(form):
+    rows = nodes.tree(DIALECT_PAGES[form], form, "d")
+    found = {r["node_type"] for r in rows}
+    assert any(r["node_type"] == "heading" and r["text"] == "Head" for r in rows) and "list_item" in found
+    assert [r["text"] for r in rows if r["node_type"] == "code_block"] == {"org": ["* code"], "rst": ["x = 1"], "opml": []}.get(form, ["code"])
+    assert form in ("latex", "opml", "docbook") or "table" in found
+    if form not in ("opml", "docbook"):
+        text = next(r["text"] for r in rows if r["node_type"] == "paragraph" and r["text"].startswith("Some"))
+        assert text.startswith("Some bold it") and "link" in text and not any(x in text for x in ("*", "http", "\\", "no"))
+    assert form not in ("rst", "asciidoc", "jira", "textile", "docbook") or "blockquote" in found
+    with pytest.raises(markup.ParseError):
+        markup.parse("<a", "opml")
+
+
 def test_sentence_boundaries():
     cut = lambda t: [t.encode()[a:b].decode() for a, b in sentences.spans(t)]
     assert cut("Mr. smith went. He said \"Hi.\" then left? Yes! 3.5 is ok. U.S. law") == ["Mr. smith went. ", 'He said "Hi." then left? ', "Yes! ", "3.5 is ok. ", "U.S. law"]
