@@ -12,18 +12,18 @@ from pyspark.sql.types import StructType
 from quillstone.functions import text as T
 
 
-def numbered(nodes: DataFrame) -> DataFrame:
-    """hash and occ: the k-th node of a document with that text."""
-    w = Window.partitionBy("doc_id", "hash").orderBy("block")
-    return nodes.withColumn("hash", T.structural_hash(F.col("text"))).withColumn("occ", F.row_number().over(w).cast("long"))
-
-
 def exact(old: DataFrame, new: DataFrame) -> DataFrame:
-    """doc_id, old_block, new_block and status: kept, new or deleted."""
-    a = numbered(old).select("doc_id", "hash", "occ", F.col("block").alias("old_block"))
-    b = numbered(new).select("doc_id", "hash", "occ", F.col("block").alias("new_block"))
+    """doc_id, old_block, new_block and status: kept, new or deleted. The k-th node of a text is the k-th one of the other side.
+
+    Both sides go through one exchange, as hashes; it serves the numbering of either side and the matching.
+    """
+    rows = [x.select("doc_id", "block", F.unhex(T.structural_hash(F.col("text"))).alias("hash"), F.lit(k).alias("side")) for k, x in enumerate((old, new))]
+    both = rows[0].unionByName(rows[1]).repartition("doc_id", "hash")
+    both = both.withColumn("occ", F.row_number().over(Window.partitionBy("doc_id", "hash", "side").orderBy("block")))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("block")))
+    pairs = both.groupBy("doc_id", "hash", "occ").agg(of(0).alias("old_block"), of(1).alias("new_block"))
     status = F.when(F.col("old_block").isNull(), "new").when(F.col("new_block").isNull(), "deleted").otherwise("kept")
-    return a.join(b, ["doc_id", "hash", "occ"], "full").select("doc_id", "old_block", "new_block", status.alias("status"))
+    return pairs.select("doc_id", "old_block", "new_block", status.alias("status"))
 
 
 def left_over(old: DataFrame, new: DataFrame) -> DataFrame:
