@@ -115,6 +115,11 @@ class Workspace:
         """One node, whatever its status."""
         return self.table("nodes", "NODE_NOT_FOUND").where(F.col("node_id") == node_id)
 
+    def content(self, node_id: str) -> str | None:
+        """The stored tree of one node as JSON; null where the node has none or is not there."""
+        row = self.node(node_id).where("has_content").select("ast").first()
+        return row["ast"] if row else None
+
     def nodes(self, doc_id: str | None = None) -> DataFrame:
         rows = self.table("nodes", "DOCUMENT_NOT_FOUND").where("status = 'active'")
         return rows if doc_id is None else rows.where(F.col("doc_id") == doc_id).orderBy("position")
@@ -248,6 +253,15 @@ class Service:
             query.stop()
         return {"removed": params["name"]}
 
+    def sync(self, wanted: dict[str, dict]) -> tuple[list[str], list[str]]:
+        """Open and close workspaces until they are the wanted ones (parameters of workspace_add by name); what was opened and closed."""
+        closed, opened = sorted(set(self.workspaces) - set(wanted)), sorted(set(wanted) - set(self.workspaces))
+        for name in closed:
+            self.remove({"name": name})
+        for name in opened:
+            self.add({"name": name, **wanted[name]})
+        return opened, closed
+
     def ingest(self, params: dict) -> dict:
         one = self.workspace(params)
         from pyspark.errors import AnalysisException

@@ -574,7 +574,7 @@ def corpus_versions(spark, sf_dir):
     return store.table("nodes").drop("node_id")
 
 
-@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS line FROM documents")
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source})::VARCHAR AS line FROM documents")
 def ndjson_out(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"}).alias("line"))
 

@@ -367,6 +367,8 @@ def test_workspace_stream_and_commands(spark, tmp_path):
     edge = spark.createDataFrame([(target, sentence["node_id"], "quotes"), (target, active[0]["node_id"], "quotes")], "source_id string, target_id string, predicate string")
     made_edges, bad = one.transclude(edge)
     assert made_edges.count() == 1 and bad.first()["error"] == "NODE_NOT_FOUND" and one.refresh_edges() == 0 and one.reanchor().count() >= 1
+    assert json.loads(one.content(active[-1]["parent_id"]))["t"] == "Para" and one.content("none") is None
+    assert service.sync({"w": {}, "v": {"root": "r", "data_dir": str(tmp_path / "v")}}) == (["v"], []) and service.sync({"w": {}}) == ([], ["v"])
     assert call("workspace_remove", name="w")["ok"] and call("workspace_remove", name="w")["code"] == "WORKSPACE_NOT_FOUND" and call("shutdown")["ok"] and service.stopped
     assert files.expanded("~") != "~"
 
