@@ -397,6 +397,14 @@ def html_nodes(spark, sf_dir):
     return page_nodes(spark, sf_dir).select("page_id", "node_id", "parent_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "node_type", "position", "text", "char_start", "char_end", "level")
 
 
+@query(f"WITH {HEADINGS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n, level, replace(replace(replace(replace(trim(title), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title FROM heads")
+def tree_headings(spark, sf_dir):
+    """Headings of the pages' trees, in order."""
+    rows = page_nodes(spark, sf_dir).where("node_type = 'heading'")
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy("position")).cast("long")
+    return rows.select("page_id", order.alias("n"), "level", F.col("text").alias("title"))
+
+
 @query()
 def node_counts(spark, sf_dir):
     """Nodes and sentences of each page, and the identities in order of position."""
@@ -428,6 +436,21 @@ def diff_merge(spark, sf_dir):
     return merge.merge(paragraph_nodes(b), paragraph_nodes(edited(b)).drop("version", "status")).select("doc_id", "node_id", "position", "version", "status", "outcome")
 
 
+@query()
+def diff_sequential(spark, sf_dir):
+    """The same match in a document's order, each node taking the first equal or else the closest free one; one task a document."""
+    b = blocks_of(spark, sf_dir)
+    return merge.pairs(paragraph_nodes(b), paragraph_nodes(edited(b)), mode="sequential").select("doc_id", "old_block", "new_block", "outcome")
+
+
+@query(f"WITH {EDITED}, s AS (SELECT doc_id, count(*) AS n FROM edited GROUP BY doc_id) SELECT doc_id, n AS n_now FROM s")
+def merge_counts(spark, sf_dir):
+    """Kept, updated and new nodes of each document add up to those of its new version."""
+    b = blocks_of(spark, sf_dir)
+    found = merge.counts(merge.merge(paragraph_nodes(b), paragraph_nodes(edited(b)).drop("version", "status")))
+    return found.select("doc_id", (F.col("n_kept") + F.col("n_updated") + F.col("n_new")).alias("n_now")).where("n_now > 0")
+
+
 @query(f"WITH {EDITED} SELECT o.doc_id, o.block, coalesce(e.text, o.text) AS text, CASE WHEN e.doc_id IS NULL THEN 1 ELSE 2 END AS version FROM blocks o LEFT JOIN edited e ON o.doc_id = e.doc_id AND o.block = e.block")
 def upsert_nodes(spark, sf_dir):
     """The second version's rows in place of the first one's, by key; rows that it lacks stay."""
