@@ -12,7 +12,7 @@ length is read whole, in time linear in its bytes and with memory for a few numb
 Bounds of the model, all parameters: about `train_bytes` of text are trained on for each language, in rows chosen by a hash
 of the id; a language keeps its `max_contexts` most frequent contexts, all of them with their shorter forms; the
 `MAX_LANGUAGES` most frequent languages are told apart. Counts are summed and cut by Spark; what the driver gathers is the
-kept contexts alone. Prediction reads every byte of every text and nothing else.
+kept contexts, and a tally of their counts. Prediction reads every byte of every text and nothing else.
 
 Defined cases: a null text or one without a letter is `und` with score 0; equal code lengths go to the language first
 in alphabetical order; without any labelled training row all are `und`; repeated rows get equal answers; a kept column with
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
@@ -106,11 +106,17 @@ def train(documents: DataFrame, text: str, lang: str, doc_id: str, train_bytes:
     inside = F.expr(f"k = 0 or shiftright(h, 9 * (k - 1)) & 511 <> {START}")
     counted = shared_table(rows.where(inside).select("g", "k", context.alias("x"), "s", "n").groupBy("g", "k", "x", "s").agg(F.sum("n").alias("n")), "contexts")
     totals = counted.groupBy("g", "k", "x").agg(F.sum("n").alias("m")).where(f"k = 0 or m >= {MIN_COUNT}")
-    # the count of the first context that does not fit, from how many contexts have each count; those with more are
-    # closed under shorter and earlier forms
-    tally = totals.groupBy("g", "m").agg(F.count("*").alias("some")).withColumn("so_far", F.sum("some").over(Window.partitionBy("g").orderBy(F.desc("m"))))
-    limit = tally.where(F.col("so_far") > max_contexts).groupBy("g").agg(F.max("m").alias("least"))
-    kept = totals.join(F.broadcast(limit), "g", "left").where("k = 0 or least is null or m > least").select("g", "k", "x")
+    # how many contexts have each count: a row for each count there is, so a few thousand for a language at most. What
+    # does not fit has the count of the first context beyond the bound or less; the rest is closed under shorter and
+    # earlier forms
+    least = dict.fromkeys(range(len(langs)), 0)
+    room = dict.fromkeys(range(len(langs)), max_contexts)
+    for r in sorted(totals.groupBy("g", "m").agg(F.count("*").alias("some")).collect(), key=lambda r: -r["m"]):
+        room[r["g"]] -= r["some"]
+        if room[r["g"]] < 0 and not least[r["g"]]:
+            least[r["g"]] = r["m"]
+    bar = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    kept = totals.where((F.col("k") == 0) | (F.col("m") > bar[F.col("g")])).select("g", "k", "x")
     found = counted.join(kept, ["g", "k", "x"]).select("g", "k", "x", "s", "n").toArrow()
     return build(langs, *(found[c].to_numpy() for c in ("g", "k", "x", "s", "n")))
 
