@@ -32,6 +32,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(columns: Sequence[str], name: str) -> str:
+    """A name like `name` that no column has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def map_column(rows: DataFrame, keep: Sequence[str], source: Column, added: Sequence[StructField], make: Callable[[pa.Array], Sequence[pa.Array]]) -> DataFrame:
     """`keep` and the columns `added`, which `make` returns for each Arrow batch of `source`.
 

@@ -14,8 +14,8 @@ Documents are summed by partial aggregation, and whether a table is small enough
 
 Defined cases: a null category counts as `unknown`; a null text has no tokens, and a cell without tokens keeps
 probability 0; repeated rows and equal ids get the same decision; an empty table gives an empty sample; a column of topics
-is used if `topic` names it, else a text's register stands in (`register_of`); other columns pass through, whatever their
-names.
+is used if `topic` names it, else a text's register stands in (`register_of`); other columns pass through, but for names
+like those that are added (__tokens, __source, __lang, __topic, __p), which are replaced.
 """
 
 from __future__ import annotations

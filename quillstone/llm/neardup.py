@@ -17,7 +17,8 @@ roots' connected components are found by alternating star contractions on stored
 no pair is lost to a cap, and copies cost nothing beyond their class.
 
 Defined cases: a null text or one without words is a class of its own, without links; a row without an id gets neither;
-ids may be of any type with an order; repeated rows are copies; other columns are ignored; an empty table gives an empty
+ids may be of any type with an order, and one names one text (`first_of_each` tells rows apart where that is not so);
+repeated rows are copies; other columns are ignored, or pass through whatever their names; an empty table gives an empty
 result.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from quillstone.llm.common import bound_batches, col, drop_table, shared_table
+from quillstone.llm.common import bound_batches, col, drop_table, fresh, shared_table
 from quillstone.llm.shingles import mixed, shingle_sets
 
 WIDTH = 5
@@ -40,8 +41,10 @@ TARGET_RECALL = 0.9999
 TREES = 32
 #: Digits of a signature in each tree, of eight bits each.
 DEEPEST = 8
-#: Members of one block of a large subtree.
+#: Members of one block of a large subtree and about as many shingles, and pairs that are looked at together.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 19
+PAIRS = 8192
 #: Stands for a tree in which a representative has no subtree; labels are shorter than that, or a full one is as rare as any.
 NO_SUBTREE = -(1 << 63)
 #: Ranges of similarity from the threshold to 1 in which links are counted.
@@ -88,10 +91,25 @@ def sketches(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
     return documents.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("t")).mapInArrow(sketch, "doc_id long, k1 long, k2 long, n long, p array<long>")
 
 
+def firsts(i: np.ndarray, j: np.ndarray, group: dict, length: np.ndarray, depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that are this task's: of a size that can match, from the two blocks if there are two, first met here, and new to this level."""
+    kept, whole, block = group["kept"], group["p"], group["block"]
+    fit = ((block[i] != block[j]) | (group["b1"][0] == group["b2"][0])) & (np.minimum(length[i], length[j]) >= threshold * np.maximum(length[i], length[j]))
+    i, j = i[fit], j[fit]
+    both = (kept[i] == kept[j]) & (kept[i] != NO_SUBTREE)
+    first = both.any(1) & (both.argmax(1) == group["tree"][0])
+    i, j = i[first], j[first]
+    if depth < DEEPEST:
+        # what has a longer prefix in common was verified on the level before
+        new = ((whole[i] ^ whole[j]).view(np.uint64) >> np.uint64(8 * (DEEPEST - depth - 1)) != 0).all(1)
+        i, j = i[new], j[new]
+    return i, j
+
+
 def linked_within(group: dict, depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links and root of each member of one task's group, and its pairs by similarity; a root is the smallest linked id known here."""
-    reps, block, sizes, kept, whole = (group[c] for c in ("rep", "block", "size", "kept", "p"))
-    n, tree, one_block = len(reps), group["tree"][0], group["b1"][0] == group["b2"][0]
+    reps, sizes = group["rep"], group["size"]
+    n = len(reps)
     sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
     length = np.array([len(s) for s in sets])
     if n <= 12:
@@ -111,16 +129,9 @@ def linked_within(group: dict, depth: int, threshold: float) -> tuple[np.ndarray
             x[owner[lo:hi], column[lo:hi] - c] = 1
             shared += x @ x.T
         i, j = np.nonzero(np.triu(shared >= threshold * (length[:, None] + length[None, :] - shared) - 1e-3, 1))
-    # candidates that are in order, from the two blocks if there are two, and whose first common subtree is this one
-    both = (kept[i] == kept[j]) & (kept[i] != NO_SUBTREE)
-    ok = both.any(1) & (both.argmax(1) == tree) & ((block[i] != block[j]) | one_block) & (np.minimum(length[i], length[j]) >= threshold * np.maximum(length[i], length[j]))
-    i, j = i[ok], j[ok]
-    if depth < DEEPEST:
-        # what has a longer prefix in common was verified on the level before
-        new = ((whole[i] ^ whole[j]).view(np.uint64) >> np.uint64(8 * (DEEPEST - depth - 1)) != 0).all(1)
-        i, j = i[new], j[new]
     links, root, found = np.zeros(n, np.int64), np.arange(n), np.zeros(RANGES, np.int64)
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+    parts = (firsts(i[at : at + PAIRS], j[at : at + PAIRS], group, length, depth, threshold) for at in range(0, len(i), PAIRS))
+    for a, b in (pair for x, y in parts for pair in zip(x.tolist(), y.tolist(), strict=True)):
         common = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if n <= 12 else int(shared[a, b])
         every = int(length[a] + length[b] - common)
         if common < threshold * every:
@@ -214,15 +225,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def level(texts: DataFrame, classes: DataFrame, deeper: DataFrame | None, depth: int, threshold: float) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """This depth's subtrees, the stored links of pairs that first meet here, and their number by similarity."""
-    entries = classes.select("rep", F.posexplode("p").alias("tree", "word")).select("rep", "tree", F.shiftrightunsigned("word", 8 * (DEEPEST - depth)).alias("label"))
-    subtrees = entries.groupBy("tree", "label").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y")).where("m > 1")
+    entries = classes.select("rep", "n", F.posexplode("p").alias("tree", "word")).select("rep", "n", "tree", F.shiftrightunsigned("word", 8 * (DEEPEST - depth)).alias("label"))
+    subtrees = entries.groupBy("tree", "label").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("y")).where("m > 1")
     # subtrees with the same members say the same; the first of them stays
-    groups = shared_table(subtrees.groupBy("m", "x", "y").agg(F.min(F.struct("tree", "label")).alias("s")), "groups")
+    groups = shared_table(subtrees.groupBy("m", "x", "y").agg(F.min(F.struct("tree", "label")).alias("s"), F.max("size").alias("size")), "groups")
     # a subtree whose members are those of a deeper one has no pair that is new
-    alone = (groups if deeper is None else groups.join(deeper, ["m", "x", "y"], "left_anti")).select("s.tree", "s.label", "m")
-    held = shared_table(entries.join(alone, ["tree", "label"]), "subtrees")
-    slots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.coalesce(F.get(F.map_values(F.map_filter(F.col("mine"), lambda t, _: t == k)), 0), F.lit(NO_SUBTREE)))
-    per_rep = held.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "label"))).alias("mine"), F.collect_list(F.struct("tree", "label", "m")).alias("in")).select("rep", slots.alias("kept"), "in")
+    alone = groups if deeper is None else groups.join(deeper, ["m", "x", "y"], "left_anti")
+    alone = alone.select("s.tree", "s.label", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    held = shared_table(entries.drop("n").join(alone, ["tree", "label"]), "subtrees")
+    slots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.coalesce(F.try_element_at(F.col("mine"), k), F.lit(NO_SUBTREE)))
+    per_rep = held.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "label"))).alias("mine"), F.collect_list(F.struct("tree", "label", "blocks")).alias("in")).select("rep", slots.alias("kept"), "in")
     known = classes.select("rep", "size", (F.col("p") if depth < DEEPEST else F.array().cast("array<bigint>")).alias("p"))
     wanted = per_rep.join(known, "rep")
 
@@ -232,10 +244,9 @@ def level(texts: DataFrame, classes: DataFrame, deeper: DataFrame | None, depth:
             yield pa.RecordBatch.from_arrays([b.column(0), sets, *b.columns[2:]], ["rep", "shingles", "kept", "in", "size", "p"])
 
     involved = texts.join(wanted.hint("shuffle_hash"), "rep").select("rep", "t", "kept", "in", "size", "p")
-    schema = "rep long, shingles binary, kept array<long>, in array<struct<tree:int,label:long,m:long>>, size long, p array<long>"
+    schema = "rep long, shingles binary, kept array<long>, in array<struct<tree:int,label:long,blocks:int>>, size long, p array<long>"
     sets = involved.mapInArrow(add_sets, schema).select("rep", "shingles", "kept", "size", "p", F.explode("in").alias("s")).select("rep", "shingles", "kept", "size", "p", "s.*")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = sets.select("tree", "label", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "rep", "block", "size", "kept", "p", "shingles")
     found = shared_table(verified(members, depth, threshold), "links")
     drop_table(held)
@@ -291,9 +302,10 @@ def first_of_each(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
     Rows are told apart by a stored key, not by their id: of repeated rows one stays, of two texts under one id only what
     is a copy goes, and copies without an id go like others. A text without words is a class of its own, so its row stays.
     """
-    rows = shared_table(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = join(rows, text, "__row").select(F.col("doc_id").alias("__row"), "class_id")
-    found = shared_table(found.join(rows.select("__row", F.col(doc_id).alias("id")), "__row"), "row-classes")
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("f")).select("class_id", F.col("f.__row").alias("kept"))
-    gone = found.join(first, "class_id").where("__row <> kept").select("__row")
-    return rows.join(gone, "__row", "left_anti").select(documents.columns)
+    row = fresh(documents.columns, "row")
+    rows = shared_table(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = join(rows, text, row).select(F.col("doc_id").alias("r"), "class_id")
+    found = found.join(rows.select(F.col(row).alias("r"), col(doc_id).alias("id")), "r")
+    # each class names the row that stays, so nothing is joined by class
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("f")).select(F.col("f.r").alias(row))
+    return rows.join(first, row, "left_semi").select(*(col(c) for c in documents.columns))

@@ -277,6 +277,26 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in stage.collect()), key=key) == sorted(want, key=key)
 
 
+def test_join_of_text_ids_and_clashing_columns(spark):
+    base = words(60, 1)
+    near = " ".join([*base.split()[:30], "zzzz", *base.split()[31:]])
+    rows = [("b", base, "x", 1), ("a", near, "x", 1), ("c", near, "x", 1), ("d", words(50, 2), "x", 1), (None, base, "x", 1), ("e", None, "x", 1)]
+    table = spark.createDataFrame(rows, "id string, text string, rep string, row int")
+    got = {r["doc_id"]: (r["class_id"], r["copy_of"], r["n_links"]) for r in neardup.join(table, "text", "id").collect()}
+    assert got == {"a": ("a", "a", 2), "b": ("a", "b", 2), "c": ("a", "a", 2), "d": ("d", "d", 0), "e": ("e", "e", 0), None: (None, None, 0)}
+    first = neardup.first_of_each(table, "text", "id")
+    assert first.columns == table.columns and sorted(r["id"] for r in first.collect()) == ["a", "d", "e"]
+
+
+def test_prefixes_are_shortened_as_links_ask():
+    links = np.zeros(neardup.RANGES)
+    assert [d for d in range(8, 0, -1) if neardup.recall(links, d, 0.8) >= neardup.TARGET_RECALL][0] == 6
+    links[-1] = 10_000
+    assert neardup.recall(links, 8, 0.8) >= neardup.TARGET_RECALL
+    links[0] = 10_000
+    assert neardup.recall(links, 7, 0.8) < neardup.TARGET_RECALL < neardup.recall(links, 5, 0.8)
+
+
 def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 5)
     base = words(100, 1).split()
@@ -442,9 +462,10 @@ def test_mixing(spark, monkeypatch):
     # the way for many cells gives the same
     want = {(c["__source"], c["__lang"], c["__topic"]): (c["weight"], c["p"]) for c in cells}
     monkeypatch.setattr(mixing, "CELLS_AT_ONCE", 0)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-4)
     for c in mixing.rake(rows).collect():
         w, p = want[c["__source"], c["__lang"], c["__topic"]]
-        assert abs(c["weight"] / w - 1) < 1e-9 and abs(c["p"] - p) <= 1e-6
+        assert abs(c["weight"] / w - 1) < 1e-3 and abs(c["p"] - p) < 1e-3
     monkeypatch.undo()
     assert abs(sum(c["tokens"] * c["p"] for c in cells) / sum(c["tokens"] for c in cells) - 0.5) < 1e-3 and max(c["p"] for c in cells) <= 1
     # targets that contradict each other, as each source has a language of its own
