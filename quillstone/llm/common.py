@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 from quillstone.sources.stored import drop_shared_tables, drop_table, shared_folder, shared_result, shared_table  # noqa: F401
 
 #: Arrow batches are cut by Spark at this many bytes, so that very long texts stay within a worker's memory.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
