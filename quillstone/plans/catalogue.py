@@ -82,7 +82,7 @@ def sentence_nodes(spark, sf_dir):
 @query(f"WITH {SENTENCES} SELECT sha256({TRIM.format('text')}) AS hash, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM sentences GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
 def dup_sentences(spark, sf_dir):
     """Flagship: sentences that occur in several documents. Hashes as bytes, not texts, are shuffled; copies in a document first."""
-    rows = structure.document_sentences(table(spark, sf_dir, "documents")).select("doc_id", F.explode("s").alias("text"))
+    rows = blocks_of(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.SENTENCE), 0)).alias("text"))
     once = rows.groupBy(F.unhex(T.structural_hash(F.col("text"))).alias("h"), "doc_id").agg(F.count("*").alias("n"))
     found = once.groupBy("h").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n")).where("n_docs > 1")
     return found.select(F.lower(F.hex("h")).alias("hash"), "n_docs", "n")
