@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import ann, chat, htmltext, langid, mixing, neardup, oracles, packing, pii, quality, urlfilter
+from quillstone.llm import ann, chat, htmltext, langid, mixing, neardup, oracles, packing, pii, quality, secretscan, spelling, urlfilter, whitening
 from quillstone.llm.common import read
 
 
@@ -68,9 +68,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.annotate(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_html_text, op3_best_fit_packing, op4_jaccard_join, op5_pii, op6_url_filter, op7_mixing, op8_quality_rules, op9_nearest, op10_chat_format)
+    for f in (op1_language_id, op2_html_text, op3_best_fit_packing, op4_jaccard_join, op5_pii, op6_url_filter, op7_mixing, op8_quality_rules, op9_nearest, op10_chat_format, op11_whitening, op12_spelling_variants, op13_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": oracles.mixing_sql(), "op10_chat_format": oracles.chat_sql()}
