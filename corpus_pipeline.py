@@ -34,7 +34,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and registers have their target weights."""
-    return mixing.mix(docs, "text", "doc_id", "source", "lang").select(docs.columns)
+    return mixing.mixed(docs, "text", "doc_id", "source", "lang")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

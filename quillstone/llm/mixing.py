@@ -5,8 +5,12 @@ of the three dimensions have the target shares. The probability of a document is
 the tokens there are, times a factor that makes the expected sample as large as asked for, and 1 at most. A hash of the
 id decides, so that the same documents are drawn whatever the partitioning.
 
+The targets of a dimension may be given as shares of its categories; they are brought to sum to 1 over the categories that have
+tokens, and a category without a share is not drawn. Where none are given, they are the sizes to the power `TEMPER`.
+
 Sweeps are repeated until no dimension's sums are off their targets by more than `TOLERANCE`, or by no less than the time
-before, where cells that are missing make the targets contradict each other; `MOST_SWEEPS` end it in any case.
+before, where cells that are missing make the targets contradict each other; `MOST_SWEEPS` end it in any case. If the sums
+are then off by more than `TOLD`, a warning says by how much.
 
 There is one row for each combination of categories, whatever the number of documents. Up to `CELLS_AT_ONCE` of them are
 counted first and then swept in one task without a shuffle; beyond, each step is a grouped sum and a join on stored tables.
@@ -20,6 +24,10 @@ like those that are added (__tokens, __source, __lang, __topic, __p), which are
 
 from __future__ import annotations
 
+import math
+import warnings
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +35,7 @@ from quillstone.llm.common import col, drop_table, shared_table
 
 DIMENSIONS = ("source", "lang", "topic")
 TOLERANCE = 1e-12
+TOLD = 1e-6
 MOST_SWEEPS = 200
 #: Sweeps between two looks at the sums.
 LOOK = 5
@@ -36,6 +45,7 @@ TEMPER = 0.7
 #: The expected sample holds this share of all tokens.
 BUDGET = 0.5
 SPACE = "[ \t\n\r]+"
+ADDED = ("__tokens", "__source", "__lang", "__topic", "__p")
 
 
 def token_count(text: Column) -> Column:
@@ -56,16 +66,28 @@ def measured(documents: DataFrame, text: str, source: str, lang: str, topic: str
     return rows.withColumn("__topic", unknown(topic) if topic else register_of(col(text), F.col("__tokens")))
 
 
-def rake(rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
-    """The cells: __source, __lang, __topic, tokens, weight and p."""
+def target_shares(cells: DataFrame, key: str, given: Mapping[str, float] | None, temper: float) -> DataFrame:
+    """key and its share: as given, or by the categories' sizes; they sum to 1 over the categories that are there."""
+    sizes = cells.groupBy(key).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("s"))
+    if given is not None:
+        if not all(math.isfinite(x) and x >= 0 for x in given.values()) or not any(given.values()):
+            raise ValueError("target weights are finite, not negative and not all 0")
+        wanted = cells.sparkSession.createDataFrame([(str(k), float(x)) for k, x in given.items() if x > 0], "k string, s double")
+        sizes = sizes.select(key).join(wanted, F.col(key) == F.col("k")).select(key, "s")
+    total = sizes.agg(F.sum("s")).first()[0] or 1.0
+    return sizes.select(key, (F.col("s") / total).alias(f"{key}_target"))
+
+
+def rake(rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """The cells that may be drawn: __source, __lang, __topic, tokens, weight and p."""
+    if set(targets or ()) - set(DIMENSIONS):
+        raise ValueError(f"targets are for {', '.join(DIMENSIONS)}")
     keys = [f"__{d}" for d in DIMENSIONS]
     cells = shared_table(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")).where("tokens > 0"), "cells")
     at_once = cells.count() <= CELLS_AT_ONCE
     whole = cells
-    for k in keys:
-        per = cells.groupBy(k).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("s"))
-        total = per.agg(F.sum("s")).first()[0] or 1.0
-        whole = whole.join(per.select(k, (F.col("s") / total).alias(f"{k}_target")), k)
+    for d, k in zip(DIMENSIONS, keys, strict=True):
+        whole = whole.join(target_shares(cells, k, (targets or {}).get(d), temper), k)
     whole = stored(whole.withColumn("weight", F.col("tokens").cast("double")), at_once)
     off = float("inf")
     for _ in range(0, MOST_SWEEPS, LOOK):
@@ -76,6 +98,8 @@ def rake(rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET) -> Dat
         # where targets contradict each other, sweeps go on in a circle
         if off <= TOLERANCE or off >= last:
             break
+    if off > TOLD:
+        warnings.warn(f"the mix is off its targets by up to {off:.2g} of their size, as cells that they need are missing", stacklevel=2)
     # p = min(1, f * weight / tokens), where f makes the expected tokens the budget: what f would take whole, is
     tokens, ratio = F.sum("tokens"), F.col("weight") / F.col("tokens")
     wanted, f = budget * float(cells.agg(tokens).first()[0] or 0), 0.0
@@ -129,7 +153,24 @@ def sample(rows: DataFrame, cells: DataFrame, doc_id: str) -> DataFrame:
     return rows.join(cells.select(*keys, F.col("p").alias("__p")), keys).where(uniform(col(doc_id)) < F.col("__p"))
 
 
-def mix(documents: DataFrame, text: str, doc_id: str, source: str, lang: str, topic: str | None = None, budget: float = BUDGET) -> DataFrame:
-    """Measure, rake and draw. The text is read twice rather than stored: once for the sums, once for the sample."""
-    rows = measured(documents, text, source, lang, topic)
-    return sample(rows, rake(rows, budget=budget), doc_id)
+def drawn(documents: DataFrame, text: str, doc_id: str, source: str, lang: str, topic: str | None, budget: float, targets: Mapping[str, Mapping[str, float]] | None) -> DataFrame:
+    """The drawn rows: the columns of `documents` under the private names __own0, __own1, ..., and ADDED."""
+    private = {c: f"__own{k}" for k, c in enumerate(documents.columns)}
+    rows = documents.select(*(col(c).alias(k) for c, k in private.items()))
+    rows = measured(rows, private[text], private[source], private[lang], topic and private[topic])
+    return sample(rows, rake(rows, budget=budget, targets=targets), private[doc_id])
+
+
+def mix(documents: DataFrame, text: str, doc_id: str, source: str, lang: str, topic: str | None = None, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """Measure, rake and draw; adds ADDED. The text is read twice rather than stored: once for the sums, once for the sample.
+
+    `targets` may give the shares of the categories of "source", "lang" and "topic", each or any of them.
+    """
+    own = [F.col(f"__own{k}").alias(c) for k, c in enumerate(documents.columns) if c not in ADDED]
+    return drawn(documents, text, doc_id, source, lang, topic, budget, targets).select(*own, *ADDED)
+
+
+def mixed(documents: DataFrame, text: str, doc_id: str, source: str, lang: str, topic: str | None = None, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """The drawn rows of `documents` with its own columns, whatever their names."""
+    own = [F.col(f"__own{k}").alias(c) for k, c in enumerate(documents.columns)]
+    return drawn(documents, text, doc_id, source, lang, topic, budget, targets).select(*own)
