@@ -4,7 +4,9 @@ A tag scanner feeds a tree builder that closes what HTML lets authors leave open
 that a browser does not show (head, script, template, `hidden`, display:none, ...) give no text; form controls and the
 texts of svg and math do, with every option of a select. Blocks end lines, and
 paragraphs are set apart by an empty line; list items are marked and indented by depth, to `DEEPEST` levels; the cells of a
-table's columns, spanning ones included, are padded to one width; white space collapses but in pre.
+table's columns, spanning ones included, are padded to one width; white space collapses but in pre. A row that holds a cell of
+several lines, or a table, is layout: its cells stand below each other, with their lines and spacing. What is `visibility:hidden` gives no text, but a descendant that is visible again does; a dialog that is not open is not shown, and
+details are shown opened.
 
 A page takes time in proportion to its length: where each name is open is known, so nothing looks through the open
 elements. Nor does layout multiply a page: a table whose padding would be over `PADDING` times its cells' text, or whose
@@ -46,7 +48,7 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"), "body": ("head",)}
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-MAYBE_HIDDEN = re.compile("hidden|none|collapse", re.I)
+MAYBE_HIDDEN = re.compile("hidden|none|collapse|visib", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACES = re.compile(r"[ \t\r\n\f]+")
 RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
@@ -73,20 +75,25 @@ def number(text: str, least: int, most: int, default: int) -> int:
     return min(most, max(least, int(text))) if text.isascii() and text.isdigit() and len(text) < 10 else default
 
 
-def hidden(attributes: str, foreign: bool) -> bool:
-    """Whether an element is off screen by its own attributes: hidden, or display or visibility in its style. Names are parsed, values are not searched."""
+def sight(attributes: str, foreign: bool) -> tuple[bool, str]:
+    """Whether an element takes no room by its own attributes (hidden, or its display), and its own visibility, if it has one. Names are parsed, values are not searched."""
     if not MAYBE_HIDDEN.search(attributes):
-        return False
+        return False, ""
     own = values(attributes)
     if "hidden" in own or (foreign and own.get("display", "").strip().lower() == "none"):
-        return True
+        return True, ""
     style: dict[str, tuple[bool, str]] = {}
     for declaration in own.get("style", "").lower().split(";"):
         name, _, value = declaration.partition(":")
         value, important, _ = value.partition("!")
         if bool(important) >= style.get(name.strip(), (False, ""))[0]:
             style[name.strip()] = bool(important), value.strip()
-    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+    seen = style.get("visibility", (False, ""))[1]
+    return style.get("display", (False, ""))[1] == "none", seen if seen in ("hidden", "collapse", "visible") else ""
+
+
+#: A cell's lines, the columns and rows that it spans, and whether it holds a table.
+Cell = tuple[list[str], int, int, bool]
 
 
 class Page:
@@ -100,8 +107,10 @@ class Page:
         self.at: dict[str, list[int]] = defaultdict(list)
         self.lists: list[int | None] = []
         self.unseen: int | None = None
-        #: Rows of cells (text, columns, rows), the lines around, loose lines, the lists around, spans of the open cell.
-        self.tables: list[tuple[list[list[tuple[str, int, int]]], list[str], list[str], list[int | None], list[tuple[int, int]]]] = []
+        #: Rows of cells, the lines around, loose lines, the lists around, spans of the open cell and whether it holds a table.
+        self.tables: list[tuple[list[list[Cell]], list[str], list[str], list[int | None], list[tuple[int, int, bool]]]] = []
+        #: Open elements with a visibility of their own: how many elements are open with it, and whether it shows.
+        self.seen: list[tuple[int, bool]] = []
         self.pre = 0
         self.mark = ""
 
@@ -109,6 +118,9 @@ class Page:
         """Place of the innermost open element with one of the names; -1 without any."""
         return max((self.at[x][-1] for x in names if self.at[x]), default=-1)
 
+    def visible(self) -> bool:
+        return not self.seen or self.seen[-1][1]
+
     def foreign(self) -> bool:
         return bool(self.at["svg"] or self.at["math"])
 
@@ -152,16 +164,20 @@ class Page:
             return
         if name == "input":
             own = values(attributes)
-            if own.get("type", "").strip().lower() in SHOWN_INPUTS and not hidden(attributes, False):
+            gone, seen = sight(attributes, False)
+            if own.get("type", "").strip().lower() in SHOWN_INPUTS and not gone and (seen == "visible" if seen else self.visible()):
                 self.line.append(f" {html.unescape(own.get('value') or own.get('placeholder', ''))} ")
             return
         if name in VOID:
             return
         self.push(name)
         foreign = self.foreign()
-        if name in UNSEEN or (foreign and name in UNSEEN_FOREIGN) or (attributes and hidden(attributes, foreign)):
+        gone, seen = sight(attributes, foreign) if attributes else (False, "")
+        if gone or name in UNSEEN or (foreign and name in UNSEEN_FOREIGN) or (name == "dialog" and "open" not in values(attributes)):
             self.unseen = len(self.open)
             return
+        if seen:
+            self.seen.append((len(self.open), seen == "visible"))
         if name in CONTROLS or (name == "text" and foreign):
             self.flush()
         elif name in BLOCKS:
@@ -193,7 +209,7 @@ class Page:
             loose.extend(x for x in self.lines if x)
             self.lines = []
             own = values(attributes) if attributes else {}
-            spans.append((number(own.get("colspan", ""), 1, MOST_COLUMNS, 1), number(own.get("rowspan", ""), 0, MOST_ROWS, 1) or MOST_ROWS))
+            spans.append((number(own.get("colspan", ""), 1, MOST_COLUMNS, 1), number(own.get("rowspan", ""), 0, MOST_ROWS, 1) or MOST_ROWS, False))
 
     def close(self, names: tuple[str, ...], limits: tuple[str, ...]) -> None:
         barrier = -1 if names == ("head",) else self.top((*limits, "table", "html", "body"))
@@ -215,6 +231,8 @@ class Page:
     def end_top(self) -> None:
         name = self.open.pop()
         self.at[name].pop()
+        if self.seen and len(self.open) < self.seen[-1][0]:
+            self.seen.pop()
         if self.unseen is not None:
             if len(self.open) < self.unseen:
                 self.unseen = None
@@ -231,7 +249,7 @@ class Page:
             self.pre = max(0, self.pre - 1)
         elif name in ("td", "th") and self.tables and self.tables[-1][4]:
             rows, spans = self.tables[-1][0], self.tables[-1][4]
-            rows[-1].append((" ".join(x.strip() for x in self.lines if x), *spans.pop()))
+            rows[-1].append((trimmed([y for x in self.lines for y in x.split("\n")]), *spans.pop()))
             self.lines = []
         elif name == "table" and self.tables:
             rows, outer, loose, lists, _ = self.tables.pop()
@@ -241,16 +259,39 @@ class Page:
             self.lines += loose + aligned(rows)
             if rows:
                 self.lines.append("")
+            if self.tables and self.tables[-1][4] and rows:
+                spans = self.tables[-1][4]
+                spans[-1] = (*spans[-1][:2], True)
 
     def text(self, data: str) -> None:
         if self.open and self.open[-1] == "head" and data.strip(" \t\r\n\f"):
             self.end_top()
-        if self.unseen is None:
+        if self.unseen is None and self.visible():
             self.line.append(html.unescape(data) if "&" in data else data)
 
 
-def placed(rows: list[list[tuple[str, int, int]]], budget: int) -> list[list[tuple[int, int, str]]] | None:
-    """First and next column and text of each row's cells, beside the cells that reach down from above; None beyond the budget of steps."""
+def trimmed(lines: list[str]) -> list[str]:
+    """The lines without empty ones at either end, and with one at most between others; a single line has no blanks around it."""
+    out: list[str] = []
+    for x in lines:
+        if x or (out and out[-1]):
+            out.append(x)
+    while out and not out[-1]:
+        out.pop()
+    return [out[0].strip()] if len(out) == 1 else out
+
+
+def is_layout(row: list[Cell]) -> bool:
+    return any(table or len(lines) > 1 for lines, _, _, table in row)
+
+
+def stacked(row: list[Cell]) -> list[str]:
+    """The cells of a layout row below each other."""
+    return [y for lines, *_ in row if lines for y in ("", *lines, "")]
+
+
+def placed(rows: list[list[Cell]], budget: int) -> list[list[tuple[int, int, str]]] | None:
+    """First and next column and line of each row's cells, beside the cells that reach down from above; None beyond the budget of steps."""
     taken: dict[int, int] = {}
     out = []
     for r in rows:
@@ -259,36 +300,51 @@ def placed(rows: list[list[tuple[str, int, int]]], budget: int) -> list[list[tup
             return None
         blocked, taken = taken, {c: n - 1 for c, n in taken.items() if n > 1}
         at, cells = 0, []
-        for text, columns, deep in r:
+        for lines, columns, deep, _ in r:
             while at in blocked:
                 at += 1
-            cells.append((at, at + columns, text))
+            cells.append((at, at + columns, lines[0] if lines else ""))
             if deep > 1:
                 budget -= columns
                 if budget < 0:
                     return None
                 taken |= dict.fromkeys(range(at, at + columns), deep - 1)
             at += columns
+        while cells and not cells[-1][2]:
+            cells.pop()
         out.append(cells)
     return out
 
 
-def filled(cells: list) -> list:
-    """The cells up to the last one with text, which stands where `cells` have it: last or first."""
-    n = len(cells)
-    while n and not any(isinstance(x, str) and x for x in cells[n - 1]):
+def filled(row: list[Cell]) -> list[Cell]:
+    """The cells up to the last one with text."""
+    n = len(row)
+    while n and not row[n - 1][0]:
         n -= 1
-    return cells[:n]
+    return row[:n]
 
 
-def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+def aligned(rows: list[list[Cell]]) -> list[str]:
     """Cells of a column have one width; a spanning cell has that of its columns; the last cell of a row is not padded."""
-    plain = [" | ".join(c[0] for c in cells).rstrip() for r in rows if (cells := filled(r))]
-    budget = 65536 + PADDING * sum(len(x) + 3 for x in plain)
+    plain = [stacked(r) if is_layout(r) else [" | ".join(c[0][0] if c[0] else "" for c in cells)] if (cells := filled(r)) else [] for r in rows]
+    budget = 65536 + PADDING * sum(len(x) + 3 for lines in plain for x in lines)
     grid = placed(rows, budget)
-    if grid is None:
-        return plain
-    grid = [cells for r in grid if (cells := filled(r))]
+    shown = None if grid is None else padded([[] if is_layout(r) else cells for r, cells in zip(rows, grid, strict=True)], budget)
+    if shown is None:
+        return trimmed_all(plain)
+    return trimmed_all([lines if is_layout(r) else shown[k] for k, (r, lines) in enumerate(zip(rows, plain, strict=True))])
+
+
+def trimmed_all(parts: list[list[str]]) -> list[str]:
+    """All lines of a table; empty ones set layout rows apart."""
+    lines = [x for part in parts for x in part]
+    out = trimmed(lines)
+    return lines if len(out) == len(lines) == 1 else out
+
+
+def padded(rows: list[list[tuple[int, int, str]]], budget: int) -> list[list[str]] | None:
+    """The line of each row, padded by column; none for a row without cells. None beyond the budget of characters."""
+    grid = [r for r in rows if r]
     # columns in which no cell begins take no room
     begins = sorted({a for r in grid for a, _, _ in r})
     column = {a: k for k, a in enumerate(begins)}
@@ -305,23 +361,23 @@ def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     for k, end, size in wide:
         budget -= end - k
         if budget < 0:
-            return plain
+            return None
         width[end - 1] += max(0, size - sum(width[k:end]) - 3 * (end - k - 1))
     left = [0]
     for w in width:
         left.append(left[-1] + w + 3)
     out = []
-    for r in grid:
+    for r in rows:
         line = ""
         for n, (a, _, text) in enumerate(r):
             if n or a > begins[0]:
                 room = left[column[a]] - 3 - len(line)
                 budget -= room
                 if budget < 0:
-                    return plain
+                    return None
                 line += " " * room + " | "
             line += text
-        out.append(line.rstrip())
+        out.append([line.rstrip()] if r else [])
     return out
 
 
