@@ -10,9 +10,11 @@ starts from the state that the few bytes before it determine, and all pieces tak
 length is read whole, in time linear in its bytes and with memory for a few numbers a piece.
 
 Bounds of the model, all parameters: about `train_bytes` of text are trained on for each language, in rows chosen by a hash
-of the id; a language keeps its `max_contexts` most frequent contexts, all of them with their shorter forms; the
-`MAX_LANGUAGES` most frequent languages are told apart. Counts are summed and cut by Spark; what the driver gathers is the
-kept contexts, and a tally of their counts. Prediction reads every byte of every text and nothing else.
+of the id; a language keeps its `max_contexts` most frequent contexts, all of them with their shorter forms, or an equal part
+of `ALL_CONTEXTS` where there are more languages than that allows. There may be any number of languages: automata hold
+`TOGETHER_LANGUAGES` each and add one block of columns after the other. Counts are summed and cut by Spark; what the driver
+gathers is a row for each language, the kept contexts, and a tally of their counts. Prediction reads every byte of every text
+and nothing else.
 
 Defined cases: a null text or one without a letter is `und` with score 0; equal code lengths go to the language first
 in alphabetical order; without any labelled training row all are `und`; repeated rows get equal answers; a kept column with
@@ -35,7 +37,9 @@ from quillstone.llm.common import bound_batches, col, map_column, shared_table,
 
 ORDER = 4
 UNDETERMINED = "und"
-MAX_LANGUAGES = 64
+#: Contexts of all languages together, which bounds the model, and languages of one automaton.
+ALL_CONTEXTS = 160_000
+TOGETHER_LANGUAGES = 8
 MIN_COUNT = 2
 #: Bytes that take their steps one after the other, and bytes whose pieces are stepped together.
 PIECE = 512
@@ -46,6 +50,14 @@ START = 256
 
 @dataclass(frozen=True)
 class PpmModel:
+    """All languages in alphabetical order, and the automata that hold them one block after the other."""
+
+    langs: tuple[str, ...]
+    parts: tuple[Automaton, ...]
+
+
+@dataclass(frozen=True)
+class Automaton:
     """langs; rank of each byte value among those seen; edge[state, rank] is the edge that a byte takes: at the state itself or at the longest shorter form that knows the byte.
 
     after[edge] is the next state; cost[edge, language] are the bits of the byte from the root's point of view, and
@@ -80,7 +92,7 @@ def train(documents: DataFrame, text: str, lang: str, doc_id: str, train_bytes:
     spark = documents.sparkSession
     bound_batches(spark)
     labelled = documents.select(col(doc_id).alias("i"), col(text).alias("t"), col(lang).cast("string").alias("g")).where("g is not null and t is not null and t <> ''")
-    sizes = labelled.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).orderBy(F.desc("n"), "g").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).collect()
     if not sizes:
         return None
     langs = tuple(sorted(r["g"] for r in sizes))
@@ -88,6 +100,7 @@ def train(documents: DataFrame, text: str, lang: str, doc_id: str, train_bytes:
     drawn = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(1 << 40)) < share[F.col("g")] * (1 << 40)
     chosen = labelled.where(drawn).select("t", "g")
     place = {g: k for k, g in enumerate(langs)}
+    max_contexts = max(1, min(max_contexts, ALL_CONTEXTS // len(langs)))
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,10 +131,15 @@ def train(documents: DataFrame, text: str, lang: str, doc_id: str, train_bytes:
     bar = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
     kept = totals.where((F.col("k") == 0) | (F.col("m") > bar[F.col("g")])).select("g", "k", "x")
     found = counted.join(kept, ["g", "k", "x"]).select("g", "k", "x", "s", "n").toArrow()
-    return build(langs, *(found[c].to_numpy() for c in ("g", "k", "x", "s", "n")))
+    rows = [found[c].to_numpy() for c in ("g", "k", "x", "s", "n")]
+    parts = []
+    for at in range(0, len(langs), TOGETHER_LANGUAGES):
+        own = (rows[0] >= at) & (rows[0] < at + TOGETHER_LANGUAGES)
+        parts.append(build(langs[at : at + TOGETHER_LANGUAGES], rows[0][own] - at, *(c[own] for c in rows[1:])))
+    return PpmModel(langs, tuple(parts))
 
 
-def build(langs: tuple[str, ...], tag: np.ndarray, order: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> PpmModel:
+def build(langs: tuple[str, ...], tag: np.ndarray, order: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Automaton:
     """The automaton from counts: of each symbol after each kept context of each language."""
     n_langs = len(langs)
     seen = np.unique(symbol)
@@ -172,11 +190,16 @@ def build(langs: tuple[str, ...], tag: np.ndarray, order: np.ndarray, context: n
         at = np.minimum(np.searchsorted(states, wanted), len(states) - 1)
         hit = (states[at] == wanted) & (state_order[owner] >= k - 1) & (after[: len(edges)] == 0)
         after[: len(edges)][hit] = at[hit]
-    return PpmModel(langs, rank.astype(np.uint8 if width <= 256 else np.int64), table.astype(np.int32), after, cost.astype(np.float32), escape.astype(np.float32))
+    return Automaton(langs, rank.astype(np.uint8 if width <= 256 else np.int64), table.astype(np.int32), after, cost, escape)
 
 
 def code_lengths(model: PpmModel, data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> np.ndarray:
-    """Bits of each text in each language."""
+    """Bits of each text in each language, in double precision."""
+    return np.hstack([lengths(part, data, offsets, piece) for part in model.parts])
+
+
+def lengths(model: Automaton, data: np.ndarray, offsets: np.ndarray, piece: int) -> np.ndarray:
+    """Bits of each text in each language of one automaton."""
     out = np.zeros((len(offsets) - 1, len(model.langs)))
     width = model.edge.shape[1]
     edge = model.edge.reshape(-1)
