@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -45,6 +45,8 @@ DEEPEST = 8
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 19
 PAIRS = 8192
+#: Bytes of a partition up to which the side without texts may be joined by hash.
+SMALL_SIDE = 64 << 20
 #: Stands for a tree in which a representative has no subtree; labels are shorter than that, or a full one is as rare as any.
 NO_SUBTREE = -(1 << 63)
 #: Ranges of similarity from the threshold to 1 in which links are counted.
@@ -243,7 +245,7 @@ def level(texts: DataFrame, classes: DataFrame, deeper: DataFrame | None, depth:
             sets = pa.array([s.tobytes() for s in shingle_sets(b.column(1), WIDTH)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets, *b.columns[2:]], ["rep", "shingles", "kept", "in", "size", "p"])
 
-    involved = texts.join(wanted.hint("shuffle_hash"), "rep").select("rep", "t", "kept", "in", "size", "p")
+    involved = texts.join(wanted, "rep").select("rep", "t", "kept", "in", "size", "p")
     schema = "rep long, shingles binary, kept array<long>, in array<struct<tree:int,label:long,blocks:int>>, size long, p array<long>"
     sets = involved.mapInArrow(add_sets, schema).select("rep", "shingles", "kept", "size", "p", F.explode("in").alias("s")).select("rep", "shingles", "kept", "size", "p", "s.*")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -256,9 +258,17 @@ def level(texts: DataFrame, classes: DataFrame, deeper: DataFrame | None, depth:
     return groups.select("m", "x", "y"), found, counts
 
 
+def hash_joins(spark: SparkSession) -> None:
+    """Let Spark join by hash, without sorting the texts, where it has measured that each partition of the other side is small."""
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(SMALL_SIDE))
+
+
 def join(documents: DataFrame, text: str, doc_id: str, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its connected links), copy_of (smallest id with its very set), n_links."""
     bound_batches(documents.sparkSession)
+    hash_joins(documents.sparkSession)
     if not isinstance(documents.select(col(doc_id)).schema[0].dataType, IntegralType):
         return join_by_row(documents, text, doc_id, threshold, target)
     sketch = shared_table(sketches(documents, text, doc_id), "sketches")
