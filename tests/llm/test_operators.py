@@ -109,7 +109,7 @@ def test_html_keeps_what_is_on_screen():
     render = htmltext.render
     assert render("<table><caption>T</caption><tr><td>a</table>") == "T\na"
     assert render("<table><tr><td>a<td>b</tr>loose<tr><td>c</table>z") == "loose\na | b\nc\n\nz"
-    assert render("<table><tr><td>x<table><caption>in</caption><tr><td>y</table></table>") == "x in y"
+    assert render("<table><tr><td>x<table><caption>in</caption><tr><td>y</table></table>") == "x\n\nin\ny"  # an inner table keeps its lines
     assert render("<head><title>x</title><p>text") == "text" and render("<html><head><meta charset=a>\n<title>x</title>\n<b>t</b> u") == "t u"
     assert render("<head><title>x</title>bare") == "bare" and render("<head><template><p>no</template></head><p>yes") == "yes"
     assert render("<p>a<head>b") == "ab"
@@ -585,3 +585,97 @@ def test_chat_equals_brute_force(spark):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, c string, h1 int")
     assert {tuple(x) for x in chat.render(table, "conv_id", "turn", "role", "text").collect()} == want and len(want) < len(whole)
     assert chat.render(table.limit(0), "conv_id", "turn", "role", "text").count() == 0
+
+
+def test_html_layout_tables_and_visibility():
+    render = htmltext.render
+    page = "<table><tr><td><h1>Title</h1><p>First.</p><ul><li>a<li>b</ul><table><tr><td>x<td>yy<tr><td>xxx<td>z</table></td><td>side<br>bar</td></tr></table>end"
+    assert render(page) == "Title\n\nFirst.\n\n- a\n- b\n\nx   | yy\nxxx | z\n\nside\nbar\n\nend"
+    assert render("<table><tr><td><p>one</p><td><p>two</p><tr><td>3<td>4</table>") == "one | two\n3   | 4"
+    assert render("<table><tr><td>a<td>b<tr><td><pre>x\n y</pre><td>z<tr><td>ccc<td>d</table>") == "a   | b\n\nx\n y\n\nz\n\nccc | d"
+    assert render("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<b style='visibility:collapse'>no</b></p>no</div>after") == "yes\n\nafter"
+    assert render("<p style='visibility:hidden'>no<input value=no><input value=yes style='visibility:visible'></p>a") == "yes\n\na"
+    assert render("<dialog>no</dialog><dialog open>yes</dialog>") == "yes"
+    deep = "<table><tr><td>" * 2000 + "x" + "</table>" * 2000
+    began = time.time()
+    assert render(deep) == "x" and time.time() - began < 5
+
+
+def test_more_languages_than_one_automaton_holds(spark):
+    """Any number of languages: each has letters of its own, and code lengths are those of a model of its own."""
+    r = random.Random(12)
+    n = 100
+    letters = {f"l{k:03}": [chr(0x3400 + 5 * k + j) for j in range(5)] for k in range(n)}
+    texts = [("".join(r.choice(own + [" "]) for _ in range(60)), g) for g, own in letters.items() for _ in range(4)]
+    docs = documents(spark, [t for t, _ in texts], [g for _, g in texts])
+    model = langid.train(docs, "text", "lang", "doc_id")
+    assert len(model.langs) == n and len(model.parts) > 1
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.predict(docs, model, "text", ["doc_id"]).collect()}
+    assert all(got[k] == g for k, (_, g) in enumerate(texts))
+    few = [k for k, (_, g) in enumerate(texts) if g in ("l003", "l050")]
+    alone = langid.train(docs.where("lang in ('l003', 'l050')"), "text", "lang", "doc_id", max_contexts=langid.ALL_CONTEXTS // n)
+    raw = [texts[k][0].encode() for k in few]
+    ends = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    want = langid.code_lengths(alone, data, ends)
+    assert np.allclose(langid.code_lengths(model, data, ends)[:, [3, 50]], want)
+
+
+ODD = ["__words", "__text", "__p", "__one", "a.b", "kept", "score", "`q`", "__own0", "__tokens", "x y"]
+
+
+def odd_documents(spark, texts):
+    """Rows with columns whose names clash with private ones, or hold dots and quotes."""
+    rows = documents(spark, texts).select("doc_id", "text", "source", "lang")
+    return rows.select("*", *(F.lit(k).alias(c) for k, c in enumerate(ODD)))
+
+
+def test_clashing_and_dotted_columns(spark):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    texts = [" ".join(r.choice("one two three four five six seven eight nine ten".split()) for _ in range(80)) for _ in range(12)] + [None, ""]
+    docs = odd_documents(spark, texts)
+    plain = documents(spark, texts).select("doc_id", "text", "source", "lang")
+    model = quality.fit(docs, "text", "doc_id", docs.select("doc_id").limit(3))
+    judged = quality.judge(docs, "text", model)
+    assert judged.columns == [*(c for c in docs.columns if c not in quality.ADDED), *quality.ADDED] and judged.count() == 14
+    assert sorted(map(tuple, judged.select(*quality.ADDED).collect())) == sorted(map(tuple, quality.judge(plain, "text", quality.fit(plain, "text", "doc_id", plain.select("doc_id").limit(3))).select(*quality.ADDED).collect()))
+    kept = quality.filtered(docs, "text", model)
+    assert kept.columns == docs.columns and {tuple(x)[4:] for x in kept.collect()} == {tuple(range(len(ODD)))}
+    mixed = mixing.mix(docs, "text", "doc_id", "source", "lang")
+    assert mixed.columns.count("__p") == 1 and {x["__p"] for x in mixed.collect()} <= {1.0, *(x["__p"] for x in mixing.mix(plain, "text", "doc_id", "source", "lang").collect())}
+    stage = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert stage.columns == docs.columns and {x["__p"] for x in stage.collect()} <= {2}
+    packed = packing.pack_documents(docs, "text", "doc_id", tokenizer_path())
+    assert packed.where("doc_id >= 0").count() == 14
+
+
+def test_quality_threshold_is_exact(spark):
+    r = random.Random(14)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(3)) for _ in range(60)) for _ in range(300)]
+    docs = documents(spark, texts)
+    found = {quality.fit(docs.repartition(n), "text", "doc_id", docs.select("doc_id")).threshold for n in (1, 7)}
+    scores = [x["score"] for x in quality.judge(docs, "text", quality.fit(docs, "text", "doc_id", docs.select("doc_id"))).collect()]
+    assert len(found) == 1 and abs(found.pop() + quality.MARGIN - np.quantile(scores, quality.QUANTILE)) < 1e-9
+
+
+def test_mixing_to_given_targets(spark):
+    """Expected tokens follow the shares that are asked for; a category without one is not drawn."""
+    r = random.Random(15)
+    rows = [(k, words(r.randint(5, 200), k), r.choice(("en", "fr", "de")), r.choice(("web", "news", "code")), "x", "y") for k in range(600)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    wanted = {"source": {"web": 3, "news": 1, "gone": 5}, "lang": {"en": 0.5, "fr": 0.25, "de": 0.25}}
+    cells = mixing.rake(mixing.measured(docs, "text", "source", "lang"), budget=0.05, targets=wanted).collect()
+    total = sum(c["tokens"] * c["p"] for c in cells)
+    share = lambda key, x: sum(c["tokens"] * c["p"] for c in cells if c[key] == x) / total
+    assert abs(share("__source", "web") - 0.75) < 1e-3 and abs(share("__source", "news") - 0.25) < 1e-3 and share("__source", "code") == 0
+    assert abs(share("__lang", "en") - 0.5) < 1e-3 and abs(share("__lang", "fr") - 0.25) < 1e-3
+    drawn = mixing.mix(docs, "text", "doc_id", "source", "lang", budget=0.05, targets=wanted)
+    assert {x["source"] for x in drawn.select("source").distinct().collect()} == {"web", "news"}
+    for bad in ({"source": {"web": -1}}, {"source": {"web": 0}}, {"colour": {"red": 1}}, {"lang": {"en": float("nan")}}):
+        with pytest.raises(ValueError):
+            mixing.rake(mixing.measured(docs, "text", "source", "lang"), targets=bad)
+    one_sided = spark.createDataFrame([(0, words(50, 0), "en", "web", "x", "y"), (1, words(50, 1), "fr", "news", "x", "y")], COLUMNS)
+    with pytest.warns(UserWarning, match="off its targets"):
+        mixing.rake(mixing.measured(one_sided, "text", "source", "lang"), targets={"source": {"web": 1, "news": 1}, "lang": {"en": 9, "fr": 1}})
