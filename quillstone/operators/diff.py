@@ -1,15 +1,32 @@
-"""Node diff between two versions: equal hashes first, one to one by occurrence, then edit distance."""
+"""Node diff between two versions: equal hashes first, one to one by occurrence, then edit distance.
+
+The edit-distance join rests on the pigeonhole principle: d edits leave d + 1 runs of a text whole, so texts within distance
+d share a run of at least (length - d) / (d + 1) characters. From each text the locally least hashes of its grams are kept
+(winnowing), so that two texts that share a run of a scheme's length keep a gram in common; grams are joined by document, and
+only the pairs that meet are measured. Pairs are taken best first, so close ones are looked for before distant ones: each
+tier of ratios joins what the tiers before it left, by the longest runs that its ratio allows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quillstone.functions import text as T
+from quillstone.sources.stored import drop_table, shared_table
+
+#: Ratios up to which pairs are looked for together; a threshold ends the list.
+TIERS = (0.02, 0.05, 0.1)
+#: Shortest run that two texts share, to the length of a gram and the number of neighbouring grams of which the least is
+#: kept. Texts that need not share a run of two characters are compared by length alone.
+SCHEMES = {0: (0, 1), 2: (2, 1), 3: (2, 2), 4: (3, 2), 8: (5, 4), 16: (8, 9), 32: (12, 21)}
+#: Rounds in which mutual bests are taken by node; what is left after them is taken document by document.
+ROUNDS = 2
 
 
 def exact(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -41,36 +58,158 @@ def bounded_distance(a: str, b: str, bound: Column) -> Column:
     return F.coalesce(*(F.nullif(x, F.lit(-1)) for x in tries), F.lit(-1))
 
 
-def best_first(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def best_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that are taken, from pairs sorted by doc_id, ratio, old_block and new_block: a pair is taken if both nodes are free."""
     doc, olds, news = None, set(), set()
     for batch in batches:
         taken = []
-        for k, (d, ratio, o, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ratio", "old_block", "new_block")), strict=True)):
+        for k, (d, o, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "old_block", "new_block")), strict=True)):
             if d != doc:
                 doc, olds, news = d, set(), set()
-            if ratio is not None and ratio <= threshold and o not in olds and n not in news:
+            if o not in olds and n not in news:
                 olds.add(o)
                 news.add(n)
                 taken.append(k)
         yield batch.take(pa.array(taken, pa.int64())).select(["doc_id", "old_block", "new_block", "distance"])
 
 
+def sampled_grams(text: str, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are least among `window` neighbours somewhere, the last of equals."""
+    if not gram:
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(code) - gram + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(gram):
+        h = (h ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    if n <= window:
+        at = np.array([n - 1 - int(h[::-1].argmin())])
+    else:
+        views = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
+        at = np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
+    return at.astype(np.int64), h[at].view(np.int64)
+
+
+def with_bound(rows: DataFrame, threshold: float) -> DataFrame:
+    """Add d, the edits that a text allows if it is the longer one in bytes, and its scheme."""
+    d = F.floor(F.col("bytes") * threshold + 1e-9).cast("int")
+    run = F.ceil((F.col("size") - d) / (d + 1))
+    scheme = F.lit(0)
+    for least in sorted(SCHEMES):
+        scheme = F.when(run >= least, least).otherwise(scheme) if least else scheme
+    return rows.withColumns({"d": d, "scheme": scheme})
+
+
+def grams(rows: DataFrame) -> DataFrame:
+    """doc_id, block, is_new, size, bytes, d, owns, scheme, gram and place: a row for each kept gram of each text and scheme of `wanted`."""
+    kept = ["doc_id", "block", "is_new", "size", "bytes", "d"]
+    rows = rows.select(*kept, "text", "wanted")
+    added = [StructField("owns", IntegerType()), StructField("scheme", IntegerType()), StructField("gram", LongType()), StructField("place", LongType())]
+    schema = StructType([*(rows.schema[c] for c in kept), *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                taken, owns, schemes, found, places = [], [], [], [], []
+                for k, (text, wanted) in enumerate(zip(part.column(6), part.column(7).to_pylist(), strict=True)):
+                    raw, seen = text.as_py(), {}
+                    for w in wanted:
+                        if w["scheme"] not in seen:
+                            seen[w["scheme"]] = sampled_grams(raw, *SCHEMES[w["scheme"]])
+                        at, h = seen[w["scheme"]]
+                        taken.append(np.full(len(at), k)), owns.append(np.full(len(at), w["owns"])), schemes.append(np.full(len(at), w["scheme"]))
+                        found.append(h), places.append(at)
+                whole = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)).cast(t)
+                rows = whole(taken, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(6)), whole(owns, pa.int32()), whole(schemes, pa.int32()), whole(found, pa.int64()), whole(places, pa.int64())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, old_block, new_block, distance and ratio of the pairs of `rest` (see left_over) with a ratio of at most the threshold.
+
+    Of a pair the text with more bytes says how many edits there may be, and so which scheme finds it; the other one has its
+    grams under every scheme that such texts of its document use, if it can be as long as one of them.
+    """
+    rows = with_bound(rest.where("text <> ''").withColumns({"size": F.length("text"), "bytes": F.octet_length("text")}), threshold)
+    owners = rows.where("d > 0")
+    used = owners.groupBy("doc_id", (1 - F.col("is_new")).alias("is_new"), "scheme").agg(F.min(F.col("size") - F.col("d")).alias("low"), F.max(F.col("size") + F.col("d")).alias("high"), F.max("bytes").alias("most"))
+    used = used.groupBy("doc_id", "is_new").agg(F.collect_list(F.struct("scheme", "low", "high", "most")).alias("used"))  # as many as there are schemes
+    fit = F.filter("used", lambda u: (u["low"] <= F.col("size")) & (F.col("size") <= u["high"]) & (F.col("bytes") <= u["most"]))
+    pick = lambda u, owns: F.struct(F.lit(owns).alias("owns"), u.alias("scheme"))
+    guest = F.coalesce(F.transform(fit, lambda u: pick(u["scheme"], 0)), F.array().cast("array<struct<owns:int,scheme:int>>"))
+    own = F.when(F.col("d") > 0, F.array(pick(F.col("scheme"), 1))).otherwise(F.array().cast("array<struct<owns:int,scheme:int>>"))
+    rows = rows.join(used, ["doc_id", "is_new"], "left").withColumn("wanted", F.concat(own, guest)).where(F.size("wanted") > 0)
+    every = shared_table(grams(rows), "grams")
+    key = ["doc_id", "scheme", "gram"]
+    longer = every.where("owns = 1").select(*key, "block", "is_new", "size", "bytes", "d", "place")
+    shorter = every.where("owns = 0").select(*key, *(F.col(c).alias(f"other_{c}") for c in ("block", "is_new", "size", "bytes", "place")))
+    near = (F.col("is_new") != F.col("other_is_new")) & (F.col("bytes") >= F.col("other_bytes")) & (F.abs(F.col("size") - F.col("other_size")) <= F.col("d")) & (F.abs(F.col("place") - F.col("other_place")) <= F.col("d"))
+    side = lambda k: F.when(F.col("is_new") == k, F.col("block")).otherwise(F.col("other_block"))
+    met = longer.join(shorter, key).where(near).select("doc_id", side(0).alias("old_block"), side(1).alias("new_block")).distinct()
+    text = lambda k, name: rest.where(F.col("is_new") == k).select("doc_id", F.col("block").alias(f"{name}_block"), F.col("text").alias(f"{name}_text"))
+    both = met.join(text(0, "old"), ["doc_id", "old_block"]).join(text(1, "new"), ["doc_id", "new_block"])
+    size = F.greatest(F.octet_length("old_text"), F.octet_length("new_text"))
+    # one more than the threshold allows, so that rounding loses no pair; the ratio decides
+    distance = bounded_distance("old_text", "new_text", F.floor(size * threshold).cast("int") + 1)
+    found = both.select("doc_id", "old_block", "new_block", distance.cast("long").alias("distance"), size.alias("size")).where("distance >= 0")
+    out = shared_table(found.withColumn("ratio", F.col("distance") / F.col("size")).where(F.col("ratio") <= threshold).drop("size"), "pairs")
+    drop_table(every)
+    return out
+
+
+def without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """Pairs of which neither node is among the taken ones."""
+    return rows.join(taken.select("doc_id", "old_block"), ["doc_id", "old_block"], "left_anti").join(taken.select("doc_id", "new_block"), ["doc_id", "new_block"], "left_anti")
+
+
+def one_to_one(pairs: DataFrame) -> DataFrame:
+    """The pairs that are taken best first, by ratio, then block, each node once.
+
+    A pair that is the best of both of its nodes is taken whatever the others are, so the first rounds go by node. What they
+    leave is sorted by Spark and read as a stream, document by document.
+    """
+    rank = F.struct("ratio", "old_block", "new_block")
+    done: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        best = lambda side: F.min(rank).over(Window.partitionBy("doc_id", side))
+        marked = pairs.withColumns({"rank": rank, "of_old": best("old_block")}).withColumn("of_new", best("new_block"))
+        done.append(shared_table(marked.where("rank = of_old and rank = of_new").select("doc_id", "old_block", "new_block", "distance"), "taken"))
+        pairs = shared_table(without(pairs, done[-1]), "pairs")
+        if pairs.isEmpty():
+            break
+    else:
+        schema = StructType([pairs.schema[c] for c in ("doc_id", "old_block", "new_block", "distance")])
+        sorted_pairs = pairs.select("doc_id", "old_block", "new_block", "distance", "ratio").repartition("doc_id").sortWithinPartitions("doc_id", "ratio", "old_block", "new_block")
+        done.append(shared_table(sorted_pairs.mapInArrow(best_first, schema), "taken"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def fuzzy(old: DataFrame, new: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Matches of what exact() leaves on either side, whatever its length or script: doc_id, old_block, new_block, distance.
 
     A match is a mutual best pair by ratio, then block; rounds of mutual bests on what is left are repeated until none is
     added. A document's pairs taken best first are the same pairs: the first one left is always a mutual best, and taking
-    one changes no other. Lengths in characters bound the edit distance from below, so the band is checked first.
+    one changes no other. So pairs of a lower ratio can be found and taken before those of a higher one are looked for.
     """
-    rest = left_over(old, new)
-    a = rest.where("is_new = 0").select("doc_id", F.col("block").alias("old_block"), F.col("text").alias("old_text"))
-    b = rest.where("is_new = 1").select("doc_id", F.col("block").alias("new_block"), F.col("text").alias("new_text"))
-    size = F.greatest(F.octet_length("old_text"), F.octet_length("new_text"))
-    near = a.join(b, "doc_id").where(F.abs(F.length("old_text") - F.length("new_text")) <= size * threshold)
-    # one more than the threshold allows, so that rounding loses no pair; the ratio decides
-    distance = bounded_distance("old_text", "new_text", F.floor(size * threshold).cast("int") + 1)
-    near = near.select("doc_id", "old_block", "new_block", distance.cast("long").alias("distance"), size.alias("size")).repartition("doc_id")
-    near = near.withColumn("ratio", F.when(F.col("distance") >= 0, F.col("distance") / F.col("size"))).sortWithinPartitions("doc_id", "ratio", "old_block", "new_block")
-    schema = StructType([f for f in near.schema.fields if f.name in ("doc_id", "old_block", "new_block", "distance")])
-    return near.mapInArrow(lambda batches: best_first(batches, threshold), schema)
+    rest = shared_table(left_over(old, new), "left-over")
+    found: list[DataFrame] = []
+    for tier in (*(t for t in TIERS if t < threshold), threshold):
+        found.append(one_to_one(near_pairs(rest, tier)))
+        if tier < threshold:
+            sides = [found[-1].select("doc_id", F.col(f"{name}_block").alias("block"), F.lit(k).alias("is_new")) for k, name in enumerate(("old", "new"))]
+            rest = shared_table(rest.join(sides[0].unionByName(sides[1]), ["doc_id", "block", "is_new"], "left_anti").select(*rest.columns), "left-over")
+            if rest.where("is_new = 0").isEmpty() or rest.where("is_new = 1").isEmpty():
+                break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

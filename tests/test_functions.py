@@ -105,6 +105,36 @@ def test_fuzzy_diff_equals_rounds_of_mutual_bests(spark):
     assert {tuple(x) for x in diff.fuzzy(nodes(old), nodes(new)).collect()} == {(1, 1, 1, 1), (1, 2, 2, 2)}
 
 
+def test_a_document_of_many_blocks_is_matched_by_several_tasks(spark):
+    """Short, long, spread and odd texts of one document: the same pairs as all pairs of it, and grams that many tasks share."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 7))) for _ in range(300)]
+    olds = {k: " ".join(r.choice(vocabulary) for _ in range(r.choice((1, 2, 4, 12, 60)))) for k in range(1500)}
+    edit = lambda t, share: "".join(r.choice(("", "x", c + "y")) if r.random() < share else c for c in t)
+    news = {k: edit(t, r.choice((0.0, 0.01, 0.05, 0.1, 0.25))) for k, t in olds.items() if r.random() < 0.9}
+    rows = lambda x: spark.createDataFrame([(1, k, t) for k, t in x.items() if t], "doc_id long, block long, text string")
+    a, b = rows(olds), rows(news)
+    rest = diff.left_over(a, b).collect()
+    free = [[(x["block"], x["text"]) for x in rest if x["is_new"] == k] for k in (0, 1)]
+    both = spark.createDataFrame([(i, j, s, t) for i, s in free[0] for j, t in free[1] if abs(len(s) - len(t)) <= 0.2 * max(len(s), len(t))], "i long, j long, s string, t string")
+    every = both.select("i", "j", F.levenshtein("s", "t").alias("d"), (F.levenshtein("s", "t") / F.greatest(F.octet_length("s"), F.octet_length("t"))).alias("q")).where("q <= 0.2").collect()
+    want, taken = set(), (set(), set())
+    for x in sorted(every, key=lambda x: (x["q"], x["i"], x["j"])):
+        if x["i"] not in taken[0] and x["j"] not in taken[1]:
+            taken[0].add(x["i"]), taken[1].add(x["j"])
+            want.add((1, x["i"], x["j"], x["d"]))
+    assert {tuple(x) for x in diff.fuzzy(a, b).collect()} == want and len(want) > 500
+
+
+def test_kept_grams_are_shared_with_a_common_run():
+    r = random.Random(7)
+    for least, (gram, window) in diff.SCHEMES.items():
+        for _ in range(200 if gram else 0):
+            run = "".join(r.choice("ab é日") for _ in range(least))
+            sides = [diff.sampled_grams(*(("".join(r.choice("ab") for _ in range(r.randint(0, 20))) + run + "".join(r.choice("ab") for _ in range(r.randint(0, 20)))), gram, window))[1] for _ in range(2)]
+            assert set(sides[0].tolist()) & set(sides[1].tolist())
+
+
 def test_cycles_of_any_length(spark):
     ring = [(100 + k, 100 + (k + 1) % 13) for k in range(13)]  # longer than ten, and no id below ten
     rows = [*ring, (1, 100), (105, 2), (2, 3), (50, 51), (51, 50), (51, 52), (52, 53), (53, 50), (7, 7), (7, 50), (100, 101), (None, 1), (1, None)]
