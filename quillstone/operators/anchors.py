@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.sources.stored import shared_table
 
 #: The accepted edge predicates.
-PREDICATES = ("quotes", "references", "summarizes", "derives_from", "translates", "annotates", "replies_to", "contains")
+PREDICATES = ("transcludes", "cites", "derives-from", "references", "extends", "refutes", "translates", "summarizes")
 
 
 def occurrences(text: Column, quote: Column) -> Column:

@@ -48,7 +48,7 @@ def scored(rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
 
 
 def highlight(text: Column, phrase: list[str]) -> Column:
-    pattern = r"(?i)(?<![\p{L}\p{N}])(" + r"[^\p{L}\p{N}]+".join(phrase) + r")(?![\p{L}\p{N}])"
+    pattern = r"(?iu)(?<![\p{L}\p{N}])(" + r"[^\p{L}\p{N}]+".join(phrase) + r")(?![\p{L}\p{N}])"
     return F.regexp_replace(text, pattern, "<mark>$1</mark>")
 
 

@@ -218,6 +218,17 @@ def highlight(spark, sf_dir):
     return d.select("doc_id", F.col("text"), search.highlight(F.col("text"), PHRASE).alias("marked")).where("marked <> text").drop("text")
 
 
+#: In capitals; what stands for two letters there goes, as engines differ in it.
+CAPITALS = HIGHLIGHT.replace("regexp_replace(regexp_replace(text,", "regexp_replace(regexp_replace(upper(replace(text, 'ß', '')),").replace(r"(of(?:[^\p{L}\p{N}\x01]\x01)+the)", "(für)")
+
+
+@query(f"SELECT * FROM ({CAPITALS}) WHERE contains(marked, '<mark>')")
+def highlight_letters(spark, sf_dir):
+    """A word with a letter beyond ASCII, looked for in texts in capitals."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.replace("text", F.lit("ß"), F.lit(""))).alias("text"))
+    return d.withColumn("marked", search.highlight(F.col("text"), ["für"])).where("marked <> text").drop("text")
+
+
 def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, with the place of its first character."""
     passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
@@ -503,15 +514,17 @@ def resolve_quotes(spark, sf_dir):
     return annotations.resolve(made, held.withColumns({"text": text, "status": F.lit("active")}))
 
 
-VALID = ", ".join(f"'{p}'" for p in anchors.PREDICATES)
-ENDS = f"""{QUOTED}, asked AS (SELECT doc_id AS source_id, CASE WHEN item_id % 5 = 0 THEN -1 ELSE item_id END AS target_id, CASE WHEN doc_id % 4 = 0 THEN 'likes' ELSE 'quotes' END AS predicate FROM q)"""
+#: The accepted predicates, as the twin states them; requests go through them and two that are none.
+VALID = ("transcludes", "cites", "derives-from", "references", "extends", "refutes", "translates", "summarizes")
+ASKED = (*VALID, "likes", "derives_from")
+ENDS = f"""{QUOTED}, asked AS (SELECT doc_id AS source_id, CASE WHEN item_id % 5 = 0 THEN -1 ELSE item_id END AS target_id, [{", ".join(f"'{p}'" for p in ASKED)}][1 + doc_id % {len(ASKED)}] AS predicate FROM q)"""
 
 
-@query(f"WITH {ENDS} SELECT source_id, target_id, predicate, CASE WHEN predicate NOT IN ({VALID}) THEN 'INVALID_PREDICATE' WHEN target_id = -1 THEN 'NODE_NOT_FOUND' END AS error FROM asked")
+@query(f"WITH {ENDS} SELECT source_id, target_id, predicate, CASE WHEN predicate NOT IN ({", ".join(f"'{p}'" for p in VALID)}) THEN 'INVALID_PREDICATE' WHEN target_id = -1 THEN 'NODE_NOT_FOUND' END AS error FROM asked")
 def create_edges(spark, sf_dir):
-    """Edges that requests ask for, accepted (no error) and rejected; a fifth of the targets are no nodes, a quarter of the predicates are none."""
+    """Edges that requests ask for, accepted (no error) and rejected; a fifth of the targets are no nodes, a fifth of the predicates are none."""
     q = quoted(spark, sf_dir)
-    asked = q.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.concat(F.lit("i"), F.when(F.col("item_id") % 5 == 0, -1).otherwise(F.col("item_id")).cast("string")).alias("target_id"), F.when(F.col("doc_id") % 4 == 0, "likes").otherwise("quotes").alias("predicate"))
+    asked = q.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.concat(F.lit("i"), F.when(F.col("item_id") % 5 == 0, -1).otherwise(F.col("item_id")).cast("string")).alias("target_id"), F.get(F.array(*map(F.lit, ASKED)), (F.col("doc_id") % len(ASKED)).cast("int")).alias("predicate"))
     made, bad = anchors.create(asked, edge_nodes(spark, sf_dir), F.expr(NOW))
     rows = made.select("source_id", "target_id", "predicate", F.lit(None).cast("string").alias("error")).unionByName(bad)
     number = lambda c: F.expr(f"cast(substring({c}, 2) as bigint)").alias(c)

@@ -283,10 +283,12 @@ def test_context_is_cut_at_words(spark):
 
 def test_edges(spark):
     held = spark.createDataFrame([("a", "d", 1, "active"), ("b", "d", 2, "active"), ("c", "e", 5, "deleted")], "node_id string, doc_id string, version int, status string")
-    asked = spark.createDataFrame([("a", "b", "quotes"), ("a", "a", "quotes"), ("a", "x", "quotes"), ("a", "b", "likes"), ("b", "c", "contains"), ("a", "b", None)], "source_id string, target_id string, predicate string")
+    asked = spark.createDataFrame([("a", "b", "cites"), ("a", "a", "cites"), ("a", "x", "cites"), ("a", "b", "likes"), ("b", "c", "derives-from"), ("a", "b", None)], "source_id string, target_id string, predicate string")
     made, rejects = anchors.create(asked, held, now())
     assert sorted(r["error"] for r in rejects.collect()) == ["INVALID_PREDICATE", "INVALID_PREDICATE", "NODE_NOT_FOUND", "SELF_EDGE"]
     assert {(r["source_id"], r["target_id"], r["version_at_include"], r["status"]) for r in made.collect()} == {("a", "b", 2, "live"), ("b", "c", 5, "live")}
+    every = spark.createDataFrame([("a", "b", p) for p in anchors.PREDICATES], "source_id string, target_id string, predicate string")
+    assert anchors.create(every, held, now())[0].count() == 8 and set(anchors.PREDICATES) == {"transcludes", "cites", "derives-from", "references", "extends", "refutes", "translates", "summarizes"}
     newer = held.withColumn("version", F.col("version") + 1)
     assert {r["target_id"]: r["status"] for r in anchors.refreshed(made, newer).collect()} == {"b": "stale", "c": "orphaned"}
     assert anchors.by_source(made, "a").count() == 1 == anchors.by_target(made, "c").count()
@@ -364,7 +366,7 @@ def test_workspace_stream_and_commands(spark, tmp_path):
     assert call("toc", workspace="w", doc_id=doc)["data"]["toc"][0]["title"] == "Title" and call("ingest", workspace="w", path=str(tmp_path / "none.md"))["code"] == "IO_ERROR"
     assert call("ingest", workspace="v", path="x")["code"] == "WORKSPACE_NOT_FOUND" and call("nothing")["code"] == "BAD_CMD" and call("read", workspace="w")["code"] == "BAD_CMD"
     assert json.loads(service.line("{"))["code"] == "PARSE_ERROR" and json.loads(service.line(" " * (1 << 21)))["code"] == "LINE_TOO_LONG"
-    edge = spark.createDataFrame([(target, sentence["node_id"], "quotes"), (target, active[0]["node_id"], "quotes")], "source_id string, target_id string, predicate string")
+    edge = spark.createDataFrame([(target, sentence["node_id"], "cites"), (target, active[0]["node_id"], "cites")], "source_id string, target_id string, predicate string")
     made_edges, bad = one.transclude(edge)
     assert made_edges.count() == 1 and bad.first()["error"] == "NODE_NOT_FOUND" and one.refresh_edges() == 0 and one.reanchor().count() >= 1
     assert json.loads(one.content(active[-1]["parent_id"]))["t"] == "Para" and one.content("none") is None
@@ -385,7 +387,7 @@ def test_discovery(spark):
     assert (look["markdown"]["n_docs"], look["markdown"]["n_nodes"], look["html"]["n_nodes"]) == (2, 7, 0)
     assert {(r["motivation"], r["status"]): r["n"] for r in discover.landscape(made).collect()}[None, None] == 2
     assert discover.open_questions(made).count() == 0 and discover.open_questions(made.withColumn("status", F.lit("orphan"))).count() == 2
-    edge, _ = anchors.create(spark.createDataFrame([(first, held.where("doc_id = 'e'").first()["node_id"], "quotes")], "source_id string, target_id string, predicate string"), held, now())
+    edge, _ = anchors.create(spark.createDataFrame([(first, held.where("doc_id = 'e'").first()["node_id"], "cites")], "source_id string, target_id string, predicate string"), held, now())
     assert discover.relationships(edge).first()["n_open"] == 0 and discover.targets(edge, held).first()["target_text"] == "Three."
     made, bad = discover.declared(spark.createDataFrame([("p", first, "quotation"), ("q", None, "original"), ("r", "x", "inference"), ("s", first, "copy")], "passage_id string, node_id string, relation string"), held, now())
     assert {r["passage_id"] for r in made.collect()} == {"p", "q"} and {(r["passage_id"], r["error"]) for r in bad.collect()} == {("r", "NODE_NOT_FOUND"), ("s", "INVALID_RELATION")}

@@ -59,6 +59,10 @@ def test_phrase_and_score(spark):
     assert [(r["i"], r["frequency"]) for r in got] == [(1, 2)]
 
 
+def test_highlight_of_letters_in_either_case(spark):
+    assert one(spark, search.highlight(F.col("t"), ["état", "élan"]), t="un État ÉLAN, états") == "un <mark>État ÉLAN</mark>, états"
+
+
 def test_anchor(spark):
     status = anchors.anchor_status(F.col("t"), F.lit(0), F.lit(2), F.col("q"))
     assert [one(spark, status, t=t, q="ab") for t in ("abc", "xab", "x")] == ["active", "active_partial", "orphan"]
