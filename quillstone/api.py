@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from quillstone import __version__
 from quillstone.functions import text as T
 from quillstone.operators import anchors, annotations, merge, nodes, provenance, render, search
+from quillstone.config import Config
 from quillstone.operators.corpus import Corpus
+from quillstone.operators.index import StoredIndex
+from quillstone.operators.index import tables as index_tables
 from quillstone.sources import files
 from quillstone.sources.stored import drop_table, shared_table
 
@@ -37,9 +40,12 @@ def doc_id_of(path: Column) -> Column:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, root: str, threshold: float = merge.THRESHOLD, profile: str = "uax29", mode: str = "set") -> None:
-        self.spark, self.corpus = spark, Corpus(spark, root)
-        self.threshold, self.profile, self.mode = threshold, profile, mode
+    def __init__(self, spark: SparkSession, root: str, threshold: float | None = None, profile: str = "uax29", mode: str = "set", config: Config | None = None) -> None:
+        """A threshold that is given wins over that of the settings."""
+        self.spark, self.corpus, self.config = spark, Corpus(spark, root), config or Config()
+        self.index = StoredIndex(self.corpus)
+        self.threshold = self.config.fuzzy_threshold if threshold is None else threshold
+        self.profile, self.mode = profile, mode
 
     # ── taking in ──────────────────────────────────────────────────────────────────────────────────────────────────────
 
@@ -77,13 +83,14 @@ class Workspace:
         documents = documents.join(edition, "doc_id", "left").select("doc_id", "path", "title", "format", "import_hash", (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("version"), now.alias("created_at"), now.alias("ingested_at"))
         current = whole.where("status = 'active'").select("doc_id", "node_id", "position")
         activity = provenance.log(self.spark, "reingest" if merged and old is not None else "ingest", documents, current, "quillstone", provenance.config_json(None, merged, self.threshold), now)
-        changes = {"documents": documents, "nodes": whole.drop("outcome").withColumn("created_at", now), "activities": activity}
+        changes = {"documents": documents, "nodes": whole.drop("outcome").withColumn("created_at", now), "activities": activity, **self.index_changes(whole)}
         if self.corpus.has("annotations"):
             held = self.corpus.table("annotations")
             deleted = whole.where("status = 'deleted'")
             touched = held.join(deleted.select(F.col("node_id").alias("target_id")).distinct(), "target_id", "left_semi").select(held.columns)
             changes["annotations"] = annotations.orphaned(touched, deleted)
         self.corpus.commit(changes)
+        self.index.settle()
         result = documents.select("doc_id", "path").join(merge.counts(whole), "doc_id", "left").withColumn("error", F.lit(None).cast("string"))
         rejects = nodes.rejected(parsed).join(rows.select("doc_id", "path"), "doc_id").select("doc_id", "path", "error")
         out = shared_table(result.unionByName(rejects, allowMissingColumns=True), "ingested")
@@ -91,6 +98,20 @@ class Workspace:
             drop_table(table)
         return out
 
+    def index_changes(self, whole: DataFrame) -> dict[str, DataFrame]:
+        """What the index takes from nodes as they are now: those that are new, or have other text, kind or status than before."""
+        now = whole.select("doc_id", "node_id", "node_type", "status", "text")
+        if not self.corpus.has("nodes"):
+            return index_tables(now)
+        held = self.corpus.table("nodes")
+        if not self.index.there():
+            rest = held.join(now.select("node_id"), "node_id", "left_anti").select(now.columns)
+            return index_tables(now.unionByName(rest))
+        was = held.select("node_id", *(F.col(c).alias(f"was_{c}") for c in ("doc_id", "node_type", "status", "text")))
+        both = shared_table(now.join(was, "node_id", "left").where("was_status is null or not (text <=> was_text and status <=> was_status and node_type <=> was_node_type)"), "changed")
+        old = both.where("was_status is not null").select("node_id", *(F.col(f"was_{c}").alias(c) for c in ("doc_id", "node_type", "status", "text")))
+        return index_tables(both.select(now.columns), old)
+
     # ── reading ────────────────────────────────────────────────────────────────────────────────────────────────────────
 
     def table(self, name: str, missing: str) -> DataFrame:
@@ -103,7 +124,8 @@ class Workspace:
         return self.table("documents", "DOCUMENT_NOT_FOUND").orderBy(F.desc("ingested_at"), "doc_id")
 
     def document(self, doc_id: str) -> DataFrame:
-        found = self.table("documents", "DOCUMENT_NOT_FOUND").where(F.col("doc_id") == doc_id)
+        self.table("documents", "DOCUMENT_NOT_FOUND")
+        found = self.corpus.of_document("documents", doc_id)
         if found.isEmpty():
             raise ApiError("DOCUMENT_NOT_FOUND", f"document {doc_id} not found")
         return found
@@ -113,7 +135,8 @@ class Workspace:
 
     def node(self, node_id: str) -> DataFrame:
         """One node, whatever its status."""
-        return self.table("nodes", "NODE_NOT_FOUND").where(F.col("node_id") == node_id)
+        self.table("nodes", "NODE_NOT_FOUND")
+        return self.corpus.by_key("nodes", "node_id", node_id)
 
     def content(self, node_id: str) -> str | None:
         """The stored tree of one node as JSON; null where the node has none or is not there."""
@@ -121,18 +144,33 @@ class Workspace:
         return row["ast"] if row else None
 
     def nodes(self, doc_id: str | None = None) -> DataFrame:
-        rows = self.table("nodes", "DOCUMENT_NOT_FOUND").where("status = 'active'")
-        return rows if doc_id is None else rows.where(F.col("doc_id") == doc_id).orderBy("position")
+        rows = self.table("nodes", "DOCUMENT_NOT_FOUND")
+        return rows.where("status = 'active'") if doc_id is None else self.corpus.of_document("nodes", doc_id).where("status = 'active'").orderBy("position")
+
+    def delete(self, doc_id: str, now: Column | None = None) -> int:
+        """Mark a document's nodes deleted and its annotations orphaned; the rows stay, searches no longer find them."""
+        self.document(doc_id)
+        whole = shared_table(self.nodes(doc_id).withColumn("status", F.lit("deleted")), "deleted")
+        changes = {"nodes": whole, **self.index_changes(whole)}
+        if self.corpus.has("annotations"):
+            changes["annotations"] = annotations.orphaned(self.corpus.of_document("annotations", doc_id), whole)
+        return self.corpus.commit(changes)
+
+    def exists(self, node_id: str) -> bool:
+        return self.corpus.has("nodes") and not self.node(node_id).isEmpty()
 
     def children(self, node_id: str) -> DataFrame:
-        return self.nodes().where(F.col("parent_id") == node_id).orderBy("position")
+        """The active children in order: the node says which document to look into."""
+        row = self.node(node_id).select("doc_id").first()
+        rows = self.nodes(row["doc_id"]) if row else self.nodes().where("false")
+        return rows.where(F.col("parent_id") == node_id).orderBy("position")
 
     def nodes_by_hash(self, doc_id: str, structural_hash: str) -> DataFrame:
-        return self.nodes().where((F.col("doc_id") == doc_id) & (F.col("structural_hash") == structural_hash)).orderBy("position")
+        return self.nodes(doc_id).where(F.col("structural_hash") == structural_hash).orderBy("position")
 
     def sentences(self, doc_id: str) -> DataFrame:
         """n (from 1), node_id and text."""
-        rows = self.document(doc_id).select("doc_id").join(self.nodes().where("node_type = 'sentence'"), "doc_id")
+        rows = self.document(doc_id).select("doc_id").join(self.nodes(doc_id).where("node_type = 'sentence'"), "doc_id")
         order = F.sort_array(F.collect_list(F.struct("position", "node_id", "text")))
         return rows.groupBy("doc_id").agg(order.alias("s")).select(F.posexplode("s").alias("p", "x")).select((F.col("p") + 1).alias("n"), "x.node_id", "x.text")
 
@@ -141,18 +179,20 @@ class Workspace:
         from quillstone.operators import structure
 
         self.document(doc_id)
-        heads = self.nodes().where((F.col("doc_id") == doc_id) & (F.col("node_type") == "heading")).withColumn("level", F.coalesce("level", F.lit(1)))
+        heads = self.nodes(doc_id).where(F.col("node_type") == "heading").withColumn("level", F.coalesce("level", F.lit(1)))
         return structure.section_path(heads, "doc_id", "position", "level", 6).select("node_id", "level", F.col("text").alias("title"), "section_path", "position").orderBy("position")
 
     def read(self, doc_id: str, kind: str = "plain", markers: bool = False) -> DataFrame:
         self.document(doc_id)
-        return render.project(self.nodes().where(F.col("doc_id") == doc_id), kind, markers)
+        return render.project(self.nodes(doc_id), kind, markers)
 
     def search(self, query: str, doc_id: str | None = None, k: int = search.MOST_HITS, level: str | None = None) -> DataFrame:
-        """doc_id, node_id, node_type, frequency, score and snippet of the best hits."""
+        """doc_id, node_id, node_type, frequency, score and snippet of the best hits, from the stored index."""
         rows = self.table("nodes", "SEARCH_ERROR")
-        hits = search.search(search.build_index(rows), query, doc_id, k, level)
-        return search.snippets(hits, rows, query).orderBy("score", "doc_id", "node_id")
+        if not self.index.there():
+            self.index.rebuild()
+        hits = shared_table(self.index.search(query, doc_id, k, level), "hits")
+        return search.snippets(hits, rows, query).select("doc_id", "node_id", "node_type", "frequency", "score", "snippet").orderBy("score", "doc_id", "node_id")
 
     # ── annotations, edges, history ────────────────────────────────────────────────────────────────────────────────────
 

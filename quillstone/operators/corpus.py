@@ -1,34 +1,48 @@
-"""A corpus on disk: tables as deltas, named by manifests.
-
-A commit writes the rows it adds or replaces to folders of their own and then creates the next manifest, a small JSON
-file that lists the folders of every table; until that file is there, nothing of the commit is seen, and of two writers
-one fails. Rows of keyed tables carry the number of their commit: a reader takes each key's last row, with the first
-one's `created_at`. Nothing is updated in place, and a commit costs as much as what it changes; `compact` rewrites a
-table as one delta.
+"""A corpus on disk: tables as sorted runs, named by manifests.
+
+A commit writes the rows it adds or replaces to a folder of its own, a run, and then creates the next manifest, a small JSON
+file that lists the runs and the schema of every table; until that file is there, nothing of the commit is seen, and of two
+writers one fails. Rows of keyed tables carry the number of their commit: a reader takes each key's last row, with the first
+one's `created_at`. Nothing is updated in place.
+
+Runs are dealt to buckets by document and sorted by document and key, with Bloom filters on the ids. The document is part of
+what rows are resolved by, so a filter on it goes below the resolution: a lookup reads one bucket of each run, there the row
+groups of its document, and shuffles what it found and no more. When `FAN` neighbouring runs of a level have come together,
+they are merged into one of the next level, so a table of n commits has about FAN * log(n) runs, and each row is written
+again once a level.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 #: Key of each table; a table without one only grows.
 KEYS = {"documents": "doc_id", "nodes": "node_id", "annotations": "annotation_id", "edges": "edge_id", "activities": None, "contents": None}
+#: Tables whose rows belong to one document for good, which is then part of their key.
+BY_DOCUMENT = frozenset(("documents", "nodes", "annotations"))
+#: Tables that another module merges, as it knows which rows are dead.
+OWN_MERGE = frozenset(("postings", "blocks", "tombstones", "statistics"))
+BUCKETS = 16
+FAN = 4
+#: Columns with a Bloom filter in each file, where a table has them.
+FILTERED = ("node_id", "parent_id", "annotation_id", "target_id")
 
 
 class ConflictError(RuntimeError):
     """Another commit came first."""
 
 
-def last_rows(rows: DataFrame, key: str) -> DataFrame:
+def last_rows(rows: DataFrame, *keys: str, keep_seq: bool = False) -> DataFrame:
     """Each key's row with the highest `seq`, and the earliest created_at; one partial aggregate."""
-    others = [c for c in rows.columns if c not in (key, "seq")]
+    others = [c for c in rows.columns if c not in (*keys, "seq")]
     first = [F.min("created_at").alias("first")] if "created_at" in others else []
-    found = rows.groupBy(key).agg(F.max_by(F.struct(*others), "seq").alias("r"), *first)
+    found = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "seq").alias("r"), F.max("seq").alias("seq"), *first)
     pick = lambda c: F.col("first") if c == "created_at" and first else F.col(f"r.{c}")
-    return found.select(key, *(pick(c).alias(c) for c in others))
+    return found.select(*keys, *(pick(c).alias(c) for c in others), *(["seq"] if keep_seq else []))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -37,6 +51,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return last_rows(both, key)
 
 
+def bucket_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -49,10 +67,10 @@ class Corpus:
         path, fs = self._path("manifests/*.json")
         return max((int(f.getPath().getName()[:-5]) for f in fs.globStatus(path) or []), default=0)
 
-    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+    def _state(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {}
+            return {"tables": {}, "schemas": {}}
         path, fs = self._path(f"manifests/{version:08}.json")
         stream = fs.open(path)
         try:
@@ -60,32 +78,119 @@ class Corpus:
         finally:
             stream.close()
 
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        """The runs of every table, oldest first."""
+        return {name: [place for place, _ in runs] for name, runs in self._state(version)["tables"].items()}
+
     def has(self, table: str) -> bool:
         return table in self.manifest()
 
+    def runs(self, name: str, version: int | None = None) -> DataFrame:
+        """All rows of a table's runs, with seq, bucket and v (the commit that wrote the run), not resolved."""
+        state = self._state(version)
+        return self._read(name, [place for place, _ in state["tables"][name]], state["schemas"][name])
+
+    def _read(self, name: str, places: list[str], schema: str) -> DataFrame:
+        fields = StructType.fromJson(json.loads(schema)).add("v", IntegerType()).add("bucket", IntegerType())
+        return self.spark.read.schema(fields).option("basePath", f"{self.root}/tables/{name}").parquet(*(f"{self.root}/{p}" for p in places))
+
+    def _resolved(self, name: str, rows: DataFrame, keep_seq: bool = False) -> DataFrame:
+        """The last row of each key. The bucket and the document are part of the key, so filters on them reach the files."""
+        rows = rows.drop("v")
+        if not KEYS.get(name):
+            return rows if keep_seq else rows.drop("seq", "bucket")
+        keys = ["bucket", "doc_id", KEYS[name]] if name in BY_DOCUMENT and "doc_id" in rows.columns else ["bucket", KEYS[name]]
+        found = last_rows(rows, *dict.fromkeys(keys), keep_seq=keep_seq)
+        return found if keep_seq else found.select(*(c for c in rows.columns if c not in ("seq", "bucket")))
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table as of a version, the last one by default."""
-        places = self.manifest(version)[name]
-        rows = self.spark.read.option("mergeSchema", True).parquet(*(f"{self.root}/{p}" for p in places))
-        return last_rows(rows, KEYS[name]) if KEYS[name] and len(places) > 1 else rows.drop("seq")
+        return self._resolved(name, self.runs(name, version))
+
+    def of_document(self, name: str, doc_id: object) -> DataFrame:
+        """A document's rows of a table: one bucket of each run is read."""
+        rows = self.runs(name)
+        return self._resolved(name, rows.where((F.col("bucket") == bucket_of(F.lit(doc_id).cast(rows.schema["doc_id"].dataType))) & (F.col("doc_id") == F.lit(doc_id))))
+
+    def by_key(self, name: str, key: str, value: object) -> DataFrame:
+        """Rows by an id that is part of their key; row groups without it are passed over by their Bloom filters."""
+        rows = self.runs(name)
+        return self._resolved(name, rows.where(F.col(key) == F.lit(value)))
+
+    def _write(self, name: str, rows: DataFrame, place: str) -> str:
+        """Write one run; returns its schema without the bucket."""
+        if "bucket" not in rows.columns:
+            owner = "doc_id" if "doc_id" in rows.columns and name in BY_DOCUMENT else KEYS.get(name)
+            rows = rows.withColumn("bucket", bucket_of(F.col(owner)) if owner else F.lit(0))
+        order = [c for c in ("doc_id", KEYS.get(name)) if c and c in rows.columns and name not in OWN_MERGE]
+        if order:
+            # Spark splits a bucket that is too large for one task, and joins small ones
+            rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", *dict.fromkeys(order))
+        out = rows.write.mode("overwrite").partitionBy("bucket")
+        for c in FILTERED:
+            if c in rows.columns:
+                out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        out.parquet(f"{self.root}/{place}")
+        return rows.drop("bucket").schema.json()
+
+    def _publish(self, version: int, state: dict) -> None:
+        path, fs = self._path(f"manifests/{version:08}.json")
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:
+            raise ConflictError(f"version {version} exists") from e
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
 
     def commit(self, changes: dict[str, DataFrame], replace: tuple[str, ...] = ()) -> int:
         """Write all changes and publish them at once; returns the new version. Tables in `replace` begin anew."""
         before = self.version()
-        names = self.manifest(before)
+        state = self._state(before)
         after = before + 1
         for name, rows in changes.items():
             place = f"tables/{name}/v={after:08}"
-            rows.withColumn("seq", F.lit(after)).write.mode("overwrite").parquet(f"{self.root}/{place}")
-            names[name] = [place] if name in replace else [*names.get(name, []), place]
-        path, fs = self._path(f"manifests/{after:08}.json")
-        try:
-            stream = fs.create(path, False)
-        except Exception as e:
-            raise ConflictError(f"version {after} exists") from e
-        stream.write(bytearray(json.dumps(names).encode()))
-        stream.close()
+            schema = self._write(name, rows.withColumn("seq", F.lit(after)), place)
+            kept = [] if name in replace else state["tables"].get(name, [])
+            state["tables"][name] = [*kept, [place, 0]]
+            state["schemas"][name] = joined_schema(state["schemas"].get(name) if kept else None, schema)
+        self._publish(after, state)
+        for name in changes:
+            after = self.settle(name) or after
         return after
 
+    def settle(self, name: str) -> int | None:
+        """Merge the youngest runs of a level if there are FAN of them, and so on upwards; the version that this makes, if any."""
+        made = None
+        while name not in OWN_MERGE:
+            version = self.version()
+            state = self._state(version)
+            runs = state["tables"][name]
+            level = runs[-1][1]
+            same = next((k for k, (_, own) in enumerate(reversed(runs)) if own != level), len(runs))
+            if same < FAN:
+                return made
+            young = [place for place, _ in runs[-same:]]
+            place = f"tables/{name}/v={version + 1:08}"
+            merged = self._resolved(name, self._read(name, young, state["schemas"][name]), keep_seq=True)
+            self._write(name, merged, place)
+            state["tables"][name] = [*runs[:-same], [place, level + 1]]
+            try:
+                self._publish(version + 1, state)
+            except ConflictError:
+                return made  # another writer came first; the next commit settles
+            made = version + 1
+        return made
+
     def compact(self, name: str) -> int:
         return self.commit({name: self.table(name)}, (name,))
+
+
+def joined_schema(old: str | None, new: str) -> str:
+    """The fields of both, those of the older one first."""
+    if old is None:
+        return new
+    fields = StructType.fromJson(json.loads(old))
+    for f in StructType.fromJson(json.loads(new)).fields:
+        if f.name not in fields.names:
+            fields = fields.add(f)
+    return fields.json()

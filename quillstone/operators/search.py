@@ -41,10 +41,15 @@ def scored(rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     seen = Observation()
     watched = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg"), F.count_if(F.col("__f") > 0).alias("df"))
     hits = shared_table(watched.where("__f > 0"), "hits")
-    hits = hits.withColumns({f"__{c}": F.lit(x or 0) for c, x in seen.get.items()})
-    idf = F.greatest(F.log((F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5)), F.lit(1e-6))
-    score = -idf * (F.col("__f") * (k1 + 1)) / (F.col("__f") + k1 * (1 - b + b * F.col("__len") / F.col("__avg")))
-    return hits.withColumn("score", F.round(score, 6)).withColumnRenamed("__f", "frequency").drop("__len", "__n", "__avg", "__df")
+    found = seen.get
+    one = score(F.col("__f"), F.col("__len"), found["n"] or 0, found["avg"] or 0.0, found["df"] or 0, k1, b)
+    return hits.withColumn("score", one).withColumnRenamed("__f", "frequency").drop("__len")
+
+
+def score(frequency: Column, length: Column, n: int, average: float, df: int, k1: float = 1.2, b: float = 0.75) -> Column:
+    """BM25 with the sign turned: the lower, the better. `n` nodes have `average` words, and `df` of them hold the phrase."""
+    idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(1e-6))
+    return F.round(-idf * (frequency * (k1 + 1)) / (frequency + k1 * (1 - b + b * length / F.lit(float(average) or 1.0))), 6)
 
 
 def highlight(text: Column, phrase: list[str]) -> Column:

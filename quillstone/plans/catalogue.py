@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import anchors, annotations, corpus, diff, discover, merge, nodes, provenance, render, search, structure
+from quillstone.operators import anchors, annotations, corpus, diff, discover, index, merge, nodes, provenance, render, search, structure
 from quillstone.sources.stored import shared_folder, shared_table
 from quillstone.streaming import changes
 
@@ -602,7 +602,7 @@ def prepare_input(spark, sf_dir):
 @query(f"WITH {EDITED} SELECT o.doc_id, o.block, coalesce(e.text, o.text) AS text, CASE WHEN e.doc_id IS NULL THEN 1 ELSE 2 END AS version FROM blocks o LEFT JOIN edited e ON o.doc_id = e.doc_id AND o.block = e.block")
 def corpus_versions(spark, sf_dir):
     """Two versions committed to a corpus on disk, and its last one read back."""
-    store = corpus.Corpus(spark, f"{shared_folder(spark)}/corpus-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}")
+    store = stored_corpus(spark, "corpus")
     b = blocks_of(spark, sf_dir)
     key = lambda x, v: x.select(F.concat_ws("/", "doc_id", "block").alias("node_id"), "doc_id", "block", "text", F.lit(v).alias("version"))
     store.commit({"nodes": key(b, 1)})
@@ -659,3 +659,93 @@ def node_ancestors(spark, sf_dir):
 @query()
 def topic_clusters(spark, sf_dir):
     return discover.clusters(table(spark, sf_dir, "documents"), "text", 8).groupBy("cluster").agg(F.count("*").alias("n_docs"))
+
+
+def stored_corpus(spark: SparkSession, tag: str) -> corpus.Corpus:
+    return corpus.Corpus(spark, f"{shared_folder(spark)}/{tag}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}")
+
+
+def block_rows(blocks: DataFrame) -> DataFrame:
+    """Blocks as active nodes to be indexed."""
+    return blocks.select("doc_id", F.concat_ws("/", "doc_id", "block").alias("node_id"), F.lit("block").alias("node_type"), F.lit("active").alias("status"), "text")
+
+
+#: The twins take words without marks; words whose stems are those of the phrase are stated, and a node's length is its number of words.
+INDEXED = r"""tok AS (SELECT doc_id, block, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS t FROM {0}), f AS (SELECT doc_id, block, len(t) AS len, len(list_filter(range(1, len(t)), lambda i: t[i] IN ('of', 'ofs', 'ofe', 'ofes', 'ofed', 'ofing') AND t[i + 1] IN ('the', 'thes')))::BIGINT AS frequency FROM tok)"""
+BEST = f"{BM25} SELECT doc_id, block, frequency, score FROM scored ORDER BY score, doc_id, doc_id || '/' || block LIMIT 50"
+
+
+def with_block(hits: DataFrame) -> DataFrame:
+    return hits.select("doc_id", F.substring_index("node_id", "/", -1).cast("long").alias("block"), "frequency", "score")
+
+
+@query(f"WITH {BLOCKS}, {INDEXED.format('blocks')}, {BEST}")
+def index_search(spark, sf_dir):
+    """The best blocks for a phrase, from an index that is stored first and then read by the phrase's terms alone."""
+    one = index.StoredIndex(stored_corpus(spark, "index"))
+    one.rebuild(block_rows(blocks_of(spark, sf_dir)))
+    return with_block(one.search("of the"))
+
+
+NOW_BLOCKS = "now AS (SELECT b.doc_id, b.block, CASE WHEN b.block % 7 = 0 THEN 'of the ' || b.text ELSE coalesce(e.text, b.text) END AS text FROM blocks b LEFT JOIN edited e ON b.doc_id = e.doc_id AND b.block = e.block)"
+
+
+@query(f"WITH {EDITED}, {NOW_BLOCKS}, {INDEXED.format('now')}, {BEST}")
+def index_after_edit(spark, sf_dir):
+    """The same after a second commit, which has postings of the changed blocks and tombstones for what they held before."""
+    one = index.StoredIndex(stored_corpus(spark, "index"))
+    b = blocks_of(spark, sf_dir)
+    one.rebuild(block_rows(b))
+    now = F.when(F.col("block") % 7 == 0, F.concat(F.lit("of the "), "text")).when(F.col("block") % 5 == 0, F.concat("text", F.lit(" x")))
+    changed = b.withColumn("now", now).where("now is not null")
+    one.update(block_rows(changed.withColumn("text", F.col("now"))), block_rows(changed))
+    return with_block(one.search("of the"))
+
+
+@query(r"WITH " + BLOCKS + r", tok AS (SELECT doc_id, block, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM blocks), f AS (SELECT doc_id, block, len(t) AS len, len(list_filter(t, lambda x: x IN ('und', 'unde', 'unds', 'undes', 'unded', 'unding')))::BIGINT AS frequency FROM tok), " + BEST.replace("LIMIT 50", "LIMIT 20"))
+def index_top_term(spark, sf_dir):
+    """The best blocks for one term: only the blocks of postings that can beat the twentieth are read."""
+    one = index.StoredIndex(stored_corpus(spark, "index"))
+    one.rebuild(block_rows(blocks_of(spark, sf_dir)))
+    return with_block(one.search("und", k=20))
+
+
+def two_versions(spark: SparkSession, sf_dir: str) -> corpus.Corpus:
+    """The blocks as nodes of a stored corpus, and the edited ones as a second commit."""
+    store = stored_corpus(spark, "corpus")
+    b = blocks_of(spark, sf_dir)
+    key = lambda x, v: x.select(F.concat_ws("/", "doc_id", "block").alias("node_id"), "doc_id", F.col("doc_id").cast("string").alias("parent_id"), "block", "text", F.lit(v).alias("version"))
+    store.commit({"nodes": key(b, 1)})
+    store.commit({"nodes": key(edited(b), 2)})
+    return store
+
+
+SECOND = "second AS (SELECT o.doc_id, o.block, coalesce(e.text, o.text) AS text, CASE WHEN e.doc_id IS NULL THEN 1 ELSE 2 END AS version FROM blocks o LEFT JOIN edited e ON o.doc_id = e.doc_id AND o.block = e.block)"
+LONGEST = "(SELECT arg_max(doc_id, (n, doc_id)) FROM (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id))"
+
+
+@query(f"WITH {EDITED}, {SECOND} SELECT doc_id, block, text, version FROM second WHERE doc_id = {LONGEST}")
+def lookup_document(spark, sf_dir):
+    """The nodes of one document, the one with the most blocks: one bucket of each run of a stored corpus is read."""
+    longest = blocks_of(spark, sf_dir).agg(F.max_by("doc_id", F.struct("block", "doc_id")).alias("d")).first()["d"]
+    return two_versions(spark, sf_dir).of_document("nodes", longest).select("doc_id", "block", "text", "version")
+
+
+@query(f"WITH {EDITED}, {SECOND} SELECT doc_id || '/' || block AS node_id, text FROM second WHERE doc_id = {LONGEST} AND block > 1")
+def lookup_children(spark, sf_dir):
+    """The later siblings of a document's first node, which is found by its own id first."""
+    longest = blocks_of(spark, sf_dir).agg(F.max_by("doc_id", F.struct("block", "doc_id")).alias("d")).first()["d"]
+    store = two_versions(spark, sf_dir)
+    first = store.by_key("nodes", "node_id", f"{longest}/1").first()
+    return store.of_document("nodes", first["doc_id"]).where((F.col("parent_id") == first["parent_id"]) & (F.col("block") > first["block"])).select("node_id", "text")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, block, text || repeat('!', ((doc_id + block) % 9)::INT) AS text, ((doc_id + block) % 9)::INT AS version FROM blocks")
+def corpus_levels(spark, sf_dir):
+    """Nine commits, each of which edits some of the blocks again; runs are merged on the way and the last rows read."""
+    store = stored_corpus(spark, "corpus")
+    b = blocks_of(spark, sf_dir).withColumn("last", ((F.col("doc_id") + F.col("block")) % 9).cast("int"))
+    for v in range(9):
+        text = F.concat("text", F.repeat(F.lit("!"), F.lit(v)))
+        store.commit({"nodes": b.where(F.col("last") >= v).select(F.concat_ws("/", "doc_id", "block").alias("node_id"), "doc_id", "block", text.alias("text"), F.lit(v).alias("version"))})
+    return store.table("nodes").drop("node_id")
