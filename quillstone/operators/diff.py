@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from quillstone.functions import text as T
 from quillstone.sources.stored import drop_table, shared_table
 
 #: Ratios up to which pairs are looked for together; a threshold ends the list.
-TIERS = (0.02, 0.05, 0.1)
+TIERS = (0.05,)
 #: Shortest run that two texts share, to the length of a gram and the number of neighbouring grams of which the least is
 #: kept. Texts that need not share a run of two characters are compared by length alone.
 SCHEMES = {0: (0, 1), 2: (2, 1), 3: (2, 2), 4: (3, 2), 8: (5, 4), 16: (8, 9), 32: (12, 21)}
@@ -52,10 +52,35 @@ def left_over(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("occ", occ).withColumn("partners", partners).where("partners = 1").select("doc_id", "block", "text", "is_new")
 
 
-def bounded_distance(a: str, b: str, bound: Column) -> Column:
-    """Edit distance in characters up to a bound, -1 above it. Narrow bands come first, as most edits are small; each is exact."""
-    tries = [F.call_function("levenshtein", F.col(a), F.col(b), x) for x in (F.least(F.lit(4), bound), F.least(F.lit(32), bound), bound)]
-    return F.coalesce(*(F.nullif(x, F.lit(-1)) for x in tries), F.lit(-1))
+def shared_start(a: str, b: str) -> int:
+    """Characters that both begin with; slices are compared, in halves."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def with_differing_parts(pairs: DataFrame) -> DataFrame:
+    """doc_id, old_block, new_block, size, old_part and new_part: the texts without what both begin and end with, which no edit touches."""
+    kept = ["doc_id", "old_block", "new_block", "size"]
+    schema = StructType([*(pairs.schema[c] for c in kept), StructField("old_part", StringType()), StructField("new_part", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: tuple[list[str], list[str]] = ([], [])
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                a, b = x.as_py(), y.as_py()
+                n = shared_start(a, b)
+                a, b = a[n:], b[n:]
+                m = shared_start(a[::-1], b[::-1])
+                parts[0].append(a[: len(a) - m]), parts[1].append(b[: len(b) - m])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(p, pa.string()) for p in parts)], schema.names)
+
+    return pairs.select(*kept, "old_text", "new_text").mapInArrow(run, schema)
 
 
 def best_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,14 +98,14 @@ def best_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(taken, pa.int64())).select(["doc_id", "old_block", "new_block", "distance"])
 
 
-def sampled_grams(text: str, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are least among `window` neighbours somewhere, the last of equals."""
+def sampled_grams(text: str, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the grams that are least among `window` neighbours somewhere, each once, and their first and last places."""
     if not gram:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, len(text))
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(code) - gram + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     h = np.zeros(n, np.uint64)
     for k in range(gram):
         h = (h ^ code[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -90,7 +115,10 @@ def sampled_grams(text: str, gram: int, window: int) -> tuple[np.ndarray, np.nda
     else:
         views = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
         at = np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
-    return at.astype(np.int64), h[at].view(np.int64)
+    # a text that repeats itself has the same gram many times
+    kept, first = np.unique(h[at], return_index=True)
+    last = len(at) - 1 - np.unique(h[at][::-1], return_index=True)[1]
+    return kept.view(np.int64), at[first].astype(np.int64), at[last].astype(np.int64)
 
 
 def with_bound(rows: DataFrame, threshold: float) -> DataFrame:
@@ -104,28 +132,29 @@ def with_bound(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def grams(rows: DataFrame) -> DataFrame:
-    """doc_id, block, is_new, size, bytes, d, owns, scheme, gram and place: a row for each kept gram of each text and scheme of `wanted`."""
+    """doc_id, block, is_new, size, bytes, d, owns, scheme, gram, first and last: a row for each kept gram of each text and scheme of `wanted`."""
     kept = ["doc_id", "block", "is_new", "size", "bytes", "d"]
     rows = rows.select(*kept, "text", "wanted")
-    added = [StructField("owns", IntegerType()), StructField("scheme", IntegerType()), StructField("gram", LongType()), StructField("place", LongType())]
+    added = [StructField("owns", IntegerType()), StructField("scheme", IntegerType()), StructField("gram", LongType()), StructField("first", IntegerType()), StructField("last", IntegerType())]
     schema = StructType([*(rows.schema[c] for c in kept), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first in range(0, b.num_rows, 256):
-                part = b.slice(first, 256)
-                taken, owns, schemes, found, places = [], [], [], [], []
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                taken, owns, schemes, found = [], [], [], []
                 for k, (text, wanted) in enumerate(zip(part.column(6), part.column(7).to_pylist(), strict=True)):
                     raw, seen = text.as_py(), {}
                     for w in wanted:
                         if w["scheme"] not in seen:
                             seen[w["scheme"]] = sampled_grams(raw, *SCHEMES[w["scheme"]])
-                        at, h = seen[w["scheme"]]
-                        taken.append(np.full(len(at), k)), owns.append(np.full(len(at), w["owns"])), schemes.append(np.full(len(at), w["scheme"]))
-                        found.append(h), places.append(at)
+                        own = seen[w["scheme"]]
+                        n = len(own[0])
+                        taken.append(np.full(n, k)), owns.append(np.full(n, w["owns"])), schemes.append(np.full(n, w["scheme"])), found.append(own)
                 whole = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)).cast(t)
                 rows = whole(taken, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(6)), whole(owns, pa.int32()), whole(schemes, pa.int32()), whole(found, pa.int64()), whole(places, pa.int64())], schema.names)
+                grams_and_places = [whole([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(6)), whole(owns, pa.int32()), whole(schemes, pa.int32()), *grams_and_places], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -147,18 +176,19 @@ def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     rows = rows.join(used, ["doc_id", "is_new"], "left").withColumn("wanted", F.concat(own, guest)).where(F.size("wanted") > 0)
     every = shared_table(grams(rows), "grams")
     key = ["doc_id", "scheme", "gram"]
-    longer = every.where("owns = 1").select(*key, "block", "is_new", "size", "bytes", "d", "place")
-    shorter = every.where("owns = 0").select(*key, *(F.col(c).alias(f"other_{c}") for c in ("block", "is_new", "size", "bytes", "place")))
-    near = (F.col("is_new") != F.col("other_is_new")) & (F.col("bytes") >= F.col("other_bytes")) & (F.abs(F.col("size") - F.col("other_size")) <= F.col("d")) & (F.abs(F.col("place") - F.col("other_place")) <= F.col("d"))
+    longer = every.where("owns = 1").select(*key, "block", "is_new", "size", "bytes", "d", "first", "last")
+    shorter = every.where("owns = 0").select(*key, *(F.col(c).alias(f"other_{c}") for c in ("block", "is_new", "size", "bytes", "first", "last")))
+    near = (F.col("is_new") != F.col("other_is_new")) & (F.col("bytes") >= F.col("other_bytes")) & (F.abs(F.col("size") - F.col("other_size")) <= F.col("d")) & (F.col("first") - F.col("d") <= F.col("other_last")) & (F.col("other_first") <= F.col("last") + F.col("d"))
     side = lambda k: F.when(F.col("is_new") == k, F.col("block")).otherwise(F.col("other_block"))
     met = longer.join(shorter, key).where(near).select("doc_id", side(0).alias("old_block"), side(1).alias("new_block")).distinct()
     text = lambda k, name: rest.where(F.col("is_new") == k).select("doc_id", F.col("block").alias(f"{name}_block"), F.col("text").alias(f"{name}_text"))
     both = met.join(text(0, "old"), ["doc_id", "old_block"]).join(text(1, "new"), ["doc_id", "new_block"])
     size = F.greatest(F.octet_length("old_text"), F.octet_length("new_text"))
-    # one more than the threshold allows, so that rounding loses no pair; the ratio decides
-    distance = bounded_distance("old_text", "new_text", F.floor(size * threshold).cast("int") + 1)
-    found = both.select("doc_id", "old_block", "new_block", distance.cast("long").alias("distance"), size.alias("size")).where("distance >= 0")
-    out = shared_table(found.withColumn("ratio", F.col("distance") / F.col("size")).where(F.col("ratio") <= threshold).drop("size"), "pairs")
+    parts = with_differing_parts(both.select("doc_id", "old_block", "new_block", size.alias("size"), "old_text", "new_text"))
+    # one more than the threshold allows, so that rounding loses no pair; the ratio decides, once each distance is stored
+    distance = F.call_function("levenshtein", F.col("old_part"), F.col("new_part"), F.floor(F.col("size") * threshold).cast("int") + 1)
+    measured = shared_table(parts.select("doc_id", "old_block", "new_block", "size", distance.cast("long").alias("distance")), "pairs")
+    out = measured.where("distance >= 0").withColumn("ratio", F.col("distance") / F.col("size")).where(F.col("ratio") <= threshold).drop("size")
     drop_table(every)
     return out
 
@@ -180,7 +210,9 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
         best = lambda side: F.min(rank).over(Window.partitionBy("doc_id", side))
         marked = pairs.withColumns({"rank": rank, "of_old": best("old_block")}).withColumn("of_new", best("new_block"))
         done.append(shared_table(marked.where("rank = of_old and rank = of_new").select("doc_id", "old_block", "new_block", "distance"), "taken"))
+        before = pairs
         pairs = shared_table(without(pairs, done[-1]), "pairs")
+        drop_table(before)
         if pairs.isEmpty():
             break
     else:
@@ -206,7 +238,9 @@ def fuzzy(old: DataFrame, new: DataFrame, threshold: float = 0.2) -> DataFrame:
         found.append(one_to_one(near_pairs(rest, tier)))
         if tier < threshold:
             sides = [found[-1].select("doc_id", F.col(f"{name}_block").alias("block"), F.lit(k).alias("is_new")) for k, name in enumerate(("old", "new"))]
+            before = rest
             rest = shared_table(rest.join(sides[0].unionByName(sides[1]), ["doc_id", "block", "is_new"], "left_anti").select(*rest.columns), "left-over")
+            drop_table(before)
             if rest.where("is_new = 0").isEmpty() or rest.where("is_new = 1").isEmpty():
                 break
     out = found[0]

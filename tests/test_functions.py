@@ -135,7 +135,7 @@ def test_kept_grams_are_shared_with_a_common_run():
     for least, (gram, window) in diff.SCHEMES.items():
         for _ in range(200 if gram else 0):
             run = "".join(r.choice("ab é日") for _ in range(least))
-            sides = [diff.sampled_grams(*(("".join(r.choice("ab") for _ in range(r.randint(0, 20))) + run + "".join(r.choice("ab") for _ in range(r.randint(0, 20)))), gram, window))[1] for _ in range(2)]
+            sides = [diff.sampled_grams(*(("".join(r.choice("ab") for _ in range(r.randint(0, 20))) + run + "".join(r.choice("ab") for _ in range(r.randint(0, 20)))), gram, window))[0] for _ in range(2)]
             assert set(sides[0].tolist()) & set(sides[1].tolist())
 
 
