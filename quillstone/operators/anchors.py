@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.sources.stored import shared_table
+from quillstone.sources.stored import drop_table, shared_table
 
 #: The accepted edge predicates.
 PREDICATES = ("transcludes", "cites", "derives-from", "references", "extends", "refutes", "translates", "summarizes")
@@ -92,3 +94,63 @@ def cycles(edges: DataFrame) -> DataFrame:
         if length % 8 == 0:
             reached = shared_table(reached, "cycle-reached")
     return reached.where("node = at").select("node", "length")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its largest node) and size of the strongly connected components that hold a cycle.
+
+    Edges are source_id and target_id; repeated ones count once, those without an end are ignored. Nodes without an edge in
+    or out are trimmed. Then each node takes the largest node that leads to it as its colour, and the nodes of a colour that
+    lead back to the node it is named after, along nodes of that colour, are its component; they go, and the rest begins
+    again. Every round is stored and holds a row for each node or edge, so storage is linear in the graph.
+    """
+    core = shared_table(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a is not null and b is not null").distinct(), "edges")
+    found = core.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
+    while True:
+        core = trimmed(core)
+        if core.isEmpty():
+            break
+        colours = shared_table(core.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")), "colours")
+        colours = spread(colours, core, lambda old, new: F.greatest(old, new))
+        own = core.join(colours.select(F.col("node").alias("a"), "colour"), "a").join(colours.select(F.col("node").alias("b"), F.col("colour").alias("other")), "b").where("colour = other")
+        # backwards from the node that each colour is named after
+        back = shared_table(own.select(F.col("b").alias("a"), F.col("a").alias("b")), "edges")
+        reached = shared_table(colours.where("node = colour").select("node", F.col("colour").alias("component")), "reached")
+        while True:
+            step = back.join(reached.select(F.col("node").alias("a"), "component"), "a").select(F.col("b").alias("node"), "component").distinct().join(reached, "node", "left_anti")
+            step = shared_table(step, "reached")
+            if step.isEmpty():
+                break
+            before, reached = reached, shared_table(reached.unionByName(step), "reached")
+            drop_table(before)
+        found = shared_table(found.unionByName(reached), "components")
+        gone = reached.select("node")
+        rest = core.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+        core = shared_table(rest, "edges")
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    loops = edges.where("source_id = target_id").select(F.col("source_id").alias("node")).distinct().withColumn("loop", F.lit(True))
+    return found.join(sizes, "component").join(loops, "node", "left").where("size > 1 or loop").select("node", "component", "size")
+
+
+def trimmed(core: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes that have an edge in and one out, round by round."""
+    n, before = core.count(), None
+    while n and n != before:
+        both = core.select(F.col("a").alias("x")).intersect(core.select(F.col("b").alias("x")))
+        last = core
+        core = shared_table(core.join(both.withColumnRenamed("x", "a"), "a", "left_semi").join(both.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"), "edges")
+        drop_table(last)
+        n, before = core.count(), n
+    return core
+
+
+def spread(colours: DataFrame, core: DataFrame, better: Callable[[Column, Column], Column]) -> DataFrame:
+    """Colours handed on along the edges until none changes."""
+    while True:
+        along = core.join(colours.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("new"))
+        step = colours.join(along, "node", "left").select("node", better(F.col("colour"), F.coalesce("new", "colour")).alias("colour"), (F.col("new") > F.col("colour")).alias("moved"))
+        step = shared_table(step, "colours")
+        drop_table(colours)
+        colours = step.select("node", "colour")
+        if step.where("moved").isEmpty():
+            return colours

@@ -203,7 +203,18 @@ def inline_spans(nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def at_offset(spans: DataFrame, offsets: DataFrame) -> DataFrame:
-    """The leaf that holds each byte offset (node_id, offset) of a flattened text: the last one that begins at or before it."""
-    both = offsets.join(spans, "node_id").where("flat_start <= offset and offset < flat_end")
-    return both.select("node_id", "offset", "n", "kinds", (F.col("offset") - F.col("flat_start")).alias("inside"))
+#: Bytes of a text that stand for one key of the join of offsets and spans.
+BIN = 256
+
+
+def at_offset(spans: DataFrame, offsets: DataFrame, columns: tuple[str, ...] = ("n", "kinds")) -> DataFrame:
+    """node_id, offset, the span's columns and inside (bytes from its start), for each byte offset (node_id, offset) of a flattened text.
+
+    Spans (node_id, flat_start, flat_end) stand under each stretch of BIN bytes that they touch, offsets under their own, so
+    an offset meets the spans around it and not all of its node's; a long node is dealt to many tasks.
+    """
+    first, last = F.floor(F.col("flat_start") / BIN), F.floor((F.col("flat_end") - 1) / BIN)
+    dealt = spans.where("flat_start < flat_end").select("node_id", "flat_start", "flat_end", *columns, F.explode(F.sequence(first, last)).alias("bin"))
+    asked = offsets.where("offset >= 0").select("node_id", "offset", F.floor(F.col("offset") / BIN).alias("bin"))
+    both = asked.join(dealt, ["node_id", "bin"]).where("flat_start <= offset and offset < flat_end")
+    return both.select("node_id", "offset", *columns, (F.col("offset") - F.col("flat_start")).alias("inside"))

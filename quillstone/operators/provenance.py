@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.sources.stored import shared_table
+
 SCHEMA = "activity_id string, activity_type string, input_ids array<string>, output_ids array<string>, agent string, config string, started_at timestamp, ended_at timestamp"
 
 
@@ -49,3 +51,27 @@ def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
     up = low.select("doc_id", "node_id", F.size("path").alias("deep"), F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda k: F.slice("path", 1, k))).alias("path"))
     found = up.join(nodes.select("doc_id", "path", F.col("node_id").alias("ancestor_id")), ["doc_id", "path"])
     return found.select("node_id", "ancestor_id", (F.col("deep") - F.size("path")).alias("distance"))
+
+
+def links(activities: DataFrame) -> DataFrame:
+    """child and parent: each output of an activity comes from each of its inputs; an id is no parent of its own."""
+    rows = activities.select(F.explode("output_ids").alias("child"), "input_ids").select("child", F.explode("input_ids").alias("parent"))
+    return rows.where("child <> parent").distinct()
+
+
+def lineage(ties: DataFrame, start: DataFrame) -> DataFrame:
+    """child, ancestor and depth: what each start (child) comes from, over any number of ties (child, parent), by the shortest way.
+
+    Each round goes one tie up from what the last one found new, so a circle ends where it began; rounds are stored.
+    """
+    known = shared_table(ties.select(F.col("child").alias("at"), F.col("parent").alias("ancestor")).where("at is not null and ancestor is not null").distinct(), "ties")
+    new = shared_table(start.select("child").where("child is not null").distinct().join(known.withColumnRenamed("at", "child"), "child").select("child", "ancestor", F.lit(1).alias("depth")), "lineage")
+    found, depth = new, 1
+    while not new.isEmpty():
+        depth += 1
+        step = new.select("child", F.col("ancestor").alias("at")).join(known, "at").select("child", "ancestor").distinct()
+        new = shared_table(step.join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "lineage")
+        found = found.unionByName(new)
+        if depth % 8 == 0:
+            found = shared_table(found, "lineage")
+    return found

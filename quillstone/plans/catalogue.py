@@ -265,13 +265,15 @@ def annotations_for_doc(spark, sf_dir):
 
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY CUBE (quality, toxic)")
 def annotation_landscape(spark, sf_dir):
-    return table(spark, sf_dir, "labels").cube("quality", "toxic").agg(F.count("*").alias("n"))
+    held = table(spark, sf_dir, "labels").select(F.col("quality").alias("motivation"), F.col("toxic").alias("status"))
+    return discover.landscape(held).withColumnsRenamed({"motivation": "quality", "status": "toxic"})
 
 
 @query("SELECT l.doc_id, 'orphan' AS status FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.doc_id % 7 <> 0)")
 def orphaned_annotations(spark, sf_dir):
-    left = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select("doc_id")
-    return table(spark, sf_dir, "labels").join(left, "doc_id", "left_anti").select("doc_id", F.lit("orphan").alias("status"))
+    held = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("target_id"), F.lit("active").alias("status"))
+    deleted = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("node_id"))
+    return annotations.orphaned(held, deleted).where("status = 'orphan'").select("doc_id", "status")
 
 
 @query("SELECT d.doc_id, d.source FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -308,14 +310,15 @@ def stale_edges(spark, sf_dir):
 
 @query(f"WITH {EDGES} SELECT source_id, target_id, CASE WHEN version_at_include < version THEN 'stale' ELSE status END AS status FROM edges JOIN versions USING (target_id)")
 def refresh_edges(spark, sf_dir):
-    both = edges(spark, sf_dir).join(versions(spark, sf_dir), "target_id")
-    return both.select("source_id", "target_id", F.when(F.col("version_at_include") < F.col("version"), "stale").otherwise(F.col("status")).alias("status"))
+    held = versions(spark, sf_dir).select(F.col("target_id").alias("node_id"), "version", F.lit("active").alias("status"))
+    return anchors.refreshed(edges(spark, sf_dir), held).select("source_id", "target_id", "status")
 
 
 @query(f"WITH {EDGES} SELECT source, target_id, predicate, count(*) AS n FROM edges JOIN documents ON doc_id = source_id GROUP BY ALL")
 def relationship_graph(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "source")
-    return edges(spark, sf_dir).join(d, "source_id").groupBy("source", "target_id", "predicate").agg(F.count("*").alias("n"))
+    linked = edges(spark, sf_dir).join(d, "source_id").select(F.col("source").alias("source_doc"), F.col("target_id").alias("target_doc"), "predicate", "status")
+    return discover.relationships(linked).select(F.col("source_doc").alias("source"), F.col("target_doc").alias("target_id"), "predicate", "n")
 
 
 CYCLES = "WITH RECURSIVE e AS (SELECT item_id AS a, (item_id * 3 + 1) % 10 AS b FROM benchmark WHERE item_id < 10), walk AS (SELECT a, b, 1 AS depth FROM e UNION ALL SELECT w.a, e.b, w.depth + 1 FROM walk w JOIN e ON w.b = e.a WHERE w.depth < 10) SELECT a AS node, min(depth) AS length FROM walk WHERE a = b GROUP BY a"
@@ -337,8 +340,8 @@ def edge_cycles(spark, sf_dir):
 
 @query("SELECT event_id, ts, user_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 100")
 def activities_filter(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "ts", "user_id", "event_type")
-    return rows.orderBy(F.desc("ts"), "event_id").limit(100)
+    done = table(spark, sf_dir, "events").select(F.col("event_id").alias("activity_id"), F.col("ts").alias("started_at"), "user_id", F.col("event_type").alias("activity_type"))
+    return provenance.query(done, activity="click", limit=100).withColumnsRenamed({"activity_id": "event_id", "started_at": "ts", "activity_type": "event_type"})
 
 
 NUMBERED = f"{SENTENCES}, numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block, n) AS k, text FROM sentences)"
@@ -454,12 +457,13 @@ def diff_sequential(spark, sf_dir):
     return merge.pairs(paragraph_nodes(b), paragraph_nodes(edited(b)), mode="sequential").select("doc_id", "old_block", "new_block", "outcome")
 
 
-@query(f"WITH {EDITED}, s AS (SELECT doc_id, count(*) AS n FROM edited GROUP BY doc_id) SELECT doc_id, n AS n_now FROM s")
+@query(f"WITH {HASHED}, s AS (SELECT doc_id, count(*) FILTER (status = 'kept') AS n_kept FROM d GROUP BY doc_id), o AS (SELECT doc_id, count(*) AS n_before FROM blocks GROUP BY doc_id), e AS (SELECT doc_id, count(*) AS n_now FROM edited GROUP BY doc_id) SELECT doc_id, n_kept, n_before, n_now FROM s JOIN o USING (doc_id) JOIN e USING (doc_id)")
 def merge_counts(spark, sf_dir):
-    """Kept, updated and new nodes of each document add up to those of its new version."""
+    """Nodes of each document that keep their text are those of the exact diff; with updated and new ones they are its new version, with updated and deleted ones the old one."""
     b = blocks_of(spark, sf_dir)
     found = merge.counts(merge.merge(paragraph_nodes(b), paragraph_nodes(edited(b)).drop("version", "status")))
-    return found.select("doc_id", (F.col("n_kept") + F.col("n_updated") + F.col("n_new")).alias("n_now")).where("n_now > 0")
+    same = F.col("n_kept") + F.col("n_updated")
+    return found.select("doc_id", "n_kept", (same + F.col("n_deleted")).alias("n_before"), (same + F.col("n_new")).alias("n_now")).where("n_now > 0")
 
 
 @query(f"WITH {EDITED} SELECT o.doc_id, o.block, coalesce(e.text, o.text) AS text, CASE WHEN e.doc_id IS NULL THEN 1 ELSE 2 END AS version FROM blocks o LEFT JOIN edited e ON o.doc_id = e.doc_id AND o.block = e.block")
@@ -547,12 +551,12 @@ def orphaned_edges(spark, sf_dir):
     return anchors.refreshed(held, edge_nodes(spark, sf_dir)).select(number("source_id"), number("target_id"), "status")
 
 
-@query("SELECT conv_id, 'ingest' AS activity_type, count(*) AS n_outputs FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, 'ingest' AS activity_type, count(*) AS n_outputs, string_agg(conv_id || '/' || turn, ',' ORDER BY turn) AS outputs FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id")
 def activity_log(spark, sf_dir):
     """One activity for each conversation that was taken in, with its turns as outputs."""
     c = table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").alias("doc_id"), F.concat_ws("/", "conv_id", "turn").alias("node_id"), F.col("turn").cast("double").alias("position"))
     rows = provenance.log(spark, "ingest", c.select("doc_id"), c, "quillstone", provenance.config_json("plain", True, merge.THRESHOLD), F.expr(NOW))
-    return rows.select(F.col("input_ids")[0].cast("long").alias("conv_id"), "activity_type", F.size("output_ids").cast("long").alias("n_outputs"))
+    return rows.select(F.col("input_ids")[0].cast("long").alias("conv_id"), "activity_type", F.size("output_ids").cast("long").alias("n_outputs"), F.array_join("output_ids", ",").alias("outputs"))
 
 
 @query("WITH g AS (SELECT event_id, ts, coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 120000000)::INT, 1) AS x FROM events WINDOW w AS (ORDER BY ts, event_id)) SELECT event_id, sum(x) OVER (ORDER BY ts, event_id)::BIGINT AS batch FROM g")
@@ -749,3 +753,92 @@ def corpus_levels(spark, sf_dir):
         text = F.concat("text", F.repeat(F.lit("!"), F.lit(v)))
         store.commit({"nodes": b.where(F.col("last") >= v).select(F.concat_ws("/", "doc_id", "block").alias("node_id"), "doc_id", "block", text.alias("text"), F.lit(v).alias("version"))})
     return store.table("nodes").drop("node_id")
+
+
+@query(f"WITH {QUOTED}, n AS (SELECT *, {NOW_TEXT} AS now FROM q), t AS (SELECT doc_id, item_id, quote, CASE WHEN substr(now, pos + 1, length(quote)) = quote THEN 'active' WHEN contains(now, quote) THEN 'active_partial' ELSE 'orphan' END AS status FROM n) SELECT doc_id || '/' || item_id AS annotation_id, doc_id, item_id AS target_id, quote AS exact, status FROM t WHERE status <> 'active'")
+def lost_annotations(spark, sf_dir):
+    """Quotes that an edit of their document moved or removed."""
+    status = anchor_status(spark, sf_dir)
+    held = status.join(quoted(spark, sf_dir).select("doc_id", "item_id", "quote"), ["doc_id", "item_id"])
+    return discover.open_questions(held.select(F.concat_ws("/", "doc_id", "item_id").alias("annotation_id"), "doc_id", F.col("item_id").alias("target_id"), F.col("quote").alias("exact"), "status"))
+
+
+@query(f"WITH {BLOCKS}, n AS (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id) SELECT lang AS format, count(*) AS n_docs, coalesce(sum(n + 1), 0)::BIGINT AS n_nodes, coalesce(sum(length(text)) FILTER (n IS NOT NULL), 0)::BIGINT AS n_chars FROM documents LEFT JOIN n USING (doc_id) GROUP BY lang")
+def format_overview(spark, sf_dir):
+    """Documents by language as a workspace shows them: how many, their nodes and the characters of their roots."""
+    d = table(spark, sf_dir, "documents")
+    b = blocks_of(spark, sf_dir)
+    node = lambda x, path: x.select("doc_id", F.lit("active").alias("status"), path.alias("path"), "text")
+    roots = node(d.join(b.select("doc_id").distinct(), "doc_id", "left_semi"), F.array().cast("array<int>"))
+    held = node(b, F.array(F.col("block").cast("int"))).unionByName(roots)
+    return discover.overview(d.select("doc_id", F.col("lang").alias("format"), F.expr(NOW).alias("ingested_at")), held).drop("first", "last")
+
+
+TREE = "SELECT doc_id || '/' || block || '/' || n AS node_id, doc_id || '/' || block AS ancestor_id, 1 AS distance FROM sentences UNION ALL SELECT doc_id || '/' || block || '/' || n, doc_id::VARCHAR, 2 FROM sentences"
+
+
+@query(f"WITH {SENTENCES} {TREE}")
+def sentence_ancestors(spark, sf_dir):
+    """Block and document of every sentence, found by their paths."""
+    s = structure.sentences(blocks_of(spark, sf_dir)).select("doc_id", "block", "n")
+    number = lambda *c: F.array(*(F.col(x).cast("int") for x in c)).cast("array<int>")
+    at = lambda *c: F.concat_ws("/", *c)
+    leaves = s.select("doc_id", at("doc_id", "block", "n").alias("node_id"), number("block", "n").alias("path"))
+    inner = s.select("doc_id", "block").distinct().select("doc_id", at("doc_id", "block").alias("node_id"), number("block").alias("path"))
+    roots = s.select("doc_id").distinct().select("doc_id", at("doc_id").alias("node_id"), number().alias("path"))
+    return provenance.ancestors(leaves.unionByName(inner).unionByName(roots), leaves)
+
+
+@query(f"WITH {EDGES}, most AS (SELECT arg_max(source_id, (n, source_id)) AS s FROM (SELECT source_id, count(*) AS n FROM edges GROUP BY source_id)), often AS (SELECT arg_max(target_id, (n, target_id)) AS t FROM (SELECT target_id, count(*) AS n FROM edges GROUP BY target_id)) SELECT source_id, target_id, 'out' AS side FROM edges, most WHERE source_id = s UNION ALL SELECT source_id, target_id, 'in' FROM edges, often WHERE target_id = t")
+def edges_of_node(spark, sf_dir):
+    """The edges out of the document that quotes most, and into the passage that is quoted most."""
+    held = shared_table(edges(spark, sf_dir), "edges")
+    top = lambda c: held.groupBy(c).agg(F.count("*").alias("n")).agg(F.max_by(c, F.struct("n", c)).alias("x")).first()["x"]
+    out, into = anchors.by_source(held, top("source_id")), anchors.by_target(held, top("target_id"))
+    return out.select("source_id", "target_id", F.lit("out").alias("side")).unionByName(into.select("source_id", "target_id", F.lit("in").alias("side")))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id = (SELECT max(doc_id) FROM labels) AND toxic <> 1")
+def annotations_of_document(spark, sf_dir):
+    """The labels of the last labelled document as its annotations; toxic ones count as deleted."""
+    rows = table(spark, sf_dir, "labels")
+    last = rows.agg(F.max("doc_id").alias("d")).first()["d"]
+    held = rows.withColumn("status", F.when(F.col("toxic") == 1, "deleted").otherwise("active"))
+    return annotations.for_document(held, last).select("doc_id", "quality", "toxic")
+
+
+ITEM_EDGES = "e AS (SELECT item_id AS a, (item_id * 3 + 1) % (SELECT count(*) FROM benchmark) AS b FROM benchmark UNION SELECT item_id, item_id // 2 FROM benchmark WHERE item_id % 5 = 0)"
+
+
+def item_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Example edges between benchmark items, as no table holds any; every fifth item has two."""
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    n = items.count()
+    one = items.select(F.col("item_id").alias("source_id"), ((F.col("item_id") * 3 + 1) % n).alias("target_id"))
+    return one.unionByName(items.where("item_id % 5 = 0").select(F.col("item_id").alias("source_id"), F.floor(F.col("item_id") / 2).alias("target_id")))
+
+
+@query(f"WITH RECURSIVE {ITEM_EDGES}, reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT r.a AS node, max(r.b) AS component, count(DISTINCT r.b) AS size FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a GROUP BY r.a")
+def edge_components(spark, sf_dir):
+    """Strongly connected items: each leads to every other of its component."""
+    return anchors.components(item_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {QUOTED}, {ITEM_EDGES}, ties AS (SELECT 'd' || doc_id AS child, 'i' || item_id AS parent FROM q UNION SELECT 'i' || a, 'i' || b FROM e WHERE a <> b), walk AS (SELECT child, parent AS ancestor, 1 AS depth FROM ties WHERE child[1] = 'd' UNION SELECT w.child, t.parent, w.depth + 1 FROM walk w JOIN ties t ON t.child = w.ancestor WHERE w.depth < (SELECT count(*) + 1 FROM benchmark)) SELECT child, ancestor, min(depth)::INT AS depth FROM walk GROUP BY child, ancestor")
+def provenance_chain(spark, sf_dir):
+    """What each quoting document comes from, over activities whose outputs are the inputs of others, however many lie between."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    made = edges(spark, sf_dir).select(F.array(name("i", "target_id")).alias("input_ids"), F.array(name("d", "source_id")).alias("output_ids"))
+    made = made.unionByName(item_edges(spark, sf_dir).select(F.array(name("i", "target_id")).alias("input_ids"), F.array(name("i", "source_id")).alias("output_ids")))
+    ties = provenance.links(made)
+    return provenance.lineage(ties, ties.where("child like 'd%'").select("child"))
+
+
+@query(f"WITH {SENTENCES}, o AS (SELECT doc_id, block, unnest(range(0, octet_length(encode(text)), 97)) AS place FROM blocks) SELECT doc_id || '/' || block AS node_id, place AS \"offset\", n::INT AS n, place - char_start AS inside FROM o JOIN sentences USING (doc_id, block) WHERE char_start <= place AND place < char_end")
+def span_at_offset(spark, sf_dir):
+    """The sentence that holds each ninety-seventh byte of every block."""
+    b = blocks_of(spark, sf_dir)
+    node = F.concat_ws("/", "doc_id", "block").alias("node_id")
+    spans = structure.sentences(b).select(node, F.col("char_start").cast("long").alias("flat_start"), F.col("char_end").cast("long").alias("flat_end"), F.col("n").cast("int").alias("n"))
+    asked = b.select(node, F.explode(F.sequence(F.lit(0).cast("long"), (F.octet_length("text") - 1).cast("long"), F.lit(97).cast("long"))).alias("offset"))
+    return nodes.at_offset(spans, asked, ("n",))

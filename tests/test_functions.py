@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import anchors, diff, search, structure
+from quillstone.operators import anchors, diff, nodes, provenance, search, structure
 from quillstone.plans import catalogue
 from quillstone.sources import files
 
@@ -170,3 +170,48 @@ def test_highlight_reads_documents_in_any_script(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = dict(map(tuple, catalogue.highlight(spark, str(tmp_path)).collect()))
     assert got == {0: "<mark>OF the</mark> x", 1: "caf\u00e9 <mark>of\u00a0the</mark> \u65e5", 4: "\u65e5, <mark>of, the</mark>."}
+
+
+def test_components_equal_reachability(spark):
+    r = random.Random(9)
+    for n, m in ((12, 14), (30, 45), (40, 40)):
+        rows = [(r.randrange(n), r.randrange(n)) for _ in range(m)] + [(100 + k, 100 + (k + 1) % 9) for k in range(9)] + [(None, 1), (1, None), (3, 3)]
+        ways = {a: {b for x, b in rows if x == a and b is not None} for a, _ in rows if a is not None}
+        reach = {}
+        for a in ways:
+            seen, todo = set(), list(ways[a])
+            while todo:
+                b = todo.pop()
+                if b not in seen:
+                    seen.add(b)
+                    todo += ways.get(b, ())
+            reach[a] = seen
+        want = {}
+        for a in ways:
+            own = {b for b in reach[a] if a in reach.get(b, ())}
+            if own:
+                want[a] = (max(own), len(own))
+        got = anchors.components(spark.createDataFrame(rows, "source_id long, target_id long")).collect()
+        assert {x["node"]: (x["component"], x["size"]) for x in got} == want and len(got) == len(want)
+    assert anchors.components(spark.createDataFrame([(1, 2), (2, 3)], "source_id long, target_id long")).count() == 0
+
+
+def test_lineage_goes_any_way_up_and_ends_in_circles(spark):
+    ties = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(20)] + [("n20", "n15"), ("n3", "n9"), ("x", "n0"), (None, "n1"), ("y", None)], "child string, parent string")
+    got = {(x["child"], x["ancestor"]): x["depth"] for x in provenance.lineage(ties, spark.createDataFrame([("n3",), ("x",), ("none",), (None,)], "child string")).collect()}
+    assert got["n3", "n9"] == 1 and got["n3", "n8"] == 5 and got["n3", "n20"] == 12 and got["x", "n0"] == 1 and got["x", "n20"] == 16 and len(got) == 17 + 21
+    made = spark.createDataFrame([(["a", "b"], ["c"]), (["c"], ["d", "c"]), (None, ["e"])], "input_ids array<string>, output_ids array<string>")
+    assert {tuple(x) for x in provenance.links(made).collect()} == {("c", "a"), ("c", "b"), ("d", "c")}
+
+
+def test_offsets_meet_the_spans_around_them(spark):
+    r = random.Random(10)
+    spans, at = [], 0
+    for k in range(4000):
+        size = r.choice((0, 1, 3, 40, 3000))
+        spans.append(("n", at, at + size, k))
+        at += size
+    asked = [("n", r.randrange(-5, at + 5)) for _ in range(500)] + [("m", 1)]
+    got = nodes.at_offset(spark.createDataFrame(spans, "node_id string, flat_start long, flat_end long, n int"), spark.createDataFrame(asked, "node_id string, offset long"), ("n",))
+    want = sorted((o, k, o - a) for _, o in asked[:-1] for _, a, b, k in spans if a <= o < b)
+    assert sorted((x["offset"], x["n"], x["inside"]) for x in got.collect()) == want
