@@ -15,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from quillstone.functions import text as T
 from quillstone.sources.stored import drop_table, shared_table
 
 #: Ratios up to which pairs are looked for together; a threshold ends the list.
-TIERS = (0.05,)
+TIERS = (0.02, 0.05)
 #: Shortest run that two texts share, to the length of a gram and the number of neighbouring grams of which the least is
 #: kept. Texts that need not share a run of two characters are compared by length alone.
 SCHEMES = {0: (0, 1), 2: (2, 1), 3: (2, 2), 4: (3, 2), 8: (5, 4), 16: (8, 9), 32: (12, 21)}
@@ -132,31 +132,32 @@ def with_bound(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def grams(rows: DataFrame) -> DataFrame:
-    """doc_id, block, is_new, size, bytes, d, owns, scheme, gram, first and last: a row for each kept gram of each text and scheme of `wanted`."""
-    kept = ["doc_id", "block", "is_new", "size", "bytes", "d"]
-    rows = rows.select(*kept, "text", "wanted")
-    added = [StructField("owns", IntegerType()), StructField("scheme", IntegerType()), StructField("gram", LongType()), StructField("first", IntegerType()), StructField("last", IntegerType())]
-    schema = StructType([*(rows.schema[c] for c in kept), *added])
+    """A row for each kept gram of each text and scheme of `wanted`, in few columns, as there are many.
+
+    doc_id, gram (mixed with the scheme), who (twice the block, plus is_new), shape (characters and bytes), span (first and
+    last place of the gram) and owns; the last three but one hold two numbers of 32 bits.
+    """
+    schema = StructType([rows.schema["doc_id"], *(StructField(c, LongType()) for c in ("gram", "who", "shape", "span")), StructField("owns", BooleanType())])
+    whole = rows.select("doc_id", (F.col("block") * 2 + F.col("is_new")).cast("long").alias("who"), (F.col("size").cast("long") * (1 << 32) + F.col("bytes")).alias("shape"), "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                taken, owns, schemes, found = [], [], [], []
-                for k, (text, wanted) in enumerate(zip(part.column(6), part.column(7).to_pylist(), strict=True)):
+                taken, owns, found, spans = [], [], [], []
+                for k, (text, wanted) in enumerate(zip(part.column(3), part.column(4).to_pylist(), strict=True)):
                     raw, seen = text.as_py(), {}
                     for w in wanted:
                         if w["scheme"] not in seen:
-                            seen[w["scheme"]] = sampled_grams(raw, *SCHEMES[w["scheme"]])
+                            h, first, last = sampled_grams(raw, *SCHEMES[w["scheme"]])
+                            seen[w["scheme"]] = h ^ np.int64(w["scheme"] * 0x632BE59BD9B4E019 % (1 << 63)), (first << 32) | last
                         own = seen[w["scheme"]]
-                        n = len(own[0])
-                        taken.append(np.full(n, k)), owns.append(np.full(n, w["owns"])), schemes.append(np.full(n, w["scheme"])), found.append(own)
-                whole = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)).cast(t)
-                rows = whole(taken, pa.int64())
-                grams_and_places = [whole([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(6)), whole(owns, pa.int32()), whole(schemes, pa.int32()), *grams_and_places], schema.names)
+                        taken.append(np.full(len(own[0]), k)), owns.append(np.full(len(own[0]), bool(w["owns"]))), found.append(own[0]), spans.append(own[1])
+                joined = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+                at = pa.array(joined(taken, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(joined(found, np.int64)), part.column(1).take(at), part.column(2).take(at), pa.array(joined(spans, np.int64)), pa.array(joined(owns, bool))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
 
 
 def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
@@ -175,12 +176,16 @@ def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     own = F.when(F.col("d") > 0, F.array(pick(F.col("scheme"), 1))).otherwise(F.array().cast("array<struct<owns:int,scheme:int>>"))
     rows = rows.join(used, ["doc_id", "is_new"], "left").withColumn("wanted", F.concat(own, guest)).where(F.size("wanted") > 0)
     every = shared_table(grams(rows), "grams")
-    key = ["doc_id", "scheme", "gram"]
-    longer = every.where("owns = 1").select(*key, "block", "is_new", "size", "bytes", "d", "first", "last")
-    shorter = every.where("owns = 0").select(*key, *(F.col(c).alias(f"other_{c}") for c in ("block", "is_new", "size", "bytes", "first", "last")))
+    key, packed = ["doc_id", "gram"], ["who", "shape", "span"]
+    longer, shorter = every.where("owns").select(*key, *packed), every.where("not owns").select(*key, *(F.col(c).alias(f"other_{c}") for c in packed))
+    # packed rows are shuffled, and unpacked where they meet
+    field = lambda c, k: F.shiftright(c, 32).cast("int") if k == 0 else F.col(c).bitwiseAND((1 << 32) - 1).cast("int")
+    own = [field("shape", 0).alias("size"), field("shape", 1).alias("bytes"), field("span", 0).alias("first"), field("span", 1).alias("last"), F.shiftright("who", 1).alias("block"), F.col("who").bitwiseAND(1).alias("is_new")]
+    other = [field("other_shape", 0).alias("other_size"), field("other_shape", 1).alias("other_bytes"), field("other_span", 0).alias("other_first"), field("other_span", 1).alias("other_last"), F.shiftright("other_who", 1).alias("other_block"), F.col("other_who").bitwiseAND(1).alias("other_is_new")]
+    meet = longer.join(shorter, key).select("doc_id", *own, *other).withColumn("d", F.floor(F.col("bytes") * threshold + 1e-9).cast("int"))
     near = (F.col("is_new") != F.col("other_is_new")) & (F.col("bytes") >= F.col("other_bytes")) & (F.abs(F.col("size") - F.col("other_size")) <= F.col("d")) & (F.col("first") - F.col("d") <= F.col("other_last")) & (F.col("other_first") <= F.col("last") + F.col("d"))
     side = lambda k: F.when(F.col("is_new") == k, F.col("block")).otherwise(F.col("other_block"))
-    met = longer.join(shorter, key).where(near).select("doc_id", side(0).alias("old_block"), side(1).alias("new_block")).distinct()
+    met = meet.where(near).select("doc_id", side(0).alias("old_block"), side(1).alias("new_block")).distinct()
     text = lambda k, name: rest.where(F.col("is_new") == k).select("doc_id", F.col("block").alias(f"{name}_block"), F.col("text").alias(f"{name}_text"))
     both = met.join(text(0, "old"), ["doc_id", "old_block"]).join(text(1, "new"), ["doc_id", "new_block"])
     size = F.greatest(F.octet_length("old_text"), F.octet_length("new_text"))
