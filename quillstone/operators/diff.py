@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillstone.functions import text as T
 from quillstone.sources.stored import drop_table, shared_table
@@ -135,27 +135,28 @@ def grams(rows: DataFrame) -> DataFrame:
     """A row for each kept gram of each text and scheme of `wanted`, in few columns, as there are many.
 
     doc_id, gram (mixed with the scheme), who (twice the block, plus is_new), shape (characters and bytes), span (first and
-    last place of the gram) and owns; the last three but one hold two numbers of 32 bits.
+    last place of the gram) and role (1 as the longer text of a pair, 2 as the other one, 3 both); shape and span hold two
+    numbers of 32 bits each.
     """
-    schema = StructType([rows.schema["doc_id"], *(StructField(c, LongType()) for c in ("gram", "who", "shape", "span")), StructField("owns", BooleanType())])
+    schema = StructType([rows.schema["doc_id"], *(StructField(c, LongType()) for c in ("gram", "who", "shape", "span")), StructField("role", LongType())])
     whole = rows.select("doc_id", (F.col("block") * 2 + F.col("is_new")).cast("long").alias("who"), (F.col("size").cast("long") * (1 << 32) + F.col("bytes")).alias("shape"), "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 256):
                 part = b.slice(start, 256)
-                taken, owns, found, spans = [], [], [], []
+                taken, roles, found, spans = [], [], [], []
                 for k, (text, wanted) in enumerate(zip(part.column(3), part.column(4).to_pylist(), strict=True)):
-                    raw, seen = text.as_py(), {}
+                    raw, role = text.as_py(), {}
                     for w in wanted:
-                        if w["scheme"] not in seen:
-                            h, first, last = sampled_grams(raw, *SCHEMES[w["scheme"]])
-                            seen[w["scheme"]] = h ^ np.int64(w["scheme"] * 0x632BE59BD9B4E019 % (1 << 63)), (first << 32) | last
-                        own = seen[w["scheme"]]
-                        taken.append(np.full(len(own[0]), k)), owns.append(np.full(len(own[0]), bool(w["owns"]))), found.append(own[0]), spans.append(own[1])
+                        role[w["scheme"]] = role.get(w["scheme"], 0) | (1 if w["owns"] else 2)
+                    for scheme, bits in role.items():
+                        h, first, last = sampled_grams(raw, *SCHEMES[scheme])
+                        taken.append(np.full(len(h), k)), roles.append(np.full(len(h), bits))
+                        found.append(h ^ np.int64(scheme * 0x632BE59BD9B4E019 % (1 << 63))), spans.append((first << 32) | last)
                 joined = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
                 at = pa.array(joined(taken, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(joined(found, np.int64)), part.column(1).take(at), part.column(2).take(at), pa.array(joined(spans, np.int64)), pa.array(joined(owns, bool))], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(joined(found, np.int64)), part.column(1).take(at), part.column(2).take(at), pa.array(joined(spans, np.int64)), pa.array(joined(roles, np.int64))], schema.names)
 
     return whole.mapInArrow(run, schema)
 
@@ -175,14 +176,18 @@ def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     guest = F.coalesce(F.transform(fit, lambda u: pick(u["scheme"], 0)), F.array().cast("array<struct<owns:int,scheme:int>>"))
     own = F.when(F.col("d") > 0, F.array(pick(F.col("scheme"), 1))).otherwise(F.array().cast("array<struct<owns:int,scheme:int>>"))
     rows = rows.join(used, ["doc_id", "is_new"], "left").withColumn("wanted", F.concat(own, guest)).where(F.size("wanted") > 0)
-    every = shared_table(grams(rows), "grams")
-    key, packed = ["doc_id", "gram"], ["who", "shape", "span"]
-    longer, shorter = every.where("owns").select(*key, *packed), every.where("not owns").select(*key, *(F.col(c).alias(f"other_{c}") for c in packed))
+    key, packed = ["doc_id", "gram"], ["who", "shape", "span", "role"]
+    every = grams(rows)
+    # the two sides are alike, so that Spark shuffles the rows once and reads them twice
+    longer, shorter = (every.select(*(F.col(c).alias(f"{side}{c}") for c in (*key, *packed))) for side in ("", "other_"))
     # packed rows are shuffled, and unpacked where they meet
     field = lambda c, k: F.shiftright(c, 32).cast("int") if k == 0 else F.col(c).bitwiseAND((1 << 32) - 1).cast("int")
     own = [field("shape", 0).alias("size"), field("shape", 1).alias("bytes"), field("span", 0).alias("first"), field("span", 1).alias("last"), F.shiftright("who", 1).alias("block"), F.col("who").bitwiseAND(1).alias("is_new")]
     other = [field("other_shape", 0).alias("other_size"), field("other_shape", 1).alias("other_bytes"), field("other_span", 0).alias("other_first"), field("other_span", 1).alias("other_last"), F.shiftright("other_who", 1).alias("other_block"), F.col("other_who").bitwiseAND(1).alias("other_is_new")]
-    meet = longer.join(shorter, key).select("doc_id", *own, *other).withColumn("d", F.floor(F.col("bytes") * threshold + 1e-9).cast("int"))
+    same = (F.col("doc_id") == F.col("other_doc_id")) & (F.col("gram") == F.col("other_gram"))
+    # one condition on both sides, which is not taken apart into filters of either
+    roles = (F.col("role") * 4 + F.col("other_role")).isin(*(4 * a + b for a in (1, 3) for b in (2, 3)))
+    meet = longer.join(shorter, same & roles & ((F.col("who") + F.col("other_who")) % 2 == 1)).select("doc_id", *own, *other).withColumn("d", F.floor(F.col("bytes") * threshold + 1e-9).cast("int"))
     near = (F.col("is_new") != F.col("other_is_new")) & (F.col("bytes") >= F.col("other_bytes")) & (F.abs(F.col("size") - F.col("other_size")) <= F.col("d")) & (F.col("first") - F.col("d") <= F.col("other_last")) & (F.col("other_first") <= F.col("last") + F.col("d"))
     side = lambda k: F.when(F.col("is_new") == k, F.col("block")).otherwise(F.col("other_block"))
     met = meet.where(near).select("doc_id", side(0).alias("old_block"), side(1).alias("new_block")).distinct()
@@ -194,7 +199,6 @@ def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     distance = F.call_function("levenshtein", F.col("old_part"), F.col("new_part"), F.floor(F.col("size") * threshold).cast("int") + 1)
     measured = shared_table(parts.select("doc_id", "old_block", "new_block", "size", distance.cast("long").alias("distance")), "pairs")
     out = measured.where("distance >= 0").withColumn("ratio", F.col("distance") / F.col("size")).where(F.col("ratio") <= threshold).drop("size")
-    drop_table(every)
     return out
 
 
