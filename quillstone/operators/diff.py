@@ -177,8 +177,8 @@ def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     own = F.when(F.col("d") > 0, F.array(pick(F.col("scheme"), 1))).otherwise(F.array().cast("array<struct<owns:int,scheme:int>>"))
     rows = rows.join(used, ["doc_id", "is_new"], "left").withColumn("wanted", F.concat(own, guest)).where(F.size("wanted") > 0)
     key, packed = ["doc_id", "gram"], ["who", "shape", "span", "role"]
-    every = grams(rows)
-    # the two sides are alike, so that Spark shuffles the rows once and reads them twice
+    every = shared_table(grams(rows), "grams")
+    # the two sides are alike but for their names, so that Spark can shuffle the rows once and read them twice
     longer, shorter = (every.select(*(F.col(c).alias(f"{side}{c}") for c in (*key, *packed))) for side in ("", "other_"))
     # packed rows are shuffled, and unpacked where they meet
     field = lambda c, k: F.shiftright(c, 32).cast("int") if k == 0 else F.col(c).bitwiseAND((1 << 32) - 1).cast("int")
@@ -199,6 +199,7 @@ def near_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     distance = F.call_function("levenshtein", F.col("old_part"), F.col("new_part"), F.floor(F.col("size") * threshold).cast("int") + 1)
     measured = shared_table(parts.select("doc_id", "old_block", "new_block", "size", distance.cast("long").alias("distance")), "pairs")
     out = measured.where("distance >= 0").withColumn("ratio", F.col("distance") / F.col("size")).where(F.col("ratio") <= threshold).drop("size")
+    drop_table(every)
     return out
 
 
