@@ -590,6 +590,36 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{place}/rows").drop("batch")
 
 
+#: Fixed values of the two queries on live feeds: the gap and lateness of sessions in microseconds, and a path's life in seconds.
+QUIET_US, LATE_US, STAT_LIFE = 6 * 3600 * 1_000_000, 600 * 1_000_000, 90 * 86400
+
+
+def run_stream(rows: DataFrame, place: str) -> None:
+    """Run a stream over all that is there, into Parquet, with its log and state beside it."""
+    rows.writeStream.format("parquet").outputMode("append").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+
+
+@query(f"WITH g AS (SELECT user_id, epoch_us(ts) AS us, (coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts), 0) >= {QUIET_US})::INT AS x FROM events WHERE ts IS NOT NULL), n AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY us) AS n FROM g), s AS (SELECT user_id, n, min(us) AS first_us, max(us) AS last_us, count(*) AS n_events FROM n GROUP BY ALL) SELECT user_id, first_us, last_us, n_events FROM s WHERE last_us + {QUIET_US} - 1 <= (SELECT max(us) // 1000 * 1000 - {LATE_US} FROM g)")
+def stream_sessions(spark, sf_dir):
+    """Quiet-gap batches of each user's events as a live stream gives them: those that the watermark has closed."""
+    place = f"{shared_folder(spark)}/sessions-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+    feed = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events[.]parquet")
+    run_stream(changes.sessions(feed, "user_id", "ts", QUIET_US / 1_000_000, LATE_US // 1_000_000), place)
+    return spark.read.parquet(f"{place}/rows").select("user_id", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n_events")
+
+
+@query("WITH p AS (SELECT user_id, least((day(ts) - 1) // 10, 2) AS poll, arg_max(octet_length(encode(event_type)), (epoch_us(ts), octet_length(encode(event_type)))) AS length, max(epoch_us(ts)) AS seen_us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL), c AS (SELECT *, lag(length) OVER (PARTITION BY user_id ORDER BY poll) AS known FROM p) SELECT 'user/' || user_id AS path, length::BIGINT AS length, seen_us FROM c WHERE known IS NULL OR known <> length")
+def stream_changed_stats(spark, sf_dir):
+    """Users as files whose sizes are polled three times: the sizes that are not the known ones. Each poll restarts the stream from its checkpoint."""
+    place = f"{shared_folder(spark)}/stats-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+    stats = table(spark, sf_dir, "events").select(F.concat(F.lit("user/"), "user_id").alias("path"), F.octet_length("event_type").cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified"), F.col("ts").cast("timestamp").alias("seen"))
+    poll = F.least(F.floor((F.dayofmonth("seen") - 1) / 10), F.lit(2))
+    for k in range(3):
+        stats.where(poll == k).write.mode("append").parquet(f"{place}/polls")
+        run_stream(changes.changed_stats(spark.readStream.schema(stats.schema).parquet(f"{place}/polls"), STAT_LIFE), place)
+    return spark.read.parquet(f"{place}/rows").select("path", "length", F.unix_micros("seen").alias("seen_us"))
+
+
 @query(rf"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'custom' ELSE CASE lower(regexp_extract(p, '\.([^./]+)$', 1)) {KNOWN} END END AS format FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages)")
 def detect_explicit(spark, sf_dir):
     """A name that is given wins: an alias is resolved, an unknown one passes through."""

@@ -1,14 +1,17 @@
-"""File changes: one event per path and batch, quiet-gap batches, and ingestion of a watched folder."""
+"""File changes: one event per path and batch, quiet-gap batches, live sessions, known stats, and ingestion of a watched folder."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
+    from pyspark.sql.streaming.state import GroupState
+
     from quillstone.api import Workspace
 
 #: Events between two order-preserving cuts of a log; a day of them is ordered by many tasks.
@@ -58,12 +61,68 @@ def debounced(events: DataFrame, ts: str, tie: str, seconds: float) -> DataFrame
     return rows.join(hours, "__hour").withColumn("batch", F.col("before") + F.col("__n")).select(*events.columns, "batch")
 
 
+def sessions(feed: DataFrame, by: str, ts: str, seconds: float, late_seconds: float) -> DataFrame:
+    """first, last and n_events of each quiet-gap batch of the events of one `by` (a watched folder), live.
+
+    A gap of `seconds` or more starts a new batch, as in `debounced`. On a stream a batch comes out once, when the watermark
+    (the latest time seen, less `late_seconds`) has passed its last event by the gap: one that is still open at the end of a
+    run stays in the state, and an event that comes later than `late_seconds` is passed over by the engine. Events of several
+    micro-batches, and ones out of order by less, are joined. On a table every batch comes out. A null time belongs to none.
+    """
+    gap = f"{round(seconds * 1_000_000) - 1} microseconds"
+    rows = feed.select(by, F.col(ts).cast("timestamp").alias("__at")).where("__at is not null").withWatermark("__at", f"{late_seconds} seconds")
+    found = rows.groupBy(by, F.session_window("__at", gap).alias("__session")).agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.count("*").alias("n_events"))
+    return found.drop("__session")
+
+
+#: A stat as the state and its step hold it; a null length or change time is -1, and equal to itself.
+STAT = "path string, length long, modified_us long, seen_us long"
+
+
+def last_stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last stat of each path in each batch of rows: what one path has many of is dropped before the shuffle."""
+    for rows in batches:
+        yield rows.sort_values(["seen_us", "modified_us", "length"]).drop_duplicates("path", keep="last")
+
+
+def changed_stats(feed: DataFrame, ttl_seconds: int) -> DataFrame:
+    """Of a stream of stats (path, length, modified, seen), those whose length or change time is not the one known for the path.
+
+    The last stat of a path in a micro-batch counts: by seen, then modified, then length. It is compared with the one in the
+    state, which outlives restarts by the query's checkpoint. A path that was not seen for `ttl_seconds` of the feed's own
+    time is forgotten, so the state holds living paths; its next stat is a change. A stat seen before the one in the state
+    says nothing, and one later than `ttl_seconds` is passed over by the engine, as are those without path or time.
+    """
+    micros = lambda name: F.coalesce(F.unix_micros(F.col(name).cast("timestamp")), F.lit(-1))
+    rows = feed.where("path is not null and seen is not null").select("path", F.coalesce(F.col("length").cast("long"), F.lit(-1)).alias("length"), micros("modified").alias("modified_us"), micros("seen").alias("seen_us"))
+    rows = rows.mapInPandas(last_stats, STAT).withColumn("seen", F.timestamp_micros("seen_us")).withWatermark("seen", f"{ttl_seconds} seconds")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stats = (s for rows in batches for s in zip(rows["seen_us"], rows["modified_us"], rows["length"], strict=True))
+        seen, modified, length = (int(x) for x in max(stats))
+        known = state.getOption
+        if known and known[2] > seen:
+            return
+        state.update((length, modified, seen))
+        # a timeout has to lie ahead of the watermark, which a late stat's own time may not
+        state.setTimeoutTimestamp(max(seen // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        if not known or tuple(known[:2]) != (length, modified):
+            yield pd.DataFrame({"path": [key[0]], "length": [length], "modified_us": [modified], "seen_us": [seen]})
+
+    found = rows.groupBy("path").applyInPandasWithState(step, STAT, "length long, modified_us long, seen_us long", "append", "EventTimeTimeout")
+    known_or_null = lambda name: F.when(F.col(name) >= 0, F.col(name))
+    return found.select("path", known_or_null("length").alias("length"), F.timestamp_micros(known_or_null("modified_us")).alias("modified"), F.timestamp_micros("seen_us").alias("seen"))
+
+
 def unchanged_dropped(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files (path, import_hash) whose content is not the one that is known for their path."""
     return files.join(known.select("path", "import_hash"), ["path", "import_hash"], "left_anti")
 
 
-def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):  # noqa: ANN201
+def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every_ms: int = 500):  # noqa: ANN201
     """A streaming query that hands each batch of files to `sink`: path, content and import_hash.
 
     Which files were seen is kept by the source's own log; a batch holds a file once, with its last content. No state
@@ -77,14 +136,17 @@ def watch(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], Non
         sink(last.withColumn("import_hash", F.sha2("content", 256)), number)
 
     query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (query.trigger(availableNow=True) if once else query.trigger(processingTime="500 milliseconds")).start()
+    return (query.trigger(availableNow=True) if once else query.trigger(processingTime=f"{every_ms} milliseconds")).start()
 
 
 def ingest_stream(workspace: Workspace, folder: str, checkpoint: str, once: bool = True):  # noqa: ANN201
-    """Take in a folder as its files come and change; a file whose content is known is passed over."""
+    """Take in a folder as its files come and change; a file whose content is known is passed over.
+
+    Changes are gathered for the settings' `debounce_ms`.
+    """
     from quillstone.sources import files
 
     def sink(batch: DataFrame, number: int) -> None:
         workspace.ingest_frame(files.described(batch.select("path", "content")), True).count()
 
-    return watch(workspace.spark, folder, sink, checkpoint, once)
+    return watch(workspace.spark, folder, sink, checkpoint, once, workspace.config.debounce_ms)
