@@ -88,7 +88,7 @@ class Workspace:
             held = self.corpus.table("annotations")
             deleted = whole.where("status = 'deleted'")
             touched = held.join(deleted.select(F.col("node_id").alias("target_id")).distinct(), "target_id", "left_semi").select(held.columns)
-            changes["annotations"] = annotations.orphaned(touched, deleted)
+            changes["annotations"] = self.placed(annotations.orphaned(touched, deleted), whole)
         self.corpus.commit(changes)
         self.index.settle()
         result = documents.select("doc_id", "path").join(merge.counts(whole), "doc_id", "left").withColumn("error", F.lit(None).cast("string"))
@@ -221,12 +221,18 @@ class Workspace:
         return n
 
     def reanchor(self) -> DataFrame:
-        """Find the annotations again in the present text and store what changed; returns the resolution."""
-        held = self.table("annotations", "ANNOTATION_ERROR")
-        found = shared_table(annotations.resolve(held, self.table("nodes", "NODE_NOT_FOUND")), "resolution")
-        self.corpus.commit({"annotations": annotations.with_status(held, found)})
+        """Find the annotations again in their nodes' present text, or in other nodes of their document, and store what changed; returns the resolution by node."""
+        held, nodes = self.table("annotations", "ANNOTATION_ERROR"), self.table("nodes", "NODE_NOT_FOUND")
+        found = shared_table(annotations.resolve(held, nodes), "resolution")
+        self.corpus.commit({"annotations": self.placed(annotations.with_status(held, found), nodes)})
         return found
 
+    def placed(self, held: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Annotations, the orphans among them at another node of their document where one has their quote."""
+        held = shared_table(held, "annotations")
+        lost = held.where("status = 'orphan'")
+        return held if lost.isEmpty() else annotations.with_place(held, annotations.moved(lost, nodes))
+
     def activities(self, doc_id: str | None = None, activity: str | None = None, limit: int | None = None) -> DataFrame:
         return provenance.query(self.table("activities", "DOCUMENT_NOT_FOUND"), doc_id, activity, limit)
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from quillstone.functions import text as T
+from quillstone.sources.stored import shared_table
 
 CONTEXT = 64
 #: An anchor's states, and the motivation of a request that gives none.
@@ -172,6 +173,83 @@ def resolve(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+#: Words of the runs by which a lost quote meets the texts that may hold it.
+RUN = 3
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def runs_of(words: Column, size: Column) -> Column:
+    """Hashes of the different runs of `size` words."""
+    last = F.size(words) - size + 1
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))
+    return F.when(last > 0, F.array_distinct(hashes)).otherwise(F.array().cast("array<bigint>"))
+
+
+def moved(lost: DataFrame, nodes: DataFrame) -> DataFrame:
+    """annotation_id, new_target, new_version, new_start, new_end and confidence of orphans whose quote is in another node now.
+
+    `lost` holds annotations; `nodes` has every node of their documents, the deleted targets too, with node_type, position,
+    version and status. Looked into are the active nodes of the target's document and type. The text that `resolved` is
+    surest of wins; of its places the one nearest to where the target was, then the earlier one, then the smaller node_id.
+    A quote meets texts by the run of its inner words that the fewest texts of the document have; outer words may be cut, so
+    a quote of one or two words has to stand there as whole words, and one without any stays lost, as does one whose target
+    has no row. Equal quotes and equal texts meet once. Each quote's places are ordered by one task, in sorted runs on disk.
+    """
+    was = nodes.select(F.col("node_id").alias("target_id"), "node_type", F.col("position").alias("was"))
+    quote = ["doc_id", "node_type", "exact", "prefix", "suffix"]
+    lost = lost.select("annotation_id", "doc_id", "target_id", "exact", "prefix", "suffix").join(was, "target_id")
+    lost = shared_table(lost.withColumn("quote_id", F.sha2(F.to_json(F.struct(*quote)), 256)), "lost")
+    words = words_of(F.col("exact"))
+    quotes = lost.dropDuplicates(["quote_id"]).select("quote_id", *quote, F.when(F.size(words) >= 3, F.slice(words, 2, F.size(words) - 2)).otherwise(words).alias("inner"))
+    quotes = quotes.withColumn("size", F.least(F.size("inner"), F.lit(RUN))).where("size > 0")
+    scope = ["doc_id", "node_type"]
+    met = [*scope, "size", "key"]
+    asked = quotes.select("quote_id", *scope, "size", F.explode(runs_of(F.col("inner"), F.col("size"))).alias("key"))
+
+    live = nodes.where("status = 'active'").join(quotes.groupBy("doc_id").agg(F.collect_set("size").alias("sizes")), "doc_id")
+    live = shared_table(live.select(*scope, "node_id", "position", "version", F.sha2("text", 256).alias("text_id"), "text", "sizes"), "live")
+    texts = live.dropDuplicates([*scope, "text_id"])
+    held = texts.select(*scope, "text_id", words_of(F.col("text")).alias("words"), F.explode("sizes").alias("size"))
+    held = held.select(*scope, "text_id", "size", F.explode(runs_of(F.col("words"), F.col("size"))).alias("key"))
+    held = shared_table(held.join(asked.select(met).distinct(), met, "left_semi").select("text_id", *met), "runs")
+    counted = asked.join(held.groupBy(met).agg(F.count("*").alias("n")), met, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("quote_id", *scope, "size").agg(F.min(F.struct("n", "key")).alias("best")).where("best.n > 0").select("quote_id", *scope, "size", "best.key")
+    candidates = rarest.join(held, met).select("quote_id", *scope, "text_id")
+    pairs = candidates.join(quotes.select("quote_id", "exact", "prefix", "suffix"), "quote_id").join(texts.select(*scope, "text_id", "text"), [*scope, "text_id"])
+    schema = "quote_id string, text_id string, new_start long, new_end long, confidence double"
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for quote_id, text_id, text, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                status, start, end, sure = resolved(text, None, None, *rest)
+                if status != "orphan":
+                    found.append((quote_id, text_id, start, end, sure))
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["quote_id", "text_id", "new_start", "new_end", "confidence"])
+
+    found = shared_table(pairs.select("quote_id", "text_id", "text", "exact", "prefix", "suffix").mapInArrow(verify, schema), "found")
+    found = found.join(found.groupBy("quote_id").agg(F.max("confidence").alias("most")), "quote_id").where("confidence = most").drop("most")
+    spots = found.join(quotes.select("quote_id", *scope), "quote_id").join(live.select(*scope, "text_id", "node_id", "position", "version"), [*scope, "text_id"])
+    spot = F.struct("position", F.col("node_id").alias("new_target"), F.col("version").alias("new_version"), "new_start", "new_end", "confidence").alias("spot")
+    line = spots.select("quote_id", "position", "node_id", spot).unionByName(lost.select("quote_id", F.col("was").alias("position"), "annotation_id"), allowMissingColumns=True)
+    nearest = lambda position: F.last("spot", ignorenulls=True).over(Window.partitionBy("quote_id").orderBy(position, F.col("annotation_id").isNotNull(), F.desc("node_id")).rowsBetween(Window.unboundedPreceding, 0))
+    line = line.select("annotation_id", "position", nearest(F.asc("position")).alias("before"), nearest(F.desc("position")).alias("after")).where("annotation_id is not null")
+    earlier = F.col("after").isNull() | (F.col("position") - F.col("before.position") <= F.col("after.position") - F.col("position"))
+    return line.select("annotation_id", F.when(earlier, F.col("before")).otherwise(F.col("after")).alias("spot")).where("spot is not null").select("annotation_id", "spot.new_target", "spot.new_version", "spot.new_start", "spot.new_end", "spot.confidence")
+
+
+def with_place(annotations: DataFrame, found: DataFrame) -> DataFrame:
+    """Annotations, those that `moved` found being partly active at their new node and span."""
+    both = annotations.join(found, "annotation_id", "left")
+    here = F.col("new_target").isNotNull()
+    new = {"target_id": F.col("new_target"), "node_version": F.col("new_version"), "char_start": F.col("new_start"), "char_end": F.col("new_end"), "status": F.lit("active_partial")}
+    return both.withColumns({name: F.when(here, value).otherwise(F.col(name)).cast(annotations.schema[name].dataType) for name, value in new.items() if name in annotations.columns}).select(annotations.columns)
+
+
 def is_active(status: Column) -> Column:
     return status.isin("active", "active_partial")
 

@@ -793,6 +793,22 @@ def lost_annotations(spark, sf_dir):
     return discover.open_questions(held.select(F.concat_ws("/", "doc_id", "item_id").alias("annotation_id"), "doc_id", F.col("item_id").alias("target_id"), F.col("quote").alias("exact"), "status"))
 
 
+@query(f"WITH {BLOCKS}, h AS (SELECT doc_id, block, item_id, l.text, b.text AS quote FROM blocks l JOIN benchmark b ON b.text <> '' AND contains(l.text, b.text)), m AS (SELECT DISTINCT doc_id, block, 'x ' || text AS text, (block + block % 4) * 1000.0 + 500 AS position, doc_id || '/' || block || '/new' AS node_id FROM h), r AS (SELECT h.doc_id, h.block, h.item_id, h.quote, m.text, m.node_id, row_number() OVER (PARTITION BY h.doc_id, h.block, h.item_id ORDER BY abs(m.position - h.block * 1000.0), m.position, m.node_id) AS k FROM h JOIN m ON m.doc_id = h.doc_id AND contains(m.text, h.quote)) SELECT doc_id || '/' || block || '/' || item_id AS annotation_id, node_id AS new_target, octet_length(encode(substr(text, 1, strpos(text, quote) - 1)))::BIGINT AS new_start, (octet_length(encode(substr(text, 1, strpos(text, quote) - 1))) + octet_length(encode(quote)))::BIGINT AS new_end, 0.6::DOUBLE AS confidence FROM r WHERE k = 1")
+def reanchor_moved(spark, sf_dir):
+    """Quotes whose block went away, found in the nearest block that has them now; the document's other blocks stay."""
+    number = (F.col("block") * 1000).cast("double")
+    held = shared_table(blocks_of(spark, sf_dir).select("doc_id", "block", F.concat_ws("/", "doc_id", "block").alias("node_id"), "text", number.alias("position")), "blocks")
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    hits = shared_table(search.containing(held.select(F.col("node_id").alias("doc_id"), "text"), passages).select(F.col("doc_id").alias("node_id"), "item_id", "quote"), "hits")
+    gone = held.join(hits.select("node_id").distinct(), "node_id", "left_semi")
+    put = gone.withColumns({"node_id": F.concat("node_id", F.lit("/new")), "text": F.concat(F.lit("x "), "text"), "position": (F.col("block") + F.col("block") % 4) * 1000.0 + 500})
+    rest = held.join(hits.select("node_id").distinct(), "node_id", "left_anti")
+    after = gone.withColumn("status", F.lit("deleted")).unionByName(put.unionByName(rest).withColumn("status", F.lit("active"))).withColumns({"node_type": F.lit("paragraph"), "version": F.lit(2)})
+    none = F.lit(None).cast("string")
+    lost = hits.join(held.select("node_id", "doc_id"), "node_id").select(F.concat_ws("/", "node_id", "item_id").alias("annotation_id"), "doc_id", F.col("node_id").alias("target_id"), F.col("quote").alias("exact"), none.alias("prefix"), none.alias("suffix"))
+    return annotations.moved(lost, after).drop("new_version")
+
+
 @query(f"WITH {BLOCKS}, n AS (SELECT doc_id, count(*) AS n FROM blocks GROUP BY doc_id) SELECT lang AS format, count(*) AS n_docs, coalesce(sum(n + 1), 0)::BIGINT AS n_nodes, coalesce(sum(length(text)) FILTER (n IS NOT NULL), 0)::BIGINT AS n_chars FROM documents LEFT JOIN n USING (doc_id) GROUP BY lang")
 def format_overview(spark, sf_dir):
     """Documents by language as a workspace shows them: how many, their nodes and the characters of their roots."""

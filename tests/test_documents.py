@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import sqlite3
 
 import pytest
@@ -263,6 +264,60 @@ def test_annotations(spark):
     assert annotations.for_target(annotations.removed(gone, made.where("target_id = 'n2'")), "n2").count() == 0 and annotations.for_document(gone, "d").count() == 2
 
 
+def test_a_lost_quote_is_found_in_another_node(spark):
+    """Against every active node of the same type, one by one, with repeated texts, ties, nulls, short and odd quotes."""
+    r = random.Random(3)
+    words = ["red", "fox", "RAN", "État", "sun", "low"]
+    line = lambda n: "".join(r.choice(words) + r.choice([" ", "  ", ", ", "-"]) for _ in range(n))
+    nodes_of = []
+    for doc in ("d", "e"):
+        texts = [line(r.randint(0, 9)) for _ in range(25)]
+        nodes_of += [(doc, f"{doc}{k}", r.choice(["sentence", "paragraph"]), float(r.choice([k, k, 7])), r.choice([1, 2]), r.choice(["active", "active", "deleted"]), r.choice([texts[k], texts[k], r.choice(texts), None])) for k in range(25)]
+    lost = []
+    for k in range(600):
+        doc, node_id = (n := r.choice(nodes_of))[0], n[1]
+        text = r.choice([m[6] for m in nodes_of if m[0] == doc and m[6]] or ["x"])
+        a, b = sorted(r.sample(range(len(text) + 1), 2)) if len(text) > 1 else (0, len(text))
+        exact = r.choice([text[a:b], text[a:b].upper(), text, line(4).strip(), "", "--", None])
+        lost.append((f"a{k}", doc, node_id if k % 9 else "none", exact, r.choice([None, text[:a], "zz"]), r.choice([None, text[b:]])))
+    nodes = spark.createDataFrame(nodes_of, "doc_id string, node_id string, node_type string, position double, version int, status string, text string")
+    frame = spark.createDataFrame(lost, "annotation_id string, doc_id string, target_id string, exact string, prefix string, suffix string")
+    got = {x["annotation_id"]: (x["new_target"], x["new_version"], x["new_start"], x["new_end"], x["confidence"]) for x in annotations.moved(frame, nodes).collect()}
+    split = lambda text: re.findall(r"[^\W_]+", text.lower())
+    want = {}
+    for name, doc, target, exact, prefix, suffix in lost:
+        was = next((n for n in nodes_of if n[1] == target), None)
+        quote = split(exact or "")
+        best = []
+        for n in nodes_of if was and quote else []:
+            if n[0] == doc and n[2] == was[2] and n[5] == "active" and n[6]:
+                status, start, end, sure = annotations.resolved(n[6], None, None, exact, prefix, suffix)
+                held = split(n[6])
+                whole = len(quote) > 2 or any(held[i : i + len(quote)] == quote for i in range(len(held)))
+                if status != "orphan" and whole:
+                    best.append(((-sure, abs(n[3] - was[3]), n[3], n[1]), (n[1], n[4], start, end, sure)))
+        if best:
+            want[name] = min(best)[1]
+    assert got == want and len(want) > 40 and {w[4] for w in want.values()} == {0.8, 0.6, 0.4}
+    assert annotations.moved(frame.limit(0), nodes).count() == 0 and annotations.moved(frame, nodes.limit(0)).count() == 0
+
+
+def test_ingest_anchors_again_in_another_node(spark, tmp_path):
+    place = tmp_path / "a.md"
+    place.write_text("# Title\n\nA brown fox sat on the old wall.\n\nLast words.\n")
+    one = api.Workspace(spark, str(tmp_path / "data"))
+    doc = one.ingest(str(place)).first()["doc_id"]
+    target = next(x["node_id"] for x in one.sentences(doc).collect() if "fox" in x["text"])
+    requests = spark.createDataFrame([("r", doc, target, "brown fox sat on", None, None)], "request_id string, doc_id string, node_id string, quote string, body string, motivation string")
+    assert one.annotate(requests)[0].count() == 1
+    place.write_text("# Title\n\nLast words.\n\nIt is said by many in the village that one day, long ago, a brown fox sat on something else entirely and then went home to sleep.\n")
+    one.ingest(str(place))
+    held = one.table("annotations", "").first()
+    node = one.node(held["target_id"]).first()
+    assert held["status"] == "active_partial" and held["target_id"] != target and node["node_type"] == "sentence" and node["status"] == "active"
+    assert node["text"].encode()[held["char_start"] : held["char_end"]] == b"brown fox sat on"
+
+
 def test_anchor_resolution():
     f = annotations.resolved
     assert f("abc def", 4, 7, "def", None, None)[:3] == ("active", 4, 7) and f("xabc def", 4, 7, "def", None, None)[:3] == ("active_partial", 5, 8)
