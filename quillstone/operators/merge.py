@@ -11,10 +11,13 @@ equal text are told by their order; a null text equals an empty one.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillstone.operators import diff
 
@@ -30,15 +33,13 @@ def numbered(nodes: DataFrame, same_type: bool) -> DataFrame:
 def pairs(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD, mode: str = "set", same_type: bool = False) -> DataFrame:
     """doc_id, old_block, new_block and outcome (kept or updated) of the nodes that keep their identity."""
     a, b = numbered(old, same_type), numbered(new, same_type)
-    if mode == "sequential":
-        schema = f"doc_id {a.schema['doc_id'].dataType.simpleString()}, old_block long, new_block long, outcome string"
-        return a.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInArrow(lambda x, y: sequential(x, y, threshold, same_type), schema)
+    match = sequential if mode == "sequential" else pairs_of
     if same_type:
         # a type is a document of its own to the diff
         key = lambda x: x.withColumn("doc_id", F.struct("doc_id", "node_type")).drop("node_type")
-        found = pairs_of(key(a), key(b), threshold)
+        found = match(key(a), key(b), threshold)
         return found.withColumn("doc_id", F.col("doc_id.doc_id"))
-    return pairs_of(a, b, threshold)
+    return match(a, b, threshold)
 
 
 def pairs_of(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
@@ -47,51 +48,124 @@ def pairs_of(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
 
 
 def distance(a: str, b: str, bound: int) -> int | None:
-    """Edit distance up to a bound, in a band as wide as that."""
-    if abs(len(a) - len(b)) > bound:
+    """Edit distance up to a bound: a column of the table at a time, as the bits of whole numbers (Myers 1999)."""
+    n = diff.shared_start(a, b)
+    a, b = a[n:], b[n:]
+    n = diff.shared_start(a[::-1], b[::-1])
+    a, b = sorted((a[: len(a) - n], b[: len(b) - n]), key=len)
+    far = len(b)
+    if far - len(a) > bound:
         return None
-    far = bound + 1
-    row = [j if j <= bound else far for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - bound), min(len(b), i + bound)
-        last, row = row, [far] * (len(b) + 1)
-        row[0] = i if i <= bound else far
-        for j in range(lo, hi + 1):
-            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != b[j - 1]), far)
-        if min(row[lo - 1 : hi + 1]) >= far:
+    if not a:
+        return far
+    code = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    here = {c: int.from_bytes(np.packbits(code == ord(c), bitorder="little").tobytes(), "little") for c in set(a)}
+    whole, last = (1 << far) - 1, 1 << (far - 1)
+    up, down = whole, 0
+    for left, x in zip(range(len(a) - 1, -1, -1), a, strict=True):
+        same = here[x]
+        steps = (((same & up) + up) ^ up) | same
+        more, less = down | (whole & ~(steps | up)), up & steps
+        far += 1 if more & last else -1 if less & last else 0
+        if far - left > bound:
             return None
-    return row[-1] if row[-1] <= bound else None
-
-
-def sequential(left: pa.Table, right: pa.Table, threshold: float, same_type: bool) -> pa.Table:
-    old, new = (sorted(t.to_pylist(), key=lambda r: r["block"]) for t in (left, right))
-    kind = lambda r: r["node_type"] if same_type else ""
-    free: dict[int, dict] = {r["block"]: r for r in old}
-    equal: dict[tuple[str, str], deque] = defaultdict(deque)
-    for r in old:
-        equal[kind(r), r["text"].strip()].append(r["block"])
-    out = []
-    for n in new:
-        queue = equal[kind(n), n["text"].strip()]
-        while queue and queue[0] not in free:
+        more, kept = more << 1 | 1, same | down
+        up, down = (less << 1 | ~(kept | more)) & whole, more & kept & whole
+    return far if far <= bound else None
+
+
+#: An edit takes or makes at most so many grams of GRAM characters, which are counted in BINS by their hash.
+GRAM, BINS = 3, 512
+
+
+def profile(text: str) -> np.ndarray:
+    """How many grams of a text fall into each bin; sums of differences are at most 2 * GRAM for each edit between two texts."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(code) - GRAM + 1
+    if n < 1:
+        return np.zeros(BINS, np.int32)
+    h = (code[:n] * np.uint32(0x9E3779B1) ^ code[1 : n + 1] * np.uint32(0x85EBCA77)) + code[2:] * np.uint32(0xC2B2AE3D)
+    return np.bincount(h >> 23, minlength=BINS).astype(np.int32)
+
+
+class Free:
+    """The old nodes of one document that are not taken, in order."""
+
+    def __init__(self, blocks: list[int], keys: list[bytes], texts: list[str]) -> None:
+        self.blocks, self.texts, self.free = blocks, texts, np.ones(len(blocks), bool)
+        self.size, self.bytes = np.array([len(t) for t in texts], np.int64), np.array([len(t.encode()) for t in texts], np.int64)
+        self.equal: dict[bytes, deque] = defaultdict(deque)
+        for k, key in enumerate(keys):
+            self.equal[key].append(k)
+        self.profiles: np.ndarray | None = None
+
+    def take_equal(self, key: bytes) -> int | None:
+        queue = self.equal.get(key, ())
+        while queue and not self.free[queue[0]]:
             queue.popleft()
-        if queue:
-            out.append((n["doc_id"], queue[0], n["block"], "kept"))
-            del free[queue.popleft()]
-            continue
-        best = None
-        for o in free.values():
-            size = max(len(o["text"].encode()), len(n["text"].encode()))
-            if size and kind(o) == kind(n):
-                d = distance(o["text"], n["text"], int(size * (threshold if best is None else best[0])) + 1)
-                if d is not None and d / size <= threshold and (best is None or d / size < best[0]):
-                    best = d / size, o["block"]
-        if best:
-            out.append((n["doc_id"], best[1], n["block"], "updated"))
-            del free[best[1]]
-    columns = list(zip(*out, strict=True)) or [()] * 4
-    doc = left.schema.field("doc_id").type if left.num_columns else right.schema.field("doc_id").type
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (doc, pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "old_block", "new_block", "outcome"])
+        return self.take(queue.popleft()) if queue else None
+
+    def take(self, k: int) -> int:
+        self.free[k] = False
+        return self.blocks[k]
+
+    def take_closest(self, text: str, threshold: float) -> int | None:
+        """The free node of the least ratio, the first of equals; grams give a bound below each distance, so few are measured."""
+        size = np.maximum(self.bytes, len(text.encode()))
+        some = np.flatnonzero(self.free & (size > 0) & (np.abs(self.size - len(text)) <= size * threshold + 1))
+        if not len(some):
+            return None
+        if self.profiles is None:
+            self.profiles = np.stack([profile(t) for t in self.texts])
+        own, least = profile(text), np.abs(self.size[some] - len(text))
+        for at in range(0, len(some), 4096):
+            apart = np.abs(self.profiles[some[at : at + 4096]] - own).sum(1)
+            least[at : at + 4096] = np.maximum(least[at : at + 4096], -(-apart // (2 * GRAM)))
+        ratio, best = least / size[some], (threshold, -1)
+        for j in np.argsort(ratio, kind="stable"):
+            k, bytes_ = int(some[j]), int(size[some[j]])
+            if ratio[j] > best[0]:
+                break
+            d = distance(self.texts[k], text, int(bytes_ * best[0]) + 1)
+            if d is not None and (d / bytes_ < best[0] or d / bytes_ == best[0] and (best[1] < 0 or k < best[1])):
+                best = d / bytes_, k
+        return None if best[1] < 0 else self.take(best[1])
+
+
+def sequential(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
+    """The pairs in a document's order. Rows come in order from Spark and are read as a stream; a task holds one document's old texts.
+
+    Those come from one value of the table and are no longer than it. An identity of text is what `nodes` hashes.
+    """
+    key = F.unhex(F.sha2(F.regexp_replace("text", r"\A[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+\z", ""), 256))
+    rows = [x.select("doc_id", F.lit(k).alias("is_new"), "block", key.alias("key"), "text") for k, x in enumerate((old, new))]
+    # a window, as Spark drops a repartition over a union that looks dealt that way, and may then change how its sides are dealt
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("is_new", "block"))
+    rows = rows[0].unionByName(rows[1]).withColumn("place", place)
+    schema = StructType([rows.schema["doc_id"], StructField("old_block", LongType()), StructField("new_block", LongType()), StructField("outcome", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held, free = None, ([], [], []), None
+        for batch in batches:
+            taken, out = [], []
+            for k, (d, is_new, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)):
+                if d != doc:
+                    doc, held, free = d, ([], [], []), None
+                block, same, text = row
+                if not is_new:
+                    for column, value in zip(held, row, strict=True):
+                        column.append(value)
+                    continue
+                free = free or Free(*held)
+                found, outcome = free.take_equal(same), "kept"
+                if found is None:
+                    found, outcome = free.take_closest(text, threshold), "updated"
+                if found is not None:
+                    taken.append(k), out.append((found, block, outcome))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def shaped(digest: Column) -> Column:

@@ -4,6 +4,7 @@ import json
 import random
 import re
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,6 +178,46 @@ def test_merge_counts_add_up(spark):
             assert x["n_kept"] + x["n_updated"] + x["n_new"] == b[x["doc_id"]] and x["n_kept"] + x["n_updated"] + x["n_deleted"] == a[x["doc_id"]]
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_sequential_equals_brute_force(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdeé ") for _ in range(r.randint(1, 9)))
+    edit = lambda t: "".join(r.choice(["", c + "x", "y"]) if r.random() < 0.08 else c for c in t)
+    before = {d: [" ".join(word() for _ in range(r.randint(0, 6))) for _ in range(25)] for d in range(4)}
+    after = {d: [edit(t) if r.random() < 0.6 else t for t in r.choices(x, k=22)] for d, x in before.items()}
+    frame = lambda x: spark.createDataFrame([(d, k, t) for d, ts in x.items() for k, t in enumerate(ts)], "doc_id long, block long, text string")
+    want = set()
+    for d, new in after.items():
+        free = dict(enumerate(before[d]))
+        for n, t in enumerate(new):
+            equal = [o for o, x in free.items() if x.strip() == t.strip()]
+            size = {o: max(len(x.encode()), len(t.encode())) for o, x in free.items()}
+            near = [(plain_distance(x, t) / size[o], o) for o, x in free.items() if size[o]]
+            found = equal[0] if equal else min((x for x in near if x[0] <= 0.2), default=(0, None))[1]
+            if found is not None:
+                want.add((d, found, n, "kept" if equal else "updated"))
+                del free[found]
+    assert {tuple(x) for x in merge.sequential(frame(before), frame(after), 0.2).collect()} == want
+    assert {o for *_, o in want} == {"kept", "updated"}
+
+
+def test_sequential_measures_long_lines_in_time(spark):
+    r = random.Random(5)
+    long = ["".join(r.choice("abcdefgh ") for _ in range(60_000)) for _ in range(2)]
+    frame = lambda x: spark.createDataFrame([(1, k, t) for k, t in enumerate(x)], "doc_id long, block long, text string")
+    start = time.perf_counter()
+    got = merge.sequential(frame(long), frame(["z" + long[1][:30_000] + "z" + long[1][30_001:], long[0][::-1]]), 0.2).collect()
+    assert [tuple(x) for x in got] == [(1, 1, 0, "updated")] and time.perf_counter() - start < 60
+
+
 def test_corpus_versions(spark, tmp_path):
     store = corpus.Corpus(spark, str(tmp_path / "c"))
     rows = lambda *x: spark.createDataFrame(list(x), "node_id string, text string, created_at int")
