@@ -218,6 +218,12 @@ def test_sequential_measures_long_lines_in_time(spark):
     assert [tuple(x) for x in got] == [(1, 1, 0, "updated")] and time.perf_counter() - start < 60
 
 
+def test_cut_references_stay():
+    text = lambda t: markup.flatten(markup.parse(f"<h1>{t}</h1>", "html")[0]["c"][2])[0]
+    assert text("a &amp; b &lt;c&gt; &#233;&#xe9;&eacute;") == "a & b <c> éé" + "é"
+    assert text("a&amp") == "a&amp" and text("&lt b &notit; &") == "&lt b &notit; &"
+
+
 def test_corpus_versions(spark, tmp_path):
     store = corpus.Corpus(spark, str(tmp_path / "c"))
     rows = lambda *x: spark.createDataFrame(list(x), "node_id string, text string, created_at int")
