@@ -1,12 +1,13 @@
 """Quality rules: fixed heuristics and a hashed n-gram log-likelihood ratio, in Spark's own expressions only.
 
-Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets, one of a trusted
-sample and one of the whole corpus, give each bucket a log ratio; a document's score is the mean ratio of its n-grams.
+Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets, one of the trusted
+documents and one of the whole corpus, give each bucket a log ratio; a document's score is the mean ratio of its n-grams.
 A document is kept if it passes the fixed rules and its score is not below a threshold, which is a low quantile of the
 trusted documents' own scores: the rule is the same for every document and involves no chance.
 
-The corpus counts cover every row. The trusted ids are a sample of at most about `MAX_TRUSTED`, chosen by hash, so
-the table that is broadcast has a fixed bound, and the quantile of their scores is exact whatever the partitioning; the weights are one array of `BUCKETS` numbers.
+The corpus counts cover every row, and those of the trusted every trusted row, however many there are; Spark chooses how
+their ids are joined. The quantile of their scores is exact whatever the partitioning; the weights are one array of
+`BUCKETS` numbers.
 
 Defined cases: a null text has no words and fails; empty texts likewise; without trusted documents all weights are 0 and
 only the fixed rules decide; repeated rows count each; an empty table gives an empty result; other columns pass through or
@@ -24,7 +25,6 @@ from quillstone.llm.common import col, shared_table
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-MAX_TRUSTED = 20_000
 #: A quarter of a percent of the trusted documents may fall below the threshold, which then goes down by MARGIN.
 QUANTILE = 0.0025
 MARGIN = 0.1
@@ -104,20 +104,22 @@ class QualityModel:
         return F.from_json(F.lit(self.json), "array<double>")
 
 
-def trusted_sample(ids: DataFrame, id_column: str) -> DataFrame:
-    """At most about MAX_TRUSTED distinct ids: all of them, or those whose hash falls below a share."""
-    ids = ids.select(col(id_column).alias("__trusted")).where("__trusted is not null").distinct()
-    n = ids.count()
-    if n <= MAX_TRUSTED:
-        return ids
-    return ids.where(F.pmod(F.xxhash64("__trusted", F.lit(5)), F.lit(1 << 20)) < MAX_TRUSTED / n * (1 << 20))
+def exact_quantile(values: DataFrame, name: str, share: float) -> float | None:
+    """As F.percentile gives it, but no task holds all values: the least ones up to the share are sorted, and two are fetched."""
+    held = shared_table(values.select(name).where(F.col(name).isNotNull()), "scores")
+    place = share * (held.count() - 1)
+    if place < 0:
+        return None
+    k = int(place)
+    found = [r[name] for r in held.orderBy(name).offset(k).limit(2).collect()]
+    return found[0] if place == k else (k + 1 - place) * found[0] + (place - k) * found[1]
 
 
 def fit(documents: DataFrame, text: str, doc_id: str, trusted: DataFrame) -> QualityModel:
     """Weights from all of `documents` and the trusted ids among them; then the threshold from the trusted scores."""
     spark = documents.sparkSession
     rows = documents.select(col(doc_id).alias("__id"), col(text).alias("__text"))
-    chosen = F.broadcast(shared_table(trusted_sample(trusted, trusted.columns[0]), "trusted"))
+    chosen = shared_table(trusted.select(col(trusted.columns[0]).alias("__trusted")).where("__trusted is not null").distinct(), "trusted")
     marked = rows.join(chosen, rows["__id"] == chosen["__trusted"], "left").select(word_array(F.col("__text")).alias("__words"), F.col("__trusted").isNotNull().cast("int").alias("t"))
     gathered = with_hashes(marked, "__words").select("t", F.explode(grams()).alias("x")).groupBy(bucket(F.col("x")).alias("b"))
     counts = gathered.agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
@@ -131,7 +133,7 @@ def fit(documents: DataFrame, text: str, doc_id: str, trusted: DataFrame) -> Qua
     array = F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"])
     weights = QualityModel(ratios.agg(F.to_json(array).alias("j")).first()["j"], 0.0)
     scored = rows.join(chosen, rows["__id"] == chosen["__trusted"], "left_semi").select(word_array(F.col("__text")).alias("__words")).where(F.size("__words") >= MIN_WORDS)
-    low = with_hashes(scored, "__words").select(mean_ratio(weights.weights()).alias("s")).agg(F.percentile("s", F.lit(QUANTILE)).alias("q")).first()["q"]
+    low = exact_quantile(with_hashes(scored, "__words").select(mean_ratio(weights.weights()).alias("s")), "s", QUANTILE)
     return QualityModel(weights.json, float("-inf") if low is None else low - MARGIN)
 
 

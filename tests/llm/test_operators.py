@@ -516,6 +516,22 @@ def test_quality_scores_equal_brute_force(spark):
         assert abs(r["score"] - scores[r["doc_id"]]) < 1e-4 and r["kept"] == (not r["base_failed"] and scores[r["doc_id"]] >= model.threshold)
 
 
+def test_quality_counts_every_trusted_document(spark):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{k} x"), F.col("id") % (k + 7)) for k in range(26))).alias("text"))
+    # all are trusted, so their words are the corpus's, and every ratio is 0
+    model = quality.fit(docs, "text", "doc_id", docs.select("doc_id"))
+    assert set(json.loads(model.json)) == {0.0} and model.threshold == -quality.MARGIN
+
+
+def test_exact_quantile(spark):
+    r = random.Random(2)
+    for n in (1, 2, 500, 1201):
+        rows = spark.createDataFrame([(r.random(),) for _ in range(n)] + [(None,)], "s double")
+        for share in (0.0, 0.0025, 0.5, 1.0):
+            assert abs(quality.exact_quantile(rows, "s", share) - rows.agg(F.percentile("s", F.lit(share))).first()[0]) < 1e-12
+    assert quality.exact_quantile(rows.where("s > 2"), "s", 0.5) is None
+
+
 def test_quality_under_a_filter(spark):
     long = " ".join(f"w{k % 4000}" for k in range(5000))
     rows = spark.createDataFrame([(1, long, "x", 2.0, "__words")], "doc_id long, text string, kept string, score double, __own0 string")
