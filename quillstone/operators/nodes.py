@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -24,6 +25,9 @@ from quillstone.functions import text as T
 from quillstone.sources import markup
 
 STEP = 1000.0
+#: Bytes of documents whose trees a task holds at a time; a longer document is alone.
+PART = 1 << 20
+COMPACT = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 #: The kinds of node.
 NODE_TYPES = ("document", "section", "paragraph", "heading", "sentence", "code_block", "list_item", "table", "blockquote", "thematic_break")
 FIELDS = [
@@ -66,7 +70,7 @@ class Tree:
         if kind in ("Para", "Plain"):
             return self.paragraph(b, c, path)
         if kind == "Header":
-            return self.add(path, "heading", markup.flatten(c[2])[0], b, level=c[0])["text"]
+            return self.add(path, "heading", markup.spoken(c[2])[0], b, level=c[0])["text"]
         if kind == "CodeBlock":
             return self.add(path, "code_block", c[1], b)["text"]
         if kind == "HorizontalRule":
@@ -84,18 +88,18 @@ class Tree:
             own["text"] = "\n".join(self.inner(c if kind == "BlockQuote" else c[-1], path))
             return own["text"]
         if kind == "LineBlock":
-            return self.add(path, "paragraph", "\n".join(markup.flatten(x)[0] for x in c), b)["text"]
+            return self.add(path, "paragraph", "\n".join(markup.spoken(x)[0] for x in c), b)["text"]
         if kind == "RawBlock":
             return self.add(path, "paragraph", c[1], b)["text"]
         if kind == "DefinitionList":
-            return self.add(path, "paragraph", " ".join(markup.flatten(term)[0] for term, _ in c), b)["text"]
+            return self.add(path, "paragraph", " ".join(markup.spoken(term)[0] for term, _ in c), b)["text"]
         return self.add(path, "paragraph", json.dumps(b), b)["text"]
 
     def paragraph(self, b: dict, content: list[dict], path: list[int]) -> str:
-        text, leaves = markup.flatten(content)
+        text, atomic = markup.spoken(content)
         self.add(path, "paragraph", text, b)
         raw = text.encode()
-        for k, (start, end) in enumerate(self.sentences(text, [(s, e) for s, e, atomic, _ in leaves if atomic])):
+        for k, (start, end) in enumerate(self.sentences(text, atomic)):
             self.add([*path, k], "sentence", raw[start:end].decode(), char_start=start, char_end=end)
         return text
 
@@ -113,7 +117,7 @@ class Tree:
 
 def table_text(content: list) -> str:
     rows = [*content[3][1], *(r for body in content[4] for r in (*body[2], *body[3])), *content[5][1]]
-    cell = lambda c: " ".join(markup.flatten(b["c"])[0] for b in c[4] if b["t"] in ("Plain", "Para"))
+    cell = lambda c: " ".join(markup.spoken(b["c"])[0] for b in c[4] if b["t"] in ("Plain", "Para"))
     return "\n".join(" | ".join(cell(c) for c in r[1]) for r in rows)
 
 
@@ -135,8 +139,8 @@ def identify(doc: str, rows: list[dict]) -> None:
         r["parent_id"] = ids[tuple(r["path"][:-1])] if r["path"] else None
 
 
-def tree(content: str | bytes | None, kind: str | None, doc: str, profile: str = "regex", table_text: bool = False) -> list[dict]:
-    """The rows of one document; a ParseError names why there are none."""
+def tree(content: str | bytes | None, kind: str | None, doc: str, profile: str = "regex", table_text: bool = False, ast: bool = True) -> list[dict]:
+    """The rows of one document; a ParseError names why there are none. Without `ast` that column is null."""
     if kind is None:
         raise markup.ParseError("UNSUPPORTED_FORMAT", "the format is not known")
     if content is None or not content.strip():
@@ -145,12 +149,28 @@ def tree(content: str | bytes | None, kind: str | None, doc: str, profile: str =
     identify(doc, rows)
     for r in rows:
         r["has_content"] = r.get("ast") is not None
-        r["ast"] = json.dumps(r["ast"], ensure_ascii=False, separators=(",", ":")) if r["has_content"] else None
+        r["ast"] = COMPACT(r["ast"]) if ast and r["has_content"] else None
     return rows
 
 
-def segment(documents: DataFrame, doc_id: str, content: Column, kind: Column, profile: str = "regex", table_text: bool = False) -> DataFrame:
-    """doc_id, the node columns and error (null, or the reject's code on a row of its own). Documents are not shuffled."""
+def few(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Slices (place, length) of up to 64 documents and about PART bytes."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    at = size = 0
+    for k, n in enumerate(sizes):
+        if k > at and (k - at == 64 or size + n > PART):
+            yield at, k - at
+            at, size = k, 0
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
+def segment(documents: DataFrame, doc_id: str, content: Column, kind: Column, profile: str = "regex", table_text: bool = False, ast: bool = True) -> DataFrame:
+    """doc_id, the node columns and error (null, or the reject's code on a row of its own). Documents are not shuffled.
+
+    A reader that has no use for `ast` leaves it out, as it is many times as long as the text.
+    """
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("string").alias("key"), content.alias("content"), kind.alias("kind"))
     schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), *FIELDS, StructField("error", StringType())])
     names = schema.names[1:]
@@ -158,12 +178,12 @@ def segment(documents: DataFrame, doc_id: str, content: Column, kind: Column, pr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for at, length in few(b.column(2)):
+                part = b.slice(at, length)
                 taken, out = [], []
                 for n, (key, text, form) in enumerate(zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
                     try:
-                        found = tree(text, form, key or "", profile, table_text)
+                        found = tree(text, form, key or "", profile, table_text, ast)
                     except markup.ParseError as e:
                         found = [{"error": e.code}]
                     taken += [n] * len(found)

@@ -394,15 +394,15 @@ def paragraph_nodes(blocks: DataFrame, version: int = 1) -> DataFrame:
     )
 
 
-def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_nodes(spark: SparkSession, sf_dir: str, ast: bool = False) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    return nodes.accepted(nodes.segment(pages, "page_id", F.col("html"), F.lit("html"), "uax29")).withColumnRenamed("doc_id", "page_id")
+    return nodes.accepted(nodes.segment(pages, "page_id", F.col("html"), F.lit("html"), "uax29", ast=ast)).withColumnRenamed("doc_id", "page_id")
 
 
 @query()
 def md_nodes(spark, sf_dir):
     """Documents read as Markdown: the node table."""
-    found = nodes.segment(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", F.col("text"), F.lit("markdown"), "uax29")
+    found = nodes.segment(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", F.col("text"), F.lit("markdown"), "uax29", ast=False)
     return nodes.accepted(found).select("doc_id", "node_id", "parent_id", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "node_type", "position", "text", "char_start", "char_end", "level")
 
 
@@ -429,17 +429,17 @@ def node_counts(spark, sf_dir):
 
 @query()
 def inline_spans(spark, sf_dir):
-    return nodes.inline_spans(page_nodes(spark, sf_dir).withColumnRenamed("page_id", "doc_id")).withColumnRenamed("doc_id", "page_id")
+    return nodes.inline_spans(page_nodes(spark, sf_dir, True).withColumnRenamed("page_id", "doc_id")).withColumnRenamed("doc_id", "page_id")
 
 
 @query()
 def render_markdown(spark, sf_dir):
-    return render.project(page_nodes(spark, sf_dir).withColumnRenamed("page_id", "doc_id"), "markdown").select(F.col("doc_id").alias("page_id"), "text")
+    return render.project(page_nodes(spark, sf_dir, True).withColumnRenamed("page_id", "doc_id"), "markdown").select(F.col("doc_id").alias("page_id"), "text")
 
 
 @query()
 def render_marked(spark, sf_dir):
-    rows = render.project(page_nodes(spark, sf_dir).withColumnRenamed("page_id", "doc_id"), "plain", True)
+    rows = render.project(page_nodes(spark, sf_dir, True).withColumnRenamed("page_id", "doc_id"), "plain", True)
     return rows.select(F.col("doc_id").alias("page_id"), "text", F.size("marker_map").cast("long").alias("n_markers"))
 
 
@@ -652,8 +652,8 @@ def ndjson_out(spark, sf_dir):
 @query()
 def json_nodes(spark, sf_dir):
     """The trees of pages as converters' JSON, read back as documents of that format."""
-    whole = render.project(page_nodes(spark, sf_dir).withColumnRenamed("page_id", "doc_id"), "json")
-    found = nodes.segment(whole.select("doc_id", "text"), "doc_id", F.col("text"), F.lit("json"), "uax29")
+    whole = render.project(page_nodes(spark, sf_dir, True).withColumnRenamed("page_id", "doc_id"), "json")
+    found = nodes.segment(whole.select("doc_id", "text"), "doc_id", F.col("text"), F.lit("json"), "uax29", ast=False)
     return nodes.accepted(found).select(F.col("doc_id").alias("page_id"), "node_type", "position", "text")
 
 
@@ -661,7 +661,7 @@ def json_nodes(spark, sf_dir):
 def convert_batch(spark, sf_dir):
     """Pages under formats that fit, do not fit and are not known: how many nodes each gives, or its error."""
     kind = F.when(F.col("page_id") % 4 == 0, "json").when(F.col("page_id") % 4 == 1, F.lit(None)).when(F.col("page_id") % 4 == 2, "markdown").otherwise("html")
-    found = nodes.segment(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", F.col("html"), kind)
+    found = nodes.segment(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", F.col("html"), kind, ast=False)
     return found.groupBy(F.col("doc_id").alias("page_id"), "error").agg(F.count("node_id").alias("n_nodes"))
 
 

@@ -224,6 +224,22 @@ def test_cut_references_stay():
     assert text("a&amp") == "a&amp" and text("&lt b &notit; &") == "&lt b &notit; &"
 
 
+def test_trees_without_ast_and_in_few_bytes(spark):
+    import pyarrow as pa
+
+    whole = nodes.tree("# A *b*\n\n`c. d` e. F\n\n| x\n", "markdown", "d", "uax29")
+    assert [{**r, "ast": None} for r in whole] == nodes.tree("# A *b*\n\n`c. d` e. F\n\n| x\n", "markdown", "d", "uax29", ast=False)
+    assert list(nodes.few(pa.array(["x" * nodes.PART, "y", None, "z" * nodes.PART, "z"]))) == [(0, 1), (1, 2), (3, 1), (4, 1)]
+    assert list(nodes.few(pa.array(["x"] * 130))) == [(0, 64), (64, 64), (128, 2)] and list(nodes.few(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("text", ["a *b* `c` d", "x ![p *q*](r) é $y$ <b>z</b> [l](m) ~~n~~ &amp; [^o]"])
+def test_spoken_is_what_flatten_gives(text):
+    content = markup.inlines(text)
+    whole, leaves = markup.flatten(content)
+    assert markup.spoken(content) == (whole, [(a, b) for a, b, atomic, _ in leaves if atomic])
+
+
 def test_corpus_versions(spark, tmp_path):
     store = corpus.Corpus(spark, str(tmp_path / "c"))
     rows = lambda *x: spark.createDataFrame(list(x), "node_id string, text string, created_at int")
