@@ -45,12 +45,16 @@ def query(activities: DataFrame, doc_id: str | None = None, activity: str | None
 def ancestors(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """node_id, ancestor_id and distance for each start node, up to the document.
 
-    A node's path holds the paths of all its ancestors, so one join on document and path finds them at any depth.
+    A node's path holds the paths of all its ancestors, so one join on document and path finds them at any depth. Siblings
+    have theirs in common, so that is done once for each parent, and its list is as long as the tree is deep.
     """
     low = nodes.select("doc_id", "node_id", "path").join(start.select("node_id").distinct(), "node_id", "left_semi").where(F.size("path") > 0)
-    up = low.select("doc_id", "node_id", F.size("path").alias("deep"), F.explode(F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda k: F.slice("path", 1, k))).alias("path"))
+    low = low.select("doc_id", "node_id", F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("above"))
+    above = low.select("doc_id", "above").distinct()
+    up = above.select("doc_id", "above", F.explode(F.transform(F.sequence(F.lit(0), F.size("above")), lambda k: F.slice("above", 1, k))).alias("path"))
     found = up.join(nodes.select("doc_id", "path", F.col("node_id").alias("ancestor_id")), ["doc_id", "path"])
-    return found.select("node_id", "ancestor_id", (F.col("deep") - F.size("path")).alias("distance"))
+    lists = found.groupBy("doc_id", "above").agg(F.collect_list(F.struct("ancestor_id", (F.size("above") + 1 - F.size("path")).alias("distance"))).alias("found"))
+    return low.join(lists, ["doc_id", "above"]).select("node_id", F.inline("found"))
 
 
 def links(activities: DataFrame) -> DataFrame:
