@@ -69,7 +69,19 @@ def lineage(ties: DataFrame, start: DataFrame) -> DataFrame:
     Each round goes one tie up from what the last one found new, so a circle ends where it began; rounds are stored.
     """
     known = shared_table(ties.select(F.col("child").alias("at"), F.col("parent").alias("ancestor")).where("at is not null and ancestor is not null").distinct(), "ties")
-    new = shared_table(start.select("child").where("child is not null").distinct().join(known.withColumnRenamed("at", "child"), "child").select("child", "ancestor", F.lit(1).alias("depth")), "lineage")
+    first = shared_table(start.select("child").where("child is not null").distinct().join(known.withColumnRenamed("at", "child"), "child").select("child", "ancestor", F.lit(1).alias("depth")), "lineage")
+    middle = first.select(F.col("ancestor").alias("child")).distinct()
+    if 2 * middle.count() > first.select("child").distinct().count():
+        return closure(first, known)
+    # many come from few: the rounds are those of the few
+    asked = shared_table(middle.join(known.withColumnRenamed("at", "child"), "child").select("child", "ancestor", F.lit(1).alias("depth")), "lineage")
+    further = shared_table(closure(asked, known), "lineage").select(F.col("child").alias("middle"), F.col("ancestor").alias("last"), "depth")
+    through = first.select("child", F.col("ancestor").alias("middle")).join(further, "middle").select("child", F.col("last").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+    return first.unionByName(through).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def closure(new: DataFrame, known: DataFrame) -> DataFrame:
+    """`new` (child, ancestor, depth 1) with all that the ties (at, ancestor) lead to."""
     found, depth = new, 1
     while not new.isEmpty():
         depth += 1

@@ -240,6 +240,24 @@ def test_spoken_is_what_flatten_gives(text):
     assert markup.spoken(content) == (whole, [(a, b) for a, b, atomic, _ in leaves if atomic])
 
 
+def test_lineage_of_many_from_few(spark, monkeypatch):
+    ties = [(f"d{k}", f"i{k % 3}") for k in range(40)] + [("d0", "i2"), ("i0", "i1"), ("i1", "i2"), ("i2", "i0"), ("i2", "j"), ("j", "d1")]
+    up, want = {}, {}
+    for a, b in ties:
+        up.setdefault(a, set()).add(b)
+    for d in (f"d{k}" for k in range(40)):
+        depth, front = 0, {d}
+        while front:
+            depth += 1
+            front = {p for x in front for p in up.get(x, ())} - {a for c, a in want if c == d}
+            want |= {(d, a): depth for a in front}
+    frame = spark.createDataFrame(ties, "child string, parent string")
+    rows = []
+    monkeypatch.setattr(provenance, "closure", lambda new, known, own=provenance.closure: rows.append(new.count()) or own(new, known))
+    got = provenance.lineage(frame, frame.select("child").where("child like 'd%'"))
+    assert {(r["child"], r["ancestor"]): r["depth"] for r in got.collect()} == want and rows == [4]
+
+
 def test_corpus_versions(spark, tmp_path):
     store = corpus.Corpus(spark, str(tmp_path / "c"))
     rows = lambda *x: spark.createDataFrame(list(x), "node_id string, text string, created_at int")
