@@ -106,7 +106,8 @@ class QualityModel:
 
 def exact_quantile(values: DataFrame, name: str, share: float) -> float | None:
     """As F.percentile gives it, but no task holds all values: the least ones up to the share are sorted, and two are fetched."""
-    held = shared_table(values.select(name).where(F.col(name).isNotNull()), "scores")
+    # stored first: a condition would be pushed below what the values are made of, and have it worked out again
+    held = shared_table(values.select(name), "scores").where(F.col(name).isNotNull())
     place = share * (held.count() - 1)
     if place < 0:
         return None
