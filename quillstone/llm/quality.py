@@ -5,8 +5,9 @@ documents and one of the whole corpus, give each bucket a log ratio; a document'
 A document is kept if it passes the fixed rules and its score is not below a threshold, which is a low quantile of the
 trusted documents' own scores: the rule is the same for every document and involves no chance.
 
-The corpus counts cover every row, and those of the trusted every trusted row, however many there are; Spark chooses how
-their ids are joined. The quantile of their scores is exact whatever the partitioning; the weights are one array of
+The corpus counts cover every row, and those of the trusted every trusted row, however many there are. Their ids come to
+the rows as bitmaps of `BITS` bits an id, so no text is shuffled for them; what a bitmap takes for trusted by chance is found
+by a join of ids alone. The quantile of their scores is exact whatever the partitioning; the weights are one array of
 `BUCKETS` numbers.
 
 Defined cases: a null text has no words and fails; empty texts likewise; without trusted documents all weights are 0 and
@@ -28,6 +29,10 @@ SMOOTHING = 1.0
 #: A quarter of a percent of the trusted documents may fall below the threshold, which then goes down by MARGIN.
 QUANTILE = 0.0025
 MARGIN = 0.1
+#: Bits of the bitmaps for each trusted id, of which it sets HASHES: by these about 1 in 400 of the other ids is taken for one.
+BITS, HASHES = 16, 4
+#: Bits of one bitmap of Spark's bitmap functions.
+MAP = 32768
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SPACE = r"[\x20\x09-\x0D]+"
@@ -116,12 +121,32 @@ def exact_quantile(values: DataFrame, name: str, share: float) -> float | None:
     return found[0] if place == k else (k + 1 - place) * found[0] + (place - k) * found[1]
 
 
+def with_trusted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Add t: whether __id is among the distinct __trusted of `ids`. Only ids are shuffled, and no list of all of them is broadcast."""
+    kind = rows.select("__id").union(ids.select("__trusted")).schema["__id"].dataType
+    maps = max(1, -(-ids.count() * BITS // MAP))
+    number = lambda c: F.pmod(F.xxhash64(F.col(c).cast(kind)), F.lit(maps))
+    place = lambda c, k: F.pmod(F.xxhash64(F.col(c).cast(kind), F.lit(k)), F.lit(MAP))
+    placed = ids.select(number("__trusted").alias("__map"), F.explode(F.array(*(place("__trusted", k) for k in range(HASHES)))).alias("__place"))
+    bits = F.broadcast(shared_table(placed.groupBy("__map").agg(F.bitmap_construct_agg("__place").alias("__bits")), "bitmaps"))
+    byte = lambda at: F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.col("__id").isNotNull()
+    for k in range(HASHES):
+        at = place("__id", k)
+        hit = hit & (F.bit_get(byte(at), (at % 8).cast("int")) == 1)
+    marked = lambda x: x.join(bits, number("__id") == F.col("__map"), "left").withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__map", "__bits")
+    chance = marked(rows.select("__id")).where("__hit").join(ids, F.col("__id") == F.col("__trusted"), "left_anti").select(F.col("__id").alias("__chance")).distinct()
+    out = marked(rows).join(F.broadcast(shared_table(chance, "chance")), F.col("__id") == F.col("__chance"), "left")
+    return out.withColumn("t", F.col("__hit") & F.col("__chance").isNull()).drop("__hit", "__chance")
+
+
 def fit(documents: DataFrame, text: str, doc_id: str, trusted: DataFrame) -> QualityModel:
     """Weights from all of `documents` and the trusted ids among them; then the threshold from the trusted scores."""
     spark = documents.sparkSession
     rows = documents.select(col(doc_id).alias("__id"), col(text).alias("__text"))
     chosen = shared_table(trusted.select(col(trusted.columns[0]).alias("__trusted")).where("__trusted is not null").distinct(), "trusted")
-    marked = rows.join(chosen, rows["__id"] == chosen["__trusted"], "left").select(word_array(F.col("__text")).alias("__words"), F.col("__trusted").isNotNull().cast("int").alias("t"))
+    rows = with_trusted(rows, chosen)
+    marked = rows.select(word_array(F.col("__text")).alias("__words"), F.col("t").cast("int").alias("t"))
     gathered = with_hashes(marked, "__words").select("t", F.explode(grams()).alias("x")).groupBy(bucket(F.col("x")).alias("b"))
     counts = gathered.agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
     totals = Window.partitionBy()
@@ -133,7 +158,7 @@ def fit(documents: DataFrame, text: str, doc_id: str, trusted: DataFrame) -> Qua
     ratios = every.select("b", F.when(all_good > 0, F.round(ratio, 6)).otherwise(0.0).alias("r"))
     array = F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"])
     weights = QualityModel(ratios.agg(F.to_json(array).alias("j")).first()["j"], 0.0)
-    scored = rows.join(chosen, rows["__id"] == chosen["__trusted"], "left_semi").select(word_array(F.col("__text")).alias("__words")).where(F.size("__words") >= MIN_WORDS)
+    scored = rows.where("t").select(word_array(F.col("__text")).alias("__words")).where(F.size("__words") >= MIN_WORDS)
     low = exact_quantile(with_hashes(scored, "__words").select(mean_ratio(weights.weights()).alias("s")), "s", QUANTILE)
     return QualityModel(weights.json, float("-inf") if low is None else low - MARGIN)
 

@@ -532,6 +532,25 @@ def test_exact_quantile(spark):
     assert quality.exact_quantile(rows.where("s > 2"), "s", 0.5) is None
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_quality_shuffles_no_text_for_trusted_ids(spark, kind, monkeypatch):
+    rows = spark.range(40_000).selectExpr(f"cast(if(id % 1000 = 7, null, id % 30000) as {kind}) as __id", "repeat('x ', 50) as __text")
+    ids = spark.range(0, 30_000, 3).selectExpr(f"cast(id as {'int' if kind == 'long' else kind}) as __trusted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits in (quality.BITS, 2):  # with few bits most of the other ids are taken for trusted at first
+            monkeypatch.setattr(quality, "BITS", bits)
+            found = quality.with_trusted(rows, ids)
+            assert found.columns == ["__id", "__text", "t"] and found.count() == 40_000
+            assert found.where("t <> coalesce(cast(__id as long) % 3 = 0, false)").count() == 0
+            assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        none = quality.with_trusted(rows, ids.limit(0))
+        assert none.where("t").count() == 0 and none.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_quality_under_a_filter(spark):
     long = " ".join(f"w{k % 4000}" for k in range(5000))
     rows = spark.createDataFrame([(1, long, "x", 2.0, "__words")], "doc_id long, text string, kept string, score double, __own0 string")
