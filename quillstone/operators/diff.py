@@ -43,13 +43,28 @@ def exact(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "old_block", "new_block", status.alias("status"))
 
 
-def left_over(old: DataFrame, new: DataFrame) -> DataFrame:
-    """doc_id, block, text and is_new of the nodes that exact() leaves without a partner; texts are shuffled once, by document."""
+def matched(old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, block, is_new, partner and text of the nodes of both sides, shuffled once, by document.
+
+    The partner is the node of the other side that exact() gives; only nodes without one keep their text.
+    """
     rows = [x.select("doc_id", "block", "text", F.lit(k).alias("is_new")) for k, x in enumerate((old, new))]
     rows = rows[0].unionByName(rows[1]).repartition("doc_id").withColumn("hash", T.structural_hash(F.col("text")))
     occ = F.row_number().over(Window.partitionBy("doc_id", "hash", "is_new").orderBy("block"))
-    partners = F.count("*").over(Window.partitionBy("doc_id", "hash", "occ"))
-    return rows.withColumn("occ", occ).withColumn("partners", partners).where("partners = 1").select("doc_id", "block", "text", "is_new")
+    both = Window.partitionBy("doc_id", "hash", "occ")
+    rows = rows.withColumn("occ", occ)
+    other = F.when(F.count("*").over(both) > 1, F.sum("block").over(both) - F.col("block")).cast(rows.schema["block"].dataType)
+    rows = rows.withColumn("partner", other)
+    return rows.select("doc_id", "block", "is_new", "partner", F.when(F.col("partner").isNull(), F.col("text")).alias("text"))
+
+
+def left_over(old: DataFrame, new: DataFrame) -> DataFrame:
+    """doc_id, block, text and is_new of the nodes that exact() leaves without a partner."""
+    return without_partner(matched(old, new))
+
+
+def without_partner(both: DataFrame) -> DataFrame:
+    return both.where("partner is null").select("doc_id", "block", "text", "is_new")
 
 
 def shared_start(a: str, b: str) -> int:
@@ -237,7 +252,11 @@ def fuzzy(old: DataFrame, new: DataFrame, threshold: float = 0.2) -> DataFrame:
     added. A document's pairs taken best first are the same pairs: the first one left is always a mutual best, and taking
     one changes no other. So pairs of a lower ratio can be found and taken before those of a higher one are looked for.
     """
-    rest = shared_table(left_over(old, new), "left-over")
+    return fuzzy_of(shared_table(left_over(old, new), "left-over"), threshold)
+
+
+def fuzzy_of(rest: DataFrame, threshold: float) -> DataFrame:
+    """fuzzy() of the nodes that are left over."""
     found: list[DataFrame] = []
     for tier in (*(t for t in TIERS if t < threshold), threshold):
         found.append(one_to_one(near_pairs(rest, tier)))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillstone.operators import diff
+from quillstone.sources.stored import drop_table, shared_table
 
 THRESHOLD = 0.2
 
@@ -43,8 +44,9 @@ def pairs(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD, mode: st
 
 
 def pairs_of(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    kept = diff.exact(a, b).where("status = 'kept'").select("doc_id", "old_block", "new_block", F.lit("kept").alias("outcome"))
-    return kept.unionByName(diff.fuzzy(a, b, threshold).select("doc_id", "old_block", "new_block", F.lit("updated").alias("outcome")))
+    both = shared_table(diff.matched(a, b), "matched")
+    kept = both.where("is_new = 0 and partner is not null").select("doc_id", F.col("block").alias("old_block"), F.col("partner").alias("new_block"), F.lit("kept").alias("outcome"))
+    return kept.unionByName(diff.fuzzy_of(diff.without_partner(both), threshold).select("doc_id", "old_block", "new_block", F.lit("updated").alias("outcome")))
 
 
 def distance(a: str, b: str, bound: int) -> int | None:
@@ -180,28 +182,30 @@ def merge(old: DataFrame, new: DataFrame, threshold: float = THRESHOLD, mode: st
     `old` holds node columns, version and status; `new` is as `nodes.segment` makes it. A node that is updated has its
     version raised by one; one that is gone keeps its row with the status deleted.
     """
-    same = new.join(old.select("doc_id").distinct(), "doc_id", "left_semi")
-    before = old.where("status = 'active'").join(new.select("doc_id").distinct(), "doc_id", "left_semi")
-    match = pairs(before, same, threshold, mode, same_type)
-    roots = before.where(F.size("path") == 0).select("doc_id", F.col("position").cast("long").alias("old_block"), F.col("position").cast("long").alias("new_block"), F.lit("root").alias("outcome"))
-    match = match.unionByName(roots)
-    held = before.select("doc_id", F.col("position").cast("long").alias("old_block"), F.col("node_id").alias("held_id"), F.col("version").alias("held_version"), F.col("structural_hash").alias("held_hash"))
-    match = match.join(held, ["doc_id", "old_block"])
-    joined = new.withColumn("new_block", F.col("position").cast("long")).join(match, ["doc_id", "new_block"], "left")
-    edition = old.groupBy("doc_id").agg(F.max("version").alias("last"), F.count("*").alias("rows"))
-    joined = joined.join(edition, "doc_id", "left")
+    # what is known of documents and matches is stored, so that neither version is worked out again for each of its uses
+    edition = shared_table(old.groupBy("doc_id").agg(F.max("version").alias("last"), F.count("*").alias("rows")), "edition")
+    same = new.join(edition.select("doc_id"), "doc_id", "left_semi")
+    before = old.where("status = 'active'").join(shared_table(new.select("doc_id").distinct(), "documents"), "doc_id", "left_semi")
+    place = F.col("position").cast("long")
+    held = shared_table(before.select("doc_id", place.alias("old_block"), F.col("node_id").alias("held_id"), F.col("version").alias("held_version"), F.col("structural_hash").alias("held_hash"), (F.size("path") == 0).alias("root")), "held")
+    roots = held.where("root").select("doc_id", "old_block", F.col("old_block").alias("new_block"), F.lit("root").alias("outcome"))
+    match = pairs(before, same, threshold, mode, same_type).unionByName(roots)
+    match = shared_table(match.join(held.drop("root"), ["doc_id", "old_block"]), "match")
+    drop_table(held)
+    joined = new.select("doc_id", "node_id", "structural_hash", place.alias("new_block")).join(match, ["doc_id", "new_block"], "left").join(edition, "doc_id", "left")
     # an identity that content gives may belong to a node of an older version, so later ones are salted
     fresh = F.when(F.col("last").isNull(), F.col("node_id")).otherwise(shaped(F.sha2(F.concat_ws("@", "node_id", F.col("last").cast("string"), F.col("rows").cast("string")), 256)))
     changed = (F.col("outcome") == "updated") | ((F.col("outcome") == "root") & (F.col("held_hash") != F.col("structural_hash")))
-    joined = joined.withColumns({
-        "final_id": F.coalesce("held_id", fresh),
-        "version": F.when(changed, F.col("held_version") + 1).otherwise(F.coalesce("held_version", F.lit(1))).cast("int"),
-        "outcome": F.when(F.col("outcome") == "root", F.when(changed, "updated").otherwise("kept")).otherwise(F.coalesce("outcome", F.lit("new"))),
-        "status": F.lit("active"),
-    })
-    parents = joined.select("doc_id", F.col("node_id").alias("parent_id"), F.col("final_id").alias("final_parent"))
+    placed = joined.select(
+        "doc_id", "node_id", F.coalesce("held_id", fresh).alias("final_id"),
+        F.when(changed, F.col("held_version") + 1).otherwise(F.coalesce("held_version", F.lit(1))).cast("int").alias("version"),
+        F.when(F.col("outcome") == "root", F.when(changed, "updated").otherwise("kept")).otherwise(F.coalesce("outcome", F.lit("new"))).alias("outcome"),
+        F.lit("active").alias("status"),
+    )
+    placed = shared_table(placed, "placed")
+    parents = placed.select("doc_id", F.col("node_id").alias("parent_id"), F.col("final_id").alias("final_parent"))
     columns = [*new.columns, "version", "status", "outcome"]
-    current = joined.join(parents, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.col("final_parent")).withColumn("node_id", F.col("final_id")).select(columns)
+    current = new.join(placed, ["doc_id", "node_id"]).join(parents, ["doc_id", "parent_id"], "left").withColumn("parent_id", F.col("final_parent")).withColumn("node_id", F.col("final_id")).select(columns)
     gone = before.join(match.select("doc_id", F.col("held_id").alias("node_id")), ["doc_id", "node_id"], "left_anti")
     return current.unionByName(gone.withColumns({"status": F.lit("deleted"), "outcome": F.lit("deleted")}).select(columns))
 

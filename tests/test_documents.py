@@ -178,6 +178,27 @@ def test_merge_counts_add_up(spark):
             assert x["n_kept"] + x["n_updated"] + x["n_new"] == b[x["doc_id"]] and x["n_kept"] + x["n_updated"] + x["n_deleted"] == a[x["doc_id"]]
 
 
+def test_merge_works_out_each_version_a_few_times(spark):
+    """Each use of a version is a scan of its own."""
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(rows, total):
+        def run(batches):
+            for b in batches:
+                total.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(run, rows.schema)
+
+    texts = ["one two three", "four five six seven eight", "nine ten"]
+    rows = [(f"d{d}", f"d{d}/{k}", f"d{d}", [k] if k else [], "paragraph", 1000.0 * k, t, t) for d in range(5) for k, t in enumerate(["", *texts])]
+    new = spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, path array<int>, node_type string, position double, text string, structural_hash string")
+    old = new.withColumn("text", F.when(F.col("position") == 2000, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumns({"version": F.lit(1), "status": F.lit("active")})
+    got = merge.merge(counted(old, seen[0]), counted(new, seen[1])).collect()
+    assert sorted((r["position"], r["outcome"]) for r in got) == sorted((k * 1000.0, "updated" if k == 2 else "kept") for k in range(4) for _ in range(5))
+    assert all(t.value <= 6 * len(rows) for t in seen), [t.value / len(rows) for t in seen]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
