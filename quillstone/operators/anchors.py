@@ -99,12 +99,82 @@ def cycles(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its largest node) and size of the strongly connected components that hold a cycle.
 
-    Edges are source_id and target_id; repeated ones count once, those without an end are ignored. Nodes without an edge in
-    or out are trimmed. Then each node takes the largest node that leads to it as its colour, and the nodes of a colour that
-    lead back to the node it is named after, along nodes of that colour, are its component; they go, and the rest begins
-    again. Every round is stored and holds a row for each node or edge, so storage is linear in the graph.
+    Edges are source_id and target_id; repeated ones count once, those without an end are ignored. Nodes with one edge out,
+    then ones with one edge in, are taken out by chains (see `unchained`), as long as that removes a tenth of the edges.
+    `coloured` finds the components of the rest, and the chains are put back, the last ones first. Every round is stored
+    and holds a row for each node or edge; a chain costs rounds as the logarithm of its length.
     """
     core = shared_table(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).where("a is not null and b is not null").distinct(), "edges")
+    turned = lambda x: x.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    core, found, undo, n = core.where("a <> b"), None, [], None
+    while n is None or (core.count() < 0.9 * n and not core.isEmpty()):
+        n = core.count()
+        for turn in (lambda x: x, turned):
+            rest, rings, back = unchained(turn(core))
+            found = rings if found is None else found.unionByName(rings)
+            undo.append(back)
+            core = turn(rest)
+    found = shared_table(found.unionByName(coloured(core)), "components")
+    for back in reversed(undo):
+        found = shared_table(found.unionByName(back(found)), "components")
+    # a component goes by the name of a node of it, until all are there
+    named = found.groupBy("component").agg(F.max("node").alias("largest"), F.count("*").alias("size"))
+    out = found.join(named, "component").where("size > 1").select("node", F.col("largest").alias("component"), "size")
+    loops = edges.where("source_id = target_id").select(F.col("source_id").alias("node")).distinct().join(out, "node", "left_anti")
+    return out.unionByName(loops.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size")))
+
+
+def unchained(core: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Edges without the nodes of one edge out, the components among those nodes, and what puts the others back.
+
+    A node with one edge out leads to its chain's end, the next node with several or none; edges into the chain go there
+    instead, and nothing else is lost, as the chain has no other way out. Ends are found by doubling: after k rounds each
+    node knows the one that is 2^k steps on. A chain without an end runs into a ring, a component of its own. A node of a
+    chain is in the component of the chain's end if an edge out of that component enters the chain before it.
+    """
+    degree = core.groupBy("a").agg(F.count("*").alias("n"), F.max("b").alias("next"))
+    single = shared_table(degree.where("n = 1").select(F.col("a").alias("node"), "next"), "chains")
+    at = shared_table(single.select("node", F.col("next").alias("to"), F.greatest("node", "next").alias("top")).join(single.select(F.col("node").alias("to"), F.lit(True).alias("goes")), "to", "left").select("node", "to", "top", F.col("goes").isNotNull().alias("goes")), "steps")
+    steps, span, most = [at], 1, single.count()
+    while span <= most and not at.where("goes").isEmpty():
+        on = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("top").alias("other"), F.col("goes").alias("on"))
+        both = at.join(on, "to", "left")
+        at = shared_table(both.select("node", F.coalesce("next", "to").alias("to"), F.greatest("top", "other").alias("top"), F.coalesce("on", F.lit(False)).alias("goes")), "steps")
+        steps.append(at)
+        span *= 2
+    # what still goes on after as many steps as there are nodes is where rings are, with their largest nodes
+    rings = shared_table(at.where("goes").select(F.col("to").alias("node")).distinct().join(at.select("node", F.col("top").alias("component")), "node"), "rings")
+    ends = at.where("not goes").select(F.col("node").alias("b"), F.col("to").alias("end"))
+    outer = core.join(single.select(F.col("node").alias("a")), "a", "left_anti")
+    lost = at.where("goes").select(F.col("node").alias("b"))
+    entered = shared_table(outer.join(lost, "b", "left_anti").join(ends, "b", "left").select("a", "b", "end"), "edges")
+    dead = entered.select(F.coalesce("end", "b").alias("x")).distinct().join(entered.select(F.col("a").alias("x")), "x", "left_anti")
+    rest = entered.select("a", F.coalesce("end", "b").alias("b")).where("a <> b").distinct()
+    rest = shared_table(rest.join(dead.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b"), "edges")
+
+    def back(found: DataFrame) -> DataFrame:
+        of = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+        met = entered.where("end is not null").join(of("a", "from"), "a", "left").join(of("end", "into"), "end", "left")
+        live = met.where(F.coalesce("from", "a") == F.coalesce("into", "end")).select(F.col("b").alias("node")).distinct()
+        for step in steps:
+            onward = step.join(live, "node", "left_semi").select(F.col("to").alias("node"))
+            onward = onward.join(single.select("node"), "node", "left_semi")
+            live = shared_table(live.unionByName(onward).distinct(), "live")
+        members = live.join(at.select("node", "to"), "node").join(of("to", "into"), "to", "left").select("node", F.coalesce("into", "to").alias("component"), "to")
+        # an end that had no component yet is one now, by its own name
+        alone = members.select(F.col("to").alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+        return members.select("node", "component").unionByName(alone)
+
+    return rest, rings, back
+
+
+def coloured(core: DataFrame) -> DataFrame:
+    """node and component of edges (a, b), round by round.
+
+    Nodes without an edge in or out are trimmed. Then each node takes the largest node that leads to it as its colour, and
+    the nodes of a colour that lead back to the node it is named after, along nodes of that colour, are its component; they
+    go, and the rest begins again.
+    """
     found = core.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
     while True:
         core = trimmed(core)
@@ -127,9 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
         gone = reached.select("node")
         rest = core.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
         core = shared_table(rest, "edges")
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    loops = edges.where("source_id = target_id").select(F.col("source_id").alias("node")).distinct().withColumn("loop", F.lit(True))
-    return found.join(sizes, "component").join(loops, "node", "left").where("size > 1 or loop").select("node", "component", "size")
+    return found
 
 
 def trimmed(core: DataFrame) -> DataFrame:

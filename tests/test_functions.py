@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -196,6 +197,18 @@ def test_components_equal_reachability(spark):
     assert anchors.components(spark.createDataFrame([(1, 2), (2, 3)], "source_id long, target_id long")).count() == 0
 
 
+def test_components_of_long_rings_take_few_rounds(spark, monkeypatch):
+    """Two rings of 300 nodes, joined one way by a chain, with a chain that leaves and comes back; a round for each node was stored."""
+    ring = lambda first, n: [(first + k, first + (k + 1) % n) for k in range(n)]
+    path = lambda *nodes: list(itertools.pairwise(nodes))
+    rows = [*ring(0, 300), *ring(1000, 300), *path(10, *range(2000, 2050), 1005), *path(20, *range(3000, 3050), 15), *path(40, *range(4000, 4050)), *path(*range(5000, 5050), 30)]
+    stored, made = anchors.shared_table, []
+    monkeypatch.setattr(anchors, "shared_table", lambda rows, tag: made.append(tag) or stored(rows, tag))
+    got = {(r["node"], r["component"], r["size"]) for r in anchors.components(spark.createDataFrame(rows, "source_id long, target_id long")).collect()}
+    assert got == {(k, 3049, 350) for k in (*range(300), *range(3000, 3050))} | {(1000 + k, 1299, 300) for k in range(300)}
+    assert len(made) < 150
+
+
 def test_lineage_goes_any_way_up_and_ends_in_circles(spark):
     ties = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(20)] + [("n20", "n15"), ("n3", "n9"), ("x", "n0"), (None, "n1"), ("y", None)], "child string, parent string")
     got = {(x["child"], x["ancestor"]): x["depth"] for x in provenance.lineage(ties, spark.createDataFrame([("n3",), ("x",), ("none",), (None,)], "child string")).collect()}
