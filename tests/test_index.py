@@ -81,6 +81,15 @@ def test_runs_are_merged_and_lookups_are_pruned(spark, tmp_path):
     assert "EqualTo(node_id,n7)" in store.by_key("nodes", "node_id", "n7")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_runs_are_small_on_disk(spark, tmp_path):
+    """Each file's filter took 1 MB, however few its ids."""
+    store = corpus.Corpus(spark, str(tmp_path / "c"))
+    store.commit({"nodes": spark.range(2000).selectExpr("concat('d', id % 100) as doc_id", "concat('n', id) as node_id", "repeat('some text ', 9) as text")})
+    files = list((tmp_path / "c").glob("tables/nodes/**/*.parquet"))
+    assert files and max(f.stat().st_size for f in files) < 200_000
+    assert store.by_key("nodes", "node_id", "n77").count() == 1 and store.table("nodes").count() == 2000
+
+
 def test_columns_may_come_later(spark, tmp_path):
     store = corpus.Corpus(spark, str(tmp_path / "c"))
     store.commit({"nodes": spark.createDataFrame([("d", "a", 1)], "doc_id string, node_id string, x int")})
