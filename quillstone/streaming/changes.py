@@ -77,6 +77,11 @@ def sessions(feed: DataFrame, by: str, ts: str, seconds: float, late_seconds: fl
 
 #: A stat as the state and its step hold it; a null length or change time is -1, and equal to itself.
 STAT = "path string, length long, modified_us long, seen_us long"
+STAT_NAMES = ["path", "length", "modified_us", "seen_us"]
+#: What one state holds: the last stats of its paths, a column as an array.
+KNOWN = "paths array<string>, lengths array<long>, modified array<long>, seen array<long>"
+#: Paths share this many states, so that calls of the step do not grow with them. A checkpoint holds states by this number.
+BUCKETS = 1024
 
 
 def last_stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,29 +95,37 @@ def changed_stats(feed: DataFrame, ttl_seconds: int) -> DataFrame:
 
     The last stat of a path in a micro-batch counts: by seen, then modified, then length. It is compared with the one in the
     state, which outlives restarts by the query's checkpoint. A path that was not seen for `ttl_seconds` of the feed's own
-    time is forgotten, so the state holds living paths; its next stat is a change. A stat seen before the one in the state
+    time is forgotten, so the states hold living paths; its next stat is a change. A stat seen before the one in the state
     says nothing, and one later than `ttl_seconds` is passed over by the engine, as are those without path or time.
+    Paths are dealt by hash over BUCKETS states, each compared as a whole.
     """
     micros = lambda name: F.coalesce(F.unix_micros(F.col(name).cast("timestamp")), F.lit(-1))
     rows = feed.where("path is not null and seen is not null").select("path", F.coalesce(F.col("length").cast("long"), F.lit(-1)).alias("length"), micros("modified").alias("modified_us"), micros("seen").alias("seen_us"))
-    rows = rows.mapInPandas(last_stats, STAT).withColumn("seen", F.timestamp_micros("seen_us")).withWatermark("seen", f"{ttl_seconds} seconds")
+    rows = rows.mapInPandas(last_stats, STAT).withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("seen", F.timestamp_micros("seen_us")).withWatermark("seen", f"{ttl_seconds} seconds")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known = {path: (seen, modified, length) for path, length, modified, seen in zip(*state.get, strict=True)} if state.exists else {}
+        last: dict[str, tuple[int, int, int]] = {}
+        for batch in () if state.hasTimedOut else batches:
+            for path, length, modified, seen in zip(*(batch[name].tolist() for name in STAT_NAMES), strict=True):
+                stat = (seen, modified, length)
+                last[path] = max(last.get(path, stat), stat)
+        last = {path: stat for path, stat in last.items() if path not in known or known[path][0] <= stat[0]}
+        found = [(path, stat[2], stat[1], stat[0]) for path, stat in last.items() if path not in known or known[path][1:] != stat[1:]]
+        # a stat of this batch stays for the next one, even if it came so late that its time is over
+        watermark = state.getCurrentWatermarkMs()
+        living = {path: stat for path, stat in known.items() if stat[0] // 1000 + ttl_seconds * 1000 >= watermark} | last
+        if living:
+            state.update(([*living], [x[2] for x in living.values()], [x[1] for x in living.values()], [x[0] for x in living.values()]))
+            # a timeout has to lie ahead of the watermark
+            state.setTimeoutTimestamp(max(min(x[0] for x in living.values()) // 1000 + ttl_seconds * 1000, watermark + 1))
+        else:
             state.remove()
-            return
-        stats = (s for rows in batches for s in zip(rows["seen_us"], rows["modified_us"], rows["length"], strict=True))
-        seen, modified, length = (int(x) for x in max(stats))
-        known = state.getOption
-        if known and known[2] > seen:
-            return
-        state.update((length, modified, seen))
-        # a timeout has to lie ahead of the watermark, which a late stat's own time may not
-        state.setTimeoutTimestamp(max(seen // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if not known or tuple(known[:2]) != (length, modified):
-            yield pd.DataFrame({"path": [key[0]], "length": [length], "modified_us": [modified], "seen_us": [seen]})
-
-    found = rows.groupBy("path").applyInPandasWithState(step, STAT, "length long, modified_us long, seen_us long", "append", "EventTimeTimeout")
+        if found:
+            yield pd.DataFrame(found, columns=STAT_NAMES)
+
+    found = rows.groupBy("bucket").applyInPandasWithState(step, STAT, KNOWN, "append", "EventTimeTimeout")
     known_or_null = lambda name: F.when(F.col(name) >= 0, F.col(name))
     return found.select("path", known_or_null("length").alias("length"), F.timestamp_micros(known_or_null("modified_us")).alias("modified"), F.timestamp_micros("seen_us").alias("seen"))
 

@@ -70,6 +70,37 @@ def test_known_stats_are_passed_over(spark, tmp_path):
     assert {r["modified"] for r in found if r["path"] == "b"} == {None}
 
 
+def test_paths_share_states(spark, tmp_path):
+    r, schema = random.Random(5), "path string, length long, modified timestamp, seen timestamp"
+    known, want = {}, Counter()
+    for poll in range(3):
+        rows = [(f"p{r.randrange(3000)}", r.randrange(3), None if r.random() < 0.5 else START, START + timedelta(seconds=r.randrange(600) + 300 * poll)) for _ in range(6000)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/polls")
+        query = changes.changed_stats(spark.readStream.schema(schema).parquet(f"{tmp_path}/polls"), 86400).writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+        last = {}
+        for path, length, modified, seen in rows:
+            stat = (seen, modified is not None, length)
+            last[path] = max(last.get(path, stat), stat)
+        for path, stat in last.items():
+            if path not in known or known[path][0] <= stat[0]:
+                want.update([(path, stat[2], stat[1], stat[0])] if known.get(path, stat[:1])[1:] != stat[1:] else [])
+                known[path] = stat
+    got = spark.read.parquet(f"{tmp_path}/rows").collect()
+    assert Counter((x["path"], x["length"], x["modified"] is not None, x["seen"]) for x in got) == want
+    # one call of the step serves a state, so that its calls do not grow with the paths
+    assert len(known) > 2500 and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+
+
+def test_an_older_stat_does_not_keep_its_path_from_being_forgotten(spark, tmp_path):
+    schema = "path string, length long, modified timestamp, seen timestamp"
+    for at, path in [(100, "a"), (50, "a"), (5000, "d"), (5001, "a")]:
+        spark.createDataFrame([(path, 1, START, START + timedelta(seconds=at))], schema).write.mode("append").parquet(f"{tmp_path}/polls")
+        run(changes.changed_stats(spark.readStream.schema(schema).parquet(f"{tmp_path}/polls"), 1000), tmp_path)
+    found = {(x["path"], x["seen"]) for x in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert found == {("a", START + timedelta(seconds=100)), ("d", START + timedelta(seconds=5000)), ("a", START + timedelta(seconds=5001))}
+
+
 def test_a_hot_path_is_thinned_before_the_shuffle():
     import pandas as pd
 
