@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillstone import api, config
@@ -105,6 +106,12 @@ def test_common_terms_are_dealt_by_node_and_rounds_of_packets_join(spark, tmp_pa
     assert got.where("term in ('w1', 'w2', 'elan')").select("part").distinct().count() == 16 and got.where("part > 0 and term = 'w3'").count() == 0
 
 
+def test_columns_come_back_from_a_packet():
+    for column in (pa.array(["é", "", None, "abc", "\0"]), pa.array(["a"]), pa.array([5, -7, 2**62]), pa.array([5, None]), pa.array([1, 2], pa.int32()), pa.array([None, None], pa.string())):
+        packet = index.unpacked(pa.py_buffer(index.ipc(index.thin("x", column))))
+        assert index.thick("x", packet).equals(column)
+
+
 def test_runs_are_merged_and_lookups_are_pruned(spark, tmp_path):
     store = corpus.Corpus(spark, str(tmp_path / "c"))
     want = {}
