@@ -83,6 +83,19 @@ def test_postings_are_shuffled_once_and_packed(spark, tmp_path, monkeypatch):
     assert found(one.search("w1 w2")) == found(want)
 
 
+def test_a_search_for_one_term_finds_the_best_in_shared_blocks(spark, tmp_path, monkeypatch):
+    """Segments share numbers of blocks, and a block may have two rows; nothing but bounds and scored postings is stored."""
+    monkeypatch.setattr(index, "BLOCK", 8)
+    stored, store = [], index.shared_table
+    monkeypatch.setattr(index, "shared_table", lambda df, tag: stored.append(tag) or store(df, tag))
+    rows = node_rows(spark, random_nodes(5, 900))
+    one = index.StoredIndex(corpus.Corpus(spark, str(tmp_path / "c")))
+    one.rebuild(rows)
+    got = found(one.search("w3", k=20))
+    assert got == found(search.search(search.build_index(rows), "w3", k=20)) and len(got) == 20
+    assert stored == ["bounds", "scored"]
+
+
 def test_common_terms_are_dealt_by_node_and_rounds_of_packets_join(spark, tmp_path, monkeypatch):
     """Every posting arrives once, whatever the number of slots and of rounds, and with its own node."""
     monkeypatch.setattr(index, "COMMON", 300)
