@@ -96,6 +96,23 @@ def test_a_search_for_one_term_finds_the_best_in_shared_blocks(spark, tmp_path,
     assert stored == ["bounds", "scored"]
 
 
+def test_an_update_stores_the_sums_of_what_went_alone(spark, tmp_path, monkeypatch):
+    """Each commit stored its postings twice, once as found and once in blocks."""
+    stored, store = [], index.shared_table
+    monkeypatch.setattr(index, "shared_table", lambda df, tag: stored.append(tag) or store(df, tag))
+    before = random_nodes(8, 300)
+    now = [(d, n, t, s, "of the " + (x or "")) for d, n, t, s, x in before[:100]]
+    one = index.StoredIndex(corpus.Corpus(spark, str(tmp_path / "c")))
+    one.rebuild(node_rows(spark, before))
+    one.update(node_rows(spark, now), node_rows(spark, before[:100]))
+    assert stored == ["gone"]
+    sums = one.corpus.runs("statistics").agg(F.sum("nodes"), F.sum("words")).first()
+    texts = [x[4] or "" for x in now + before[100:]]
+    assert tuple(sums) == (300, sum(len(search.sanitized(x)) for x in texts))
+    whole = search.build_index(node_rows(spark, now + before[100:]))
+    assert found(one.search("of the")) == found(search.search(whole, "of the"))
+
+
 def test_common_terms_are_dealt_by_node_and_rounds_of_packets_join(spark, tmp_path, monkeypatch):
     """Every posting arrives once, whatever the number of slots and of rounds, and with its own node."""
     monkeypatch.setattr(index, "COMMON", 300)
